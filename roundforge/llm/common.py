@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -15,6 +17,8 @@ from pyspark.sql.types import StructType
 
 #: Rows of ids that may be broadcast to drop documents (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
+#: Text that a Python worker turns into objects at a time.
+SLICE_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +81,16 @@ def as_text(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of whole rows with about SLICE_BYTES of text each, to bound memory."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def map_texts(df: DataFrame, make: Callable[[list[str]], Mapping[str, Sequence]], added: str, column: str = "_text") -> DataFrame:
     """``df`` without its text column, with the columns ``added`` (DDL) that ``make`` returns for a batch of texts.
 
@@ -87,7 +101,7 @@ def map_texts(df: DataFrame, make: Callable[[list[str]], Mapping[str, Sequence]]
     types = to_arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, column)):
             made = make(b.column(column).to_pylist())
             arrays = [b.column(f.name) for f in kept] + [pa.array(made[n], type=types.field(n).type) for n in names]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + names)

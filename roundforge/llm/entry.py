@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundforge.llm import langid, quality_rules
+from roundforge.llm import langid, ngram_join, packing, pii, quality_rules, sharding, toxicity
 from roundforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,19 +21,51 @@ def held_out(fold: tuple[int, int], key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % fold[0] == fold[1], F.lit(False))
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.fit(spark))
+    counts = [F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.digest(pii.base_only()), 256).alias("base_sha256"), pii.digest(pii.all_spans()).alias("spans"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(~held_out(LANG_FOLD)))
     return langid.predict(docs, model).select("doc_id", held_out(LANG_FOLD).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.PackConfig(tokenizer_path()))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard(table(spark, sf_dir, "documents"), shards=40)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", "depleted")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(~held_out(TOXIC_FOLD)))
+    return toxicity.score(docs, model).select("doc_id", held_out(TOXIC_FOLD).alias("held_out"), "score", "predicted", "n_hits")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_language_id, op9_quality_rules)}
+    made = (op3_ngram_jaccard_join, op4_pii, op5_language_id, op6_packing, op7_sharding, op9_quality_rules, op10_toxicity)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
