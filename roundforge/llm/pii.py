@@ -39,16 +39,17 @@ BASE_PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: What a text must contain for a pattern to match.
-NEEDS = {"email": "@", "phone": "+"}
+#: What a text must contain for a pattern to match: quick to look for.
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
 
+#: kind, pattern, and what a text must contain for it to match.
 GENERATORS = [
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?[\[({] ?(?i:at) ?[\])}] ?| (?i:at) | @ ?)[A-Za-z0-9-]{1,63}+(?:(?: ?[\[({] ?(?i:dot) ?[\])}] ?| (?i:dot) |\.)[A-Za-z0-9-]{1,63}+){1,5}+"),
-    ("ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}+(?::?[0-9A-Fa-f]{1,4}){1,7}+(?![0-9A-Za-z:])"),
-    ("phone", r"(?<![0-9A-Za-z+.(-])\(?[0-9]{2,5}+\)?(?:[ ./-]{1,2}+[0-9]{2,5}+){1,5}+(?![0-9A-Za-z])"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("secret", r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,512}+={0,2}(?![A-Za-z0-9_+/-])"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?[\[({] ?(?i:at) ?[\])}] ?| (?i:at) | @ ?)[A-Za-z0-9-]{1,63}+(?:(?: ?[\[({] ?(?i:dot) ?[\])}] ?| (?i:dot) |\.)[A-Za-z0-9-]{1,63}+){1,5}+", r"(?i) @|[\[({] ?at ?[\])}]| at [A-Za-z0-9-]+(?: ?[\[({.]| dot )"),
+    ("ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}+(?::?[0-9A-Fa-f]{1,4}){1,7}+(?![0-9A-Za-z:])", r":[0-9A-Fa-f]{1,4}:"),
+    ("phone", r"(?<![0-9A-Za-z+.(-])\(?[0-9]{2,5}+\)?(?:[ ./-]{1,2}+[0-9]{2,5}+){1,5}+(?![0-9A-Za-z])", r"[0-9]{2}"),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}"),
+    ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]"),
+    ("secret", r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,512}+={0,2}(?![A-Za-z0-9_+/-])", r"[0-9]"),
 ]
 CONTEXT = 24
 
@@ -71,7 +72,7 @@ def matches(text: Column, pattern: str, accept=None, needs: str | None = None) -
     pairs = F.zip_with(gaps, hits, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
     folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)["spans"]
     out = F.when(F.size(hits) > 0, folded).otherwise(empty)
-    return F.when(F.instr(text, needs) > 0, out).otherwise(empty) if needs else out
+    return F.when(text.rlike(needs), out).otherwise(empty) if needs else out
 
 
 def _digits(hit: Column) -> Column:
@@ -259,8 +260,8 @@ def find(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
     base = base_spans(text)
     out = out.withColumns({f"base_{k}": F.transform(s, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k, s in base.items()})
     proposed = []
-    for i, (kind, pattern) in enumerate(GENERATORS):
-        proposed.append(_tagged(matches(text, pattern), generator=F.lit(i), kind=F.lit(kind), hit=None))
+    for i, (kind, pattern, needs) in enumerate(GENERATORS):
+        proposed.append(_tagged(matches(text, pattern, None, needs), generator=F.lit(i), kind=F.lit(kind), hit=None))
     out = out.withColumn("__proposed", F.concat(*proposed)).withColumn("__base", F.concat(*[F.col(f"base_{k}") for k in BASE_KINDS]))
     out = out.withColumn("__proposed", F.filter("__proposed", lambda c: ~F.exists("__base", lambda b: _overlap(b, c))))
 

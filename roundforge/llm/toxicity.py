@@ -1,11 +1,12 @@
 """Toxicity: a weighted lexicon, matched by an Aho-Corasick automaton over folded text.
 
-Folding: compatibility forms, accented letters and look-alike letters of other scripts become plain Latin letters, digits and signs
+Folding: compatibility forms and look-alike letters of other scripts become Latin letters, digits and signs
 that stand for letters inside words become those letters, invisible characters vanish, letters that are
 spaced out by dots or dashes join, long runs of a letter shrink, and i and l are one letter.
 
 Entries are whole words or beginnings of words; each has a weight, its log-odds between toxic and clean documents. Where
-several match at a place, the heaviest counts. Exception phrases cancel the entries inside them. Hits are
+several match at a place, the heaviest counts. Accents count, but whole words without accents are also
+looked for in a copy of the text without accents. Exception phrases cancel the entries inside them. Hits are
 summed, normalised by length, and turned into a probability by a logistic curve.
 
 The lexicon, the exceptions and the curve are fitted on a bounded sample of labelled documents; near copies of a
@@ -45,7 +46,8 @@ HOMOGLYPHS = str.maketrans(
 LEET = str.maketrans("0134578@$!|+", "oieastbasiit")
 _LEET_WORD = re.compile(r"(?<![\w@$!|+])(?=[\w@$!|+]*[^\W\d_])[@$]?\w*[^\W_](?:[@$!|+]+[^\W_]+)*(?![^\W_])")
 _HAS_LEET = re.compile(r"[^\W\d_][0134578@$!|+]|[0134578@$][^\W\d_]")
-_MARK = re.compile("[\u0300-\u036f]")
+#: Accented Latin letters, and the letter without its accents.
+ACCENTS = {c: unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x250)}
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\u180e\ufe00-\ufe0f\ufeff]")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][.\-_*]){2,}[^\W\d_](?!\w)")
 _RUN = re.compile(r"([^\W\d_])\1{2,}")
@@ -60,7 +62,9 @@ SHORTEST, LONGEST = 4, 8  # letters of a word's beginning that may be an entry
 def folded(text: str) -> str:
     """Folded words with one space before and after each."""
     if not text.isascii():
-        text = _MARK.sub("", unicodedata.normalize("NFKD", _INVISIBLE.sub("", text)))
+        text = _INVISIBLE.sub("", text)
+        if not unicodedata.is_normalized("NFKC", text):
+            text = unicodedata.normalize("NFKC", text)
     text = text.lower()
     if not text.isascii():
         text = text.translate(HOMOGLYPHS)
@@ -97,7 +101,8 @@ _AUTOMATA: dict[str, ahocorasick.Automaton] = {}
 
 def automaton(model: Model) -> ahocorasick.Automaton:
     if model.key not in _AUTOMATA:
-        _AUTOMATA.clear()
+        if len(_AUTOMATA) > 3:
+            _AUTOMATA.clear()
         a = ahocorasick.Automaton()
         for entry, w in model.weights.items():
             a.add_word(entry, (len(entry), w))
@@ -108,6 +113,12 @@ def automaton(model: Model) -> ahocorasick.Automaton:
     return _AUTOMATA[model.key]
 
 
+def _plain(model: Model) -> Model:
+    """The whole words without accents."""
+    words = {e: w for e, w in model.weights.items() if e.isascii() and e.endswith(" ")}
+    return Model(model.key + " plain", words, model.exceptions, model.curve)
+
+
 def hits(text: str, model: Model) -> dict[int, float]:
     """The weight at each place of folded text where an entry matches outside of exceptions."""
     found: dict[int, float] = {}
@@ -118,6 +129,10 @@ def hits(text: str, model: Model) -> dict[int, float]:
             spared.append((start, end))
         else:
             found[start] = max(w, found.get(start, 0.0))
+    if not text.isascii() and not model.key.endswith(" plain"):
+        # one character for each, so places stay
+        for start, w in hits(text.translate(ACCENTS), _plain(model)).items():
+            found[start] = max(w, found.get(start, 0.0))
     for lo, hi in spared:
         for start in [s for s in found if lo <= s < hi]:
             del found[start]
