@@ -44,7 +44,11 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: flo
     x, y = np.asarray(x, np.float64), np.asarray(y, np.float64)
     n, width = x.shape
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:], method="nearest")) for f in range(width)]
-    binned = np.stack([np.searchsorted(cuts[f], x[:, f], "right") for f in range(width)], 1)
+    # bins of all features in one range, so that a level's histograms are one count
+    first = np.concatenate([[0], np.cumsum([len(c) + 1 for c in cuts])])
+    binned = np.stack([np.searchsorted(cuts[f], x[:, f], "right") + first[f] for f in range(width)], 1)
+    every, last = int(first[-1]), first[1:] - 1
+    owner = np.repeat(np.arange(width), np.diff(first))
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
     base = float(np.log(share / (1 - share)))
     margin = np.full(n, base)
@@ -55,26 +59,34 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: flo
         size = 2 ** (depth + 1) - 1
         feature, cut, value = np.full(size, -1, np.int64), np.zeros(size), np.zeros(size)
         at = np.zeros(n, np.int64)
-        for node in range(size):
-            rows = np.flatnonzero(at == node)
-            if not len(rows):
-                continue
-            gs, hs = g[rows].sum(), h[rows].sum()
-            value[node] = -rate * gs / (hs + l2)
-            if node >= 2**depth - 1:
-                continue
-            best = (1e-6, -1, 0)
-            for f in range(width):
-                k = len(cuts[f]) + 1
-                left_g = np.cumsum(np.bincount(binned[rows, f], g[rows], k))[:-1]
-                left_h = np.cumsum(np.bincount(binned[rows, f], h[rows], k))[:-1]
-                gain = left_g**2 / (left_h + l2) + (gs - left_g) ** 2 / (hs - left_h + l2) - gs**2 / (hs + l2)
-                gain[(left_h < min_hessian) | (hs - left_h < min_hessian)] = 0
-                if len(gain) and gain.max() > best[0]:
-                    best = (float(gain.max()), f, int(gain.argmax()))
-            if best[1] >= 0:
-                feature[node], cut[node] = best[1], cuts[best[1]][best[2]]
-                at[rows] = 2 * node + 1 + (x[rows, best[1]] >= cut[node])
+        for level in range(depth + 1):
+            top, count = 2**level - 1, 2**level
+            live = np.flatnonzero(at >= top)
+            if not len(live):
+                break
+            own = at[live] - top
+            gs, hs = np.bincount(own, g[live], count), np.bincount(own, h[live], count)
+            value[top : top + count] = -rate * gs / (hs + l2)
+            if level == depth:
+                break
+            place = (own[:, None] * every + binned[live]).ravel()
+            left_g = np.cumsum(np.bincount(place, np.repeat(g[live], width), count * every).reshape(count, every), 1)
+            left_h = np.cumsum(np.bincount(place, np.repeat(h[live], width), count * every).reshape(count, every), 1)
+            # sums within each feature
+            left_g -= owner * gs[:, None]
+            left_h -= owner * hs[:, None]
+            right_g, right_h = gs[:, None] - left_g, hs[:, None] - left_h
+            gain = left_g**2 / (left_h + l2) + right_g**2 / (right_h + l2) - (gs**2 / (hs + l2))[:, None]
+            gain[(left_h < min_hessian) | (right_h < min_hessian)] = 0
+            gain[:, last] = 0
+            pick = gain.argmax(1)
+            for k in range(count):
+                if gain[k, pick[k]] > 1e-6:
+                    f = int(owner[pick[k]])
+                    feature[top + k], cut[top + k] = f, cuts[f][pick[k] - first[f]]
+            f = feature[at[live]]
+            moved = 2 * at[live] + 1 + (x[live, np.maximum(f, 0)] >= cut[at[live]])
+            at[live] = np.where(f < 0, at[live], moved)
         margin += value[at]
         out.append(Tree(feature, cut, value))
     return Boosted(base, tuple(out))
