@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -10,7 +11,8 @@ import numpy as np
 _LOADED: dict[tuple, WordEncoder] = {}
 #: Characters that str.split takes for white space and the tokenizers' \s does not.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
-_LATIN_END = "ɐ"
+#: A full stop or comma that belongs to a run of signs.
+_SIGNS = re.compile(r"(?:[^\w\s]|_)[.,]")
 
 
 class _Codes(dict):
@@ -56,37 +58,38 @@ class _Pool:
 class WordEncoder:
     """Encodes texts word by word; every word is encoded once while it stays in the cache.
 
-    encode: ids of each of a list of strings, as the tokenizer gives them. lower: the tokenizer lowers Latin letters and takes a
-    run of letters, or of '.' and ',', as a piece, so that words can share their pieces.
+    encode: ids of each of a list of strings, as the tokenizer gives them. plain: the tokenizer lowers letters and takes runs
+    of letters, and runs of signs, as pieces of their own; then texts are lowered first, and full stops and commas are words, as
+    far as that changes nothing, so that there are fewer different words.
     end: an id to end each text with. max_words bounds the cache, which is emptied beyond it."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], lower: bool = False, end: int | None = None, max_words: int = 500_000) -> None:
-        self.encode, self.lower, self.end, self.max_words = encode, lower, end, max_words
+    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], plain: bool = False, end: int | None = None, max_words: int = 900_000) -> None:
+        self.encode, self.plain, self.end, self.max_words = encode, plain, end, max_words
         self._empty()
 
     def _empty(self) -> None:
-        self.words, self.pieces, self.word_ids, self.piece_ids = _Codes(), {}, _Pool(), []
+        self.words, self.ids = _Codes(), _Pool()
         if self.end is not None:
             self.words[""] = 0  # no word is empty
-            self.word_ids.add([[self.end]])
-
-    def _parts(self, word: str) -> list[str]:
-        if self.lower and (word.isascii() or max(word) < _LATIN_END):
-            low = word.lower()
-            stem = low.rstrip(".,")
-            if stem.isalpha():
-                return [stem, low[len(stem) :]] if len(stem) < len(low) else [stem]
-        return [word]
+            self.ids.add([[self.end]])
+
+    def _split(self, text: str) -> list[str]:
+        if any(c in text for c in _NOT_SPACE):
+            return [text]
+        if self.plain and "<|" not in text:  # special tokens are looked for before letters are lowered
+            try:
+                text.encode("latin-1")  # there, a letter is lowered to one letter, whatever is around it
+            except UnicodeEncodeError:
+                return text.split()
+            text = text.lower()
+            if not _SIGNS.search(text):
+                text = text.replace(".", " .").replace(",", " ,")
+        return text.split()
 
     def _learn(self) -> None:
         new, self.words.new = self.words.new, []
-        if not new:
-            return
-        parts = [self._parts(w) for w in new]
-        fresh = list(dict.fromkeys(p for ps in parts for p in ps if p not in self.pieces))
-        for p, ids in zip(fresh, self.encode(fresh), strict=True):
-            self.pieces[p] = list(ids)
-        self.word_ids.add([[i for p in ps for i in self.pieces[p]] for ps in parts])
+        for i in range(0, len(new), 50_000):
+            self.ids.add(list(self.encode(new[i : i + 50_000])))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has."""
@@ -95,14 +98,14 @@ class WordEncoder:
         flat: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
-            words = [t] if any(c in t for c in _NOT_SPACE) else t.split()
+            words = self._split(t)
             flat += words
             if self.end is not None:
                 flat.append("")
             counts[i] = len(words) + (self.end is not None)
         codes = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
         self._learn()
-        ids, size = self.word_ids.take(codes)
+        ids, size = self.ids.take(codes)
         ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(counts)]
         return ids, np.diff(ends, prepend=0)
 
@@ -114,5 +117,5 @@ def word_encoder(path: str, end: int | None = None) -> WordEncoder:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        _LOADED[path, end] = WordEncoder(lambda words: (e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)), lower=True, end=end)
+        _LOADED[path, end] = WordEncoder(lambda words: (e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)), plain=True, end=end)
     return _LOADED[path, end]
