@@ -41,7 +41,7 @@ _CELLS = 1 << 22  # of a dense piece of the document by n-gram matrix
 
 @dataclass(frozen=True)
 class JoinConfig:
-    """block_grams: n-grams of a block of documents in verification. small_bucket: members of a
+    """block_grams, block_docs: n-grams and documents of a block in verification. small_bucket: members of a
     bucket up to which all its pairs are candidates; larger ones are linked through their least member."""
 
     words: int = 5
@@ -52,6 +52,7 @@ class JoinConfig:
     target_recall: float = 0.999999
     small_bucket: int = 24
     block_grams: int = 300_000
+    block_docs: int = 300
 
     @property
     def depth(self) -> int:
@@ -255,7 +256,7 @@ def join(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
     known = reps.filter(F.col("doc").isNotNull())
     grouped = components(candidate_edges(known, config)).select(F.col("node").alias("doc"), F.col("root").alias("component"))
     members = checkpointed(known.select("doc", "copies", "size").join(grouped, "doc"))
-    blocks = members.groupBy("component").agg(F.ceil(F.sum("size") / config.block_grams).cast("int").alias("blocks"))
+    blocks = members.groupBy("component").agg(F.ceil(F.greatest(F.sum("size") / config.block_grams, F.count("*") / config.block_docs)).cast("int").alias("blocks"))
     members = checkpointed(members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int")))
     small = members.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.select(F.col("doc_id").alias("doc"), as_text().alias("text")).join(F.broadcast(members) if small else members, "doc")
