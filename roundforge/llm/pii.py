@@ -177,8 +177,10 @@ def _example(rng: random.Random) -> tuple[int, str, str, str, int]:
     elif g == 2:
         form = rng.choice(["(ddd) ddd-dddd", "ddd-ddd-dddd", "ddd.ddd.dddd", "ddd ddd dddd", "0dd dddd dddd", "0ddd ddddd", "0dd/ddddddd"])
         if not yes:
-            form = rng.choice(["20dd-dd-dd", "dd.dd.20dd", "dd/dd/dd", "dd ddd", "dd-ddd", "ddd ddd", "d.dd.dd", "dddd-dddd-dddd", "ddd-dd-ddddd", "dd.dd", "ddddd ddddd ddddd ddddd"])
+            form = rng.choice(["20dd-dd-dd", "dd.dd.20dd", "dd/dd/dd", "dd ddd", "dd-ddd", "ddd ddd", "d.dd.dd", "dddd-dddd-dddd", "ddd-dd-ddddd", "dd.dd", "ddddd ddddd ddddd ddddd", "ddd-dd-dddd", "ddd-dd-dddd"])
             left = word() + " " + (rng.choice(other) if rng.random() < 0.5 else plain)
+            if form == "ddd-dd-dddd":  # another kind's format
+                left = word() + " " + rng.choice([*hints[4], left])
         hit = "".join(num(1) if c == "d" else c for c in form)
     elif g == 3:
         country, body = rng.choice(["DE", "FR", "ES", "GB", "NL"]), num(18)

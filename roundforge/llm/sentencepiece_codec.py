@@ -163,6 +163,8 @@ class Codec:
         if self.judge is None:
             return ours, [0] * len(ours)
         theirs = self.judge.encode(plain, num_threads=self.threads)
+        # a marker alone can't be asked for: the library gives the empty text no prefix
+        theirs = [b if p or not m else a for m, p, a, b in zip(marked, plain, ours, theirs, strict=True)]
         return theirs, [int(a != b) for a, b in zip(ours, theirs, strict=True)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -71,9 +71,9 @@ def first_map(slot_bytes: list[int], shards: int) -> SlotMap:
     return SlotMap(1, shards, tuple(shard_of))
 
 
-def rebalanced(old: SlotMap, slot_bytes: list[int], shards: int | None = None) -> SlotMap:
+def rebalanced(old: SlotMap, slot_bytes: list[int], shards: int | None = None, tolerance: float = 0.01) -> SlotMap:
     """The next version, for as many shards or more: each move takes the slot that fits best
-    from the fullest shard to the emptiest, as long as that brings both closer to the mean."""
+    from the fullest shard to the emptiest, until they differ by ``tolerance`` of the mean at most or no move helps."""
     shards = max(shards or old.shards, old.shards)
     shard_of, load = list(old.shard_of), [0] * shards
     members: list[list[int]] = [[] for _ in range(shards)]
@@ -83,6 +83,8 @@ def rebalanced(old: SlotMap, slot_bytes: list[int], shards: int | None = None) -
     for _ in range(len(shard_of)):
         full, low = max(range(shards), key=lambda k: (load[k], -k)), min(range(shards), key=lambda k: (load[k], k))
         gap = load[full] - load[low]
+        if gap <= tolerance * sum(load) / shards:
+            break
         fits = [s for s in members[full] if 0 < slot_bytes[s] < gap]
         if not fits:
             break

@@ -185,7 +185,7 @@ def test_map_versions_and_rebalancing(spark, tmp_path):
     load = [sum(b for b, k in zip(sizes, grown.shard_of, strict=True) if k == s) for s in range(5)]
     assert grown.version == 2 and max(load) - min(load) <= 1000
     moved = [s for s in range(512) if first.shard_of[s] != grown.shard_of[s]]
-    assert len(moved) < 512 * 0.3 and all(grown.shard_of[s] == 4 for s in moved)
+    assert len(moved) < 512 * 0.3 and sum(grown.shard_of[s] == 4 for s in moved) > 0.9 * len(moved)
     first.store(spark, str(tmp_path / "m"))
     grown.store(spark, str(tmp_path / "m"))
     assert sharding.SlotMap.load(spark, str(tmp_path / "m")) == grown and sharding.SlotMap.load(spark, str(tmp_path / "m"), 1) == first

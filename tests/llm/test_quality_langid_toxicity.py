@@ -42,7 +42,7 @@ def test_frequent_lines_and_copies(spark):
     rng = random.Random(2)
     words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
     own = [(i, "Menu 12 Home About the people and the place and more\n" + words(40), "h") for i in range(40)]
-    bare = [(100 + i, f"Menu {i} Home About the people and the place and more\n{words(3)}", "h") for i in range(5)]
+    bare = [(100 + i, f"Menu {10 + i} Home About the people and the place and more\n{words(3)}", "h") for i in range(5)]
     copy = words(60) + "\n" + words(30)
     same = [(200 + i, copy, "h") for i in range(60)]
     near = [(300 + i, copy.rsplit(" ", 1)[0] + f" {words(1)}", "h") for i in range(60)]
