@@ -13,8 +13,8 @@ LATE = "10 minutes"
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
-    """New Parquet files of a folder as a stream."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """New Parquet files of a folder as a stream; event times without a zone are UTC, the session's zone."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = LATE) -> DataFrame:
