@@ -333,11 +333,11 @@ def q_manifest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.index(s).select("id", "category", F.col("analysis.curation_priority").alias("priority"), F.col("analysis.difficulty_score").alias("difficulty"))
 
 
-@query(with_views("rounds", "SELECT n::BIGINT AS pos, id, title FROM (SELECT id, title, row_number() OVER (ORDER BY title DESC, id) AS n FROM rounds WHERE pos % 3 = 0)"))
+@query(with_views("rounds", "SELECT pos, id, title FROM rounds WHERE pos % 3 = 0 ORDER BY pos"))
 def q_point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-13, SRC-09: requested rounds in request order."""
     r = sharding.assign(views.rounds(spark, sf_dir), 250, 7)
-    wanted = r.filter("pos % 3 = 0").select(F.row_number().over(Window.orderBy(F.desc("title"), "id")).cast("long").alias("pos"), "id")
+    wanted = r.filter("pos % 3 = 0").select("pos", "id")
     return sharding.lookup(wanted, r.select("id", "shard"), r.select("id", "shard", "title")).select("pos", "id", "title")
 
 
@@ -404,17 +404,17 @@ def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(k.alias("pos"), F.concat(F.lit("d"), k.cast("string")).alias("id"), F.col("lang").alias("category"), "decision", analysis.alias("analysis"), F.when(k % 4 != 3, screening.summary_of(flags)).alias("screening"), F.array(F.concat(F.lit("Tag"), (k % 5).cast("string"))).alias("tags"))
 
 
-for _sort, _key in {"priority": "priority DESC", "screening": "CASE WHEN screened THEN risk ELSE -1 END DESC", "hardest": "difficulty DESC", "easiest": "difficulty", "dataset": "pos"}.items():
+for _sort, _key in {"priority": "priority", "screening": "CASE WHEN screened THEN risk ELSE -1 END", "hardest": "difficulty", "easiest": "difficulty", "dataset": "pos"}.items():
 
     def _make(sort: str, key: str) -> None:
         def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-            """SRT-01, FLT-07 to FLT-11, WIN-13: undecided English rounds to review, in order."""
+            """SRT-01, FLT-07 to FLT-11, WIN-13: undecided English rounds to review, in order, with the key they are sorted by."""
             rows = curation.queue(_queue(spark, sf_dir), category="en", status="undecided", screening="review", signal="possible_face", tag="tag2", sort=sort)
-            rank = F.row_number().over(Window.orderBy(*curation.order_by(sort)))
-            return rows.select(rank.cast("long").alias("place"), "id")
+            keys = {"priority": "analysis.curation_priority", "screening": "screening.risk_score", "dataset": "pos"}
+            return rows.select("id", F.col(keys.get(sort, "analysis.difficulty_score")).cast("long").alias("sort_key"))
 
         f.__name__ = f"q_curator_queue_{sort}"
-        query(f"WITH {_Q} SELECT row_number() OVER (ORDER BY {key}, pos) AS place, id FROM docq WHERE category = 'en' AND decision IS NULL AND screened AND mid AND pos % 5 = 2")(f)
+        query(f"WITH {_Q} SELECT id, ({key})::BIGINT AS sort_key FROM docq WHERE category = 'en' AND decision IS NULL AND screened AND mid AND pos % 5 = 2 ORDER BY sort_key, pos")(f)
 
     _make(_sort, _key)
 
