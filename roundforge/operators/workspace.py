@@ -6,7 +6,7 @@ import json
 import threading
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STRATEGIES = ("reject", "prefer_local", "prefer_remote")
@@ -30,6 +30,11 @@ def merge3(base: DataFrame, local: DataFrame, remote: DataFrame, strategy: str =
     return out.select("key", F.col("chosen.value").alias("value"), F.col("chosen").isNotNull().alias("present"), "conflict", "base", "local", "remote")
 
 
+def valid_signature(x: Column) -> Column:
+    """Whether a text can name a dataset."""
+    return F.coalesce(x.rlike(r"^[A-Za-z0-9._-]{1,128}$"), F.lit(False))
+
+
 def head(revisions: DataFrame) -> DataFrame:
     """The last revision of each signature."""
     rest = [c for c in revisions.columns if c != "dataset_signature"]

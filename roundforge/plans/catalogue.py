@@ -668,6 +668,113 @@ def q_export_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("version", "dataset_signature", F.array_join("kept_ids", ",").alias("kept"), F.array_join("rejected_ids", ",").alias("rejected"))
 
 
+# --- more projections, caches and state --------------------------------------------------------
+
+
+@query(with_views("rounds", "SELECT id, repeat('★', coalesce(rating, 0)::INT) || repeat('☆', 5 - coalesce(rating, 0)::INT) AS stars, category || ' · ' || leaf_category AS line FROM rounds"))
+def q_presentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-20: stars and meta lines."""
+    return views.rounds(spark, sf_dir).select("id", text.star_string(F.col("rating")).alias("stars"), text.meta_line(F.col("category"), F.lit(" "), F.col("leaf_category")).alias("line"))
+
+
+@query("SELECT label, item FROM (VALUES ('Pet_Supplies', 'meta_Pet_Supplies.jsonl.gz'), ('Home & Kitchen', 'Home_and_Kitchen.jsonl')) v(label, item)")
+def q_source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-10, PRJ-11."""
+    raw = spark.createDataFrame([("https://x.example.com/raw/meta_Pet_Supplies.jsonl.gz/",), ("raw/Home_and_Kitchen.jsonl",)], "path string")
+    label = text.source_label(F.col("path"))
+    return raw.select(F.when(label.contains("_and_"), text.humanize(label)).otherwise(label).alias("label"), F.regexp_extract(F.regexp_replace("path", "/+$", ""), "([^/]*)$", 1).alias("item"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '.jpg' WHEN event_id % 4 = 1 THEN '.png' WHEN event_id % 4 = 2 THEN '.gif' ELSE '.img' END AS extension, CASE WHEN event_id % 4 = 0 THEN 'image/jpeg' WHEN event_id % 4 = 1 THEN 'image/png' WHEN event_id % 4 = 2 THEN 'image/gif' ELSE 'application/octet-stream' END AS content_type FROM events")
+def q_asset_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-14, PRJ-19: by first bytes, by type, by suffix, or unknown."""
+    k = F.col("event_id") % 4
+    content = F.when(k == 0, F.unhex(F.lit("FFD8FFE000"))).otherwise(F.lit("text").cast("binary"))
+    kind, url = F.when(k == 1, "image/PNG; charset=x").otherwise(""), F.when(k == 2, "https://x/a.GIF?y=1").otherwise("https://x/a")
+    e = assets.extension(content, kind, url)
+    return table(spark, sf_dir, "events").select("event_id", e.alias("extension"), assets.content_type(F.concat(F.lit("f"), e)).alias("content_type"))
+
+
+def _fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = views.rounds(spark, sf_dir).filter("review_image is not null and pos % 6 <> 0")
+    sha = F.sha2(F.col("title").cast("binary"), 256)
+    return r.select(F.col("review_image").alias("url"), F.concat(F.lit("assets/reviews/"), F.substring(sha, 1, 24), F.lit(".jpg")).alias("path"), sha.alias("sha256"), F.col("pos").alias("dhash"))
+
+
+@query(with_views("rounds", "SELECT id, 'assets/reviews/' || substr(f.sha, 1, 24) || '.jpg' AS review_image, review_image AS original, f.sha AS sha256, lpad(printf('%x', f.dhash), 16, '0') AS dhash FROM rounds JOIN (SELECT review_image AS url, min_by(sha256(title), pos) AS sha, min(pos) AS dhash FROM rounds WHERE review_image LIKE 'http%' AND pos % 6 <> 0 GROUP BY 1) f ON f.url = review_image"))
+def q_attach_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-06, PRJ-15, PRJ-16: rounds with their fetched images; those without one are dropped."""
+    f = _fetched(spark, sf_dir).filter("url like 'http%'")
+    return assets.attach_images(views.rounds(spark, sf_dir), f).select("id", "review_image", F.col("review_image_original").alias("original"), F.col("review_image_sha256").alias("sha256"), F.col("review_image_dhash").alias("dhash"))
+
+
+@query("SELECT page_id, 'f' || page_id::VARCHAR || CASE WHEN page_id % 2 = 0 THEN '.jpg' ELSE '.bin' END AS relative, 'cdn/x/f' || page_id::VARCHAR || CASE WHEN page_id % 2 = 0 THEN '.jpg' ELSE '.bin' END AS object_key, length(html)::BIGINT AS size, CASE WHEN page_id % 2 = 0 THEN 'image/jpeg' ELSE 'application/octet-stream' END AS content_type FROM pages")
+def q_upload_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-14, SRT-07, PRJ-19: what would be published."""
+    name = F.concat(F.lit("f"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".jpg").otherwise(".bin"))
+    files = table(spark, sf_dir, "pages").select(F.concat(F.lit("/srv/a/"), name).alias("path"), F.length("html").cast("long").alias("length"))
+    plan = assets.upload_plan(files, "/srv/a", "/cdn/x/")
+    return plan.select(F.regexp_extract("relative", "([0-9]+)", 1).cast("long").alias("page_id"), "relative", "object_key", "size", "content_type")
+
+
+@query("SELECT doc_id, 'Tag ' || (doc_id % 3)::VARCHAR || '|other' AS tags, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'note ' || doc_id::VARCHAR END AS note, least(100, doc_id)::INT AS max_priority, CASE WHEN doc_id % 2 = 0 THEN 'all' ELSE lang END AS category FROM documents")
+def q_annotations_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-25 to SCL-27: normalised tags, notes and presets."""
+    k = F.col("doc_id")
+    tags = F.array(F.concat(F.lit("Tag  "), (k % 3).cast("string")), F.lit(" "), F.concat(F.lit("tag "), (k % 3).cast("string")), F.lit("other"))
+    note = text.normalize_annotation(F.concat(F.lit(" note "), k.cast("string"), F.lit("\n")), tags)
+    preset = text.normalize_preset(F.lit("p"), {"category": F.when(k % 2 == 0, " ").otherwise(F.col("lang"))}, k.cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(note["tags"], "|").alias("tags"), F.when(k % 5 != 0, note["note"]).alias("note"), preset["max_priority"].alias("max_priority"), preset["category"].alias("category"))
+
+
+@query(f"SELECT event_id, printf('%x', {q.fnv("'{' || chr(34) || 'a' || chr(34) || ':' || event_id::VARCHAR || ',' || chr(34) || 'b' || chr(34) || ':' || user_id::VARCHAR || '}'")}) AS fingerprint FROM events")
+def q_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-30: the order of an object's keys doesn't matter."""
+    e = table(spark, sf_dir, "events")
+    pair = lambda n, c: F.concat(F.lit(f'"{n}": '), F.col(c).cast("string"))
+    a, b = pair("a", "event_id"), pair("b", "user_id")
+    doc = F.concat(F.lit("{"), F.when(F.col("event_id") % 2 == 0, F.concat(a, F.lit(", "), b)).otherwise(F.concat(b, F.lit(","), a)), F.lit("}"))
+    return e.select("event_id", hashing.fingerprint(doc).alias("fingerprint"))
+
+
+@query(f"WITH {_Q} SELECT id, CASE WHEN pos % 8 = 0 THEN 'keep' ELSE decision END AS decision FROM docq WHERE (decision IS NOT NULL OR pos % 8 = 0) AND pos % 8 <> 4")
+def q_decision_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STA-06: the last change of a round holds; null clears it."""
+    r = _queue(spark, sf_dir)
+    now = r.filter("decision is not null").select("id", "decision")
+    set_ = r.filter("pos % 8 = 0").select("id", F.lit("keep").alias("decision"), F.lit(2).alias("pos")).union(r.filter("pos % 8 = 0").select("id", F.lit("reject"), F.lit(1)))
+    clear = r.filter("pos % 8 = 4").select("id", F.lit(None).cast("string").alias("decision"), F.lit(1).alias("pos"))
+    return curation.upsert(now, set_.union(clear))
+
+
+@query(with_views("rounds", "SELECT id, lead_id AS next, lag_id AS previous FROM (SELECT id, coalesce(lead(id) OVER w, first(id) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS lead_id, coalesce(lag(id) OVER w, last(id) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS lag_id FROM (SELECT * FROM rounds ORDER BY pos LIMIT 100) WINDOW w AS (ORDER BY pos))"))
+def q_queue_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-14: next and previous in the queue that one curator sees, its first 100 rounds: the bound is the feature."""
+    return curation.cursor(views.rounds(spark, sf_dir).select("id", "pos").orderBy("pos").limit(100), ["pos"])
+
+
+@query(with_views("rounds", "SELECT id, source_category, title, 'https://www.amazon.com/dp/' || parent_asin AS source_url FROM (SELECT id, CASE WHEN source_category <> '' THEN source_category ELSE category END AS source_category, title, parent_asin FROM rounds WHERE review_image IS NOT NULL)"))
+def q_round_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-08, PRJ-09, FLT-01, FLT-02."""
+    r = build.eligible_products(build.image_reviews(views.rounds(spark, sf_dir)))
+    none = F.lit(None).cast("string")
+    full = r.withColumns({"asin": F.col("parent_asin"), "product_image": none, "store": none, "timestamp": F.lit(0).cast("long")})
+    return build.assemble(full).select("id", "source_category", "product.title", "product.source_url")
+
+
+@query(with_views("rounds", "SELECT id, string_agg(c, '|' ORDER BY k, c) AS choices FROM (SELECT id, c, sha256('1337|' || id || '|' || c) AS k FROM (SELECT id, unnest(choices) AS c FROM rounds)) GROUP BY id"))
+def q_shuffled_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRT-09."""
+    return build.shuffled_choices(views.rounds(spark, sf_dir), SEED).select("id", F.array_join("choices", "|").alias("choices"))
+
+
+@query(with_views("rounds", "SELECT count(*) FILTER (review_image IS NOT NULL) AS eligible_seen, count(*) FILTER (pos % 2 = 0) AS sampled, count(*) FILTER (pos % 4 = 0) AS matched, count(*) AS pool, count(*) FILTER (pos % 8 = 0) AS written FROM rounds"))
+def q_build_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-14."""
+    r = views.rounds(spark, sf_dir)
+    return build.build_stats(r, r.filter("pos % 2 = 0"), r.filter("pos % 4 = 0"), r, r.filter("pos % 8 = 0"))
+
+
 # --- extensions --------------------------------------------------------------------------------
 
 
