@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
@@ -81,6 +82,27 @@ def as_text(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+_HELD: dict = {}
+
+
+def held(key, make: Callable[[], object]):
+    """The worker's one large state (a tokenizer with its cache, score tables): made on first use; another one takes its place."""
+    if key not in _HELD:
+        _HELD.clear()
+        trim()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of whole rows with about SLICE_BYTES of text each, to bound memory."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -89,6 +111,7 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
         yield batch.slice(lo, hi - lo)
         lo = hi
+    trim()
 
 
 def map_texts(df: DataFrame, make: Callable[[list[str]], Mapping[str, Sequence]], added: str, column: str = "_text") -> DataFrame:

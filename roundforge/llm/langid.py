@@ -28,14 +28,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundforge.llm.common import as_text, checkpointed, map_texts, without
+from roundforge.llm.common import as_text, checkpointed, held, map_texts, without
 
 ORDER = 3
 SCORE_BYTES = 64  # the score is the posterior over so many average bytes
 CHUNK = 1 << 19
 DENSE = 1 << 25  # entries of a direct index of four-byte strings; beyond it, binary search
 _OTHER = re.compile(r"(?:\S*\d\S*|[\W_])+")
-_TABLES: dict[str, Tables] = {}
 
 
 def normal_bytes(text: str) -> bytes:
@@ -120,10 +119,7 @@ class Tables:
 
 
 def tables(model: Model) -> Tables:
-    if model.key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[model.key] = Tables(model)
-    return _TABLES[model.key]
+    return held(("langid", model.key), lambda: Tables(model))
 
 
 def _gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

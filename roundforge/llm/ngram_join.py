@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundforge.llm.common import BROADCAST_IDS, as_text, checkpointed, map_texts, without, written
+from roundforge.llm.common import BROADCAST_IDS, as_text, checkpointed, map_texts, trim, without, written
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -240,6 +240,7 @@ def verify_units(units: DataFrame, config: JoinConfig) -> DataFrame:
                     unit = []
                 unit.append(b.slice(lo, hi - lo))
                 last = tuple(key[lo])
+            trim()
         if unit:
             yield done(unit)
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roundforge.llm.common import BROADCAST_IDS, as_text, slices, written
+from roundforge.llm.common import BROADCAST_IDS, as_text, slices, trim, written
 from roundforge.llm.tokens import word_encoder
 
 PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -164,6 +164,7 @@ def pack(docs: DataFrame, config: PackConfig) -> DataFrame:
                 if len(rows) >= BATCH:
                     yield out()
                     rows = []
+            trim()
         if rows:
             yield out()
 

@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 
-from roundforge.llm.common import as_text, map_texts
+from roundforge.llm.common import as_text, held, map_texts
 from roundforge.llm.tokens import _Codes, _Pool
 
 MARKER = "▁"
@@ -34,7 +34,6 @@ MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 _SEGMENT = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+")
-_LOADED: dict[tuple, Codec] = {}
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -214,9 +213,7 @@ class Codec:
 
 
 def codec(path: str, threads: int = 2) -> Codec:
-    if (path, threads) not in _LOADED:
-        _LOADED[path, threads] = Codec(path, threads)
-    return _LOADED[path, threads]
+    return held(("pieces", path, threads), lambda: Codec(path, threads))
 
 
 def encode(docs: DataFrame, path: str, keep: list[str] | None = None, threads: int = 2) -> DataFrame:

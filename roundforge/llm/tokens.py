@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-_LOADED: dict[tuple, WordEncoder] = {}
+from roundforge.llm.common import held
+
 #: Characters that str.split takes for white space and the tokenizers' \s does not.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
 #: A full stop or comma that belongs to a run of signs.
@@ -63,7 +64,7 @@ class WordEncoder:
     far as that changes nothing, so that there are fewer different words.
     end: an id to end each text with. max_words bounds the cache, which is emptied beyond it."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], plain: bool = False, end: int | None = None, max_words: int = 900_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], plain: bool = False, end: int | None = None, max_words: int = 600_000) -> None:
         self.encode, self.plain, self.end, self.max_words = encode, plain, end, max_words
         self._empty()
 
@@ -88,8 +89,8 @@ class WordEncoder:
 
     def _learn(self) -> None:
         new, self.words.new = self.words.new, []
-        for i in range(0, len(new), 50_000):
-            self.ids.add(list(self.encode(new[i : i + 50_000])))
+        for i in range(0, len(new), 20_000):
+            self.ids.add(list(self.encode(new[i : i + 20_000])))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has."""
@@ -112,10 +113,12 @@ class WordEncoder:
 
 def word_encoder(path: str, end: int | None = None) -> WordEncoder:
     """The encoder of a tokenizers file whose normaliser lowers and whose pre-tokenizer drops white space; one for each process."""
-    if (path, end) not in _LOADED:
+
+    def make() -> WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        _LOADED[path, end] = WordEncoder(lambda words: (e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)), plain=True, end=end)
-    return _LOADED[path, end]
+        return WordEncoder(lambda words: (e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)), plain=True, end=end)
+
+    return held(("words", path, end), make)
