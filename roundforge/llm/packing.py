@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from roundforge.llm.common import BROADCAST_IDS, as_text, slices, trim, written
 from roundforge.llm.tokens import word_encoder
 
-PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 BATCH = 20_000
 
 
@@ -152,7 +152,7 @@ def pack(docs: DataFrame, config: PackConfig) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True))
-            types = [pa.int64(), pa.string(), *[pa.int64()] * 6]
+            types = [*[pa.int64()] * 7, pa.string()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
 
         for b in batches:
@@ -160,7 +160,7 @@ def pack(docs: DataFrame, config: PackConfig) -> DataFrame:
             for doc, source, before, earlier, n, width, raw in zip(*columns, b.column("ids"), strict=True):
                 ids = np.frombuffer(raw.as_buffer(), f"<u{width}").astype("<u4")
                 for start, length, place in cuts(credits, number[source], earlier + before, n, sequence):
-                    rows.append((doc, source, start, length, zlib.crc32(ids[start : start + length]), n, place // sequence, place % sequence))
+                    rows.append((doc, start, length, zlib.crc32(ids[start : start + length]), n, place // sequence, place % sequence, source))
                 if len(rows) >= BATCH:
                     yield out()
                     rows = []
