@@ -259,7 +259,7 @@ def join(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
     members = checkpointed(known.select("doc", "copies", "size").join(grouped, "doc"))
     blocks = members.groupBy("component").agg(F.ceil(F.greatest(F.sum("size") / config.block_grams, F.count("*") / config.block_docs)).cast("int").alias("blocks"))
     members = checkpointed(members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int")))
-    small = members.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    small = members.limit(BROADCAST_IDS).count() < BROADCAST_IDS // 4  # its rows are wider than an id
     texts = docs.select(F.col("doc_id").alias("doc"), as_text().alias("text")).join(F.broadcast(members) if small else members, "doc")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     units = texts.select("component", "block", "doc", "copies", "text", other)
