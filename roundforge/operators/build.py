@@ -79,21 +79,36 @@ def with_products(reviews: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def theta_distractors(products: DataFrame, pool: DataFrame, k: int = 3, cutoff: float = 0.72) -> DataFrame:
-    """For each product the k most plausible titles of the pool: taxonomy, then a little title overlap; titles as
-    similar as ``cutoff`` are left out. Taxonomy dominates, so candidates come from the product's own category, an equi-join;
-    products with fewer than k there are ranked against the other categories too, by category summary.
+    """For each product the k most plausible titles of its category in the pool: taxonomy, then a little title overlap; titles as
+    similar as ``cutoff`` are left out. Fewer are returned where the category has fewer.
+
+    A title of the same category path and leaf beats every other one, whatever the overlap: taxonomy counts in whole numbers and
+    overlap adds 0.9 at most. So pairs are formed within a path first, and within the category only for titles that found
+    fewer than k there. Products with the same title and path are ranked once. The pool is a bounded sample in a build.
 
     products, pool: parent_asin, title, category, category_path, leaf_category."""
-    own = products.select("parent_asin", "title", "category", "category_path", "leaf_category", text.tokens(F.col("title"), text.BUILD_STOP).alias("tokens"))
-    other = pool.select(*[F.col(c).alias(f"o_{c}") for c in ("title", "category", "category_path", "leaf_category")], text.tokens(F.col("title"), text.BUILD_STOP).alias("o_tokens"))
-    other = other.dropDuplicates(["o_category", "o_title"])
-    pairs = own.join(other, F.col("category") == F.col("o_category")).filter(F.lower("title") != F.lower("o_title"))
-    similarity = text.jaccard(F.col("tokens"), F.col("o_tokens"))
-    taxonomy = text.taxonomy_score(F.col("category_path"), F.col("leaf_category"), F.col("category"), F.col("o_category_path"), F.col("o_leaf_category"), F.col("o_category"))
-    pairs = pairs.withColumn("similarity", similarity).filter(F.col("similarity") < cutoff)
-    pairs = pairs.withColumn("rank_score", F.round(taxonomy + 2.0 * F.least("similarity", F.lit(0.45)), 6))
-    best = F.row_number().over(Window.partitionBy("parent_asin").orderBy(F.desc("rank_score"), "o_title"))
-    return pairs.withColumn("rank", best).filter(F.col("rank") <= k).select("parent_asin", "rank", F.col("o_title").alias("distractor"), "rank_score")
+    path = lambda c, leaf: F.concat_ws("\u001f", F.transform(c, F.lower), F.lower(leaf))
+    place = [F.col("category"), F.col("category_path"), F.col("leaf_category")]
+    own = products.select("title", *place, path(F.col("category_path"), F.col("leaf_category")).alias("path")).dropDuplicates(["title", "category", "path"])
+    own = own.withColumn("tokens", text.tokens(F.col("title"), text.BUILD_STOP))
+    other = pool.dropDuplicates(["category", "title"]).select(*[F.col(c).alias(f"o_{c}") for c in ("title", "category", "category_path", "leaf_category")], text.tokens(F.col("title"), text.BUILD_STOP).alias("o_tokens"))
+    other = other.withColumn("o_path", path(F.col("o_category_path"), F.col("o_leaf_category")))
+    same = F.col("category") == F.col("o_category")
+    key = ["title", "category", "path"]
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        similarity = text.jaccard(F.col("tokens"), F.col("o_tokens"))
+        taxonomy = text.taxonomy_score(F.col("category_path"), F.col("leaf_category"), F.col("category"), F.col("o_category_path"), F.col("o_leaf_category"), F.col("o_category"))
+        pairs = pairs.filter(F.lower("title") != F.lower("o_title")).withColumn("similarity", similarity).filter(F.col("similarity") < cutoff)
+        pairs = pairs.withColumn("rank_score", F.round(taxonomy + 2.0 * F.least("similarity", F.lit(0.45)), 6))
+        best = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("rank_score"), "o_title"))
+        return pairs.withColumn("rank", best).filter(F.col("rank") <= k).select(*key, "rank", F.col("o_title").alias("distractor"), "rank_score")
+
+    near = ranked(own.join(other, same & (F.col("path") == F.col("o_path"))))
+    enough = near.filter(F.col("rank") == k).select(*key)
+    found = near.join(enough, key, "left_semi").unionByName(ranked(own.join(enough, key, "left_anti").join(other, same)))
+    back = products.select("parent_asin", "title", "category", path(F.col("category_path"), F.col("leaf_category")).alias("path"))
+    return back.join(found, key).select("parent_asin", "rank", "distractor", "rank_score")
 
 
 def greedy_two_key(df: DataFrame, first: str, second: str, order: str, limit: int | None = None) -> DataFrame:

@@ -26,19 +26,26 @@ def top_distractors(rounds: DataFrame, bank: DataFrame, count: int = COUNT, cuto
 
     Pairs without a common token all score 0, so only pairs that share one are formed, through an index of
     tokens; where fewer than ``count`` share one, the category's first titles fill up."""
-    own = rounds.select("id", F.coalesce(F.nullif("source_category", F.lit("")), F.lit("Other")).alias("category"), F.lower(text.collapse(F.col("title"))).alias("own_key"), text.tokens(F.col("title")).alias("own"))
+    keyed = rounds.select("id", F.coalesce(F.nullif("source_category", F.lit("")), F.lit("Other")).alias("category"), F.lower(text.collapse(F.col("title"))).alias("own_key"))
+    # rounds with the same title and category have the same distractors, which are found once
+    own = keyed.select("category", "own_key").distinct().withColumn("own", text.tokens(F.col("own_key")))
     titles = bank.select("category", "key", "title", text.tokens(F.col("title")).alias("other"))
     by_token = titles.select("category", "key", F.explode("other").alias("token"))
-    pairs = own.select("id", "category", "own_key", F.explode("own").alias("token")).join(by_token, ["category", "token"]).filter("key != own_key").select("id", "category", "key").distinct()
-    scored = pairs.join(own.select("id", "own"), "id").join(titles, ["category", "key"])
-    scored = scored.withColumn("jaccard", text.jaccard(F.col("own"), F.col("other"))).filter(F.col("jaccard") < cutoff)
-    scored = scored.select("id", "title", F.round(text.rerank_score(F.col("own"), F.col("other")), 6).alias("score"), F.round("jaccard", 6).alias("jaccard"))
+    pairs = own.select("category", "own_key", F.explode("own").alias("token")).join(by_token, ["category", "token"]).filter("key != own_key").groupBy("category", "own_key", "key").agg(F.count("*").cast("int").alias("shared"))
+    sizes = titles.select("category", "key", "title", F.size("other").alias("n_other"))
+    scored = pairs.join(own.select("category", "own_key", F.size("own").alias("n_own")), ["category", "own_key"]).join(sizes, ["category", "key"])
+    shared, a, b = F.col("shared"), F.col("n_own"), F.col("n_other")
+    jaccard = shared / (a + b - shared)
+    scored = scored.withColumn("jaccard", jaccard).filter(F.col("jaccard") < cutoff)
+    score = 14.0 * F.col("jaccard") + 4.0 * (shared / F.sqrt(a * b)) + 0.2 * F.least(shared, F.lit(4))
+    scored = scored.select("category", "own_key", "title", F.round(score, 6).alias("score"), F.round("jaccard", 6).alias("jaccard"))
     # the first titles of a category: enough to fill up whatever of them is a round's own or taken
     spare = titles.withColumn("n", F.row_number().over(Window.partitionBy("category").orderBy("title"))).filter(F.col("n") <= 4 * count + 1)
     filler = own.join(spare, "category").filter("key != own_key").filter(F.size(F.array_intersect("own", "other")) == 0)
-    filler = filler.select("id", "title", F.lit(0.0).alias("score"), F.lit(0.0).alias("jaccard"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "title"))
-    return scored.union(filler).withColumn("rank", rank).filter(F.col("rank") <= count).select("id", "rank", "title", "score", "jaccard")
+    filler = filler.select("category", "own_key", "title", F.lit(0.0).alias("score"), F.lit(0.0).alias("jaccard"))
+    rank = F.row_number().over(Window.partitionBy("category", "own_key").orderBy(F.desc("score"), "title"))
+    best = scored.union(filler).withColumn("rank", rank).filter(F.col("rank") <= count)
+    return keyed.join(best, ["category", "own_key"]).select("id", "rank", "title", "score", "jaccard")
 
 
 def fallback(rounds: DataFrame, bank: DataFrame, found: DataFrame, count: int = COUNT) -> DataFrame:
