@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 #: Rows of ids that may be broadcast to drop documents (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
 #: Text that a Python worker turns into objects at a time.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

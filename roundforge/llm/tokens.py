@@ -64,7 +64,7 @@ class WordEncoder:
     far as that changes nothing, so that there are fewer different words.
     end: an id to end each text with. max_words bounds the cache, which is emptied beyond it."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], plain: bool = False, end: int | None = None, max_words: int = 600_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], plain: bool = False, end: int | None = None, max_words: int = 400_000) -> None:
         self.encode, self.plain, self.end, self.max_words = encode, plain, end, max_words
         self._empty()
 
