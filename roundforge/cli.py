@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from roundforge.functions import hashing, text
 from roundforge.operators import assets, build, curation, quality, rerank, screening, sharding, validate
-from roundforge.session import session
+from roundforge.session import checkpointed, session
 from roundforge.sinks import writers
 from roundforge.sources import jsonl, packs
 
@@ -48,7 +48,8 @@ def build_pack(spark: SparkSession, a: argparse.Namespace) -> int:
     chosen = found.groupBy("parent_asin").agg(F.collect_list("distractor").alias("choices")).filter(F.size("choices") == 3)
     rounds = build.assemble(unique).join(chosen.withColumnRenamed("parent_asin", "p"), F.col("product.parent_asin") == F.col("p")).drop("p")
     rounds = rounds.withColumn("choices", F.concat("choices", F.array("product.title"))).withColumn("pos", F.conv(F.substring(hashing.keyed(a.seed, F.col("id")), 1, 15), 16, 10).cast("long"))
-    rounds = build.per_group_limit(rounds, "source_category", wanted, ["pos"]).orderBy("pos").limit(a.limit).checkpoint()
+    rounds = build.per_group_limit(rounds, "source_category", wanted, ["pos"]).orderBy("pos").limit(a.limit)
+    rounds = checkpointed(rounds)
     flat = _flat(rounds)
     picked = rerank.top_distractors(flat, rerank.candidate_bank(flat))
     rounds = build.shuffled_choices(_as_round(rerank.rewrite_choices(flat, picked)), a.seed)
@@ -100,7 +101,8 @@ def shard(spark: SparkSession, a: argparse.Namespace) -> int:
         print(*[e["error"] for e in errors], sep="\n")
         return 1
     own = [c for c in rounds.columns if c != "pos"]
-    placed = sharding.assign(rounds.withColumn("category", F.col("product.category")), a.size, a.seed).withColumn("json", F.to_json(F.struct(*own))).checkpoint()
+    placed = sharding.assign(rounds.withColumn("category", F.col("product.category")), a.size, a.seed).withColumn("json", F.to_json(F.struct(*own)))
+    placed = checkpointed(placed)
     signature = rounds.agg(hashing.dataset_signature(F.col("id")).alias("s")).first()["s"]
     header = {"version": 2, "format": "roundforge-shard", "seed": a.seed, "dataset_signature": signature}
     listed = writers.write_shards(placed, a.output, header).join(sharding.category_counts(placed, "shard").select(F.col("shard").alias("id"), "categories"), "id")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from roundforge.functions import hashing
 from roundforge.functions.text import safe_path
+from roundforge.session import checkpointed
 
 MAX_THRESHOLD = 16
 #: First bytes of image formats, and content types.
@@ -93,15 +94,16 @@ def greedy_perceptual(rows: DataFrame, threshold: int) -> DataFrame:
     at = rows.select("id", "pos")
     edges = pairs.join(at.withColumnsRenamed({"id": "a", "pos": "pa"}), "a").join(at.withColumnsRenamed({"id": "b", "pos": "pb"}), "b")
     earlier = F.when(F.col("pa") < F.col("pb"), F.col("a")).otherwise(F.col("b"))
-    edges = edges.select(earlier.alias("first"), F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("then")).checkpoint()
-    state = edges.select(F.col("then").alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")).checkpoint()
+    edges = edges.select(earlier.alias("first"), F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("then"))
+    edges = checkpointed(edges)
+    state = checkpointed(edges.select(F.col("then").alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
     while not state.filter("kept is null").isEmpty():
         # rows that aren't in state have no earlier neighbour
         seen = edges.join(state.withColumnsRenamed({"id": "first", "kept": "first_kept"}).withColumn("known", F.lit(True)), "first", "left")
         kept = F.when(F.col("known").isNull(), True).otherwise(F.col("first_kept"))
         verdict = seen.withColumn("k", kept).groupBy(F.col("then").alias("id")).agg(F.bool_or("k").alias("any_kept"), F.count_if(F.col("k").isNull()).alias("open"))
         settled = F.when(F.coalesce("any_kept", F.lit(False)), False).when(F.col("open") == 0, True)
-        state = state.join(verdict, "id").select("id", F.coalesce("kept", settled).alias("kept")).checkpoint()
+        state = checkpointed(state.join(verdict, "id").select("id", F.coalesce("kept", settled).alias("kept")))
     return rows.join(state.filter("not kept").select("id"), "id", "left_anti")
 
 

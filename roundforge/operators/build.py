@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roundforge.functions import hashing, text
+from roundforge.session import checkpointed
 
 # How many rows the two samples of a category hold for a limit of rounds.
 def review_capacity(limit: int) -> int:
@@ -119,7 +120,7 @@ def greedy_two_key(df: DataFrame, first: str, second: str, order: str, limit: in
     rows = df.withColumn("__c", F.col(order).cast("long"))
     while True:  # rounds grow with a component's diameter; each is checkpointed
         low = rows.withColumn("__a", F.min("__c").over(Window.partitionBy(first))).withColumn("__b", F.min("__c").over(Window.partitionBy(second)))
-        low = low.withColumn("__n", F.least("__a", "__b")).checkpoint()
+        low = checkpointed(low.withColumn("__n", F.least("__a", "__b")))
         done = low.filter("__n != __c").isEmpty()
         rows = low.drop("__c", "__a", "__b").withColumnRenamed("__n", "__c")
         if done:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -15,3 +17,12 @@ SETTINGS = {
 
 def session(name: str = "roundforge", **settings: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=SETTINGS | settings).getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage in the folder of spark.checkpoint.dir; one of its own is set only where that is unset, as in tests."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="roundforge-")
+        context.setCheckpointDir(at)
+    return df.checkpoint(eager=True)
