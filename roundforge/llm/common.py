@@ -67,14 +67,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def by_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
+    """The left_semi or left_anti join of ``docs`` with a column of ids. The ids are broadcast while their number is at
+    most BROADCAST_IDS, which is counted first; beyond it the join shuffles."""
+    ids = checkpointed(ids.select(key).distinct())
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, key, how)
+
+
 def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose key is in ``dropped`` (one column). The ids are broadcast
-    while their number is at most BROADCAST_IDS, which is counted first; beyond it the join shuffles.
-    Rows with a null key stay."""
-    dropped = checkpointed(dropped.select(key).distinct())
-    if dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, key, "left_anti")
+    """``docs`` without the rows whose key is in ``dropped`` (one column). Rows with a null key stay."""
+    return by_ids(docs, dropped, "left_anti", key)
 
 
 def as_text(column: str = "text"):

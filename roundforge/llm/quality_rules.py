@@ -2,7 +2,7 @@
 
 Lines are normalised (trimmed, lower case, white space runs as one space, digits as 0) and hashed.
 For each host the number of distinct documents with a line is counted. Lines above the host's limit
-are removed; a document that keeps too few words of its own is depleted and rejected.
+are cut from the texts; a document that keeps too few words of its own is depleted and rejected.
 
 A document counts by the smallest digest among its word windows, so copies and near copies of one
 document are one document: a text isn't boilerplate because it was copied.
@@ -15,14 +15,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundforge.llm.common import as_text, map_texts, without, written
+from roundforge.llm.common import as_text, by_ids, checkpointed, map_texts, slices, without, written
 
 WINDOW = 5
+ROW, CUT = "__row", "__cut"
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -50,6 +53,15 @@ def normal_line(line: str) -> str:
     return _DIGIT.sub("0", _SPACE_RUN.sub(" ", line).strip(SPACES).lower())
 
 
+def line_hash(line: str) -> str:
+    return hashlib.md5(normal_line(line).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def cut_lines(text: str, hashes: set[str]) -> str:
+    """``text`` without its lines with these hashes; the other lines stay as they are."""
+    return "\n".join(line for line in text.split("\n") if line_hash(line) not in hashes)
+
+
 def text_stats(text: str) -> tuple[int, int, int, int, int, str, list[dict]]:
     words = text.encode("utf-8", "surrogatepass").split()  # bytes split at the six ASCII spaces only
     grams = [b" ".join(g) for g in zip(*(words[i:] for i in range(WINDOW)))]
@@ -72,7 +84,7 @@ def text_stats(text: str) -> tuple[int, int, int, int, int, str, list[dict]]:
         if line in seen:
             dup_lines += 1
         seen.add(line)
-        h = hashlib.md5(normal_line(line).encode("utf-8", "surrogatepass")).hexdigest()
+        h = line_hash(line)
         lines[h] = lines.get(h, 0) + n
     identity = min((hashlib.md5(g).hexdigest() for g in distinct or {b" ".join(words)}), default="")
     chars = len(text) - sum(map(text.count, SPACES))
@@ -83,27 +95,49 @@ def _stats(texts: list[str]) -> dict[str, list]:
     return dict(zip(STAT_NAMES, zip(*map(text_stats, texts), strict=True), strict=True)) if texts else {n: [] for n in STAT_NAMES}
 
 
-def judge(docs: DataFrame, limits: QualityLimits = QualityLimits(), host: str = "source") -> DataFrame:
-    """One row per row of ``docs``: its statistics, words in removed lines, base_failed, depleted and kept."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), as_text().alias("_text"))
+def _judged(docs: DataFrame, limits: QualityLimits, host: str, row_id) -> DataFrame:
+    """judge() with the row's id and the hashes of its removed lines."""
+    rows = docs.select(row_id.alias(ROW), "doc_id", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), as_text().alias("_text"))
     stats = written(map_texts(rows, _stats, STATS), "quality")
-    lines = stats.select("row_id", "host", "identity", F.explode("lines").alias("line")).select("row_id", "host", "identity", "line.hash", "line.words")
+    lines = stats.select(ROW, "host", "identity", F.explode("lines").alias("line")).select(ROW, "host", "identity", "line.hash", "line.words")
     frequent = lines.groupBy("host", "hash").agg(F.countDistinct("identity").alias("n_docs")).filter(F.col("n_docs") > limits.min_line_docs)
     hosts = stats.groupBy("host").agg(F.countDistinct("identity").alias("host_docs"))
     frequent = frequent.join(hosts, "host").filter(F.col("n_docs") > F.col("host_docs") * limits.line_share).select("host", "hash")
-    removed = lines.join(frequent, ["host", "hash"]).groupBy("row_id").agg(F.sum("words").alias("removed_words"))
+    removed = lines.join(frequent, ["host", "hash"]).groupBy(ROW).agg(F.sum("words").alias("removed_words"), F.collect_list("hash").alias(CUT))
     left = F.col("n_words") - F.col("removed_words")
     return (
         stats.drop("lines", "identity")
-        .join(removed, "row_id", "left")
+        .join(removed, ROW, "left")
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
         .withColumn("base_failed", (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_pct * F.col("n_words")))
         .withColumn("depleted", (left < limits.min_words) | (left < limits.min_left * F.col("n_words")))
         .withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
-        .drop("row_id")
     )
 
 
-def quality_filter(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
-    """``docs`` without the rejected documents, whole rows as they came."""
-    return without(docs, judge(docs, limits).filter(~F.col("kept")))
+def judge(docs: DataFrame, limits: QualityLimits = QualityLimits(), host: str = "source") -> DataFrame:
+    """One row per row of ``docs``: its statistics, words in removed lines, base_failed, depleted and kept."""
+    return _judged(docs, limits, host, F.monotonically_increasing_id()).drop(ROW, CUT)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in (x for batch in batches for x in slices(batch, "text")):
+        at = b.schema.get_field_index("text")
+        texts = [cut_lines(t, set(h)) for t, h in zip(b.column("text").to_pylist(), b.column(CUT).to_pylist(), strict=True)]
+        b = b.set_column(at, b.schema.field(at), pa.array(texts, type=b.schema.field(at).type))
+        yield b.drop_columns([CUT])
+
+
+def quality_filter(docs: DataFrame, limits: QualityLimits = QualityLimits(), host: str = "source") -> DataFrame:
+    """``docs`` without the rejected rows, the frequent lines of their host cut from the texts of the others and ``n_chars``, if
+    there, counted again where lines were cut. Rows are judged one by one, whatever their doc_id."""
+    rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "quality-rows")
+    judged = _judged(rows, limits, host, F.col(ROW))
+    decided = checkpointed(judged.filter(~F.col("kept") | (F.col("removed_words") > 0)).select(ROW, "kept", CUT))
+    whole = without(rows, decided, ROW)
+    cut = decided.filter("kept").select(ROW, CUT)
+    touched = by_ids(rows, cut, "left_semi", ROW).join(cut, ROW)
+    touched = touched.mapInArrow(_cut, touched.drop(CUT).schema)
+    if "n_chars" in docs.columns:
+        touched = touched.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return whole.select(*docs.columns).unionByName(touched.select(*docs.columns))

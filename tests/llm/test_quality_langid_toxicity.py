@@ -52,6 +52,19 @@ def test_frequent_lines_and_copies(spark):
     assert all(judged[200 + i]["kept"] for i in range(60)) and all(judged[300 + i]["kept"] for i in range(60))
 
 
+def test_frequent_lines_are_cut_from_the_texts(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    line = "Menu {} Home About the people and the place and more"
+    own = {i: (words(20), words(20) + " \u00fc\U0001d11e ") for i in range(40)}
+    rows = [(i, f"{a}\n  {line.format(i)} \n\n{b}\n{line.format(7).upper()}", "h", 0) for i, (a, b) in own.items()]
+    rows += [(7, words(30), "h", 5), (50, line.format(1) + "\n" + words(30), "other", 5), (60, line.format(1), "h", 5)]
+    got = quality_rules.quality_filter(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int"))
+    assert got.schema.simpleString() == "struct<doc_id:bigint,text:string,source:string,n_chars:int>"
+    want = [(i, f"{a}\n\n{b}", "h", len(f"{a}\n\n{b}")) for i, (a, b) in own.items()] + rows[40:42]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def ppm_bits(counts, text):
     """Code length by the definition, byte by byte."""
     data, total = b"   " + text, 0.0
