@@ -20,6 +20,8 @@ from pyspark.sql.types import StructType
 BROADCAST_IDS = 2_000_000
 #: Text that a Python worker turns into objects at a time.
 SLICE_BYTES = 1_000_000
+#: The column of row numbers.
+ROW = "__row"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +83,11 @@ def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFra
     return by_ids(docs, dropped, "left_anti", key)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` as a table with a number of its own for each row (ROW), as doc_id may repeat or be null."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def as_text(column: str = "text"):
     """The text as a string; null is the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -25,10 +25,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundforge.llm.common import as_text, checkpointed, held, map_texts, without
+from roundforge.llm.common import as_text, held, map_texts, slices
 
 ORDER = 3
 SCORE_BYTES = 64  # the score is the posterior over so many average bytes
@@ -154,28 +155,33 @@ def fit(docs: DataFrame, sample_docs: int = 600) -> Model:
     return Model(uuid.uuid4().hex, langs, counts)
 
 
+def scored(m: Model, raw: list[str]) -> dict[str, np.ndarray]:
+    texts = [normal_bytes(t) for t in raw]
+    size = np.array([len(t) for t in texts], float)
+    pred, top, rate = np.full(len(raw), "und", object), np.zeros(len(raw)), np.zeros(len(raw))
+    at = np.flatnonzero(size > 0)
+    if m.langs and len(at):
+        bits = tables(m).bits([texts[i] for i in at]) / size[at, None]
+        pred[at] = np.array(m.langs, object)[bits.argmin(1)]
+        rate[at] = bits.min(1)
+        top[at] = 1 / np.exp2(-SCORE_BYTES * (bits - rate[at, None])).sum(1)
+    return {"lang_pred": pred, "score": top, "bits_per_byte": rate}
+
+
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (doc_id) with lang_pred, score and bits_per_byte; only the text is an input."""
     keep = keep or ["doc_id"]
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    return map_texts(docs.select(*keep, as_text().alias("_text")), lambda raw: scored(sent.value, raw), "lang_pred string, score double, bits_per_byte double")
 
-    def score(raw: list[str]) -> dict[str, np.ndarray]:
-        m = sent.value
-        texts = [normal_bytes(t) for t in raw]
-        size = np.array([len(t) for t in texts], float)
-        pred, top, rate = np.full(len(raw), "und", object), np.zeros(len(raw)), np.zeros(len(raw))
-        at = np.flatnonzero(size > 0)
-        if m.langs and len(at):
-            bits = tables(m).bits([texts[i] for i in at]) / size[at, None]
-            pred[at] = np.array(m.langs, object)[bits.argmin(1)]
-            rate[at] = bits.min(1)
-            top[at] = 1 / np.exp2(-SCORE_BYTES * (bits - rate[at, None])).sum(1)
-        return {"lang_pred": pred, "score": top, "bits_per_byte": rate}
 
-    return map_texts(docs.select(*keep, as_text().alias("_text")), score, "lang_pred string, score double, bits_per_byte double")
+def language_filter(docs: DataFrame, model: Model, max_bits_per_byte: float = 7.0) -> DataFrame:
+    """``docs`` without texts that have no letter or that no tree can code in max_bits_per_byte, decided row by row."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for batch in batches for x in slices(batch, "text")):
+            found = scored(sent.value, [t or "" for t in b.column("text").to_pylist()])
+            yield b.filter(pa.array((found["lang_pred"] != "und") & (found["bits_per_byte"] <= max_bits_per_byte)))
 
-def language_filter(docs: DataFrame, model: Model, max_bits_per_byte: float = 7.0) -> DataFrame:
-    """``docs`` without texts that have no letter or that no tree can code in max_bits_per_byte."""
-    found = predict(docs, model)
-    return without(docs, checkpointed(found.filter((F.col("lang_pred") == "und") | (F.col("bits_per_byte") > max_bits_per_byte)).select("doc_id")))
+    return docs.mapInArrow(run, docs.schema)

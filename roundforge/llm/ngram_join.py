@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundforge.llm.common import BROADCAST_IDS, as_text, checkpointed, map_texts, trim, without, written
+from roundforge.llm.common import BROADCAST_IDS, ROW, as_text, checkpointed, map_texts, numbered, trim, without, written
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -278,5 +278,9 @@ def join(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
-    """``docs`` with one document of each class, the one with the least doc_id."""
-    return without(docs, join(docs, config).filter(F.col("doc_id") != F.col("class_id")))
+    """``docs`` with one row of each class, one with the least doc_id; null comes last. Rows with the same doc_id, or none, are rows of their own."""
+    rows = numbered(docs, "dedupe-rows")
+    classes = join(rows.select(F.col(ROW).alias("doc_id"), "text"), config).filter("n_links > 0").select(F.col("doc_id").alias(ROW), "class_id")
+    linked = checkpointed(rows.select(ROW, F.col("doc_id").alias("id")).join(classes, ROW))
+    first = linked.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", ROW)).alias("first")).select(f"first.{ROW}")
+    return without(rows, linked.join(first, ROW, "left_anti"), ROW).select(*docs.columns)

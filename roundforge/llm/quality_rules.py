@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundforge.llm.common import as_text, by_ids, checkpointed, map_texts, slices, without, written
+from roundforge.llm.common import ROW, as_text, by_ids, checkpointed, map_texts, numbered, slices, without, written
 
 WINDOW = 5
-ROW, CUT = "__row", "__cut"
+CUT = "__cut"
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -131,7 +131,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def quality_filter(docs: DataFrame, limits: QualityLimits = QualityLimits(), host: str = "source") -> DataFrame:
     """``docs`` without the rejected rows, the frequent lines of their host cut from the texts of the others and ``n_chars``, if
     there, counted again where lines were cut. Rows are judged one by one, whatever their doc_id."""
-    rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "quality-rows")
+    rows = numbered(docs, "quality-rows")
     judged = _judged(rows, limits, host, F.col(ROW))
     decided = checkpointed(judged.filter(~F.col("kept") | (F.col("removed_words") > 0)).select(ROW, "kept", CUT))
     whole = without(rows, decided, ROW)
