@@ -59,6 +59,23 @@ def test_greedy_two_key_equals_a_loop(spark, small):
     assert got == kept and len(kept) > 100
 
 
+def test_greedy_two_key_over_all_reviews_equals_a_loop(spark, small):
+    from pyspark.sql import functions as F
+
+    from roundforge.plans import views
+
+    got = {r["key"] for r in catalogue.QUERIES["q_greedy_two_key_all"](spark, small).collect()}
+    r = views.reviews(spark, small).select("l_orderkey", "l_partkey", "l_suppkey").distinct()
+    keyed = r.select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey").alias("key"), F.col("l_orderkey").alias("a"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("b"))
+    seen_a, seen_b, kept = set(), set(), set()
+    for x in keyed.withColumn("pos", F.pmod(F.xxhash64("key"), F.lit(1 << 62))).orderBy("pos").collect():
+        if x["a"] not in seen_a and x["b"] not in seen_b:
+            kept.add(x["key"])
+            seen_a.add(x["a"])
+            seen_b.add(x["b"])
+    assert got == kept and len(kept) > 1000
+
+
 def test_entry(spark, small):
     import __spark_entry__ as e
 
