@@ -20,6 +20,8 @@ from pyspark.sql.types import StructType
 BROADCAST_IDS = 2_000_000
 #: Text that a Python worker turns into objects at a time.
 SLICE_BYTES = 1_000_000
+#: Limits of an Arrow batch between the JVM and Python. Spark's default of 10,000 rows is no bound for texts, and its buffers stay allocated.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 4096, "spark.sql.execution.arrow.maxBytesPerBatch": 4_000_000}
 #: The column of row numbers.
 ROW = "__row"
 
@@ -96,15 +98,23 @@ def as_text(column: str = "text"):
 _HELD: dict = {}
 
 
-def held(key, make: Callable[[], object]):
-    """The worker's one large state (a tokenizer with its cache, score tables): made on first use; another one takes its place."""
+def held(key: tuple, make: Callable[[], object]):
+    """The worker's one large state (a tokenizer with its cache, score tables): made on first use; another one takes its place.
+
+    key: what kind of state it is, and what it is made of."""
     if key not in _HELD:
-        _HELD.clear()
-        trim()
+        release(None)
         _HELD[key] = make()
     return _HELD[key]
 
 
+def release(kind: str | None) -> None:
+    """Drops the worker's large state unless it is of this kind: workers outlive the operator that made it."""
+    if _HELD and next(iter(_HELD))[0] != kind:
+        _HELD.clear()
+        trim()
+
+
 def trim() -> None:
     """Gives freed memory back to the system, as workers outlive their tasks."""
     pa.default_memory_pool().release_unused()
@@ -114,21 +124,38 @@ def trim() -> None:
         return
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of whole rows with about SLICE_BYTES of text each, to bound memory."""
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of whole rows with about ``size`` bytes of text each, to bound memory."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     lo = 0
     while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
         yield batch.slice(lo, hi - lo)
         lo = hi
     trim()
 
 
-def map_texts(df: DataFrame, make: Callable[[list[str]], Mapping[str, Sequence]], added: str, column: str = "_text") -> DataFrame:
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str, state: str | None = None) -> DataFrame:
+    """mapInArrow with batches of bounded bytes. state: the kind of large state that ``run`` uses; any other that the worker holds goes first.
+
+    The session's own limits stay where they are lower."""
+    conf = df.sparkSession.conf
+    for key, most in BATCH_LIMITS.items():
+        now = conf.get(key, str(most + 1)).rstrip("bB")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(key, str(most))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(state)
+        yield from run(batches)
+
+    return df.mapInArrow(task, schema)
+
+
+def map_texts(df: DataFrame, make: Callable[[list[str]], Mapping[str, Sequence]], added: str, column: str = "_text", state: str | None = None) -> DataFrame:
     """``df`` without its text column, with the columns ``added`` (DDL) that ``make`` returns for a batch of texts.
 
-    The other columns pass through as Arrow arrays, so null integers stay exact."""
+    The other columns pass through as Arrow arrays, so null integers stay exact. state: as in in_arrow()."""
     fields = StructType.fromDDL(added)
     names = [f.name for f in fields]
     kept = [f for f in df.schema if f.name != column and f.name not in names]
@@ -140,4 +167,4 @@ def map_texts(df: DataFrame, make: Callable[[list[str]], Mapping[str, Sequence]]
             arrays = [b.column(f.name) for f in kept] + [pa.array(made[n], type=types.field(n).type) for n in names]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + names)
 
-    return df.mapInArrow(run, StructType(kept + list(fields)))
+    return in_arrow(df, run, StructType(kept + list(fields)), state)

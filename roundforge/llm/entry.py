@@ -52,7 +52,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), packing.PackConfig(tokenizer_path()))
+    """Targets: the square roots of the sources' token counts, so that a source with a third of the table doesn't fill a third of each window."""
+    return packing.pack(table(spark, sf_dir, "documents"), packing.PackConfig(tokenizer_path(), flatten=0.5))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import codecs
 import os
-import re
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from roundforge.llm.common import held
 
-#: Characters that str.split takes for white space and the tokenizers' \s does not.
-_NOT_SPACE = "\x1c\x1d\x1e\x1f"
+#: Texts that are encoded whole: characters that the split takes for white space and the tokenizers' \s does not, letters beyond
+#: Latin-1, where lowering depends on what is around, and special tokens, which are looked for before letters are lowered.
+_WHOLE = "[\x1c-\x1f]|[^\x00-\u00ff]|<\\|"
 #: A full stop or comma that belongs to a run of signs.
-_SIGNS = re.compile(r"(?:[^\w\s]|_)[.,]")
+_SIGNS = r"[^\pL\pN\s][.,]"
 
 
 class _Codes(dict):
@@ -42,7 +46,7 @@ class _Pool:
             self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, self.ids])
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in lists for i in x), np.uint32, total)
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), np.uint32, total)
         at = slice(self.codes, self.codes + len(lists))
         self.size[at] = sizes
         self.start[at] = self.used + np.cumsum(sizes) - sizes
@@ -59,66 +63,105 @@ class _Pool:
 class WordEncoder:
     """Encodes texts word by word; every word is encoded once while it stays in the cache.
 
-    encode: ids of each of a list of strings, as the tokenizer gives them. plain: the tokenizer lowers letters and takes runs
-    of letters, and runs of signs, as pieces of their own; then texts are lowered first, and full stops and commas are words, as
-    far as that changes nothing, so that there are fewer different words.
-    end: an id to end each text with. max_words bounds the cache, which is emptied beyond it."""
+    Arrow kernels lower, split and number the words of a batch; only its different words become Python objects.
+    encode: ids of each of a list of strings, as the tokenizer gives them. word: ids of a run of letters written as the model's bytes, which is
+    quicker. Texts are lowered first, and full stops and commas are words, as far as that changes nothing, so that there are fewer
+    different words. end: an id to end each text with. max_words bounds the cache; beyond it, the words seen most often stay, half as many at most."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], plain: bool = False, end: int | None = None, max_words: int = 400_000) -> None:
-        self.encode, self.plain, self.end, self.max_words = encode, plain, end, max_words
-        self._empty()
+    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], word: Callable[[str], list[int]], end: int | None = None, max_words: int = 300_000) -> None:
+        self.encode, self.word, self.end, self.max_words = encode, word, end, max_words
+        self.words, self.ids, self.seen = _Codes(), _Pool(), np.zeros(0, np.int64)
+        if end is not None:
+            self._keep({"": [end]})  # no word is empty
 
-    def _empty(self) -> None:
+    def _keep(self, known: dict[str, list[int]]) -> None:
         self.words, self.ids = _Codes(), _Pool()
-        if self.end is not None:
-            self.words[""] = 0  # no word is empty
-            self.ids.add([[self.end]])
-
-    def _split(self, text: str) -> list[str]:
-        if any(c in text for c in _NOT_SPACE):
-            return [text]
-        if self.plain and "<|" not in text:  # special tokens are looked for before letters are lowered
-            try:
-                text.encode("latin-1")  # there, a letter is lowered to one letter, whatever is around it
-            except UnicodeEncodeError:
-                return text.split()
-            text = text.lower()
-            if not _SIGNS.search(text):
-                text = text.replace(".", " .").replace(",", " ,")
-        return text.split()
+        for w in known:
+            self.words[w] = len(self.words)
+        self.ids.add(list(known.values()))
+        self.seen = np.ones(len(known), np.int64)
+
+    def _forget(self) -> None:
+        names, seen = list(self.words), self.seen
+        often = np.sort(np.argsort(-seen, kind="stable")[: self.max_words // 2])
+        often = often[(seen[often] > 1) | (often == 0)]
+        ids, size = self.ids.take(often)
+        self._keep({names[c]: x.tolist() for c, x in zip(often.tolist(), np.split(ids, np.cumsum(size)[:-1]), strict=True)})
+
+    def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts, and how many each has."""
+        whole = pc.match_substring_regex(texts, _WHOLE)
+        low = pc.utf8_lower(texts)
+        apart = pc.replace_substring(pc.replace_substring(low, ".", " ."), ",", " ,")
+        words = pc.utf8_split_whitespace(pc.if_else(pc.match_substring_regex(low, _SIGNS), low, apart))
+        count = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = words.flatten()
+        # empty strings at the ends of texts that begin or end with white space
+        real = pc.not_equal(flat, "")
+        if not pc.all(real).as_py():
+            doc = np.repeat(np.arange(len(count)), count)[real.to_numpy(zero_copy_only=False)]
+            flat, count = flat.filter(real), np.bincount(doc, minlength=len(count))
+        if pc.any(whole).as_py():
+            at = np.concatenate([[0], np.cumsum(count)])
+            whole = whole.to_numpy(zero_copy_only=False)
+            pieces = [texts.slice(i, 1) if whole[i] else flat.slice(at[i], count[i]) for i in range(len(count))]
+            flat, count = pa.concat_arrays([p.cast(pa.string()) for p in pieces]), np.where(whole, 1, count)
+        return flat, count
 
     def _learn(self) -> None:
         new, self.words.new = self.words.new, []
-        for i in range(0, len(new), 20_000):
-            self.ids.add(list(self.encode(new[i : i + 20_000])))
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not new:
+            return
+        names = pa.array(new, pa.string())
+        letters = pc.and_(pc.and_(pc.utf8_is_alpha(names), pc.utf8_is_lower(names)), pc.invert(pc.match_substring_regex(names, _WHOLE))).to_numpy(zero_copy_only=False)
+        # the words of letters as the model writes their bytes, all at once
+        spelled = iter(codecs.charmap_decode("\n".join(w for w, x in zip(new, letters, strict=True) if x).encode("utf-8"), "strict", _BYTES)[0].split("\n"))
+        rest = iter(self.encode([w for w, x in zip(new, letters, strict=True) if not x]))
+        self.ids.add([self.word(next(spelled)) if x else next(rest) for x in letters.tolist()])
+
+    def __call__(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has."""
         if len(self.words) > self.max_words:
-            self._empty()
-        flat: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            words = self._split(t)
-            flat += words
-            if self.end is not None:
-                flat.append("")
-            counts[i] = len(words) + (self.end is not None)
-        codes = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
+            self._forget()
+        flat, counts = self._split(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        coded = flat.dictionary_encode()
+        code = np.fromiter(map(self.words.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
         self._learn()
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        self.seen = np.concatenate([self.seen, np.zeros(len(self.words) - len(self.seen), np.int64)])
+        self.seen[code] += np.bincount(index, minlength=len(code))
+        codes = code[index]
+        if self.end is not None:
+            codes, counts = np.insert(codes, np.cumsum(counts), 0), counts + 1
         ids, size = self.ids.take(codes)
         ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(counts)]
         return ids, np.diff(ends, prepend=0)
 
 
+def _byte_table() -> str:
+    """How byte-level models write each byte: a visible Latin-1 character as it is, the others from 256 on. The new line stays, which parts words here."""
+    hidden = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+    table = {b: chr(256 + i) for i, b in enumerate(hidden)} | {10: "\n"}
+    return "".join(table.get(b, chr(b)) for b in range(256))
+
+
+_BYTES = _byte_table()
+
+
 def word_encoder(path: str, end: int | None = None) -> WordEncoder:
-    """The encoder of a tokenizers file whose normaliser lowers and whose pre-tokenizer drops white space; one for each process."""
+    """The encoder of a byte-level tokenizers file whose normaliser lowers and whose pre-tokenizer drops white space and takes
+    runs of letters, and runs of signs, as pieces of their own; one for each process."""
 
     def make() -> WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        return WordEncoder(lambda words: (e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)), plain=True, end=end)
+        model = t.model
+
+        def word(w: str) -> list[int]:
+            return [x.id for x in model.tokenize(w)]
+
+        return WordEncoder(lambda words: (e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)), word, end)
 
     return held(("words", path, end), make)

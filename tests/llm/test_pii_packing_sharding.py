@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -163,6 +165,62 @@ def test_credits(queues, weights):
     assert places == list(range(sum(queues)))
 
 
+def round_robin(queues, weights, window):
+    """Which source is served at each place, window by window, with exact fractions."""
+    out, served, credit, left = [], [0] * len(queues), [Fraction(0)] * len(queues), window
+    while sum(served) < sum(queues):
+        # the next moment at which a window ends or a queue runs dry
+        live = [i for i, q in enumerate(queues) if credit[i] < q]
+        total = sum(weights[i] for i in live)
+        step = min([Fraction(left)] + [Fraction((queues[i] - credit[i]) * total, weights[i]) for i in live])
+        step = Fraction(left) if not live else min(Fraction(left), Fraction(math.ceil(step)))
+        for i in live:
+            credit[i] = min(Fraction(queues[i]), credit[i] + step * weights[i] / total)
+        left -= step
+        if any(credit[i] >= queues[i] for i in live):  # the shares change, whole tokens are carried on
+            credit = [Fraction(math.floor(c)) for c in credit]
+        if not left or all(c >= q for c, q in zip(credit, queues, strict=True)):
+            for i, c in enumerate(credit):
+                out += [i] * (math.floor(c) - served[i])
+                served[i] = math.floor(c)
+            left = window
+    return out
+
+
+@pytest.mark.parametrize(("queues", "weights"), [([40, 20, 30], [1, 1, 1]), ([100, 7, 3], [2, 3, 5]), ([64, 64], [3, 1]), ([500, 20, 20, 20], [22, 4, 4, 4])])
+def test_pieces_equal_a_plain_round_robin(queues, weights):
+    c = packing.Credits(queues, weights, 16)
+    got = {}
+    for s, q in enumerate(queues):
+        for start, n, place in packing.cuts(c, s, 0, q, 8):
+            got |= {place + k: (s, start + k) for k in range(n)}
+    seen, want = [0] * len(queues), {}
+    for place, s in enumerate(round_robin(queues, weights, 16)):
+        want[place] = (s, seen[s])
+        seen[s] += 1
+    assert got == want
+    # until a queue runs dry, no source is a token off its target
+    assert all(c.deviation(w) < 1 for w in range(c.phases[1][0] // 16 if len(c.phases) > 1 else c.windows))
+
+
+def test_windows_follow_the_targets(spark, small):
+    config = packing.PackConfig(entry.tokenizer_path(), window_sequences=1, flatten=0.5)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = packing.pack(docs, config).collect()
+    total = {}
+    for r in rows:
+        total[r["source"]] = total.get(r["source"], 0) + r["length"]
+    share = {s: n**0.5 / sum(m**0.5 for m in total.values()) for s, n in total.items()}
+    mix = {}
+    for r in rows:
+        at = mix.setdefault(r["window"], {"off": r["deviation"]})
+        at[r["source"]] = at.get(r["source"], 0) + r["length"]
+    for at in mix.values():
+        off = at.pop("off")
+        assert off == pytest.approx(max(abs(at.get(s, 0) - 2048 * x) for s, x in share.items()), abs=0.01)
+    assert sum(max(abs(at.get(s, 0) - 2048 * x) for s, x in share.items()) < 1 for at in mix.values()) > 3
+
+
 # --- sharding ----------------------------------------------------------------------------------
 
 
