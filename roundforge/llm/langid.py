@@ -9,16 +9,19 @@ exactly over the whole text, and the shortest one names the language.
 Since the statistics are frozen, a byte's cost depends on the four last bytes alone. The costs are
 laid out in tables, and whole batches are scored by look-up.
 
-Texts are lower case, with runs of anything but letters, and words with digits, as one space. The trees are fitted on a
-bounded sample: about ``sample_docs`` whole documents of each language, chosen by a hash of doc_id.
+Texts are lower case, with runs of anything but letters and their marks as one space; digits and signs go, the letters beside them
+stay. The trees are fitted on a bounded sample: about ``sample_docs`` whole documents of each language, chosen by a hash of
+doc_id and text.
 
 Defined cases: a null text or one without a letter is 'und' with score 0; with nothing to learn from,
-all are 'und'; rows with a null lang are predicted but not learned from; ties go to the first language by name.
+all are 'und'; rows with a null lang or text are not learned from; ties go to the first language by name; repeated rows, and rows
+with a null or repeated doc_id, are predicted one by one; texts of any length are scored whole, in time linear in their
+length, a slice of the batch at a time; an empty table gives an empty table; extra columns are ignored, and those named like a
+result are replaced, while language_filter() returns all columns as they came.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,20 +29,31 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundforge.llm.common import as_text, held, map_texts, slices
+from roundforge.llm.common import as_text, held, in_arrow, map_texts, slices
 
 ORDER = 3
 SCORE_BYTES = 64  # the score is the posterior over so many average bytes
 CHUNK = 1 << 19
 DENSE = 1 << 25  # entries of a direct index of four-byte strings; beyond it, binary search
-_OTHER = re.compile(r"(?:\S*\d\S*|[\W_])+")
+#: Letters, and letters with their marks.
+_LETTER, _OTHER = r"\pL", r"[^\pL\pM]+"
+
+
+def normalised(texts: list[str]) -> list[bytes]:
+    """The letters of each text in lower case, with one space between runs of them."""
+    # a lone surrogate is no letter
+    raw = pa.array([t.encode("utf-8", "replace") for t in texts], pa.binary()).cast(pa.large_string())
+    low = pc.utf8_lower(raw)
+    words = pc.ascii_trim(pc.replace_substring_regex(low, _OTHER, " "), " ")
+    return pc.if_else(pc.match_substring_regex(low, _LETTER), words, "").cast(pa.large_binary()).to_pylist()
 
 
 def normal_bytes(text: str) -> bytes:
-    return _OTHER.sub(" ", text.lower()).strip().encode("utf-8", "replace")
+    return normalised([text])[0]
 
 
 @dataclass
@@ -126,7 +140,7 @@ def tables(model: Model) -> Tables:
 def _gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for lang, part in b.groupby("lang"):
-            texts = [normal_bytes(t) for t in part["text"]]
+            texts = normalised(part["text"].tolist())
             flat = np.frombuffer(b"".join(b"   " + t for t in texts), np.uint8).astype(np.int64)
             sizes = np.array([len(t) for t in texts], np.int64)
             doc = np.repeat(np.arange(len(texts)), sizes)
@@ -145,7 +159,7 @@ def fit(docs: DataFrame, sample_docs: int = 600) -> Model:
     if not langs:
         return Model("none", [], [])
     share = F.create_map(*[F.lit(x) for k, n in per_lang.items() for x in (k, min(1.0, sample_docs / n))])
-    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_000)) / 1_000_000
+    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1_000_000)) / 1_000_000
     sample = labelled.filter(draw < share[F.col("lang")]).select("lang", "text")
     counted = sample.mapInPandas(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     counts = []
@@ -156,7 +170,7 @@ def fit(docs: DataFrame, sample_docs: int = 600) -> Model:
 
 
 def scored(m: Model, raw: list[str]) -> dict[str, np.ndarray]:
-    texts = [normal_bytes(t) for t in raw]
+    texts = normalised(raw)
     size = np.array([len(t) for t in texts], float)
     pred, top, rate = np.full(len(raw), "und", object), np.zeros(len(raw)), np.zeros(len(raw))
     at = np.flatnonzero(size > 0)
@@ -172,7 +186,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     """The columns ``keep`` of ``docs`` (doc_id) with lang_pred, score and bits_per_byte; only the text is an input."""
     keep = keep or ["doc_id"]
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return map_texts(docs.select(*keep, as_text().alias("_text")), lambda raw: scored(sent.value, raw), "lang_pred string, score double, bits_per_byte double")
+    return map_texts(docs.select(*keep, as_text().alias("_text")), lambda raw: scored(sent.value, raw), "lang_pred string, score double, bits_per_byte double", state="langid")
 
 
 def language_filter(docs: DataFrame, model: Model, max_bits_per_byte: float = 7.0) -> DataFrame:
@@ -184,4 +198,4 @@ def language_filter(docs: DataFrame, model: Model, max_bits_per_byte: float = 7.
             found = scored(sent.value, [t or "" for t in b.column("text").to_pylist()])
             yield b.filter(pa.array((found["lang_pred"] != "und") & (found["bits_per_byte"] <= max_bits_per_byte)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema, "langid")

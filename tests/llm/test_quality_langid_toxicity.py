@@ -112,6 +112,25 @@ def test_language_on_odd_rows(odd, none, small, spark):
     assert langid.language_filter(odd, model).columns == odd.columns
 
 
+def test_letters_beside_digits_count():
+    assert langid.normal_bytes("h3llo w0rld_x") == b"h llo w rld x" and langid.normal_bytes("  12 34 -- ² \u0301 ") == b""
+    assert langid.normal_bytes("2024年9月東京で会議がありました") == "年 月東京で会議がありました".encode()
+    assert langid.normal_bytes("हिन्दी") == "हिन्दी".encode()  # vowel signs stay with their letters
+
+
+def test_long_texts_are_linear(spark, small):
+    import time
+
+    texts = ["a" * 1_000_000, "東" * 300_000 + "1", "ab1 " * 250_000]
+    began = time.time()
+    assert [len(b) > 500_000 for b in langid.normalised(texts)] == [True] * 3
+    assert time.time() - began < 2
+    rows = [(1, texts[0], 9.0), (1, "h3llo w0rld abc1", 9.0), (None, texts[2], 9.0), (None, "h3llo", 9.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    got = langid.predict(docs, langid.fit(spark.read.parquet(f"{small}/documents.parquet"))).collect()
+    assert len(got) == 4 and all(r["lang_pred"] != "und" and 0 < r["score"] <= 1 for r in got)
+
+
 def test_language_held_out(spark, small):
     got = entry.op5_language_id(spark, small).join(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
     out = got[got.held_out]
