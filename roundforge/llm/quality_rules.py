@@ -4,11 +4,13 @@ Lines are normalised (trimmed, lower case, white space runs as one space, digits
 For each host the number of distinct documents with a line is counted. Lines above the host's limit
 are cut from the texts; a document that keeps too few words of its own is depleted and rejected.
 
-A document counts by the smallest digest among its word windows, so copies and near copies of one
-document are one document: a text isn't boilerplate because it was copied.
+Exact copies, that is, texts with the same normalised lines, count as one document: a line isn't boilerplate because
+one text was copied. Near copies are documents of their own. A line in every document of a host is counted in two steps, by line
+and document first, so no task gets all its rows.
 
-Defined cases: a null text has no words; a null host is the host ''; repeated rows are judged row by
-row; columns that clash with a result column are ignored on input; an empty table gives an empty table.
+Defined cases: a null text has no words; a null host is the host ''; rows that repeat, or have the same or no doc_id, are judged row by
+row; texts of any length are read whole; a line with just as many documents as the limit stays, and so does a document with just as
+many words as it needs; columns that clash with a result column are ignored on input; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundforge.llm.common import ROW, as_text, by_ids, checkpointed, map_texts, numbered, slices, without, written
+from roundforge.llm.common import ROW, as_text, by_ids, checkpointed, in_arrow, map_texts, numbered, slices, without, written
 
 WINDOW = 5
 CUT = "__cut"
@@ -53,8 +55,12 @@ def normal_line(line: str) -> str:
     return _DIGIT.sub("0", _SPACE_RUN.sub(" ", line).strip(SPACES).lower())
 
 
+def _md5(text: str) -> str:
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def line_hash(line: str) -> str:
-    return hashlib.md5(normal_line(line).encode("utf-8", "surrogatepass")).hexdigest()
+    return _md5(normal_line(line))
 
 
 def cut_lines(text: str, hashes: set[str]) -> str:
@@ -76,7 +82,7 @@ def text_stats(text: str) -> tuple[int, int, int, int, int, str, list[dict]]:
                 repeated += i + WINDOW - max(i, end)
                 end = i + WINDOW
     seen: set[str] = set()
-    dup_lines, lines = 0, {}
+    dup_lines, normal, lines = 0, [], {}
     for line in text.split("\n"):
         n = len(line.encode("utf-8", "surrogatepass").split())
         if not n:
@@ -84,11 +90,10 @@ def text_stats(text: str) -> tuple[int, int, int, int, int, str, list[dict]]:
         if line in seen:
             dup_lines += 1
         seen.add(line)
-        h = line_hash(line)
-        lines[h] = lines.get(h, 0) + n
-    identity = min((hashlib.md5(g).hexdigest() for g in distinct or {b" ".join(words)}), default="")
+        normal.append(normal_line(line))
+        lines[normal[-1]] = lines.get(normal[-1], 0) + n
     chars = len(text) - sum(map(text.count, SPACES))
-    return len(words), chars, sum(map(text.count, SYMBOLS)), dup_lines, repeated, identity, [{"hash": h, "words": n} for h, n in lines.items()]
+    return len(words), chars, sum(map(text.count, SYMBOLS)), dup_lines, repeated, _md5("\n".join(normal)), [{"hash": _md5(x), "words": n} for x, n in lines.items()]
 
 
 def _stats(texts: list[str]) -> dict[str, list]:
@@ -137,7 +142,7 @@ def quality_filter(docs: DataFrame, limits: QualityLimits = QualityLimits(), hos
     whole = without(rows, decided, ROW)
     cut = decided.filter("kept").select(ROW, CUT)
     touched = by_ids(rows, cut, "left_semi", ROW).join(cut, ROW)
-    touched = touched.mapInArrow(_cut, touched.drop(CUT).schema)
+    touched = in_arrow(touched, _cut, touched.drop(CUT).schema)
     if "n_chars" in docs.columns:
         touched = touched.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return whole.select(*docs.columns).unionByName(touched.select(*docs.columns))

@@ -52,6 +52,30 @@ def test_frequent_lines_and_copies(spark):
     assert all(judged[200 + i]["kept"] for i in range(60)) and all(judged[300 + i]["kept"] for i in range(60))
 
 
+@pytest.mark.parametrize("bare", [11, 50])
+def test_documents_of_boilerplate_alone_go(spark, bare):
+    """Half of a host's documents are one shared line and three words of their own; the line in all of them is counted once for each."""
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    line = words(60)
+    rows = [(i, f"{line}\n{words(3)}", "h") for i in range(bare)] + [(100 + i, words(60), "h") for i in range(50)]
+    rows += [(200 + i, words(20) + "\n" + line, "h") for i in range(5)] + [(300 + i, f"{line}\n{words(3)}", "other") for i in range(10)]
+    judged = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(judged[i]["kept"] for i in range(bare)) and all(judged[i]["removed_words"] == 60 for i in range(bare))
+    assert all(judged[100 + i]["kept"] for i in range(50)) and all(judged[200 + i]["kept"] for i in range(5))
+    assert all(judged[300 + i]["kept"] for i in range(10))  # ten documents are the limit
+
+
+def test_copies_count_once_and_null_ids_apart(spark):
+    line = "the same long line of this host with its ten words here"
+    same = [(1, f"{line}\nand a second line of 2 parts", "h")] * 15 + [(2, f"  {line.upper()} \n\nand a second  line of 7 parts", "h")] * 5
+    got = quality_rules.judge(spark.createDataFrame(same, "doc_id long, text string, source string"))
+    assert got.count() == 20 and got.filter("kept and removed_words = 0").count() == 20
+    apart = [(None, f"{line}\n{' '.join(f'{c}{k}' for k in 'abcdefghijkl')}", None) for c in "abcdefghijk"]
+    got = quality_rules.judge(spark.createDataFrame(apart, "doc_id long, text string, source string"))
+    assert got.count() == 11 and got.filter("kept and removed_words = 12").count() == 11
+
+
 def test_frequent_lines_are_cut_from_the_texts(spark):
     rng = random.Random(3)
     words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
