@@ -1,27 +1,31 @@
 """N-gram Jaccard self-join with a MinHash LSH forest and exact verification.
 
-1. Every text becomes its set of word n-grams (64-bit hashes). Texts with equal sets are one class,
-   told by a digest of the set; from here on only one document stands for a class.
-2. The forest: ``trees`` prefix tries over MinHash signatures. Matched prefixes start ``max_depth`` values long and
-   are shortened until a pair at the threshold shares one of them, in ``min_trees`` trees at least,
-   with the target recall. Documents with the same prefix in a tree are one bucket.
-3. Buckets give a sparse candidate graph: a small bucket all its pairs, which count if they meet in ``min_trees``
-   trees, a large bucket one edge from each member to its least one. So nothing grows with the
-   square of a bucket. The components of this graph hold every candidate pair.
-4. Exact verification: a component is dealt into blocks of bounded size by a hash, each pair of
-   blocks is one unit of work, and the n-gram overlaps of all its pairs are counted by matrix products.
-   A unit returns a row for each document: its verified links, and its least verified companion.
-5. Verified links make the classes; links between different texts are all counted, none is sampled.
+1. Rows get numbers of their own, as doc_id may repeat or be null. Every text becomes its set of word n-grams (64-bit hashes). Texts with
+   equal sets are one class, told by a digest of the set; from here on only the first row stands for a class.
+2. The forest: ``trees`` prefix tries over MinHash signatures of ``max_depth`` one-byte values. A trie is its signatures in sorted
+   order: all tries are one table, dealt out by range and sorted, where rows with a long common prefix are neighbours.
+3. Matched prefixes start max_depth values long and are shortened until the target recall. The recall is measured: ``sample_docs``
+   documents of 20 to 5000 words, drawn by hash, are edited until they are just at the threshold, the hardest links there are; the share of trees in
+   which such pairs have a common prefix gives the probability that a pair has it in fewer than ``min_trees``.
+4. Walking the sorted tries, the rows below one prefix are a node. A small node gives all its pairs, which count if they meet in
+   ``min_trees`` trees; a large node, or one that a partition's end cuts, gives an edge from each row to its first. So nothing
+   grows with the square of a node, and no node must lie in one task. The components of this graph hold every candidate pair.
+5. Exact verification: a component is dealt into blocks of bounded size by a hash, each pair of
+   blocks is one unit of work, and the n-gram overlaps of all its pairs are counted by matrix products. The units of a component go
+   to partitions in turn. A unit returns a row for each document: its verified links, and its least verified companion.
+6. Verified links make the classes; links between different texts are all counted, none is sampled.
 
 Words are what white space separates, as written. Texts of fewer words than n have one n-gram, the
 whole text. Defined cases: null is the empty text; all texts without a word are copies of each other;
-repeated rows count as copies; rows with a null doc_id join only copies of their text; an empty table
+repeated rows, and rows with the same or no doc_id, are rows of their own and may be copies or near copies of each other; the class
+id is null if no row of the class has a doc_id; texts of any length are hashed whole; an empty table
 gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,38 +35,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundforge.llm.common import BROADCAST_IDS, ROW, as_text, checkpointed, map_texts, numbered, trim, without, written
+from roundforge.llm.common import BROADCAST_IDS, ROW, as_text, checkpointed, in_arrow, map_texts, numbered, trim, without, written
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _CHUNK = 1 << 16
+#: Words of the longest document on which recall is measured.
+SAMPLE_WORDS = 5000
 _CELLS = 1 << 22  # of a dense piece of the document by n-gram matrix
 
 
 @dataclass(frozen=True)
 class JoinConfig:
-    """block_grams, block_docs: n-grams and documents of a block in verification. small_bucket: members of a
-    bucket up to which all its pairs are candidates; larger ones are linked through their least member."""
+    """block_grams, block_docs: n-grams and documents of a block in verification. small_bucket: rows of a
+    node up to which all its pairs are candidates; larger ones are linked through their first row. sample_docs: documents on
+    which the recall of a prefix is measured."""
 
     words: int = 5
     threshold: float = 0.8
     trees: int = 64
-    max_depth: int = 12
+    max_depth: int = 8
     min_trees: int = 2
     target_recall: float = 0.999999
     small_bucket: int = 24
     block_grams: int = 300_000
-    block_docs: int = 300
+    block_docs: int = 128
+    sample_docs: int = 128
+
+    def recall(self, rate: float) -> float:
+        """The probability that a pair meets in min_trees trees, each of which it meets in at this rate."""
+        return 1 - sum(_choose(self.trees, k) * rate**k * (1 - rate) ** (self.trees - k) for k in range(self.min_trees))
+
+    def shortened(self, rates: list[float]) -> int:
+        """The longest prefix with the target recall; rates: the share of trees that have a common prefix of 1, 2, ... values."""
+        depth = self.max_depth
+        while depth > 1 and self.recall(rates[depth - 1]) < self.target_recall:
+            depth -= 1
+        return depth
 
     @property
     def depth(self) -> int:
-        """The longest prefix with the target recall."""
-        for depth in range(self.max_depth, 0, -1):
-            p = self.threshold**depth
-            missed = sum(_choose(self.trees, k) * p**k * (1 - p) ** (self.trees - k) for k in range(self.min_trees))
-            if 1 - missed >= self.target_recall:
-                return depth
-        return 1
+        """What equal chances of all n-grams would give, where there is nothing to measure."""
+        return self.shortened([self.threshold**d for d in range(1, self.max_depth + 1)])
 
 
 def _choose(n: int, k: int) -> float:
@@ -103,30 +117,85 @@ def gram_hashes(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     return _mixed(out), counts
 
 
-def prefixes(texts: list[str], config: JoinConfig) -> dict[str, list]:
-    """For each text: the digest of its set of n-grams, the set's size, and its prefix in each tree."""
-    grams, counts = gram_hashes(texts, config.words)
-    k = config.trees * config.depth
+def signatures(grams: np.ndarray, counts: np.ndarray, config: JoinConfig) -> np.ndarray:
+    """For each set of n-grams its key in each tree: max_depth MinHash values of a byte each, the first one on top."""
+    k = config.trees * config.max_depth
     rng = np.random.default_rng(17)
     flip, mul = rng.integers(0, 2**63, k, dtype=np.uint64), rng.integers(0, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     to = np.concatenate([[0], np.cumsum(counts)])
-    digest, size = [], []
-    for i in range(len(texts)):
-        own = np.unique(grams[to[i] : to[i + 1]])
-        digest.append(hashlib.md5(own.tobytes()).digest())
-        size.append(len(own))
-    least = np.empty((len(texts), k), np.uint64)
+    least = np.empty((len(counts), k), np.uint64)
     i = 0
-    while i < len(texts):
+    while i < len(counts):
         j = max(i + 1, int(np.searchsorted(to, to[i] + _CHUNK, "right")) - 1)
         part, starts = grams[to[i] : to[j]], to[i:j] - to[i]
         for c in range(k):
             least[i:j, c] = np.minimum.reduceat((part ^ flip[c]) * mul[c], starts)
         i = j
-    key = np.tile(np.arange(1, config.trees + 1, dtype=np.uint64), (len(texts), 1))
-    for d in range(config.depth):
-        key = _mixed(key * _MUL + least[:, d :: config.depth])
-    return {"digest": digest, "size": size, "prefixes": list(key.view(np.int64))}
+    byte = (_mixed(least * _MUL) >> np.uint64(56)).reshape(len(counts), config.trees, config.max_depth)
+    key = np.zeros((len(counts), config.trees), np.uint64)
+    for d in range(config.max_depth):
+        key |= byte[:, :, d] << np.uint64(56 - 8 * d)
+    return key
+
+
+def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many leading bytes two keys share."""
+    differ = a ^ b
+    return sum((differ >> np.uint64(56 - 8 * d) == 0).astype(np.int64) for d in range(8))
+
+
+def signed_texts(texts: list[str], config: JoinConfig) -> dict[str, list]:
+    """For each text: the digest of its set of n-grams, the set's size, and its key in each tree."""
+    grams, counts = gram_hashes(texts, config.words)
+    to = np.concatenate([[0], np.cumsum(counts)])
+    digest, size = [], []
+    for i in range(len(texts)):
+        own = np.unique(grams[to[i] : to[i + 1]])
+        digest.append(hashlib.md5(own.tobytes()).digest())
+        size.append(len(own))
+    return {"digest": digest, "size": size, "keys": list(signatures(grams, counts, config).view(np.int64))}
+
+
+def edited(text: str, config: JoinConfig, rng: random.Random) -> str | None:
+    """The text with words replaced, as many as leave it similar enough for a link; None if one is too many."""
+    words, n = text.split(), config.words
+    own = set(zip(*(words[i:] for i in range(n)), strict=False))
+    order = list(range(len(words)))
+    rng.shuffle(order)
+
+    def replaced(k: int) -> list[str]:
+        out = list(words)
+        for i in range(k):
+            out[order[i]] = f"\u0001{i}"
+        return out
+
+    lo, hi = 0, len(words)
+    while lo + 1 < hi:
+        mid = (lo + hi) // 2
+        now = replaced(mid)
+        grams = set(zip(*(now[i:] for i in range(n)), strict=False))
+        common = len(own & grams)
+        lo, hi = (mid, hi) if common >= config.threshold * (len(own) + len(grams) - common) else (lo, mid)
+    return " ".join(replaced(lo)) if lo else None
+
+
+def measured_depth(texts: list[str], config: JoinConfig) -> int:
+    """The length to which matched prefixes are shortened, measured on pairs of these texts and edited copies."""
+    rng = random.Random(3)
+    pairs = [(t, e) for t in texts if 4 * config.words <= len(t.split()) <= SAMPLE_WORDS and (e := edited(t, config, rng))]
+    if len(pairs) < 8:
+        return config.depth
+    keys = signatures(*gram_hashes([t for pair in pairs for t in pair], config.words), config)
+    shared = common_prefix(keys[::2], keys[1::2])
+    return config.shortened([float((shared >= d).mean()) for d in range(1, config.max_depth + 1)])
+
+
+def hooked(edges: DataFrame) -> DataFrame:
+    """Fewer edges with the same components: each node a hangs on the least of its smaller neighbours b, and so do the others of them."""
+    hung = edges.filter("a > b").groupBy("a").agg(F.min("b").alias("least"), F.collect_set("b").alias("others"))
+    hung = checkpointed(hung)
+    rest = hung.select(F.explode("others").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
+    return hung.select("a", F.col("least").alias("b")).union(rest)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -147,17 +216,79 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def candidate_edges(reps: DataFrame, config: JoinConfig) -> DataFrame:
-    """Edges (a, b), a > b, between representatives that share prefixes."""
-    rows = reps.select("doc", F.explode("prefixes").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc").alias("least")).filter("n > 1")
-    rows = checkpointed(rows.join(sizes, "bucket"))
-    small = rows.filter(F.col("n") <= config.small_bucket).groupBy("bucket").agg(F.sort_array(F.collect_list("doc")).alias("docs"))
-    pairs = small.select(F.posexplode("docs").alias("at", "b"), "docs").select("b", F.explode(F.expr("slice(docs, at + 2, size(docs))")).alias("a"))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met")).filter(F.col("met") >= config.min_trees).select("a", "b")
-    stars = rows.filter((F.col("n") > config.small_bucket) & (F.col("doc") != F.col("least"))).select(F.col("doc").alias("a"), F.col("least").alias("b"))
-    # a pair that meets in one small and in one large bucket is linked by the large one
-    return pairs.union(stars).distinct()
+PAIR, STAR, OPEN = 0, 1, 2
+
+
+def walk(tries: DataFrame, depth: int, config: JoinConfig) -> DataFrame:
+    """Rows (kind, a, b) of the nodes ``depth`` values deep. tries: tree, key, doc, each partition sorted by tree and key.
+
+    PAIR: two rows of a small node. STAR: a row of another node, and the first row of that node in this partition. OPEN: the first or
+    last node of a partition, told by a hash, and its first row there; the node may go on in another partition."""
+    shift = np.uint64(64 - 8 * depth)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # the node at the end of what was read, or its first row if it is large
+        large, first = False, True
+
+        def closed(node: np.ndarray, doc: np.ndarray, large: bool, first: bool, last: bool) -> list[tuple]:
+            """What whole nodes, one after the other, give; large and first tell of the first one, last of the last one."""
+            starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
+            size = np.diff(np.append(starts, len(node)))
+            star = size > config.small_bucket
+            out = []
+            if len(size):
+                star[0] |= large or first
+                star[-1] |= last
+                ends = np.array([k for k, x in ((0, first), (len(size) - 1, last)) if x], np.int64)
+                out.append((OPEN, node[starts[ends]].view(np.int64), doc[starts[ends]]))
+            centre, starred = np.repeat(doc[starts] if len(size) else doc, size), np.repeat(star, size)
+            own = starred & (centre != doc)
+            out.append((STAR, doc[own], centre[own]))
+            node, doc = node[~starred], doc[~starred]
+            for k in range(1, config.small_bucket):
+                same = node[k:] == node[:-k]
+                if not same.any():
+                    break
+                out.append((PAIR, np.maximum(doc[k:], doc[:-k])[same], np.minimum(doc[k:], doc[:-k])[same]))
+            return out
+
+        def rows(parts: list[tuple]) -> pa.RecordBatch:
+            kind = np.concatenate([np.full(len(a), k, np.int32) for k, a, _ in parts])
+            return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([a for _, a, _ in parts])), pa.array(np.concatenate([b for _, _, b in parts]))], names=["kind", "a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, tree = batch.column("key").to_numpy().view(np.uint64), batch.column("tree").to_numpy().astype(np.uint64)
+            node = np.concatenate([kept[0], _mixed(((key >> shift) + np.uint64(1)) * _MUL + tree * _MIX)])
+            doc = np.concatenate([kept[1], batch.column("doc").to_numpy()])
+            tail = int(np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))[-1])
+            if tail:
+                yield rows(closed(node[:tail], doc[:tail], large, first, False))
+                large = first = False
+            kept = node[tail:], doc[tail:]
+            if len(kept[0]) > config.small_bucket:  # its first row stands for those that are linked to it
+                yield rows([(STAR, kept[1][1:], np.full(len(kept[1]) - 1, kept[1][0]))])
+                kept, large = (kept[0][:1], kept[1][:1]), True
+        if len(kept[0]):
+            yield rows(closed(*kept, large, first, True))
+
+    return in_arrow(tries, run, "kind int, a long, b long")
+
+
+def candidate_edges(reps: DataFrame, depth: int, config: JoinConfig) -> DataFrame:
+    """Edges (a, b), a > b, between representatives that share prefixes of this length."""
+    rows = reps.select(F.posexplode("keys").alias("tree", "key"), "doc")
+    # a document is in every trie once, so all rows differ and any node can be cut
+    tries = rows.repartitionByRange("tree", "key", "doc").sortWithinPartitions("tree", "key", "doc")
+    found = written(walk(tries, depth, config).groupBy("kind", "a", "b").agg(F.count("*").alias("met")), "nodes")
+    linked = found.filter((F.col("kind") == STAR) | ((F.col("kind") == PAIR) & (F.col("met") >= config.min_trees)))
+    # a pair that meets in one small node and in one large one is linked by the large one
+    opened = found.filter(F.col("kind") == OPEN)
+    whole = opened.groupBy("a").agg(F.min("b").alias("least"), F.collect_set("b").alias("others"))  # a row for each partition at most
+    across = whole.select(F.explode("others").alias("b"), F.col("least").alias("a"))
+    edges = linked.select("a", "b").union(across.select("a", "b"))
+    return hooked(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -214,9 +345,6 @@ def verified(docs: np.ndarray, copies: np.ndarray, first: np.ndarray, texts: lis
             return links, least
 
 
-UNIT = "component long, i int, j int"
-
-
 def verify_units(units: DataFrame, config: JoinConfig) -> DataFrame:
     """units: component, i, j, block, doc, copies, text; sorted so that a unit's rows come together."""
 
@@ -244,43 +372,56 @@ def verify_units(units: DataFrame, config: JoinConfig) -> DataFrame:
         if unit:
             yield done(unit)
 
-    return units.mapInArrow(run, "doc long, links long, least long")
+    return in_arrow(units, run, "doc long, links long, least long")
 
 
-def join(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
-    """A row for each row of ``docs`` (doc_id, text): doc_id, class_id (the least doc_id that links of
-    similarity >= threshold connect), n_links (other documents as similar, copies included)."""
-    rows = docs.select("doc_id", as_text().alias("_text"))
-    signed = written(map_texts(rows, lambda t: prefixes(t, config), "digest binary, size int, prefixes array<long>"), "signed")
-    reps = signed.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("prefixes").alias("prefixes"))
+def _classes(rows: DataFrame, config: JoinConfig) -> tuple[DataFrame, DataFrame]:
+    """ROW, doc_id and digest of each row of ``rows`` (ROW, doc_id, text, a table); digest, root (the number of the class), least_id and n_links of each different set of n-grams."""
+    spark = rows.sparkSession
+    texts = rows.select(ROW, "doc_id", as_text().alias("_text"))
+    signed = written(map_texts(texts, lambda t: signed_texts(t, config), "digest binary, size int, keys array<long>"), "signed")
+    reps = signed.groupBy("digest").agg(F.min(ROW).alias("doc"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     reps = written(reps, "reps")
-    known = reps.filter(F.col("doc").isNotNull())
-    grouped = components(candidate_edges(known, config)).select(F.col("node").alias("doc"), F.col("root").alias("component"))
-    members = checkpointed(known.select("doc", "copies", "size").join(grouped, "doc"))
+    share = config.sample_docs / max(1, rows.count())
+    drawn = texts.filter(F.pmod(F.xxhash64(F.lit("forest"), ROW), F.lit(1_000_000)) < 1_000_000 * share).select("_text")
+    depth = measured_depth([r["_text"] for r in drawn.limit(2 * config.sample_docs).collect()], config)
+    grouped = components(candidate_edges(reps, depth, config)).select(F.col("node").alias("doc"), F.col("root").alias("component"))
+    members = checkpointed(reps.select("doc", "copies", "size").join(grouped, "doc"))
     blocks = members.groupBy("component").agg(F.ceil(F.greatest(F.sum("size") / config.block_grams, F.count("*") / config.block_docs)).cast("int").alias("blocks"))
     members = checkpointed(members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int")))
     small = members.limit(BROADCAST_IDS).count() < BROADCAST_IDS // 4  # its rows are wider than an id
-    texts = docs.select(F.col("doc_id").alias("doc"), as_text().alias("text")).join(F.broadcast(members) if small else members, "doc")
+    own = texts.select(F.col(ROW).alias("doc"), F.col("_text").alias("text")).join(F.broadcast(members) if small else members, "doc")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    units = texts.select("component", "block", "doc", "copies", "text", other)
-    units = units.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "copies", "text")
-    units = units.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    found = checkpointed(verify_units(units, config))
+    units = own.select("component", "blocks", "block", "doc", "copies", "text", other)
+    units = units.select("component", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "copies", "text")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.pmod(F.pmod(F.xxhash64("component"), F.lit(parts)) + F.col("i").cast("long") * F.col("blocks") + F.col("j"), F.lit(parts)).cast("int")
+    units = units.repartitionById(parts, place).drop("blocks").sortWithinPartitions("component", "i", "j")
+    found = written(verify_units(units, config), "verified")
     links = found.groupBy("doc").agg(F.sum("links").alias("links"))
-    classes = components(found.filter("doc != least").select(F.col("doc").alias("a"), F.col("least").alias("b")))
+    classes = components(hooked(found.select(F.col("doc").alias("a"), F.col("least").alias("b"))))
     result = (
-        reps.select("digest", "doc", "copies")
+        reps.select("digest", "doc", "copies", "least_id")
         .join(links, "doc", "left")
         .join(classes.select(F.col("node").alias("doc"), "root"), "doc", "left")
-        .select("digest", F.coalesce("root", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .select("digest", F.coalesce("root", "doc").alias("root"), "least_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    return signed.select("doc_id", "digest").join(result, "digest").select("doc_id", "class_id", "n_links")
+    return signed.select(ROW, "doc_id", "digest"), written(result, "classes")
+
+
+def join(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
+    """A row for each row of ``docs`` (doc_id, text): doc_id, class_id (the least doc_id that links of
+    similarity >= threshold connect), n_links (other rows as similar, copies included)."""
+    rows, classes = _classes(numbered(docs.select("doc_id", "text"), "join-rows"), config)
+    # a table, so that the join can split a large class
+    ids = written(classes.groupBy("root").agg(F.min("least_id").alias("class_id")), "ids")
+    return rows.join(classes.join(ids, "root"), "digest").select("doc_id", "class_id", "n_links")
 
 
 def deduplicate(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
     """``docs`` with one row of each class, one with the least doc_id; null comes last. Rows with the same doc_id, or none, are rows of their own."""
     rows = numbered(docs, "dedupe-rows")
-    classes = join(rows.select(F.col(ROW).alias("doc_id"), "text"), config).filter("n_links > 0").select(F.col("doc_id").alias(ROW), "class_id")
-    linked = checkpointed(rows.select(ROW, F.col("doc_id").alias("id")).join(classes, ROW))
-    first = linked.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", ROW)).alias("first")).select(f"first.{ROW}")
+    own, classes = _classes(rows, config)
+    linked = written(own.join(classes.filter("n_links > 0"), "digest").select(ROW, "doc_id", "root"), "linked")
+    first = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", ROW)).alias("first")).select(f"first.{ROW}")
     return without(rows, linked.join(first, ROW, "left_anti"), ROW).select(*docs.columns)
