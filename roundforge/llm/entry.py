@@ -39,10 +39,15 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def _only(kind: str):
+    return lambda x: F.when(x == kind, x)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.fit(spark))
     counts = [F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.digest(pii.base_only()), 256).alias("base_sha256"), pii.digest(pii.all_spans()).alias("spans"))
+    added = [F.size(F.array_compact(F.transform("added.kind", _only(k)))).cast("long").alias(f"n_added_{k}") for k in pii.KINDS if k != "card"]
+    return found.select("doc_id", *counts, F.sha2(pii.digest(pii.base_only()), 256).alias("base_sha256"), pii.digest(pii.all_spans()).alias("spans"), F.size("added").cast("long").alias("n_added"), *added)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

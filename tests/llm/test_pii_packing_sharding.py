@@ -3,11 +3,13 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 import zlib
 from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from roundforge.llm import entry, packing, pii, sharding, tokens
 
@@ -67,6 +69,61 @@ def test_long_runs_are_linear(spark, model):
     assert len(spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), model)) == 6
 
 
+def test_long_texts_and_long_spans(spark, model):
+    """Nothing is capped, and thousands of spans take seconds."""
+    token, phones = "".join(random.Random(1).choice("0123456789abcdefABCDEFGH") for _ in range(2000)), 20_000
+    rows = [(1, f'token = "{token}" end'), (2, "call (415) 555-0132 now. " * phones), (3, "write to ann.lee at mail dot example dot com today. " * 2000), (4, "x" * 1_000_000), (5, "+1 (415) 555-0132, " * 20_000)]
+    began = time.time()
+    got = spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), model)
+    took = time.time() - began
+    assert got[1][1] == [f"secret:9:{9 + len(token)}"] and got[4][1] == []
+    assert got[2][1] == [f"phone:{25 * i + 5}:{25 * i + 19}" for i in range(phones)]
+    assert len(got[3][1]) == 2000 and {s.split(":")[0] for s in got[3][1]} == {"email"}
+    assert got[5][0] == got[5][1] == [f"phone:{19 * i}:{19 * i + 17}" for i in range(20_000)]
+    assert took < 60
+    began = time.time()
+    cut = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), model).collect()}
+    assert cut[1] == 'token = "<SECRET>" end' and cut[2] == "call <PHONE> now. " * phones and cut[5] == "<PHONE>, " * 20_000
+    assert time.time() - began < 60
+
+
+def test_overlaps_are_settled_by_score(spark):
+    """As a plain loop does it: best score first, a span goes only if one that stays overlaps it."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(200):
+        own = []
+        for _ in range(rng.randint(0, 30)):
+            start = rng.randint(0, 150)
+            base = rng.random() < 0.2
+            own.append((start, start + rng.randint(1, 12), -1 if base else rng.randrange(6), 2.0 if base else rng.randint(1, 9) / 10))
+        rows.append((i, sorted(set(own))))
+    got = spark.createDataFrame(rows, f"i long, s array<{pii.CANDIDATE}>").select("i", pii.settled(F.col("s")).alias("s")).collect()
+    for r in got:
+        kept = []
+        for c in sorted(rows[r["i"]][1], key=lambda c: (-c[3], c[0], c[2], c[1])):
+            if c[2] < 0 or not any(k[0] < c[1] and c[0] < k[1] for k in kept):
+                kept.append(c)
+        assert sorted(map(tuple, r["s"])) == sorted(kept)
+
+
+def test_thresholds_are_calibrated(model):
+    assert len({round(t, 6) for t in model.thresholds}) == len(pii.GENERATORS) and all(t != 0.5 for t in model.thresholds)
+    p, y = np.array([0.9, 0.8, 0.7, 0.6, 0.5]), np.array([1, 1, 0, 1, 0])
+    assert pii._threshold(p, y, 0.98) == 0.75 and pii._threshold(p, y, 0.7) == 0.55 and pii._threshold(p[2:3], y[2:3], 0.9) == 1.1
+
+
+def test_counts_of_added_spans(spark):
+    """The planted tokens of the test tables are found, and nothing else is added."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = entry.op4_pii(spark, "/root/testdata/sf0.01").collect()
+    for r in got:
+        own = [s.split(":")[0] for s in r["spans"].split(",") if s]
+        assert len(own) == r["n_added"] + sum(r[f"n_{k}"] for k in pii.BASE_KINDS)
+        assert all(own.count(k) == r[f"n_added_{k}"] + (r[f"n_{k}"] if k in pii.BASE_KINDS else 0) for k in pii.KINDS if k != "card")
+    assert {r["doc_id"] for r in got if r["n_added"]} == {r["doc_id"] for r in docs.filter("text rlike 'token = \"[0-9a-f]{40}\"'").collect()}
+
+
 def test_redaction(spark, odd, none, model):
     rows = spark.createDataFrame([(1, "é x.y@b.co and +1 (243) 555-5526, 1.2.3.4!", 40), (2, "none", 4), (3, None, None)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pii.redact(rows, model).collect()}
