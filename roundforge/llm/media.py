@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from roundforge.llm.common import as_text, map_texts, scratch, slices, written
+from roundforge.llm.common import as_text, in_arrow, map_texts, scratch, slices, written
 
 WIDTH = 64
 ARCHIVE_BYTES = 32_000_000
@@ -118,7 +118,7 @@ def write_archives(docs: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTE
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["name", "bytes", "members"])
 
     rows = docs.select("doc_id", as_text().alias("_text"))
-    return written(rows.mapInArrow(run, "name string, bytes long, members long"), "archives")
+    return written(in_arrow(rows, run, "name string, bytes long, members long"), "archives")
 
 
 # --- reading -----------------------------------------------------------------------------------

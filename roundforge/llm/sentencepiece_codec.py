@@ -223,7 +223,7 @@ def encode(docs: DataFrame, path: str, keep: list[str] | None = None, threads: i
         ids, sizes, _ = codec(path, threads).encode(texts)
         return {"ids": np.split(ids.astype(np.int32), np.cumsum(sizes)[:-1])}
 
-    return map_texts(docs.select(*(keep or ["doc_id"]), as_text().alias("_text")), run, "ids array<int>")
+    return map_texts(docs.select(*(keep or ["doc_id"]), as_text().alias("_text")), run, "ids array<int>", state="pieces")
 
 
 def digests(docs: DataFrame, path: str, threads: int = 2) -> DataFrame:
@@ -243,4 +243,4 @@ def digests(docs: DataFrame, path: str, threads: int = 2) -> DataFrame:
             "round_trip": [b == t.encode("utf-8") for b, t in zip(back, texts, strict=True)],
         }
 
-    return map_texts(docs.select("doc_id", as_text().alias("_text")), run, "n_tokens long, ids_crc32 long, n_differ long, round_trip boolean")
+    return map_texts(docs.select("doc_id", as_text().alias("_text")), run, "n_tokens long, ids_crc32 long, n_differ long, round_trip boolean", state="pieces")
