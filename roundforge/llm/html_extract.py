@@ -11,10 +11,12 @@ The trees are fitted on pages that are generated here, with layouts, attribute n
 damage drawn at random, and whose main text is therefore known.
 
 Text: character references decoded, white space inside a block as one space, trimmed, blocks joined in page order by \\n. Scripts,
-styles and other elements without visible text never count.
+styles and other elements without visible text never count, nor what is inside hidden elements.
 
-Defined cases: a null page and a page without text have the empty text; damaged markup, stray and missing end tags are read as browsers do, roughly; pages
-of any length are read whole; repeated rows are handled row by row; an empty table gives an empty table; extra columns stay out of the way.
+Defined cases: a null page and a page without text have the empty text; damaged markup, stray and missing end tags are read as browsers do,
+roughly: a quote counts only after =, an unfinished tag at the end of the page is no text; pages of any length are read whole, in one
+pass, and features cover whole runs; of labellings that are as likely, the one with less text wins; repeated rows, and rows with a null or repeated
+page_id, are handled row by row; an empty table gives an empty table; extra columns stay out of the way.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ import math
 import random
 import re
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,14 +39,17 @@ from roundforge.llm.common import as_text, map_texts
 
 #: Fixed values of the HTML standard, as far as they matter here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template iframe object svg math head title textarea select option button canvas audio video map datalist".split())
+HIDDEN = frozenset("script style noscript template iframe svg head title textarea select option canvas audio video map datalist".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var br img wbr input picture source".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow ms msqrt msub msup mtext nobr object q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var br img wbr input picture source".split())
 CLOSED_BY_BLOCK = "p"
 SELF_CLOSING = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+#: A start tag: its name and attributes. Possessive, so a tag is read once; a quote that is never closed is a character like any other.
+_START = re.compile(r"<([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+_END = re.compile(r"</([A-Za-z][^\s/>]*+)[^>]*+>")
+_NAME = re.compile(r"/?[A-Za-z]")
+_ATTRIBUTE = re.compile(r"([^\s=>/]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++))?+")
 _SPLIT = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -58,7 +65,7 @@ HINTS = {
     "comment": "comment comments reply replies disqus respond discussion feedback review reviews commentlist thread".split(),
     "share": "share sharing social follow like tweet facebook tags tag byline meta author date rating print".split(),
 }
-TAG_GROUPS = [["article"], ["main"], ["section"], ["div"], ["p"], ["h1"], ["h2", "h3", "h4", "h5", "h6"], ["li", "dd", "dt"], ["ul", "ol", "dl", "menu"], ["table", "tbody", "thead", "tr", "td", "th"], ["nav"], ["header"], ["footer"], ["aside"], ["form", "fieldset"], ["blockquote", "pre", "figure", "figcaption"], ["#run"], ["body", "html", "#root"]]
+TAG_GROUPS = [["article"], ["main"], ["section"], ["div"], ["p"], ["h1"], ["h2", "h3", "h4", "h5", "h6"], ["li", "dd", "dt"], ["ul", "ol", "dl", "menu"], ["table", "tbody", "thead", "tr", "td", "th"], ["nav"], ["header"], ["footer"], ["aside"], ["form", "fieldset", "button"], ["blockquote", "pre", "figure", "figcaption"], ["#run"], ["body", "html", "#root"]]
 _GROUP = {t: i for i, g in enumerate(TAG_GROUPS) for t in g}
 _HINT = {w: i for i, ws in enumerate(HINTS.values()) for w in ws}
 WORDS = ["copyright", "©", "rights reserved", "cookie", "subscribe", "sign up", "log in", "advertisement", "sponsored", "newsletter", "reply", "comment", "share", "privacy"]
@@ -86,11 +93,43 @@ def _hints(attributes: str) -> tuple[frozenset[int], bool]:
     return frozenset(found), hidden
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str, int]]:
+    """The parts of a page, in one pass: kind, name or text, attributes, and the place behind. Kinds: text, start, end.
+
+    The caller may send the place at which to go on."""
+    at, end = 0, len(page)
+    while at < end:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield "text", page[at:], "", end
+            return
+        mark = page[lt + 1 : lt + 2]
+        if not (mark in ("!", "?", "/") or mark.isascii() and mark.isalpha()):
+            yield "text", page[at : lt + 1], "", lt + 1  # no tag
+            at = lt + 1
+            continue
+        if lt > at:
+            yield "text", page[at:lt], "", lt
+        if _NAME.match(page, lt + 1):
+            m = (_END if mark == "/" else _START).match(page, lt)
+            if m is None:
+                return  # an unfinished tag takes the rest
+            at = m.end()
+            to = yield ("end" if mark == "/" else "start"), m[1].lower(), "" if mark == "/" else m[2], at
+            at = to or at
+        elif page.startswith("<!--", lt):
+            close = page.find("-->", lt + 4)
+            at = end if close < 0 else close + 3
+        else:
+            close = page.find(">", lt)
+            at = end if close < 0 else close + 1
+
+
 def parse(page: str) -> Node:
-    """The tree of block elements with runs of text as leaves."""
+    """The tree of block elements with runs of text as leaves. Hidden elements are read like any other and then left out."""
     root = Node("#root", frozenset(), None)
-    stack: list[tuple[str, Node | None]] = []  # open elements; None for inline ones
-    block, pieces, link, links = root, [], 0, 0
+    stack: list[tuple[str, Node | None, bool]] = []  # open elements; None for inline ones; whether they are hidden
+    block, pieces, link, links, muted = root, [], 0, 0, 0
     no_hint: frozenset[int] = frozenset()
 
     def flush() -> None:
@@ -105,103 +144,109 @@ def parse(page: str) -> Node:
 
     def pop_to(size: int) -> None:
         """Closes the open elements from number ``size`` on."""
-        nonlocal block, links
+        nonlocal block, links, muted
         while len(stack) > size:
-            tag, node = stack.pop()
+            tag, node, hidden = stack.pop()
+            muted -= hidden
             if node is not None:
                 flush()
                 block = node.parent
+                if hidden:
+                    block.children.pop()
             elif tag == "a":
                 links = max(0, links - 1)
 
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            pieces.append(page[at:])
-            break
-        if m.start() > at:
-            text = page[at : m.start()]
-            pieces.append(text)
-            if links:
-                link += len(text.strip())
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:
+    parts = tokens(page)
+    part = next(parts, None)
+    while part is not None:
+        kind, tag, attributes, at = part
+        go_on = None
+        if kind == "text":
+            if not muted:
+                pieces.append(tag)
+                if links:
+                    link += len(tag.strip())
+        elif kind == "end":
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     # an end tag of an inline element doesn't close blocks
-                    if not (tag in INLINE and any(node is not None for _, node in stack[k + 1 :])):
+                    if not (tag in INLINE and any(node is not None for _, node, _ in stack[k + 1 :])):
                         pop_to(k)
                     break
             else:
                 if tag == "p" or tag not in INLINE:
                     flush()
-            continue
-        if tag in VOID:
+        elif tag in VOID:
             if tag == "hr":
                 flush()
-            elif tag == "br":
+            elif tag == "br" and not muted:
                 pieces.append(" ")
             block.elements += 1
-            continue
-        closed = m[3].rstrip().endswith("/") and tag not in INLINE
-        hints, hidden = _hints(m[3]) if m[3].strip() else (no_hint, False)
-        if tag in HIDDEN or hidden:
+        elif tag in RAW:
             if tag not in INLINE:
                 flush()
-            if tag == "head":
-                continue  # its children are hidden themselves
-            if not closed:
-                at = _skip(page, at, tag)
             block.elements += 1
-            continue
-        if tag in INLINE:
-            stack.append((tag, None))
-            links += tag == "a"
-            block.elements += 1
-            continue
-        if tag in SELF_CLOSING:
-            like, scope = SELF_CLOSING[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in like:
-                    pop_to(k)
-                    if tag not in ("tr", "tbody"):
-                        break
-                elif stack[k][0] in scope:
-                    break
+            go_on = _behind(page, at, tag)
+        elif tag == "head":
+            flush()  # what it holds is hidden itself
+        else:
+            closed = attributes.rstrip().endswith("/") and tag not in INLINE
+            hints, hidden = _hints(attributes) if attributes.strip() else (no_hint, False)
+            hidden |= tag in HIDDEN
+            if tag in INLINE:
+                stack.append((tag, None, hidden))
+                muted += hidden
+                links += tag == "a"
+                block.elements += 1
+            else:
+                open_block(stack, tag, pop_to)
+                if not (tag in ("html", "body") and any(t == tag for t, _, _ in stack)):
+                    flush()
+                    if hidden:
+                        block.elements += 1
+                    if not closed:
+                        node = Node(tag, hints, block)
+                        block.children.append(node)
+                        stack.append((tag, node, hidden))
+                        muted += hidden
+                        block = node
+        try:
+            part = next(parts, None) if go_on is None else parts.send(go_on)
+        except StopIteration:
+            part = None
+    pop_to(0)
+    flush()
+    return root
+
+
+def open_block(stack: list[tuple[str, Node | None, bool]], tag: str, pop_to: Callable[[int], None]) -> None:
+    """Closes the elements that the start tag of a block element ends."""
+    if tag in SELF_CLOSING:
+        like, scope = SELF_CLOSING[tag]
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == CLOSED_BY_BLOCK:
+            if stack[k][0] in like:
                 pop_to(k)
+                if tag not in ("tr", "tbody"):
+                    break
+            elif stack[k][0] in scope:
                 break
-            if stack[k][1] is not None:
-                break
-        if tag in ("html", "body") and any(t == tag for t, _ in stack):
-            continue
-        flush()
-        if closed:
-            continue
-        node = Node(tag, hints, block)
-        block.children.append(node)
-        stack.append((tag, node))
-        block = node
-    flush()
-    return root
+    for k in range(len(stack) - 1, -1, -1):
+        if stack[k][0] == CLOSED_BY_BLOCK:
+            pop_to(k)
+            break
+        if stack[k][1] is not None:
+            break
+
+
+@lru_cache(maxsize=64)
+def _closer(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+>", re.I)
 
 
-def _skip(page: str, at: int, tag: str) -> int:
-    """The place behind the element's end tag; nested elements of the same name count, but not in raw text."""
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
-        if m[1]:
-            depth -= 1
-        elif tag not in RAW and not m[0].endswith("/>"):
-            depth += 1
-        if not depth:
-            return m.end()
-    return len(page)
+def _behind(page: str, at: int, tag: str) -> int:
+    """The place behind the end tag of an element whose content is no markup; without one it takes the rest."""
+    m = _closer(tag).search(page, at)
+    return m.end() if m else len(page)
 
 
 def flat(root: Node) -> list[Node]:
@@ -216,7 +261,7 @@ def flat(root: Node) -> list[Node]:
 
 
 N_HINTS = len(HINTS)
-AGAINST = ("nav", "footer", "aside", "form")
+AGAINST = ("nav", "footer", "aside", "form", "button")
 MANY = 12  # counts of brothers, runs and paragraphs tell no more beyond it
 
 
@@ -231,7 +276,7 @@ def features(nodes: list[Node]) -> np.ndarray:
             chars[i], link[i], words[i], runs[i] = len(t), x.link, t.count(" ") + 1, 1
             marks[i] = sum(map(t.count, ".,;:!?"))
             digits[i] = sum(map(t.count, "0123456789"))
-            upper[i] = sum(1 for w in t[:400].split() if w[0].isupper())
+            upper[i] = sum(1 for w in t.split() if w[0].isupper())
         elif x.tag == "p":
             paragraphs[i] = 1
     own = chars.copy()
@@ -257,8 +302,8 @@ def features(nodes: list[Node]) -> np.ndarray:
         against[i] = bad
         said = 0
         if x.tag == "#run":
-            low = x.text[:200].lower()
-            said = sum(1 for w in WORDS if w in low)
+            low = x.text.lower()
+            said = sum(1 for w in WORDS if w in low) / max(1.0, words[i] / 12)
         if i:
             p = parent[i]
             depth[i], above[i], hint_above[i] = depth[p] + 1, above[p] | tag[p], hint_above[p] | hint[p]

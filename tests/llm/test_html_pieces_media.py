@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import random
 import re
+import time
 import zipfile
 import zlib
 
@@ -58,12 +61,86 @@ def test_labels_never_contradict(html_model):
         assert all(any(x.text == k for x in nodes) for k in kept)
 
 
+def test_decoding_equals_all_labellings():
+    """The labels of random small trees against every labelling that the rule allows."""
+    rng = random.Random(17)
+    for _ in range(150):
+        nodes = [html_extract.Node("#root", frozenset(), None)]
+        while len(nodes) < rng.randint(2, 12):
+            parent = rng.choice([n for n in nodes if n.tag != "#run"])
+            n = html_extract.Node(rng.choice(["div", "#run", "#run"]), frozenset(), parent)
+            n.text = f"t{len(nodes)}"
+            parent.children.append(n)
+            nodes.append(n)
+        flat = html_extract.flat(nodes[0])
+        p = np.array([rng.uniform(0.05, 0.95) for _ in flat])
+
+        def likelihood(labels):
+            return sum(math.log(q if x else 1 - q) for q, x in zip(p, labels, strict=True))
+
+        best = -math.inf
+        for bits in itertools.product([0, 1], repeat=len(flat)):
+            right = all((not b or n.parent is None or bits[n.parent.order]) and (not b or n.tag == "#run" or any(bits[c.order] for c in n.children)) for n, b in zip(flat, bits, strict=True))
+            if right:
+                best = max(best, likelihood(bits))
+        kept = html_extract.decode(flat, p)
+        labels = [0] * len(flat)
+        for n in flat:
+            if n.tag == "#run" and n.text in kept:
+                while n is not None:
+                    labels[n.order] = 1
+                    n = n.parent
+        assert likelihood(labels) == pytest.approx(best)
+
+
+def runs(page):
+    return [n.text for n in html_extract.flat(html_extract.parse(page)) if n.tag == "#run"]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p title=it's>One</p><p>Two</p>", ["One", "Two"]),
+        ('<p title="a > b">One</p>', ["One"]),
+        ("<a href=x'y\"z>One</a> two", ["One two"]),
+        ("<p hidden>x<p>article</p>", ["article"]),
+        ("<div hidden><p>x<ul><li>y</div><p>article", ["article"]),
+        ("<p>so <span style='display: none'>not <b>this</b></span> it is</p>", ["so it is"]),
+        ("<p>Let <math><mi>x</mi> = <mn>2</mn></math> be, <object>or</object> not</p>", ["Let x = 2 be, or not"]),
+        ("<p>5 < 6 and a<b>c</b></p>", ["5 < 6 and ac"]),
+        ("<p>one</p><p", ["one"]),
+        ("<!-- a > b --><p>one<!-- <p>no", ["one"]),
+        ("<script>if (a < b) '</p>'</script><p>one</p></p>two", ["one", "two"]),
+        ("<?php echo 1 ?><!DOCTYPE html></ x><p>one", ["one"]),
+    ],
+)
+def test_markup(page, want):
+    assert runs(page) == want
+
+
+@pytest.mark.parametrize("page", ["<a " * 400_000, "<" * 1_000_000, "</" * 500_000, "<a x='" * 200_000, "<!--" * 300_000, "<script>" * 150_000, '<p title="' * 100_000 + "'", "<p>a" * 100_000, "x" * 1_000_000 + "<b>" * 100_000, "<div hidden>" * 50_000], ids=lambda p: p[:8])
+def test_pages_are_parsed_in_one_pass(page):
+    began = time.time()
+    html_extract.flat(html_extract.parse(page))
+    assert time.time() - began < 6
+
+
+def test_features_cover_whole_runs():
+    a, b = ("lower " * 100 + tail * 100 for tail in ("Upper ", "lower "))
+    low, high = (html_extract.features(html_extract.flat(html_extract.parse(f"<p>{t}</p>"))) for t in (b, a))
+    assert (low != high).any()
+
+
 def test_damaged_and_odd_pages(spark, html_model):
     odd = ["", None, "<", "<p", "<!-- open", "<div" * 50, "</p></div>", "<p>a" * 3000, "<b><i></b>x</i>", "<table><td>a<td>b</table>", "&#x41;&bogus;", "<script>alert(1)", "plain text only"] + ["<div>" * 3000 + "deep" + "</div>" * 3000]
     df = spark.createDataFrame([(i, None if i % 2 else "u", h, "x") for i, h in enumerate(odd)], "page_id long, url string, html string, text string")
     got = {r["page_id"]: r for r in html_extract.extract(df, html_model).collect()}
     assert len(got) == len(odd) and got[1]["text"] == "" and all(r["n_chars"] == len(r["text"]) for r in got.values())
     assert html_extract.extract(df.limit(0), html_model).count() == 0
+    long = "<article><h1>Title</h1>" + "<p>A sentence of the article, with some words.</p>" * 20_000 + "</article>"
+    twice = spark.createDataFrame([(1, "u", long, "x", "t", 1)] * 2 + [(None, None, PAGE, None, "t", 1)], "page_id long, url string, html string, lang string, text string, n_chars int")
+    got = html_extract.extract(twice, html_model).collect()
+    assert len(got) == 3 and sorted(r["text"].count("\n") for r in got) == [4, 20_000, 20_000]
 
 
 def test_test_pages(spark, small):
