@@ -3,15 +3,16 @@
 The model's protobuf is parsed here: pieces with scores and types, trainer and normaliser settings. From it a
 tokenizers backend is rebuilt: the normaliser (precompiled map, white-space rules, dummy prefix, the
 metaspace marker), a unigram model with its scores or a BPE model whose merges follow the scores, and
-byte fallback. Batches are encoded multithreaded. Parity with the sentencepiece library is verified for
-every distinct segment that is encoded; where the two differ, sentencepiece's ids are used and the difference is counted.
+byte fallback. Batches are encoded multithreaded. The ids are this backend's. Parity with the sentencepiece library is verified for
+every distinct segment that is encoded; a difference is counted and never replaced, and ``encode`` with ``strict`` fails on it.
 
 If no piece crosses from a letter to a marker, a text's ids are those of its segments, marker and word, one after
 the other; so each segment is encoded once while it stays in a bounded cache. Else, or if the normaliser changes texts, whole
 texts are encoded.
 
-Defined cases: null is the empty text, which has no ids; repeated rows are encoded row by row; an empty table gives an
-empty table; extra columns are ignored. The marker itself in a text decodes to a space, as in sentencepiece.
+Defined cases: null is the empty text, which has no ids; repeated rows, and rows with a null or repeated doc_id, are encoded row by row;
+texts of any length are encoded whole, a slice of the batch at a time; an empty table gives an empty table; extra columns, also those named
+like a result, are ignored. The marker itself in a text decodes to a space, as in sentencepiece.
 """
 
 from __future__ import annotations
@@ -157,14 +158,13 @@ class Codec:
         self.segments, self.ids, self.differs = _Codes(), _Pool(), []
 
     def _both(self, marked: list[str], plain: list[str]) -> tuple[list[list[int]], list[int]]:
-        """The ids of texts, and for each text whether the libraries differ."""
+        """The ids of texts, and for each text whether sentencepiece has others."""
         ours = [e.ids for e in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)]
         if self.judge is None:
             return ours, [0] * len(ours)
         theirs = self.judge.encode(plain, num_threads=self.threads)
         # a marker alone can't be asked for: the library gives the empty text no prefix
-        theirs = [b if p or not m else a for m, p, a, b in zip(marked, plain, ours, theirs, strict=True)]
-        return theirs, [int(a != b) for a, b in zip(ours, theirs, strict=True)]
+        return ours, [int(a != b and bool(p)) for p, a, b in zip(plain, ours, theirs, strict=True)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other; of each text the number of ids, and of segments that the libraries encode differently."""
@@ -216,11 +216,13 @@ def codec(path: str, threads: int = 2) -> Codec:
     return held(("pieces", path, threads), lambda: Codec(path, threads))
 
 
-def encode(docs: DataFrame, path: str, keep: list[str] | None = None, threads: int = 2) -> DataFrame:
+def encode(docs: DataFrame, path: str, keep: list[str] | None = None, threads: int = 2, strict: bool = False) -> DataFrame:
     """``keep`` (doc_id) of each row with ids (array of int)."""
 
     def run(texts: list[str]) -> dict[str, list]:
-        ids, sizes, _ = codec(path, threads).encode(texts)
+        ids, sizes, differ = codec(path, threads).encode(texts)
+        if strict and differ.any():
+            raise ValueError(f"{int(differ.sum())} segments have other ids in sentencepiece")
         return {"ids": np.split(ids.astype(np.int32), np.cumsum(sizes)[:-1])}
 
     return map_texts(docs.select(*(keep or ["doc_id"]), as_text().alias("_text")), run, "ids array<int>", state="pieces")
