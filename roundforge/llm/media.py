@@ -9,7 +9,11 @@ the directories of its archives and takes the members that begin in its ranges,
 its CRC and retried alone. Payloads go to Spark as Arrow batches of bounded size.
 
 Defined cases: a null text is empty and has 64 zero bytes; equal texts have equal bytes and features; a null doc_id comes back as null; repeated
-rows are members of their own; an empty table gives no archives and no rows; extra columns are ignored.
+rows are members of their own; a text of any length is one member, and a task holds one member, as text, samples and PNG, beside the archive that
+it fills (archive_bytes) or the batch that it returns (BATCH_BYTES); an empty table gives no archives and no rows; extra columns, also
+those named like a result, are ignored.
+
+Paths may name any store that Arrow opens, in Hadoop's spelling too (s3a, wasbs, dbfs); any other scheme goes through Hadoop's own library.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import io
 import struct
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,6 +44,26 @@ ATTEMPTS = 4
 _PNG = b"\x89PNG\r\n\x1a\n"
 
 
+#: Hadoop's names of stores that Arrow opens by another one.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path, and the path in it."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "dbfs":
+        return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    if scheme in SCHEMES:
+        uri = f"{SCHEMES[scheme]}:{rest}"
+    try:
+        return fs.FileSystem.from_uri(uri)
+    except pa.ArrowInvalid:
+        if "://" not in uri:
+            raise
+        host, _, path = rest.removeprefix("//").partition("/")
+        return fs.HadoopFileSystem(f"{scheme}://{host}"), "/" + path
+
+
 def payload_of(text: str) -> tuple[bytes, int]:
     raw = text.encode("utf-8", "surrogatepass")
     return raw + bytes(-len(raw) % WIDTH or (0 if raw else WIDTH)), len(raw)
@@ -85,7 +109,7 @@ def write_archives(docs: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTE
     """Stores the texts of ``docs`` (doc_id, text); returns a row for each archive: name, bytes, members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(path)
+        store, root = opened(path)
         store.create_dir(root, recursive=True)
         part, done = TaskContext.get().partitionId(), []
         buffer, archive, members = io.BytesIO(), None, 0
@@ -145,10 +169,12 @@ def plan(archives: list[tuple[str, int]], range_bytes: int) -> list[Ranges]:
     return [*out, Ranges(now)] if now else out
 
 
-def read_member(archive: pa.NativeFile, info: zipfile.ZipInfo, attempts: int = ATTEMPTS) -> bytes:
-    """A member's bytes by its offset; reads again, this member only, if they are damaged or can't be read."""
+def read_member(archive: pa.NativeFile, info: zipfile.ZipInfo, attempts: int = ATTEMPTS, reopen: Callable[[], pa.NativeFile] | None = None) -> bytes:
+    """A member's bytes by its offset; reads again, this member only and through a new handle, if they are damaged or can't be read."""
     for k in range(attempts):
         try:
+            if k and reopen is not None:
+                archive = reopen()
             head = archive.read_at(30, info.header_offset)
             if head[:4] != b"PK\x03\x04":
                 raise ValueError("no member begins here")
@@ -168,12 +194,12 @@ class ArchiveReader(DataSourceReader):
         self.path, self.range_bytes = options["path"], int(options.get("rangebytes", RANGE_BYTES))
 
     def partitions(self) -> list[Ranges]:
-        store, root = fs.FileSystem.from_uri(self.path)
+        store, root = opened(self.path)
         found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
         return plan(sorted((f.path, f.size) for f in found if f.path.endswith(".zip")), self.range_bytes) or [Ranges([])]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(self.path)
+        store, _ = opened(self.path)
         rows: list[tuple] = []
         size = 0
         for name, lo, hi in partition.parts:
@@ -181,7 +207,7 @@ class ArchiveReader(DataSourceReader):
                 for info in zipfile.ZipFile(archive).infolist():
                     if lo <= info.header_offset < hi:
                         _, doc, n = info.filename.removesuffix(".png").split("_")
-                        data = read_member(archive, info)
+                        data = read_member(archive, info, reopen=lambda name=name: store.open_input_file(name))
                         rows.append((int(doc) if doc else None, int(n), name.rsplit("/", 1)[-1], info.header_offset, data))
                         size += len(data)
                         if size >= BATCH_BYTES:

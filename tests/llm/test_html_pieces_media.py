@@ -304,6 +304,67 @@ def test_members_are_retried_alone(tmp_path):
         media.read_member(Flaky(data, 99), info)
 
 
+def test_a_broken_handle_is_opened_again(tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("0_1_3.png", b"abc")
+    info = zipfile.ZipFile(tmp_path / "a.zip").infolist()[0]
+    data, asked = (tmp_path / "a.zip").read_bytes(), []
+
+    class Broken:
+        def read_at(self, n, at):
+            raise OSError("connection lost")
+
+    assert media.read_member(Broken(), info, reopen=lambda: asked.append(1) or Flaky(data, 0)) == b"abc" and len(asked) == 1
+
+
+@pytest.mark.parametrize(("uri", "kind", "path"), [("file:///tmp/x", "local", "/tmp/x"), ("/tmp/x", "local", "/tmp/x"), ("dbfs:/a/b", "local", "/dbfs/a/b"), ("s3a://bucket/a?region=us-east-1", "s3", "bucket/a")])
+def test_paths_in_hadoops_spelling(uri, kind, path):
+    store, at = media.opened(uri)
+    assert at == path and store.type_name == kind
+
+
+def plain_features(blob):
+    """An independent reading of a PNG: its chunks by their names, samples and statistics by plain loops."""
+    at, data, width = 8, b"", None
+    while at < len(blob):
+        n = int.from_bytes(blob[at : at + 4])
+        name, body = blob[at + 4 : at + 8], blob[at + 8 : at + 8 + n]
+        assert int.from_bytes(blob[at + 8 + n : at + 12 + n]) == zlib.crc32(name + body)
+        if name == b"IHDR":
+            width, height = int.from_bytes(body[:4]), int.from_bytes(body[4:8])
+            assert tuple(body[8:]) == (8, 0, 0, 0, 0)
+        data += body if name == b"IDAT" else b""
+        at += 12 + n
+    raw = zlib.decompress(data)
+    lines = [raw[i * (width + 1) : (i + 1) * (width + 1)] for i in range(height)]
+    assert len(raw) == height * (width + 1) and all(line[0] == 0 for line in lines)
+    samples = b"".join(line[1:] for line in lines)
+    mean = sum(samples) / len(samples)
+    std = math.sqrt(sum((x - mean) ** 2 for x in samples) / len(samples))
+    entropy = -sum(samples.count(v) / len(samples) * math.log2(samples.count(v) / len(samples)) for v in set(samples))
+    column = [sum(samples[k::width]) / height for k in range(width)]
+    bits = "".join("1" if column[k] > column[(k + 1) % width] else "0" for k in range(width))
+    return samples, f"lines={height};mean={mean:.4f};std={std:.4f};entropy={abs(entropy):.4f};bands={int(bits, 2):016x}"
+
+
+def test_stored_media_by_an_independent_decoder(odd, tmp_path):
+    docs = odd.filter("length(text) < 5000 or text is null")
+    got = media.media_column(docs, f"file://{tmp_path}/m").collect()
+    want = sorted((r["text"] or "").encode() for r in docs.collect())
+    seen = []
+    for r in got:
+        with zipfile.ZipFile(tmp_path / "m" / r["archive"]) as z:
+            info = next(i for i in z.infolist() if i.header_offset == r["offset"])
+            blob = z.read(info)
+        samples, feature = plain_features(blob)
+        assert r["media_sha256"] == hashlib.sha256(blob).hexdigest() and r["media_bytes"] == len(blob)
+        assert r["payload_sha256"] == hashlib.sha256(samples).hexdigest() and r["payload_bytes"] == len(samples)
+        assert r["feature"] == feature and r["tail_crc32"] == zlib.crc32(samples[-64:])
+        seen.append(samples[: r["n_bytes"]])
+        assert not any(samples[r["n_bytes"] :]) and len(samples) % 64 == 0
+    assert sorted(seen) == want
+
+
 def test_ranges_cover_all_bytes():
     parts = [x for p in media.plan([("a", 25), ("b", 3), ("c", 0), ("d", 4)], 10) for x in p.parts]
     assert parts == [("a", 0, 10), ("a", 10, 20), ("a", 20, 25), ("b", 0, 3), ("c", 0, 0), ("d", 0, 4)]
