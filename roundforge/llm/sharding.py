@@ -5,8 +5,12 @@ rows are summed by slot; a slot-to-shard map, a table of ``slots`` rows with a v
 slot's records live. The first map deals slots to the shard with the fewest bytes, largest slot first.
 Rebalancing edits the map: it moves slots only from shards above the mean to those below, and stores the result as the next version.
 
-Defined cases: a null text has no bytes; a null key hashes like any value; repeated rows share a slot, and each has its own place; an
-empty table gives an empty table; extra columns are ignored.
+The law is ``bytes``: near equal sizes. Groups of equal texts are therefore spread, not kept together: a text's copies hash by their own
+ids, so a group with a third of all rows adds to every shard alike. A record's place depends on its id and on the map, not on its text.
+
+Defined cases: a null text has no bytes; rows with a null key hash by their text; repeated rows share a slot, and each has its own place, in
+no certain order where id and text are the same; a text of any length counts with all its bytes and isn't moved; slots of the same size are
+dealt in order of their number; an empty table gives an empty table; extra columns, also those named like a result, are ignored.
 """
 
 from __future__ import annotations
@@ -50,7 +54,7 @@ class SlotMap:
 def sized(docs: DataFrame, slots: int, key: str = "doc_id") -> DataFrame:
     """doc_id, size, text_crc32 and virtual_slot of each row; the text itself goes no further."""
     text = as_text().cast("binary")
-    return docs.select(key, (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.pmod(F.xxhash64(F.lit("slot"), key), F.lit(slots)).cast("int").alias("virtual_slot"))
+    return docs.select(key, (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.pmod(F.when(F.col(key).isNull(), F.xxhash64(F.lit("null"), text)).otherwise(F.xxhash64(F.lit("slot"), key)), F.lit(slots)).cast("int").alias("virtual_slot"))
 
 
 def slot_sums(rows: DataFrame, slots: int) -> tuple[list[int], list[int]]:

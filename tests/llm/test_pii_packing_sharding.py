@@ -292,6 +292,19 @@ def test_sharding_is_near_equal_and_gapless(spark):
     assert all(r.size_ == len(text[r.doc_id].encode()) + 16 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in rows.rename(columns={"size": "size_"}).itertuples())
 
 
+def test_a_group_of_equal_texts_is_spread(spark):
+    """A third of the rows have one text, and a tenth no id: shards stay near equal, and every text of the group counts in full."""
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, words) for i in range(4000)] + [(10_000 + i, f"{i} " * (20 + i % 60)) for i in range(7000)] + [(None, f"n{i} " * 50) for i in range(1000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8).toPandas()
+    size = got.groupby("shard")["size"].sum()
+    assert len(got) == len(rows) and size.max() - size.min() <= 0.02 * size.mean()
+    group = got[got.text_crc32 == zlib.crc32(words.encode())].groupby("shard").size()
+    assert len(group) == 8 and group.min() > 300
+    for _, g in got.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+
+
 def test_map_versions_and_rebalancing(spark, tmp_path):
     rng = random.Random(2)
     sizes = [rng.randrange(1, 1000) for _ in range(512)]
