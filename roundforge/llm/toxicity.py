@@ -13,8 +13,10 @@ The lexicon, the exceptions and the curve are fitted on a bounded sample of labe
 document count once. A small general lexicon and some exceptions are given.
 
 Defined cases: null and empty texts score like a text without hits; without labels of both kinds the general lexicon
-decides alone; of several labels of a document the highest holds; repeated rows are scored row by row; an empty table
-gives an empty table.
+decides alone; of several labels of a document the highest holds, and rows that share a doc_id share its label; rows with a null
+doc_id are not learned from; repeated rows are scored row by row; entries with the same odds are all taken, and of entries at one
+place the heaviest counts; texts of any length are scored whole, in time linear in their length and hits; extra columns, also those
+named like a result, are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import math
 import re
 import unicodedata
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundforge.llm.common import as_text, map_texts
+from roundforge.llm.common import as_text, map_texts, written
 
 #: Cyrillic, Greek and other letters, and the Latin ones that they look like.
 HOMOGLYPHS = str.maketrans(
@@ -78,14 +81,13 @@ def folded(text: str) -> str:
 @dataclass(frozen=True)
 class Training:
     """Bounds of the labelled sample: about so many toxic and so many clean documents. An entry needs
-    min_docs toxic documents, or min_share of them if that is more, and log-odds of min_odds."""
+    min_docs toxic documents, or min_share of them if that is more, and log-odds of min_odds; all that qualify are taken."""
 
     toxic_docs: int = 3000
     clean_docs: int = 5000
     min_docs: int = 4
     min_share: float = 0.008
     min_odds: float = 3.0
-    max_entries: int = 600
 
 
 @dataclass(frozen=True)
@@ -133,9 +135,11 @@ def hits(text: str, model: Model) -> dict[int, float]:
         # one character for each, so places stay
         for start, w in hits(text.translate(ACCENTS), _plain(model)).items():
             found[start] = max(w, found.get(start, 0.0))
-    for lo, hi in spared:
-        for start in [s for s in found if lo <= s < hi]:
-            del found[start]
+    if spared and found:
+        starts = sorted(found)
+        for lo, hi in spared:
+            for start in starts[bisect_left(starts, lo) : bisect_left(starts, hi)]:
+                found.pop(start, None)
     return found
 
 
@@ -206,33 +210,30 @@ def fit(docs: DataFrame, labels: DataFrame, training: Training = Training()) ->
         alike = [int(pd.util.hash_array(np.array([" ".join(g) for g in zip(w, w[1:], w[2:], strict=False)] or [" ".join(w)], dtype=object), categorize=False).view(np.int64).min()) for w in words]
         return {"folded": fold, "alike": alike}
 
-    sample = map_texts(rows, prepare, "folded string, alike long").groupBy("alike", "toxic").agg(F.min("folded").alias("folded")).select("toxic", "folded").cache()
-    try:
-        kinds = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-        if len(kinds) < 2:
-            return unfitted
-        counts = sample.mapInPandas(_terms, "term string, toxic int, n long").groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
-        odds = F.log((F.col("t") + 0.5) / (kinds[1] + 1.0)) - F.log((F.col("c") + 0.5) / (kinds[0] + 1.0))
-        least = max(training.min_docs, training.min_share * kinds[1])
-        chosen = counts.withColumn("odds", odds).filter((F.col("t") >= least) & (F.col("odds") >= training.min_odds)).orderBy(F.desc(F.col("t") * F.col("odds")), "term").limit(training.max_entries).collect()
-        weights = _general() | {r["term"]: float(r["odds"]) for r in chosen}
-        model = Model(uuid.uuid4().hex, weights, exceptions, unfitted.curve)
-        around = sample.mapInPandas(lambda b: _around(b, model), "term string, toxic int, n long").groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
-        spare = around.filter((F.col("c") >= training.min_docs) & (F.col("t") * 4 <= F.col("c"))).orderBy(F.desc("c"), "term").limit(training.max_entries).collect()
-        model = Model(uuid.uuid4().hex, weights, exceptions + tuple(r["term"] for r in spare), unfitted.curve)
-        fold = model
-
-        def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                out = []
-                for t in b["folded"]:
-                    total = math.fsum(hits(t, fold).values())
-                    out.append((math.log1p(total), math.log1p(100 * total / max(1, t.count(" ") - 1))))
-                yield pd.DataFrame({"toxic": b["toxic"], "a": [x[0] for x in out], "b": [x[1] for x in out]})
-
-        got = sample.mapInPandas(measure, "toxic int, a double, b double").toPandas()
-    finally:
-        sample.unpersist()
+    sample = written(map_texts(rows, prepare, "folded string, alike long").groupBy("alike", "toxic").agg(F.min("folded").alias("folded")).select("toxic", "folded"), "toxic-sample")
+    kinds = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(kinds) < 2:
+        return unfitted
+    counts = sample.mapInPandas(_terms, "term string, toxic int, n long").groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
+    odds = F.log((F.col("t") + 0.5) / (kinds[1] + 1.0)) - F.log((F.col("c") + 0.5) / (kinds[0] + 1.0))
+    least = max(training.min_docs, training.min_share * kinds[1])
+    chosen = counts.withColumn("odds", odds).filter((F.col("t") >= least) & (F.col("odds") >= training.min_odds)).collect()
+    weights = _general() | {r["term"]: float(r["odds"]) for r in chosen}
+    model = Model(uuid.uuid4().hex, weights, exceptions, unfitted.curve)
+    around = sample.mapInPandas(lambda b: _around(b, model), "term string, toxic int, n long").groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
+    spare = around.filter((F.col("c") >= training.min_docs) & (F.col("t") * 4 <= F.col("c"))).orderBy("term").collect()
+    model = Model(uuid.uuid4().hex, weights, exceptions + tuple(r["term"] for r in spare), unfitted.curve)
+    fold = model
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for t in b["folded"]:
+                total = math.fsum(hits(t, fold).values())
+                out.append((math.log1p(total), math.log1p(100 * total / max(1, t.count(" ") - 1))))
+            yield pd.DataFrame({"toxic": b["toxic"], "a": [x[0] for x in out], "b": [x[1] for x in out]})
+
+    got = sample.mapInPandas(measure, "toxic int, a double, b double").toPandas()
     y = got["toxic"].to_numpy(float)
     curve = _logistic(got[["a", "b"]].to_numpy(), y, np.where(y > 0, 1 / share[1], 1 / share[0]))
     return Model(uuid.uuid4().hex, weights, model.exceptions, curve)

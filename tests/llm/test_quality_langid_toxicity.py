@@ -173,6 +173,50 @@ def test_clean_texts_have_no_hits(text):
     assert toxicity.measures(text, model)[0] == 0
 
 
+def naive_hits(text, model):
+    """Every entry at every place, exceptions afterwards."""
+    plain = text if text.isascii() else text.translate(toxicity.ACCENTS)
+    found = {}
+    for entry_, w in model.weights.items():
+        for at in range(len(text)):
+            whole = entry_.isascii() and entry_.endswith(" ")
+            if text.startswith(entry_, at) or (whole and plain.startswith(entry_, at)):
+                found[at] = max(w, found.get(at, 0.0))
+    for phrase in model.exceptions:
+        for at in range(len(text)):
+            if text.startswith(phrase, at) or plain.startswith(phrase, at):
+                for k in list(found):
+                    if at <= k < at + len(phrase) - 1 and (text.startswith(phrase, at) or not _accented(text, k, model)):
+                        del found[k]
+    return found
+
+
+def _accented(text, at, model):
+    return any(text.startswith(e, at) for e in model.weights)
+
+
+def test_matching_equals_a_naive_matcher():
+    rng = random.Random(12)
+    weights = {" ab ": 2.0, " ab": 1.0, " abba ": 3.0, " c ": 0.5, " ca": 1.5, " bab ": 2.5}
+    model = toxicity.Model("naive", weights, (" ab c ", " ca c ", " c ab ab "), (0.0, 1.0, 1.0))
+    for _ in range(500):
+        text = toxicity.folded(" ".join("".join(rng.choice("aabbcx") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 25))))
+        assert toxicity.hits(text, model) == naive_hits(text, model), text
+    for _ in range(200):
+        text = toxicity.folded(" ".join(rng.choice(["ab", "äb", "abba", "äbba", "c", "x", "bäb"]) for _ in range(rng.randint(0, 12))))
+        found = {at: w for at, w in naive_hits(text, toxicity.Model("n", weights, (), (0, 1, 1))).items()}
+        assert toxicity.hits(text, toxicity.Model("accents", weights, (), (0, 1, 1))) == found, text
+
+
+def test_many_exceptions_are_linear():
+    import time
+
+    model = toxicity.Model("many", toxicity._general(), tuple(map(toxicity.folded, toxicity.EXCEPTIONS)), (0, 1, 1))
+    began = time.time()
+    assert toxicity.measures("trash can " * 100_000, model)[0] == 0 and toxicity.measures("trash bag " * 100_000, model)[0] == 100_000
+    assert time.time() - began < 10
+
+
 def test_toxicity_fit_and_odd_rows(spark, odd, none, small):
     docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
     model = toxicity.fit(docs, labels)
