@@ -9,20 +9,21 @@ from pyspark.sql import functions as F
 FNV_START, FNV_PRIME, FNV_MASK = 2166136261, 16777619, 4294967295
 
 
-def _units(text: Column) -> Column:
-    """UTF-16 code units as integers."""
-    code = F.hex(F.encode(text, "UTF-16LE"))
-    pair = lambda i: F.concat(F.substr(code, 4 * i + 3, F.lit(2)), F.substr(code, 4 * i + 1, F.lit(2)))
-    count = F.length(code) / 4
-    return F.when(F.length(code) > 0, F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda i: F.conv(pair(i), 16, 10).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+def _fold(start: Column, text: Column) -> Column:
+    """Goes on from a state with the UTF-16 code units of a text: one for each character, two beyond the first 65536."""
+    unit = lambda h, u: (h.bitwiseXOR(u) * FNV_PRIME).bitwiseAND(F.lit(FNV_MASK).cast("long"))
 
+    def step(h: Column, c: Column) -> Column:
+        code = F.ascii(c).cast("long")  # the first character's code point
+        high, low = F.lit(0xD7C0) + F.shiftright(code, 10), F.lit(0xDC00) + code.bitwiseAND(F.lit(0x3FF).cast("long"))
+        return F.when(c == "", h).when(code < 0x10000, unit(h, code)).otherwise(unit(unit(h, high), low))
 
-def _fold(start: Column, text: Column) -> Column:
-    return F.aggregate(_units(text), start, lambda h, u: (h.bitwiseXOR(u) * FNV_PRIME).bitwiseAND(F.lit(FNV_MASK).cast("long")))
+    return F.aggregate(F.split(text, ""), start, step)
 
 
-def fnv1a(text: Column) -> Column:
-    return _fold(F.lit(FNV_START).cast("long"), text)
+def fnv1a(text: Column, start: Column | None = None) -> Column:
+    """start: the hash of what comes before the text."""
+    return _fold(F.lit(FNV_START).cast("long") if start is None else start, text)
 
 
 def signature_of(ids: Column) -> Column:

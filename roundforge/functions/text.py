@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import chain
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +17,20 @@ SCORE_STOP = [*BUILD_STOP, *"are as at be by is it this your you my our small la
 TITLE_CUT, TEXT_CUT, CATEGORY_CUT, CATEGORY_DEPTH = 220, 900, 120, 12
 
 
+@lru_cache
+def _special() -> dict[str, str]:
+    """Characters whose case folding isn't what lowering gives, by Unicode's rules: sharp s, ligatures, final sigma and so on."""
+    return {c: c.casefold() for c in map(chr, chain(range(0x80, 0x2200), range(0xA640, 0xAC00), range(0xFB00, 0xFB18))) if c.casefold() != c.lower() or c == "\u03a3"}
+
+
+def fold(x: Column) -> Column:
+    """Case folding: what is equal but for case becomes equal. Texts with none of the special characters are lowered."""
+    special = _special()
+    table = F.create_map(*[F.lit(v) for pair in special.items() for v in pair])
+    each = F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.lower(c)))
+    return F.when(x.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in special) + "]"), F.array_join(each, "")).otherwise(F.lower(x))
+
+
 def collapse(x: Column) -> Column:
     """Runs of white space as one space, trimmed."""
     return F.trim(F.regexp_replace(x, SPACE, " "))
@@ -44,7 +61,7 @@ def normalize_categories(x: Column) -> Column:
     cleaned = F.filter(F.transform(F.coalesce(x, F.array().cast("array<string>")), collapse), lambda s: s.isNotNull() & (s != ""))
 
     def add(acc: Column, s: Column) -> Column:
-        known = F.exists(acc, lambda k: F.lower(k) == F.lower(s))
+        known = F.exists(acc, lambda k: fold(k) == fold(s))
         return F.when(known, acc).otherwise(F.concat(acc, F.array(F.substring(s, 1, CATEGORY_CUT))))
 
     return F.slice(F.aggregate(cleaned, F.array().cast("array<string>"), add), 1, CATEGORY_DEPTH)
@@ -52,7 +69,7 @@ def normalize_categories(x: Column) -> Column:
 
 def tokens(x: Column, stop: list[str] = SCORE_STOP) -> Column:
     """Distinct runs of a-z and 0-9, of three characters at least, that are no stop words; none for null."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    words = F.regexp_extract_all(fold(F.coalesce(x, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
     return F.array_except(F.filter(words, lambda w: F.length(w) > 2), F.array(*map(F.lit, stop)))
 
 
@@ -78,10 +95,10 @@ def rerank_score(a: Column, b: Column) -> Column:
 
 def taxonomy_score(path_a: Column, leaf_a: Column, category_a: Column, path_b: Column, leaf_b: Column, category_b: Column) -> Column:
     """Length of the common beginning of two category paths, and 4 for the same leaf, else 2 for the same category."""
-    same = F.zip_with(path_a, path_b, lambda a, b: F.coalesce(F.lower(a) == F.lower(b), F.lit(False)))
+    same = F.zip_with(path_a, path_b, lambda a, b: F.coalesce(fold(a) == fold(b), F.lit(False)))
     first_other = F.array_position(same, False)
     common = F.when(first_other > 0, first_other - 1).otherwise(F.size(same)).cast("int")
-    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    low = lambda c: fold(F.coalesce(c, F.lit("")))
     return common + F.when(low(leaf_a) == low(leaf_b), 4).when(low(category_a) == low(category_b), 2).otherwise(0)
 
 
@@ -138,7 +155,7 @@ def date_key(ts: Column) -> Column:
 def normalize_tags(x: Column) -> Column:
     """Tags cut to 48, the first of each spelling, at most 16."""
     cleaned = F.filter(F.transform(F.coalesce(x, F.array().cast("array<string>")), lambda s: clean(s, 48)), lambda s: s != "")
-    known = lambda acc, s: F.exists(acc, lambda k: F.lower(k) == F.lower(s))
+    known = lambda acc, s: F.exists(acc, lambda k: fold(k) == fold(s))
     kept = F.aggregate(cleaned, F.array().cast("array<string>"), lambda acc, s: F.when(known(acc, s), acc).otherwise(F.concat(acc, F.array(s))))
     return F.slice(kept, 1, 16)
 

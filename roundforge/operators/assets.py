@@ -65,19 +65,26 @@ def dhash(images: DataFrame) -> DataFrame:
     return images.select("path", "content").mapInPandas(run, "path string, dhash long")
 
 
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def hamming_pairs(left: DataFrame, threshold: int, right: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b, distance) of ids whose hashes differ in ``threshold`` bits at most; a < b in a self-join.
 
-    Two such hashes agree in one of threshold + 1 segments, so candidates come from equi-joins on segments. Equal hashes are
+    Two such hashes agree in one of threshold + 1 segments, so candidates meet in an equi-join on segments. The distance is a condition
+    of that join, and a pair counts in the first segment that it shares, so only true pairs leave it, once each. Equal hashes are
     one row of the join, so that copies don't meet in pairs before they are known to be near something."""
     check_threshold(threshold)
     groups = left.groupBy("dhash").agg(F.collect_set("id").alias("ids"))
     other = right.groupBy("dhash").agg(F.collect_set("id").alias("ids")) if right is not None else groups
-    cut = lambda df, h: df.select(F.col("dhash").alias(h), F.explode(hashing.segments(F.col("dhash"), threshold)).alias("s")).select(h, "s.part", "s.value")
-    pairs = cut(groups.select("dhash"), "ha").join(cut(other.select("dhash"), "hb"), ["part", "value"]).select("ha", "hb").distinct()
+    cut = lambda df, n: df.select(F.col("dhash").alias(f"h{n}"), F.explode(hashing.segments(F.col("dhash"), threshold)).alias("s")).select(f"h{n}", F.col("s.part").alias(f"part{n}"), F.col("s.value").alias(f"value{n}"))
+    differ = F.col("ha").bitwiseXOR(F.col("hb"))
+    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(_signed(((1 << w) - 1) << lo)).cast("long")) == 0, F.lit(i)) for i, (lo, w) in enumerate(hashing.segment_bounds(threshold))])
+    met = (F.col("parta") == F.col("partb")) & (F.col("valuea") == F.col("valueb")) & (hashing.hamming(F.col("ha"), F.col("hb")) <= threshold) & (first == F.col("parta"))
     if right is None:
-        pairs = pairs.filter("ha <= hb")
-    pairs = pairs.withColumn("distance", hashing.hamming(F.col("ha"), F.col("hb"))).filter(F.col("distance") <= threshold)
+        met = met & (F.col("ha") <= F.col("hb"))
+    pairs = cut(groups.select("dhash"), "a").join(cut(other.select("dhash"), "b"), met).select("ha", "hb", hashing.hamming(F.col("ha"), F.col("hb")).alias("distance"))
     out = pairs.join(groups.select(F.col("dhash").alias("ha"), F.explode("ids").alias("x")), "ha").join(other.select(F.col("dhash").alias("hb"), F.explode("ids").alias("y")), "hb")
     if right is not None:
         return out.select(F.col("x").alias("a"), F.col("y").alias("b"), "distance")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,7 +85,7 @@ def theta_distractors(products: DataFrame, pool: DataFrame, k: int = 3, cutoff:
     fewer than k there. Products with the same title and path are ranked once. The pool is a bounded sample in a build.
 
     products, pool: parent_asin, title, category, category_path, leaf_category."""
-    path = lambda c, leaf: F.concat_ws("\u001f", F.transform(c, F.lower), F.lower(leaf))
+    path = lambda c, leaf: F.concat_ws("\u001f", F.transform(c, text.fold), text.fold(leaf))
     place = [F.col("category"), F.col("category_path"), F.col("leaf_category")]
     own = products.select("title", *place, path(F.col("category_path"), F.col("leaf_category")).alias("path")).dropDuplicates(["title", "category", "path"])
     own = own.withColumn("tokens", text.tokens(F.col("title"), text.BUILD_STOP))
@@ -100,7 +97,7 @@ def theta_distractors(products: DataFrame, pool: DataFrame, k: int = 3, cutoff:
     def ranked(pairs: DataFrame) -> DataFrame:
         similarity = text.jaccard(F.col("tokens"), F.col("o_tokens"))
         taxonomy = text.taxonomy_score(F.col("category_path"), F.col("leaf_category"), F.col("category"), F.col("o_category_path"), F.col("o_leaf_category"), F.col("o_category"))
-        pairs = pairs.filter(F.lower("title") != F.lower("o_title")).withColumn("similarity", similarity).filter(F.col("similarity") < cutoff)
+        pairs = pairs.filter(text.fold(F.col("title")) != text.fold(F.col("o_title"))).withColumn("similarity", similarity).filter(F.col("similarity") < cutoff)
         pairs = pairs.withColumn("rank_score", F.round(taxonomy + 2.0 * F.least("similarity", F.lit(0.45)), 6))
         best = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("rank_score"), "o_title"))
         return pairs.withColumn("rank", best).filter(F.col("rank") <= k).select(*key, "rank", F.col("o_title").alias("distractor"), "rank_score")
@@ -113,42 +110,23 @@ def theta_distractors(products: DataFrame, pool: DataFrame, k: int = 3, cutoff:
 
 
 def greedy_two_key(df: DataFrame, first: str, second: str, order: str, limit: int | None = None) -> DataFrame:
-    """Rows in order, each kept if neither of its keys was kept before: only kept rows mark their keys.
-
-    Rows that share no key, directly or through others, don't affect each other, so the fold runs by connected component; ``limit`` takes
-    the first kept rows. Components are those of the key graph, found by spreading the least order."""
-    rows = df.withColumn("__c", F.col(order).cast("long"))
-    while True:  # rounds grow with a component's diameter; each is checkpointed
-        low = rows.withColumn("__a", F.min("__c").over(Window.partitionBy(first))).withColumn("__b", F.min("__c").over(Window.partitionBy(second)))
-        low = checkpointed(low.withColumn("__n", F.least("__a", "__b")))
-        done = low.filter("__n != __c").isEmpty()
-        rows = low.drop("__c", "__a", "__b").withColumnRenamed("__n", "__c")
-        if done:
-            break
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        seen_a, seen_b, keep = set(), set(), []
-        for a, b in zip(group[first], group[second], strict=True):
-            ok = a not in seen_a and b not in seen_b
-            keep.append(ok)
-            if ok:
-                seen_a.add(a)
-                seen_b.add(b)
-        return group[keep].drop(columns="__c")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for b in batches:  # rows come sorted by component and order
-            held = b if held is None else pd.concat([held, b])
-            last = held["__c"].iloc[-1]
-            whole, held = held[held["__c"] != last], held[held["__c"] == last]
-            for _, g in whole.groupby("__c", sort=False):
-                yield fold(g)
-        if held is not None and len(held):
-            yield fold(held)
-
-    kept = rows.repartition("__c").sortWithinPartitions("__c", order).mapInPandas(run, df.schema)
-    return kept.orderBy(order).limit(limit) if limit else kept
+    """Rows in order, each kept if neither of its keys was kept before: only kept rows mark their keys. ``limit`` takes the first kept rows.
+
+    A row that is the first one left of both its keys is kept whatever the others do, and then all rows with one of its keys are
+    settled. So each round keeps such rows and drops what they settle, until no row is left: for an order that isn't made up for it, about
+    as many rounds as the logarithm of the rows. Each round aggregates by either key and is checkpointed; no task holds a key's rows."""
+    rows = checkpointed(df.withColumn("__at", F.struct(F.col(order), F.monotonically_increasing_id().alias("id"))))
+    kept, left = None, rows.select("__at", first, second)
+    while not left.isEmpty():
+        one = left.groupBy(first).agg(F.min("__at").alias("__at"))
+        two = left.groupBy(second).agg(F.min("__at").alias("__at"))
+        now = checkpointed(one.join(two, "__at"))
+        kept = now if kept is None else kept.unionByName(now)
+        left = checkpointed(left.join(now.select(first), first, "left_anti").join(now.select(second), second, "left_anti"))
+    if kept is None:
+        return df.limit(0)
+    out = rows.join(kept.select("__at"), "__at", "left_semi").drop("__at").select(*df.columns)
+    return out.orderBy(order).limit(limit) if limit else out
 
 
 def distinct_rounds(rounds: DataFrame, pos: str = "pos") -> DataFrame:

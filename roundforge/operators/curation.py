@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roundforge.functions import text
 from roundforge.operators import screening as sc
+from roundforge.session import checkpointed, placed
 
 KEEP, REJECT = "keep", "reject"
 
@@ -51,7 +53,7 @@ def has_signal(flags: Column, signal: str) -> Column:
 
 
 def has_tag(tags: Column, tag: str) -> Column:
-    return F.lit(True) if tag in ("", "all") else F.coalesce(F.exists(tags, lambda t: F.lower(t) == tag.lower()), F.lit(False))
+    return F.lit(True) if tag in ("", "all") else F.coalesce(F.exists(tags, lambda t: text.fold(t) == tag.casefold()), F.lit(False))
 
 
 def order_by(sort: str) -> list[Column]:
@@ -123,13 +125,15 @@ def signal_names(rounds: DataFrame) -> DataFrame:
 def tag_names(annotations: DataFrame) -> DataFrame:
     """key, label: distinct tags whatever their case, spelled as first seen. annotations: pos, tags."""
     tags = annotations.select("pos", F.posexplode("tags").alias("at", "tag"))
-    return tags.groupBy(F.lower("tag").alias("key")).agg(F.min_by("tag", F.struct("pos", "at")).alias("label")).orderBy("label")
+    return tags.groupBy(text.fold(F.col("tag")).alias("key")).agg(F.min_by("tag", F.struct("pos", "at")).alias("label")).orderBy("label")
 
 
-def cursor(rows: DataFrame, order: list[str]) -> DataFrame:
-    """id with the next and previous id of the queue, which wraps around. For a queue that one curator looks at, a bounded set."""
-    w, whole = Window.orderBy(*order), Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.select("id", F.coalesce(F.lead("id").over(w), F.first("id").over(whole)).alias("next"), F.coalesce(F.lag("id").over(w), F.last("id").over(whole)).alias("previous"))
+def cursor(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """id with the next and previous id of the queue, which wraps around. ``order`` tells all rows apart."""
+    at = checkpointed(placed(rows, *order).select("id", "place"))
+    n = at.count()
+    beside = lambda step, name: at.select(F.pmod(F.col("place") + step, F.lit(n)).alias("place"), F.col("id").alias(name))
+    return at.join(beside(n - 1, "next"), "place").join(beside(1, "previous"), "place").select("id", "next", "previous")
 
 
 def export_actions(decisions: DataFrame, signature: str) -> DataFrame:
@@ -142,5 +146,5 @@ def export_workspace(decisions: DataFrame, annotations: DataFrame, presets: Data
     """One row, version 2: decisions and annotations as maps sorted by id, presets by name."""
     a = decisions.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", "decision")))).alias("decisions"))
     b = annotations.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", F.struct("note", "tags"))))).alias("annotations"))
-    c = presets.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.lower("name").alias("k"), F.struct(*presets.columns).alias("v")))), lambda x: x["v"]).alias("queue_presets"))
+    c = presets.agg(F.transform(F.array_sort(F.collect_list(F.struct(text.fold(F.col("name")).alias("k"), F.struct(*presets.columns).alias("v")))), lambda x: x["v"]).alias("queue_presets"))
     return a.join(b).join(c).select(F.lit(2).alias("version"), F.lit(signature).alias("dataset_signature"), "decisions", "annotations", "queue_presets")

@@ -26,8 +26,9 @@ def daily_rounds(rounds: DataFrame, date_key: str, count: int = 5) -> DataFrame:
 
 def daily_choices(choices: Column, date_key: str, round_id: Column) -> Column:
     """The day's order of a round's choices."""
-    seed = F.concat(F.lit(f"choices:{date_key}:"), round_id)
-    ranked = F.array_sort(F.transform(choices, lambda c, i: F.struct(rank_key(seed, c).alias("rank"), i.alias("i"), c.alias("c"))))
+    # the choices' hashes go on from that of the seed, which they share
+    seed = F.array(hashing.fnv1a(F.concat(F.lit(f"choices:{date_key}:"), round_id, F.lit("|"))))
+    ranked = F.flatten(F.transform(seed, lambda h: F.array_sort(F.transform(choices, lambda c, i: F.struct(hashing.fnv1a(c, h).alias("rank"), i.alias("i"), c.alias("c"))))))
     return F.transform(ranked, lambda x: x["c"])
 
 

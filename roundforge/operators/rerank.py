@@ -20,7 +20,7 @@ def candidate_bank(rounds: DataFrame) -> DataFrame:
     rows = rounds.select(F.coalesce(F.nullif("source_category", F.lit("")), F.lit("Other")).alias("category"), F.col("pos").alias("round_pos"), F.posexplode(offered).alias("at", "raw"))
     rows = rows.withColumn("title", text.collapse(F.col("raw"))).filter(F.coalesce("title", F.lit("")) != "")
     order = F.struct("round_pos", "at")
-    return rows.groupBy("category", F.lower("title").alias("key")).agg(F.min_by("title", order).alias("title"), F.min(order).alias("first")).select("category", "key", "title", F.col("first.round_pos").alias("pos"), F.col("first.at").alias("at"))
+    return rows.groupBy("category", text.fold(F.col("title")).alias("key")).agg(F.min_by("title", order).alias("title"), F.min(order).alias("first")).select("category", "key", "title", F.col("first.round_pos").alias("pos"), F.col("first.at").alias("at"))
 
 
 def top_distractors(rounds: DataFrame, bank: DataFrame, count: int = COUNT, cutoff: float = CUTOFF) -> DataFrame:
@@ -31,7 +31,7 @@ def top_distractors(rounds: DataFrame, bank: DataFrame, count: int = COUNT, cuto
     common tokens only. Then its score follows from the round's title, the other's common tokens and its size, so that the
     first titles of each such class stand for it. Where too few of them are below the cutoff and the class has
     more, the round's title is held against its whole category."""
-    keyed = rounds.select("id", F.coalesce(F.nullif("source_category", F.lit("")), F.lit("Other")).alias("category"), F.lower(text.collapse(F.col("title"))).alias("own_key"))
+    keyed = rounds.select("id", F.coalesce(F.nullif("source_category", F.lit("")), F.lit("Other")).alias("category"), text.fold(text.collapse(F.col("title"))).alias("own_key"))
     keyed = keyed.withColumn("set_key", F.array_join(F.array_sort(text.tokens(F.col("own_key"))), " "))
     k = count + 1
     titles = checkpointed(bank.select("category", "key", "title", text.tokens(F.col("title")).alias("other")))
@@ -75,7 +75,7 @@ def top_distractors(rounds: DataFrame, bank: DataFrame, count: int = COUNT, cuto
     found = by_rare.union(by_class).join(short, ["category", "set_key"], "left_anti").union(whole)
     rank = F.row_number().over(Window.partitionBy("category", "set_key").orderBy(F.desc("score"), "title"))
     best = found.withColumn("rank", rank).filter(F.col("rank") <= k)
-    others = keyed.join(best, ["category", "set_key"]).filter(F.lower("title") != F.col("own_key"))
+    others = keyed.join(best, ["category", "set_key"]).filter(text.fold(F.col("title")) != F.col("own_key"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("rank"))
     return others.withColumn("rank", place).filter(F.col("rank") <= count).select("id", "rank", "title", "score", "jaccard")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import io
 from collections.abc import Callable, Iterator
 
@@ -46,16 +47,21 @@ def summary_of(flags: Column) -> Column:
 def screen(rounds: DataFrame, extra: Column | None = None) -> DataFrame:
     """``rounds`` (review_title, review_text) with screening; ``extra`` flags come after those of the text."""
     flags = text_flags(F.col("review_title"), F.col("review_text"))
-    return rounds.withColumn("screening", summary_of(F.concat(flags, extra) if extra is not None else flags))
+    # a column of its own: the patterns are searched once, however often the summary looks at the flags
+    found = rounds.withColumn("__flags", F.array_distinct(F.concat(flags, extra) if extra is not None else flags))
+    return found.withColumn("screening", summary_of(F.col("__flags"))).drop("__flags")
 
 
 def exclude_high(screened: DataFrame) -> DataFrame:
     return screened.filter(~F.col("screening.high_risk"))
 
 
-def roll_up(screened: DataFrame) -> DataFrame:
-    """measure, key, n: rounds, needs_review, high_risk, and counts of flags and severities. Excluded rounds count too."""
-    one = F.array(F.lit("rounds"), F.when(F.col("screening.needs_review"), F.lit("needs_review")), F.when(F.col("screening.high_risk"), F.lit("high_risk")))
+def roll_up(screened: DataFrame, excluding: bool = False) -> DataFrame:
+    """measure, key, n: rounds, needs_review, high_risk, and counts of flags and severities; excluded and written, where rounds of high
+    risk are left out. Excluded rounds count in all the rest too."""
+    high = F.col("screening.high_risk")
+    left = [F.when(high, F.lit("excluded")).otherwise(F.lit("written"))] if excluding else []
+    one = F.array(F.lit("rounds"), *left, F.when(F.col("screening.needs_review"), F.lit("needs_review")), F.when(F.col("screening.high_risk"), F.lit("high_risk")))
     pair = lambda m, k: F.struct(F.lit(m).alias("measure"), k.alias("key"))
     rows = F.concat(F.transform(F.array_compact(one), lambda k: pair("total", k)), F.transform("screening.flags", lambda f: pair("flag", f["name"])), F.transform("screening.flags", lambda f: pair("severity", f["severity"])))
     return screened.select(F.explode(rows).alias("x")).groupBy("x.measure", "x.key").agg(F.count("*").alias("n"))
@@ -67,31 +73,62 @@ def image_state_flags(path: Column, exists: Column) -> Column:
 
 
 def _image_flags(content: bytes | None, detectors: list[Callable]) -> list[dict]:
+    from PIL import Image
+
     out = []
-    try:
-        from PIL import Image
-    except ImportError:
-        return out
     try:
         with Image.open(io.BytesIO(content)) as image:
             width, height = image.size
             exif = image.getexif()
             if exif.get_ifd(0x8825):
-                out.append(("exif_gps", "high"))
-            out += [(n, "medium") for tag, n in EXIF_FLAGS.items() if exif.get(tag) or exif.get_ifd(0x8769).get(tag)]
+                out.append(("exif_gps_location", "high", "image_metadata"))
+            out += [(n, "medium", "image_metadata") for tag, n in EXIF_FLAGS.items() if exif.get(tag) or exif.get_ifd(0x8769).get(tag)]
             if min(width, height) < 160:
-                out.append(("very_small_image", "low"))
+                out.append(("very_small_image", "low", "image"))
             if max(width, height) >= 5 * max(1, min(width, height)):
-                out.append(("extreme_aspect_ratio", "low"))
+                out.append(("extreme_aspect_ratio", "low", "image"))
             for detect in detectors:
                 out += detect(image)
     except Exception:  # whatever a decoder raises for bytes that are no image
-        out = [("image_unreadable", "medium")]
-    return [{"name": n, "severity": s, "source": "image"} for n, s in out]
+        out = [("image_unreadable", "medium", "image")]
+    return [{"name": n, "severity": s, "source": w} for n, s, w in out]
+
+
+def opencv_detector(faces: bool = True, codes: bool = True) -> Callable:
+    """A detector of faces and QR codes for image_flags(); its model is loaded on first use in a worker."""
+    made: dict[str, object] = {}
+
+    def detect(image) -> list[tuple[str, str, str]]:
+        import cv2
+        import numpy as np
+
+        grey, out = np.asarray(image.convert("L")), []
+        if faces:
+            if "faces" not in made:
+                made["faces"] = cv2.CascadeClassifier(f"{cv2.data.haarcascades}haarcascade_frontalface_default.xml")
+            if len(made["faces"].detectMultiScale(grey, scaleFactor=1.1, minNeighbors=5, minSize=(30, 30))):
+                out.append(("person_face_detected", "medium", "image"))
+        if codes:
+            text, corners, _ = cv2.QRCodeDetector().detectAndDecode(np.asarray(image.convert("RGB"))[:, :, ::-1])
+            if text or corners is not None:
+                out.append(("qr_code_detected", "medium", "image"))
+        return out
+
+    return detect
+
+
+def needs(*modules: str) -> None:
+    """An error that names what is missing, instead of images without flags."""
+    for m in modules:
+        if importlib.util.find_spec(m) is None:
+            raise RuntimeError(f"screening of images needs the library {m}")
 
 
-def image_flags(images: DataFrame, detectors: list[Callable] | None = None) -> DataFrame:
-    """``images`` (path, content) with flags from metadata, size and the given detectors (faces, codes). Pillow is optional: without it there are none."""
+def image_flags(images: DataFrame, detectors: list[Callable] | None = None, faces: bool = False, codes: bool = False) -> DataFrame:
+    """``images`` (path, content) with flags from metadata, size and detectors: the given ones (of a Pillow image; they return name, severity and
+    source), and OpenCV's for faces and QR codes. Needs Pillow, and OpenCV for faces and codes."""
+    needs("PIL", *["cv2"] * (faces or codes))
+    detectors = [*(detectors or []), *([opencv_detector(faces, codes)] if faces or codes else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -25,7 +25,7 @@ def round_errors(rounds: DataFrame) -> DataFrame:
         ("title is empty", has & (F.trim(F.coalesce(title, F.lit(""))) == "")),
         ("choices are not four", has & ~four),
         ("a choice is empty", has & four & F.exists(choices, lambda c: F.trim(F.coalesce(c, F.lit(""))) == "")),
-        ("choices repeat", has & four & (F.size(F.array_distinct(F.transform(spelled, F.lower))) != F.size(choices))),
+        ("choices repeat", has & four & (F.size(F.array_distinct(F.transform(spelled, text.fold))) != F.size(choices))),
         ("the title is not a choice", has & four & title.isNotNull() & ~F.coalesce(F.array_contains(spelled, title), F.lit(False))),
         ("parent is repeated", F.col("__parent_again")),
         ("rating is not from 1 to 5", has & rating.isNotNull() & ~F.coalesce(rating.between(1, 5), F.lit(False))),

@@ -149,14 +149,15 @@ def q_rewritten_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.rewrite_choices(r, found).select("id", F.array_join("choices", "|").alias("choices"))
 
 
-_LEAK = f"""pairs AS (SELECT doc_id, item_id, {q.tokens('b.text')} AS own, {q.tokens("'' || ' ' || d.text")} AS said FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)"""
+_LEAK = f"""pairs AS (SELECT doc_id, item_id, {q.tokens('b.text')} AS own, {q.tokens("'' || ' ' || d.text")} AS said FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"""
 
 
 @query(with_views("", "SELECT doc_id, round(CASE WHEN len(own) > 0 THEN len(list_intersect(own, said))::DOUBLE / len(own) ELSE 0.0::DOUBLE END, 6) AS leak FROM pairs", "").replace("SELECT doc_id, round", "WITH " + _LEAK + " SELECT doc_id, round", 1))
 def q_leak_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL-08, JN-15: how much of a benchmark item's words a document has."""
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("title"))
-    return d.join(b, F.col("doc_id") % 40 == F.col("item_id")).select("doc_id", r6(text.leak_ratio(F.col("title"), F.lit(""), F.col("text"))).alias("leak"))
+    items = F.broadcast(b.agg(F.count("*").alias("items")))  # one row
+    return d.join(items).join(b, F.col("doc_id") % F.col("items") == F.col("item_id")).select("doc_id", r6(text.leak_ratio(F.col("title"), F.lit(""), F.col("text"))).alias("leak"))
 
 
 # --- scores and audits -------------------------------------------------------------------------
@@ -281,14 +282,6 @@ def _two_key(reviews: DataFrame) -> DataFrame:
 
 @query()
 def q_greedy_two_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-04: first lines of orders, each kept if neither its order nor its part and supplier were kept before. Tested against a plain loop.
-
-    Reads l_linenumber = 1 alone, as its test does; q_greedy_two_key_all is the fold over all reviews."""
-    return _two_key(views.reviews(spark, sf_dir).filter("l_linenumber = 1"))
-
-
-@query()
-def q_greedy_two_key_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-04: all reviews in order, each kept if neither its order nor its part and supplier were kept before. Tested against a plain loop."""
     return _two_key(views.reviews(spark, sf_dir))
 
@@ -759,10 +752,11 @@ def q_decision_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.upsert(now, set_.union(clear))
 
 
-@query(with_views("rounds", "SELECT id, lead_id AS next, lag_id AS previous FROM (SELECT id, coalesce(lead(id) OVER w, first(id) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS lead_id, coalesce(lag(id) OVER w, last(id) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS lag_id FROM (SELECT * FROM rounds ORDER BY pos LIMIT 100) WINDOW w AS (ORDER BY pos))"))
+@query("WITH " + _Q + """, w AS (SELECT id, lead(id) OVER o AS l, lag(id) OVER o AS g, first_value(id) OVER o AS f, row_number() OVER o AS k, count(*) OVER () AS n FROM docq WINDOW o AS (ORDER BY priority DESC, pos))
+ SELECT id, coalesce(l, (SELECT id FROM w WHERE k = 1)) AS next, coalesce(g, (SELECT id FROM w WHERE k = n)) AS previous FROM w""")
 def q_queue_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-14: next and previous in the queue that one curator sees, its first 100 rounds: the bound is the feature."""
-    return curation.cursor(views.rounds(spark, sf_dir).select("id", "pos").orderBy("pos").limit(100), ["pos"])
+    """WIN-14: next and previous round of the whole queue, worst first, which wraps around."""
+    return curation.cursor(_queue(spark, sf_dir), [F.col("analysis.curation_priority").desc(), F.col("pos").asc()])
 
 
 @query(with_views("rounds", "SELECT id, source_category, title, 'https://www.amazon.com/dp/' || parent_asin AS source_url FROM (SELECT id, CASE WHEN source_category <> '' THEN source_category ELSE category END AS source_category, title, parent_asin FROM rounds WHERE review_image IS NOT NULL)"))

@@ -126,3 +126,40 @@ def test_choices_and_rounds(spark):
     r = spark.createDataFrame([("i1", ["a", "b", "c", "d"])], "id string, choices array<string>")
     got = build.shuffled_choices(r, 1).first()["choices"]
     assert sorted(got) == ["a", "b", "c", "d"] and got == build.shuffled_choices(r, 1).first()["choices"]
+
+
+def test_case_folding(spark):
+    from roundforge.functions import text
+
+    words = ["Straße Lampe", "STRASSE lampe", "ΟΔΟΣ οδος", "ﬁne ﬂow ſo", "İstanbul", "Größe", "plain", "K \u212a", "ẞ ŉ ǰ", "", None, "Ǆ ǆ ᾳ ΐ Ꮿ ꮿ"]
+    rows = spark.createDataFrame([(w,) for w in words], "x string").select("x", text.fold(F.col("x")).alias("f"), text.tokens(F.col("x")).alias("t")).collect()
+    assert [r["f"] for r in rows] == [None if w is None else w.casefold() for w in words]
+    assert rows[0]["t"] == rows[1]["t"] == ["strasse", "lampe"] and rows[3]["t"] == ["fine", "flow"]
+    everything = "".join(chr(c) for c in range(0x20, 0x3000) if not 0xD800 <= c < 0xE000)
+    got = spark.createDataFrame([(c,) for c in everything], "x string").select("x", text.fold(F.col("x")).alias("f")).collect()
+    # Java and Python may know different versions of Unicode: new letters apart, all agree
+    assert sum(r["f"] != r["x"].casefold() for r in got) <= 20
+
+
+def test_fnv_beyond_the_first_characters(spark):
+    from roundforge.functions import hashing
+
+    def fnv(text):
+        h = 2166136261
+        raw = text.encode("utf-16-le")
+        for i in range(0, len(raw), 2):
+            h = (h ^ int.from_bytes(raw[i : i + 2], "little")) * 16777619 & 0xFFFFFFFF
+        return h
+
+    words = ["", "a", "daily:2026|x", "é漢字", "🙂👍🏽x", "\U0010ffff"]
+    got = spark.createDataFrame([(w,) for w in words], "x string").select(hashing.fnv1a(F.col("x")).alias("h"), hashing.fnv1a(F.col("x"), hashing.fnv1a(F.lit("seed|"))).alias("s")).collect()
+    assert [(r["h"], r["s"]) for r in got] == [(fnv(w), fnv("seed|" + w)) for w in words]
+
+
+def test_places_without_a_global_sort(spark):
+    from roundforge.session import placed
+
+    rows = spark.range(5000).select(F.col("id"), (F.col("id") * 7919 % 101).alias("k")).repartition(7)
+    got = [(r["place"], r["id"]) for r in placed(rows, F.col("k").desc(), F.col("id").asc()).collect()]
+    want = sorted(range(5000), key=lambda i: (-(i * 7919 % 101), i))
+    assert sorted(got) == list(enumerate(want))
