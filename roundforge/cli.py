@@ -36,14 +36,14 @@ def build_pack(spark: SparkSession, a: argparse.Namespace) -> int:
         own = build.image_reviews(jsonl.reviews(jsonl.decode(jsonl.capped(jsonl.read_lines(spark, r), a.max_reviews))))
         parts.append(build.sample(own, build.review_capacity(build.oversample(wanted)), a.seed, "parent_asin", "review_image", "pos").withColumn("source_category", F.lit(c)))
         pools.append(jsonl.products(jsonl.decode(jsonl.capped(jsonl.read_lines(spark, m), a.max_products))).withColumn("source_category", F.lit(c)))
-    reviews, products = parts[0], pools[0]
-    for x, y in zip(parts[1:], pools[1:], strict=True):
-        reviews, products = reviews.unionByName(x), products.unionByName(y)
+    reviews, products = build.union_all(parts), build.union_all(pools)
     matched = build.with_products(reviews.drop("pos"), build.wanted_products(products, reviews).drop("source_category"))
     order = hashing.keyed(a.seed, F.col("parent_asin"), F.col("review_image"))
     matched = matched.withColumn("pos", F.conv(F.substring(order, 1, 15), 16, 10).cast("long")).dropDuplicates(["pos"])
     unique = build.greedy_two_key(matched, "review_image", "parent_asin", "pos")
     pool = build.eligible_products(products)
+    if {"source_category", "pos"} <= set(pool.columns):  # each category's titles to choose from are a bounded sample
+        pool = build.per_group_limit(pool, "source_category", build.pool_capacity(build.oversample(wanted)), [hashing.keyed(a.seed, F.col("parent_asin"), F.col("pos").cast("string")), "pos"])
     found = build.theta_distractors(unique, pool)
     chosen = found.groupBy("parent_asin").agg(F.collect_list("distractor").alias("choices")).filter(F.size("choices") == 3)
     rounds = build.assemble(unique).join(chosen.withColumnRenamed("parent_asin", "p"), F.col("product.parent_asin") == F.col("p")).drop("p")

@@ -24,11 +24,13 @@ def _special() -> dict[str, str]:
 
 
 def fold(x: Column) -> Column:
-    """Case folding: what is equal but for case becomes equal. Texts with none of the special characters are lowered."""
-    special = _special()
-    table = F.create_map(*[F.lit(v) for pair in special.items() for v in pair])
+    """Case folding: what is equal but for case becomes equal. Sharp s and plain letters are quick; only texts with characters that may be
+    special otherwise are gone through one by one."""
+    # one literal, as a map of literals would weigh on every plan
+    table = F.str_to_map(F.lit("\u0001".join(f"{c}\u0002{f}" for c, f in _special().items())), F.lit("\u0001"), F.lit("\u0002"))
     each = F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.lower(c)))
-    return F.when(x.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in special) + "]"), F.array_join(each, "")).otherwise(F.lower(x))
+    plain = F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
+    return F.when(plain.rlike(r"[^\x00-\xb4\xb6-\u0148]"), F.array_join(each, "")).otherwise(plain)
 
 
 def collapse(x: Column) -> Column:
@@ -199,6 +201,13 @@ def result_squares(outcomes: Column) -> Column:
     return F.array_join(F.transform(outcomes, lambda o: F.when(o == "correct", "🟩").when(o == "wrong", "🟥").otherwise("⬜")), "")
 
 
+def share_text(game: str, date: Column, correct: Column, total: Column, score: Column, outcomes: Column, url: Column) -> Column:
+    """What a player shares of a day: the game and the day, the result, squares, and an address if there is one. game: its title."""
+    first = F.concat(F.lit(f"{game} Daily "), date)
+    second = F.concat(correct.cast("string"), F.lit("/"), total.cast("string"), F.lit(" · "), score.cast("string"), F.lit(" pts"))
+    return F.concat_ws("\n", first, second, result_squares(outcomes), F.nullif(url, F.lit("")))
+
+
 def headline(correct: Column, total: Column) -> Column:
     """The tier of a finished game."""
     ratio = F.when(total > 0, correct / total).otherwise(0.0)

@@ -32,6 +32,14 @@ def check_limits(limit: int, categories: list[str] | None = None) -> None:
         raise ValueError("at least one category is needed")
 
 
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    """The parts' rows, one part after the other, columns by name."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def image_reviews(reviews: DataFrame) -> DataFrame:
     """Reviews with an image and a parent."""
     return reviews.filter(F.col("review_image").isNotNull() & (F.coalesce("parent_asin", F.lit("")) != ""))
@@ -76,6 +84,17 @@ def with_products(reviews: DataFrame, products: DataFrame) -> DataFrame:
     return reviews.join(last_by(products, "parent_asin"), "parent_asin")
 
 
+def build_rank(taxonomy: Column, similarity: Column, chance: Column | None = None) -> Column:
+    """How plausible a title is: taxonomy, a little title overlap, and chance (from 0 to 1), which breaks ties."""
+    rank = taxonomy + 2.0 * F.least(similarity, F.lit(0.45))
+    return rank if chance is None else rank + 0.35 * chance
+
+
+def chance(seed: int | str, *key: Column) -> Column:
+    """A number from 0 to 1 that is drawn by digest, the same for a seed."""
+    return F.conv(F.substring(hashing.keyed(seed, *key), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
 def theta_distractors(products: DataFrame, pool: DataFrame, k: int = 3, cutoff: float = 0.72) -> DataFrame:
     """For each product the k most plausible titles of its category in the pool: taxonomy, then a little title overlap; titles as
     similar as ``cutoff`` are left out. Fewer are returned where the category has fewer.
@@ -98,7 +117,7 @@ def theta_distractors(products: DataFrame, pool: DataFrame, k: int = 3, cutoff:
         similarity = text.jaccard(F.col("tokens"), F.col("o_tokens"))
         taxonomy = text.taxonomy_score(F.col("category_path"), F.col("leaf_category"), F.col("category"), F.col("o_category_path"), F.col("o_leaf_category"), F.col("o_category"))
         pairs = pairs.filter(text.fold(F.col("title")) != text.fold(F.col("o_title"))).withColumn("similarity", similarity).filter(F.col("similarity") < cutoff)
-        pairs = pairs.withColumn("rank_score", F.round(taxonomy + 2.0 * F.least("similarity", F.lit(0.45)), 6))
+        pairs = pairs.withColumn("rank_score", F.round(build_rank(taxonomy, F.col("similarity")), 6))
         best = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("rank_score"), "o_title"))
         return pairs.withColumn("rank", best).filter(F.col("rank") <= k).select(*key, "rank", F.col("o_title").alias("distractor"), "rank_score")
 

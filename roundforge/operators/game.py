@@ -68,3 +68,18 @@ def results(scored: DataFrame, player: str = "user_id") -> DataFrame:
 
     n, c = F.count("*"), F.count_if(F.col("outcome") == "correct")
     return scored.groupBy(player).agg(n.alias("answers"), c.alias("correct"), F.sum("points").cast("long").alias("score"), F.max("streak").alias("best_streak")).withColumn("headline", headline(F.col("correct"), F.col("answers")))
+
+
+def save_daily(saved: DataFrame, results: DataFrame) -> DataFrame:
+    """Saved results with those of finished games: the last one of a dataset and a day holds. Both: dataset_signature, date_key, pos, outcomes, score, correct, skipped."""
+    rows = saved.unionByName(results)
+    rest = [c for c in rows.columns if c not in ("dataset_signature", "date_key")]
+    return rows.groupBy("dataset_signature", "date_key").agg(F.max_by(F.struct(*rest), "pos").alias("r")).select("dataset_signature", "date_key", "r.*").select(*rows.columns)
+
+
+def restore_daily(saved: DataFrame, signature: str, count: int = 5) -> DataFrame:
+    """The results of a dataset, each with ``count`` outcomes: more are cut, missing ones count as skipped. Rows without outcomes are no results."""
+    own = saved.filter((F.col("dataset_signature") == signature) & F.col("outcomes").isNotNull())
+    padded = F.slice(F.concat("outcomes", F.array_repeat(F.lit("skipped"), count)), 1, count)
+    numbers = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("score", "correct", "skipped")}
+    return own.withColumns({"outcomes": padded} | numbers)

@@ -795,3 +795,6 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED
 def q_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: session windows."""
     return ev.sessions(table(spark, sf_dir, "events"))
+
+
+from roundforge.plans import files  # noqa: E402, F401  it adds its queries to those above

@@ -1,4 +1,5 @@
-"""Writers. Files of a shard or an asset are written by tasks, under names that make a repeated write harmless."""
+"""Writers. Files of a shard or an asset are written by tasks, through the file system of their folder's URI, under names that make a repeated
+write harmless. Packs, reports and manifests are written by the driver."""
 
 from __future__ import annotations
 
@@ -12,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roundforge.sources import stores
 from roundforge.sources.packs import safe_relative
 
 
@@ -37,17 +39,20 @@ def write_pack(rounds: DataFrame, header: dict, path: str) -> None:
 
 
 def write_shards(rounds: DataFrame, folder: str, header: dict, prefix: str = "shards/rounds") -> DataFrame:
-    """Writes a canonical JSON file for each shard (rounds: shard, place, json); returns id, path, round_count, sha256. A task holds one shard at a time."""
+    """Writes a canonical JSON file for each shard (rounds: shard, place, json) below ``folder``, a URI or a local path; returns id,
+    path, round_count, sha256. A task holds one shard at a time. A shard's number, from 1, is its id's."""
     safe_relative(prefix)
+    count = rounds.select("shard").distinct().count()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
         now = None
 
         def done() -> pd.DataFrame:
-            data = canonical_json(header | {"shard": {"id": now}, "rounds": [json.loads(j) for j in held]})
+            data = canonical_json(header | {"shard": {"id": now, "index": int(now), "count": count}, "rounds": [json.loads(j) for j in held]})
             path = f"{prefix}-{now}.json"
-            replace_file(Path(folder) / path, data)
+            store, root = stores.opened(folder)
+            stores.replace(store, f"{root.rstrip('/')}/{path}", data)
             return pd.DataFrame([(now, path, len(held), hashlib.sha256(data).hexdigest())], columns=["id", "path", "round_count", "sha256"])
 
         for b in batches:
@@ -67,15 +72,17 @@ def write_assets(images: DataFrame, folder: str) -> DataFrame:
     """Stores contents (url, content, extension) under their digest; returns url, name, sha256 and the bytes written, 0 if the file was there."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = stores.opened(folder)
         for b in batches:
             out = []
             for url, content, extension in zip(b["url"], b["content"], b["extension"], strict=True):
                 digest = hashlib.sha256(content).hexdigest()
-                path = Path(folder) / f"{digest[:24]}{extension}"
-                new = not path.exists()
+                name = f"{digest[:24]}{extension}"
+                path = f"{root.rstrip('/')}/{name}"
+                new = stores.size(store, path) is None
                 if new:
-                    replace_file(path, bytes(content))
-                out.append((url, path.name, digest, len(content) if new else 0))
+                    stores.replace(store, path, bytes(content))
+                out.append((url, name, digest, len(content) if new else 0))
             yield pd.DataFrame(out, columns=["url", "name", "sha256", "bytes_written"])
 
     return images.select("url", "content", "extension").mapInPandas(run, "url string, name string, sha256 string, bytes_written long")

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -70,17 +70,14 @@ def read_lines(spark: SparkSession, source: str) -> DataFrame:
 
 
 def numbered(lines: DataFrame) -> DataFrame:
-    """Lines with number, from 0 without gaps: places within partitions, plus the sizes of the partitions before (one small row each)."""
-    at = lines.withColumn("__part", F.spark_partition_id())
-    sizes = at.groupBy("__part").agg(F.count("*").alias("n"), F.min("pos").alias("low"))
-    starts = {r["__part"]: r["low"] for r in sizes.collect()}
-    total, before = 0, {}
-    for r in sorted(sizes.collect(), key=lambda r: r["__part"]):
-        before[r["__part"]], total = total - starts[r["__part"]], total + r["n"]
-    if not before:
-        return lines.withColumn("number", F.col("pos"))
-    table = F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v)])
-    return at.withColumn("number", F.col("pos") + table[F.col("__part")]).drop("__part")
+    """Lines with number, from 0 without gaps. pos has a partition in its upper bits and the place there in its lower ones; the sizes of the
+    partitions before, a row for each, are summed up."""
+    part = F.shiftright("pos", 33)
+    sizes = lines.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("__part", before.alias("__before"))
+    number = F.col("__before") + F.col("pos").bitwiseAND(F.lit((1 << 33) - 1))
+    return lines.withColumn("__part", part).join(F.broadcast(sizes), "__part").withColumn("number", number.cast("long")).drop("__part", "__before")
 
 
 def capped(lines: DataFrame, limit: int | None) -> DataFrame:

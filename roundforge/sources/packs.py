@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from pathlib import Path, PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,13 +93,17 @@ def read_decisions(spark: SparkSession, path: str, signature: str | None = None)
 
 
 def read_files(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
-    """path (relative) and length of the files below a folder, links left out; with content only if asked for."""
+    """path (relative) and length of the files below a folder, links and what they lead to left out; with content only if asked for."""
     root = Path(folder).resolve()
-    linked = [str(p) for p in root.rglob("*") if p.is_symlink()]
+    linked = [(str(p.relative_to(root)),) for p in root.rglob("*") if p.is_symlink()]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(root))
-    path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{root}/", "")
+    path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{re.escape(str(root))}/", "")
     out = files.select(path.alias("path"), "length", *(["content"] if content else []))
-    for p in linked:
-        rel = str(Path(p).relative_to(root))
-        out = out.filter((F.col("path") != rel) & ~F.col("path").startswith(rel + "/"))
-    return out
+    if not linked:
+        return out
+    links = spark.createDataFrame(linked, "link string")
+    # a path is left out if a folder above it, or it itself, is a link
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    below = out.select("path", F.explode(above).alias("link")).join(links, "link", "left_semi").select("path").distinct()
+    return out.join(below, "path", "left_anti")
