@@ -105,6 +105,34 @@ def import_merge(own: DataFrame, imported: DataFrame, rounds: DataFrame) -> Data
     return own.join(valid.select("id"), "id", "left_anti").unionByName(valid)
 
 
+def import_annotations(own: DataFrame, imported: DataFrame, rounds: DataFrame) -> DataFrame:
+    """Own notes and tags (id, note, tags) with imported ones of known rounds in their place; imported rows that are empty change nothing."""
+    norm = text.normalize_annotation(F.col("note"), F.col("tags"))
+    valid = imported.withColumn("__a", norm).filter("__a is not null").join(rounds.select("id"), "id", "left_semi").select("id", "__a.note", "__a.tags")
+    return own.join(valid.select("id"), "id", "left_anti").select("id", "note", "tags").unionByName(valid)
+
+
+def import_presets(own: DataFrame, imported: DataFrame) -> DataFrame:
+    """Own presets with imported ones, which take the place of those of the same name whatever its case; of an import's the last one holds.
+    Both: pos, name and further fields; presets without a name are left out."""
+    rows = own.withColumn("__new", F.lit(0)).unionByName(imported.withColumn("__new", F.lit(1))).withColumn("name", text.clean(F.col("name"), 60)).filter("name != ''")
+    rest = [c for c in own.columns if c != "__new"]
+    return rows.groupBy(text.fold(F.col("name")).alias("__key")).agg(F.max_by(F.struct(*rest), F.struct("__new", "pos")).alias("r")).select("r.*")
+
+
+def decide(queue_rows: DataFrame, decisions: DataFrame, undo: DataFrame, id_: str, value: str | None, order: list[Column], status: str = "undecided") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One decision of a curator: the decisions with it, the undo log, which it clears, and the id to show next. A queue of undecided rounds
+    loses the round, and the next one moves up, or the last one at the end; other queues go on to the next one and wrap around."""
+    change = queue_rows.sparkSession.createDataFrame([(id_, value, 0)], "id string, decision string, pos int")
+    after = upsert(decisions.select("id", "decision"), change)
+    step = cursor(queue_rows, order).join(F.broadcast(change.select("id")), "id")  # one row
+    if status == "undecided":
+        last = checkpointed(placed(queue_rows, *order).select("id", "place"))
+        at_end = last.agg(F.max_by("id", "place").alias("last"))
+        step = step.join(at_end).withColumn("next", F.when(F.col("id") == F.col("last"), F.nullif("previous", "id")).otherwise(F.col("next")))
+    return after, undo.limit(0), step.select(F.col("next").alias("id"))
+
+
 def snapshot(decisions: DataFrame, rounds: DataFrame) -> DataFrame:
     """Decisions with valid values, of known rounds."""
     return decisions.filter(F.col("decision").isin(KEEP, REJECT)).join(rounds.select("id"), "id", "left_semi")

@@ -157,6 +157,16 @@ def score_flags(scores: Column, positive: list[str], review: float = REVIEW_THRE
     return F.when(top >= high, F.array(flag("model_nsfw_content", "high", "image_model"))).when(top >= review, F.array(flag("model_nsfw_content", "medium", "image_model"))).otherwise(F.array().cast(f"array<{FLAG}>"))
 
 
+def parse_device(value: str | None) -> int | str | None:
+    """Where a model runs: None chooses by itself, -1 is the CPU, a number is a device; anything else is passed on."""
+    plain = (value or "").strip().lower()
+    if plain in ("", "auto"):
+        return None
+    if plain == "cpu":
+        return -1
+    return int(plain) if plain.lstrip("+-").isdigit() else value
+
+
 def classify(images: DataFrame, load: Callable[[], Callable[[bytes], list[dict]]]) -> DataFrame:
     """``images`` (path, content) with scores. The model is loaded once by each worker, and each distinct path is classified once."""
 

@@ -9,6 +9,8 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roundforge.functions import hashing
+
 STRATEGIES = ("reject", "prefer_local", "prefer_remote")
 HISTORY = (1, 100)
 REVISIONS = "dataset_signature string, revision long, workspace_json string, actor string, created_at string"
@@ -35,6 +37,11 @@ def valid_signature(x: Column) -> Column:
     return F.coalesce(x.rlike(r"^[A-Za-z0-9._-]{1,128}$"), F.lit(False))
 
 
+def dirty(saved: Column, now: Column) -> Column:
+    """Whether a workspace (JSON) differs from what was saved, by fingerprints that don't depend on the order of keys."""
+    return ~hashing.fingerprint(saved).eqNullSafe(hashing.fingerprint(now))
+
+
 def head(revisions: DataFrame) -> DataFrame:
     """The last revision of each signature."""
     rest = [c for c in revisions.columns if c != "dataset_signature"]

@@ -797,4 +797,4 @@ def q_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.sessions(table(spark, sf_dir, "events"))
 
 
-from roundforge.plans import files  # noqa: E402, F401  it adds its queries to those above
+from roundforge.plans import files, more  # noqa: E402, F401  they add their queries to those above

@@ -12,6 +12,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 LATE = "10 minutes"
 
 
+def debounced(changes: DataFrame, key: str, value: str, delay: str = "700 milliseconds", late: str = LATE) -> DataFrame:
+    """The change that is saved of each run of a key's changes (ts, value) without a pause of ``delay``: the last one, when the pause is over."""
+    s = F.session_window("ts", delay)
+    return changes.withWatermark("ts", late).groupBy(s.alias("s"), key).agg(F.max_by(value, F.struct("ts", value)).alias(value), F.count("*").alias("changes")).select(key, F.col("s.end").alias("saved_at"), value, "changes")
+
+
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
     """New Parquet files of a folder as a stream; event times without a zone are UTC, the session's zone."""
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
