@@ -42,6 +42,7 @@ for _name, (_filter, _sql) in FILTERS.items():
 
 @query(with_views("rounds", """SELECT error, pos FROM (SELECT pos, unnest(list_filter([CASE WHEN review_image IS NULL OR review_image = 'odd' THEN 'image is no address or asset path' END,
  CASE WHEN pos % 19 = 0 THEN 'title is empty' END, CASE WHEN len(choices) <> 4 THEN 'choices are not four' END, CASE WHEN len(choices) = 4 AND pos % 23 = 0 THEN 'a choice is empty' END,
+ CASE WHEN len(choices) = 4 AND len(list_distinct(list_transform(CASE WHEN pos % 23 = 0 THEN list_prepend(' ', choices[2:4]) ELSE choices END, lambda c: lower(c)))) <> 4 THEN 'choices repeat' END,
  CASE WHEN len(choices) = 4 AND CASE WHEN pos % 19 = 0 THEN pos % 23 <> 0 WHEN pos % 29 = 0 THEN true ELSE pos % 23 = 0 AND choices[1] = title END THEN 'the title is not a choice' END, CASE WHEN pos % 31 = 0 AND pos > 31 THEN 'parent is repeated' END], lambda x: x IS NOT NULL)) AS error FROM rounds)"""))
 def q_validate_more_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VAL-01: empty titles and choices, titles that are no choice, repeated parents."""
