@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
@@ -31,20 +32,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset in local mode, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = at.get() if at.isDefined() else None
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="roundforge-")
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
+def few_files(spark: SparkSession) -> None:
+    """Shuffles of small tables end in as few partitions as their size asks for, unless the session says otherwise: each is a file of a
+    table or checkpoint, and where Hadoop lacks its native library, a process that sets the file's permissions."""
+    key = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, "false")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the shared folder."""
     shared_dir(df.sparkSession)
+    few_files(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -67,6 +80,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, safe when executors are lost."""
     at = scratch(df.sparkSession, name)
+    few_files(df.sparkSession)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 

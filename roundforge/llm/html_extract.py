@@ -513,8 +513,9 @@ class Model:
     key: str = ""
 
 
+@lru_cache(maxsize=4)
 def fit(training: Training = Training()) -> Model:
-    """Fitted on the driver, from generated pages alone."""
+    """Fitted on the driver, from generated pages alone, once for each ``training``."""
     x, y = training_rows(training)
     return Model(gbt.fit(x, y, training.trees, training.depth, bins=32, min_hessian=4.0), uuid.uuid4().hex)
 

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from roundforge.llm.common import as_text, in_arrow, map_texts, scratch, slices, written
+from roundforge.sources.stores import opened
 
 WIDTH = 64
 ARCHIVE_BYTES = 32_000_000
@@ -44,26 +45,6 @@ ATTEMPTS = 4
 _PNG = b"\x89PNG\r\n\x1a\n"
 
 
-#: Hadoop's names of stores that Arrow opens by another one.
-SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
-
-
-def opened(uri: str) -> tuple[fs.FileSystem, str]:
-    """The store of a path, and the path in it."""
-    scheme, _, rest = uri.partition(":")
-    if scheme == "dbfs":
-        return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
-    if scheme in SCHEMES:
-        uri = f"{SCHEMES[scheme]}:{rest}"
-    try:
-        return fs.FileSystem.from_uri(uri)
-    except pa.ArrowInvalid:
-        if "://" not in uri:
-            raise
-        host, _, path = rest.removeprefix("//").partition("/")
-        return fs.HadoopFileSystem(f"{scheme}://{host}"), "/" + path
-
-
 def payload_of(text: str) -> tuple[bytes, int]:
     raw = text.encode("utf-8", "surrogatepass")
     return raw + bytes(-len(raw) % WIDTH or (0 if raw else WIDTH)), len(raw)

@@ -286,8 +286,18 @@ def _label(generator: int, start: int, end: int, gold: list[tuple[int, int, int]
     return int(any(g == generator and 2 * (min(end, b) - max(start, a)) > max(end, b) - min(start, a) for g, a, b in gold))
 
 
+_FITTED: dict[Training, Model] = {}
+
+
 def fit(spark: SparkSession, training: Training = Training()) -> Model:
-    """Fits the trees on the driver, on proposals that the expressions which search texts make of generated texts."""
+    """Fits the trees on the driver, on proposals that the expressions which search texts make of generated texts. The model follows from
+    ``training`` alone, so it is fitted once."""
+    if training not in _FITTED:
+        _FITTED[training] = _fit(spark, training)
+    return _FITTED[training]
+
+
+def _fit(spark: SparkSession, training: Training) -> Model:
     rng = random.Random(training.seed)
     made = [_training_text(rng) for _ in range(2 * training.texts)]
     rows = spark.createDataFrame(pd.DataFrame({"i": range(len(made)), "text": [t for t, _ in made]}))
