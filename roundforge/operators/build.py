@@ -104,19 +104,20 @@ def theta_distractors(products: DataFrame, pool: DataFrame, k: int = 3, cutoff:
     fewer than k there. Products with the same title and path are ranked once. The pool is a bounded sample in a build.
 
     products, pool: parent_asin, title, category, category_path, leaf_category."""
+    # texts are folded once, not for each pair
     path = lambda c, leaf: F.concat_ws("\u001f", F.transform(c, text.fold), text.fold(leaf))
-    place = [F.col("category"), F.col("category_path"), F.col("leaf_category")]
-    own = products.select("title", *place, path(F.col("category_path"), F.col("leaf_category")).alias("path")).dropDuplicates(["title", "category", "path"])
-    own = own.withColumn("tokens", text.tokens(F.col("title"), text.BUILD_STOP))
-    other = pool.dropDuplicates(["category", "title"]).select(*[F.col(c).alias(f"o_{c}") for c in ("title", "category", "category_path", "leaf_category")], text.tokens(F.col("title"), text.BUILD_STOP).alias("o_tokens"))
-    other = other.withColumn("o_path", path(F.col("o_category_path"), F.col("o_leaf_category")))
+    parts = lambda name: [F.transform("category_path", text.fold).alias(f"{name}_path_parts"), text.fold(F.coalesce("leaf_category", F.lit(""))).alias(f"{name}_leaf"), text.fold(F.coalesce("category", F.lit(""))).alias(f"{name}_kind"), text.fold(F.col("title")).alias(f"{name}_key"), text.tokens(F.col("title"), text.BUILD_STOP).alias(f"{name}_tokens")]
+    here = path(F.col("category_path"), F.col("leaf_category"))
+    own = products.select("title", "category", "category_path", "leaf_category", here.alias("path")).dropDuplicates(["title", "category", "path"])
+    own = own.select("title", "category", "path", *parts("own"))
+    other = pool.dropDuplicates(["category", "title"]).select(F.col("title").alias("o_title"), F.col("category").alias("o_category"), here.alias("o_path"), *parts("o"))
     same = F.col("category") == F.col("o_category")
     key = ["title", "category", "path"]
 
     def ranked(pairs: DataFrame) -> DataFrame:
-        similarity = text.jaccard(F.col("tokens"), F.col("o_tokens"))
-        taxonomy = text.taxonomy_score(F.col("category_path"), F.col("leaf_category"), F.col("category"), F.col("o_category_path"), F.col("o_leaf_category"), F.col("o_category"))
-        pairs = pairs.filter(text.fold(F.col("title")) != text.fold(F.col("o_title"))).withColumn("similarity", similarity).filter(F.col("similarity") < cutoff)
+        similarity = text.jaccard(F.col("own_tokens"), F.col("o_tokens"))
+        taxonomy = text.taxonomy_score(*[F.col(f"{side}_{c}") for side in ("own", "o") for c in ("path_parts", "leaf", "kind")], folded=True)
+        pairs = pairs.filter(F.col("own_key") != F.col("o_key")).withColumn("similarity", similarity).filter(F.col("similarity") < cutoff)
         pairs = pairs.withColumn("rank_score", F.round(build_rank(taxonomy, F.col("similarity")), 6))
         best = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("rank_score"), "o_title"))
         return pairs.withColumn("rank", best).filter(F.col("rank") <= k).select(*key, "rank", F.col("o_title").alias("distractor"), "rank_score")
@@ -124,7 +125,7 @@ def theta_distractors(products: DataFrame, pool: DataFrame, k: int = 3, cutoff:
     near = ranked(own.join(other, same & (F.col("path") == F.col("o_path"))))
     enough = near.filter(F.col("rank") == k).select(*key)
     found = near.join(enough, key, "left_semi").unionByName(ranked(own.join(enough, key, "left_anti").join(other, same)))
-    back = products.select("parent_asin", "title", "category", path(F.col("category_path"), F.col("leaf_category")).alias("path"))
+    back = products.select("parent_asin", "title", "category", here.alias("path"))
     return back.join(found, key).select("parent_asin", "rank", "distractor", "rank_score")
 
 
