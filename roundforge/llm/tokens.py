@@ -56,7 +56,9 @@ class _Pool:
     def take(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = self.size[codes]
         end = np.cumsum(size)
-        at = np.arange(int(end[-1]) if len(end) else 0) + np.repeat(self.start[codes] - end + size, size)
+        # places fit 32 bits: the cache is bounded, and so is a slice
+        at = np.repeat((self.start[codes] - end + size).astype(np.int32), size)
+        at += np.arange(len(at), dtype=np.int32)
         return self.ids[at], size
 
 
@@ -130,7 +132,7 @@ class WordEncoder:
         index = coded.indices.to_numpy(zero_copy_only=False)
         self.seen = np.concatenate([self.seen, np.zeros(len(self.words) - len(self.seen), np.int64)])
         self.seen[code] += np.bincount(index, minlength=len(code))
-        codes = code[index]
+        codes = code.astype(np.int32)[index]
         if self.end is not None:
             codes, counts = np.insert(codes, np.cumsum(counts), 0), counts + 1
         ids, size = self.ids.take(codes)
