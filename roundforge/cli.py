@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from functools import partial
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -141,6 +142,34 @@ def prune(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def cache_images(spark: SparkSession, a: argparse.Namespace) -> int:
+    threshold = None if a.perceptual_threshold is None else int(a.perceptual_threshold)
+    rounds, stats = assets.cache_rounds(packs.read_inline(spark, a.pack), a.root, str(Path(a.folder).resolve()), a.prefix, keep_failed=a.keep_failed, keep_exact=a.keep_exact_duplicates, threshold=threshold, max_bytes=a.max_mb * 1_000_000, workers=a.workers)
+    told = stats.first().asDict() | {"perceptual_threshold": threshold, "asset_prefix": a.prefix}
+    print(told)
+    writers.write_pack(rounds, {"version": 2, "image_cache": told}, a.output)
+    return 0
+
+
+def _s3_client(endpoint: str | None):
+    import boto3
+
+    return boto3.client("s3", endpoint_url=endpoint)
+
+
+def upload(spark: SparkSession, a: argparse.Namespace, client=None) -> int:
+    """Puts a folder's files into a bucket and then tells the manifest where they are. client: makes one for each task, boto3's by default."""
+    root = str(Path(a.folder).resolve())
+    plan = checkpointed(assets.upload_plan(packs.read_files(spark, root).withColumn("path", F.concat(F.lit(f"{root}/"), "path")), root, a.key_prefix))
+    if plan.isEmpty():
+        raise SystemExit("there are no files to upload")
+    writers.upload(plan, client or partial(_s3_client, a.endpoint), a.bucket)
+    if a.manifest:
+        writers.patch_manifest(a.manifest, a.prefix, a.base_url)
+    print(plan.agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).first().asDict())
+    return 0
+
+
 def publish(spark: SparkSession, a: argparse.Namespace) -> int:
     plan = assets.upload_plan(packs.read_files(spark, a.folder).withColumn("path", F.concat(F.lit(f"{Path(a.folder).resolve()}/"), "path")), str(Path(a.folder).resolve()), a.prefix)
     print(plan.agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).first().asDict())
@@ -159,6 +188,8 @@ COMMANDS = {
     "shard": (shard, ["pack", "output", "--size=250", "--seed=0"]),
     "validate-shards": (check_shards, ["manifest"]),
     "prune": (prune, ["folder", "packs+", "--prefix=assets/reviews", "--delete"]),
+    "cache-images": (cache_images, ["pack", "folder", "output", "--prefix=assets/review-cache", "--root=.", "--workers=12", "--max-mb=20", "--keep-failed", "--keep-exact-duplicates", "--perceptual-threshold="]),
+    "upload": (upload, ["folder", "bucket", "--key-prefix=", "--endpoint=", "--manifest=", "--prefix=assets/reviews", "--base-url="]),
     "publish-plan": (publish, ["folder", "prefix", "--report="]),
 }
 

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from roundforge.functions import hashing
 from roundforge.functions.text import safe_path
+from roundforge.operators.screening import needs
 from roundforge.session import checkpointed
+from roundforge.sinks import writers
+from roundforge.sources import images
 
 MAX_THRESHOLD = 16
 #: First bytes of image formats, and content types.
@@ -44,8 +47,8 @@ def public_path(prefix: str, name: Column) -> Column:
     return F.concat_ws("/", F.lit(prefix.strip("/")), name)
 
 
-def dhash(images: DataFrame) -> DataFrame:
-    """``images`` (path, content) with dhash, a 64-bit difference hash; null where Pillow is missing or can't read the image."""
+def dhash(pictures: DataFrame) -> DataFrame:
+    """``pictures`` (path, content) with dhash, a 64-bit difference hash; null where Pillow is missing or can't read the image."""
 
     def one(content: bytes) -> int | None:
         try:
@@ -62,7 +65,7 @@ def dhash(images: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"path": b["path"], "dhash": pd.array([one(c) for c in b["content"]], dtype="Int64")})
 
-    return images.select("path", "content").mapInPandas(run, "path string, dhash long")
+    return pictures.select("path", "content").mapInPandas(run, "path string, dhash long")
 
 
 def _signed(bits: int) -> int:
@@ -129,6 +132,39 @@ def attach_images(rounds: DataFrame, fetched: DataFrame, keep_failed: bool = Fal
     return out.withColumn("review_image", F.coalesce("path", "review_image")).drop("path", "sha256", "dhash")
 
 
+def cache_rounds(rounds: DataFrame, root: str, folder: str, prefix: str, *, keep_failed: bool = False, keep_exact: bool = False, threshold: int | None = None, max_bytes: int = 20_000_000, workers: int = 12) -> tuple[DataFrame, DataFrame]:
+    """Rounds (pos, review_image) whose images are fetched, each address once, and stored in ``folder`` under their digests; and a row of counts.
+
+    Rounds whose image can't be had go, or stay as they are if keep_failed; of rounds with the same image the first stays, and with a
+    threshold (which needs Pillow) of those with similar ones."""
+    if max_bytes < 1 or workers < 1:
+        raise ValueError("max_bytes and workers must be positive")
+    if threshold is not None:
+        check_threshold(threshold)
+        needs("PIL")
+    got = checkpointed(images.fetch(rounds, root, workers, max_bytes))
+    found = got.filter("error is null").withColumn("extension", extension(F.col("content"), F.col("content_type"), F.col("url")))
+    stored = checkpointed(writers.write_assets(found, folder))
+    hashes = dhash(found.withColumnRenamed("url", "path")).withColumnRenamed("path", "url") if threshold is not None else None
+    known = stored.select("url", public_path(prefix, F.col("name")).alias("path"), "sha256")
+    known = known.join(hashes, "url") if hashes is not None else known.withColumn("dhash", F.lit(None).cast("long"))
+    attached = checkpointed(attach_images(rounds, known, keep_failed=True))
+    good, failed = attached.filter("review_image_sha256 is not null"), attached.filter("review_image_sha256 is null")
+    exact = good if keep_exact else exact_distinct(good, "review_image_sha256")
+    kept = exact
+    if threshold is not None:
+        value = F.conv("review_image_dhash", 16, -10).cast("long")
+        kept = greedy_perceptual(exact.withColumn("dhash", value), threshold).drop("dhash")
+    out = checkpointed(kept.unionByName(failed) if keep_failed else kept)
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    stats = one(rounds, "rounds_before").join(one(out, "rounds_after")).join(one(failed, "failed")).join(one(good, "good")).join(one(exact, "exact")).join(one(kept, "kept"))
+    sizes = stored.agg(F.coalesce(F.sum("bytes_written"), F.lit(0)).cast("long").alias("bytes_written")).join(one(got, "source_images"))
+    files = kept.agg(F.countDistinct("review_image_sha256").alias("unique_files"))
+    stats = stats.join(sizes).join(files)  # one row each
+    counts = [(F.col("good") - F.col("exact")).alias("exact_duplicates"), (F.col("exact") - F.col("kept")).alias("perceptual_duplicates")]
+    return out, stats.select("source_images", "rounds_before", "rounds_after", "failed", *counts, "unique_files", "bytes_written")
+
+
 def references(*packs: DataFrame, prefix: str = "assets/reviews") -> DataFrame:
     """Distinct safe paths below the prefix that the packs' rounds refer to; the prefix is compared part by part."""
     parts = prefix.strip("/").split("/")

@@ -280,6 +280,38 @@ def q_image_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("url", "name", "sha256", "bytes_first", "bytes_again", "content_type")
 
 
+_CACHED = """f AS (SELECT s_suppkey AS pos, 'i' || s_suppkey AS id, s_suppkey % 10 = 0 AS gone, 'picture of nation ' || s_nationkey AS content, s_suppkey || '.jpg' AS url FROM supplier),
+k AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY pos) AS n FROM f WHERE NOT gone)"""
+
+
+@query(f"WITH {_CACHED} SELECT id, url AS original, 'pics/' || substr(sha256(content), 1, 24) || '.jpg' AS image, sha256(content) AS sha256 FROM k WHERE n = 1 UNION ALL SELECT id, NULL, url, NULL FROM f WHERE gone")
+def q_cache_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-12, SNK-03, JN-06, WIN-08: rounds whose images are cached, equal ones once, with those that failed."""
+    return _cached(spark, sf_dir)[0].select("id", F.col("review_image_original").alias("original"), F.col("review_image").alias("image"), F.col("review_image_sha256").alias("sha256"))
+
+
+@query(f"WITH {_CACHED} SELECT (SELECT count(*) FROM f) AS source_images, (SELECT count(*) FROM f) AS rounds_before, (SELECT count(*) FROM k WHERE n = 1) + (SELECT count(*) FROM f WHERE gone) AS rounds_after, (SELECT count(*) FROM f WHERE gone) AS failed, (SELECT count(*) FROM k WHERE n > 1) AS exact_duplicates, 0::BIGINT AS perceptual_duplicates, (SELECT count(*) FROM k WHERE n = 1) AS unique_files")
+def q_cache_images_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-12: what caching did, in counts."""
+    return _cached(spark, sf_dir)[1].drop("bytes_written")  # equal images that are stored at the same time count twice
+
+
+def _cached(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    at = folder(spark, "originals")
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("picture of nation "), F.col("s_nationkey").cast("string")).alias("content")).filter(k % 10 != 0)
+
+    def run(batches):
+        for b in batches:
+            for key, content in zip(b["s_suppkey"], b["content"], strict=True):
+                writers.replace_file(Path(at, f"{key}.jpg"), content.encode())
+            yield pd.DataFrame({"n": [len(b)]})
+
+    rows.mapInPandas(run, "n long").collect()
+    rounds = table(spark, sf_dir, "supplier").select(k.cast("long").alias("pos"), F.concat(F.lit("i"), k.cast("string")).alias("id"), F.concat(k.cast("string"), F.lit(".jpg")).alias("review_image"))
+    return assets.cache_rounds(rounds, at, f"file://{at}-cache", "pics", keep_failed=True)
+
+
 @query("SELECT CASE WHEN s_suppkey % 10 = 0 THEN 'deep/' ELSE '' END || s_suppkey || '.jpg' AS path, length(s_name)::BIGINT AS length FROM supplier")
 def q_cache_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-13: files of a cache and of its folders, without links."""

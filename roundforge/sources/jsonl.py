@@ -69,20 +69,29 @@ def read_lines(spark: SparkSession, source: str) -> DataFrame:
     return lines.withColumn("pos", F.monotonically_increasing_id())
 
 
+def _before(lines: DataFrame) -> DataFrame:
+    """part, n, before: the lines of each partition and of those before it, a row for each. pos has a partition in its upper bits and the
+    place there in its lower ones."""
+    sizes = lines.groupBy(F.shiftright("pos", 33).alias("part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sizes.withColumn("before", before)
+
+
 def numbered(lines: DataFrame) -> DataFrame:
-    """Lines with number, from 0 without gaps. pos has a partition in its upper bits and the place there in its lower ones; the sizes of the
-    partitions before, a row for each, are summed up."""
-    part = F.shiftright("pos", 33)
-    sizes = lines.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("__part", before.alias("__before"))
+    """Lines with number, from 0 without gaps."""
+    sizes = _before(lines).select(F.col("part").alias("__part"), F.col("before").alias("__before"))
     number = F.col("__before") + F.col("pos").bitwiseAND(F.lit((1 << 33) - 1))
-    return lines.withColumn("__part", part).join(F.broadcast(sizes), "__part").withColumn("number", number.cast("long")).drop("__part", "__before")
+    return lines.withColumn("__part", F.shiftright("pos", 33)).join(F.broadcast(sizes), "__part").withColumn("number", number.cast("long")).drop("__part", "__before")
 
 
 def capped(lines: DataFrame, limit: int | None) -> DataFrame:
-    """The first ``limit`` physical lines; blank ones count."""
-    return lines if limit is None else numbered(lines).filter(F.col("number") < limit).drop("number")
+    """The first ``limit`` physical lines; blank ones count. Where they end is one number, so what follows is never looked at."""
+    if limit is None:
+        return lines
+    if limit < 1:
+        return lines.limit(0)
+    end = _before(lines).filter((F.col("before") < limit) & (F.col("before") + F.col("n") >= limit)).select(F.shiftleft("part", 33) + limit - F.col("before")).first()
+    return lines.filter(F.col("pos") < end[0]) if end else lines
 
 
 def decode(lines: DataFrame, strict: bool = True) -> DataFrame:

@@ -54,3 +54,43 @@ def test_local_images(spark, tmp_path):
     got = {r["url"]: r for r in images.fetch(rows, str(tmp_path)).collect()}
     assert len(got) == 3 and got["a.png"]["content_type"] == "image/png" and got["../x"]["error"] == "outside of the root" and got["gone.png"]["error"]
     assert images.live(rows, probe=lambda u: u == "a.png").count() == 2
+
+
+def test_images_are_cached_and_uploaded(spark, tmp_path, capsys):
+    import argparse
+    from functools import partial
+
+    import pytest
+
+    from roundforge import cli
+
+    class Client:
+        """Takes uploads into a folder, under their keys."""
+
+        def __init__(self, folder):
+            self.folder = folder
+
+        def upload_file(self, path, bucket, key, ExtraArgs):
+            to = self.folder / bucket / key
+            to.parent.mkdir(parents=True, exist_ok=True)
+            to.write_bytes(open(path, "rb").read() + ExtraArgs["CacheControl"].encode())
+
+    for name, data in (("a.png", b"\x89PNG\r\n\x1a\none"), ("b.png", b"\x89PNG\r\n\x1a\none"), ("c.jpg", b"\xff\xd8\xfftwo")):
+        (tmp_path / name).write_bytes(data)
+    rounds = [{"id": f"r{i}", "review_image": n, "product": {"title": "t"}, "choices": []} for i, n in enumerate(["a.png", "b.png", "c.jpg", "gone.png", "a.png"])]
+    (tmp_path / "pack.json").write_text(json.dumps({"rounds": rounds}))
+    p = lambda n: str(tmp_path / n)
+    assert main(["cache-images", p("pack.json"), p("cache"), p("cached.json"), "--root", str(tmp_path), "--prefix", "assets/reviews"], spark) == 0
+    cached = json.loads((tmp_path / "cached.json").read_text())
+    assert [r["id"] for r in cached["rounds"]] == ["r0", "r2"] and cached["image_cache"]["failed"] == 1 and cached["image_cache"]["exact_duplicates"] == 2
+    assert all((tmp_path / "cache" / r["review_image"].removeprefix("assets/reviews/")).exists() for r in cached["rounds"])
+    assert main(["cache-images", p("pack.json"), p("cache"), p("all.json"), "--root", str(tmp_path), "--keep-failed", "--keep-exact-duplicates"], spark) == 0
+    again = json.loads((tmp_path / "all.json").read_text())
+    assert len(again["rounds"]) == 5 and again["image_cache"]["bytes_written"] == 0
+    (tmp_path / "manifest.json").write_text("{}")
+    a = argparse.Namespace(folder=p("cache"), bucket="b", key_prefix="img", endpoint=None, manifest=p("manifest.json"), prefix="assets/reviews", base_url="https://cdn")
+    assert cli.upload(spark, a, partial(Client, tmp_path / "store")) == 0
+    assert len(list((tmp_path / "store" / "b" / "img").iterdir())) == 2
+    assert json.loads((tmp_path / "manifest.json").read_text())["asset_delivery"]["review_images"]["base_url"] == "https://cdn/"
+    with pytest.raises(Exception, match="PIL|between|must be 0 to 16"):
+        main(["cache-images", p("pack.json"), p("cache"), p("x.json"), "--root", str(tmp_path), "--perceptual-threshold", "4"], spark)
