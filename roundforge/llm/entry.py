@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundforge.llm import html_extract, langid, media, ngram_join, oracles, packing, pii, quality_rules, sentencepiece_codec, sharding, toxicity
+from roundforge.llm import alignment, decontamination, filter_audit, html_extract, langid, media, ngram_join, oracles, packing, pii, quality_rules, sentencepiece_codec, sharding, toxicity
 from roundforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,10 +81,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out(TOXIC_FOLD).alias("held_out"), "score", "predicted", "n_hits")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    made = (op1_html_extraction, op2_sentencepiece, op3_ngram_jaccard_join, op4_pii, op5_language_id, op6_packing, op7_sharding, op8_media_columns, op9_quality_rules, op10_toxicity)
+    made = (op1_html_extraction, op2_sentencepiece, op3_ngram_jaccard_join, op4_pii, op5_language_id, op6_packing, op7_sharding, op8_media_columns, op9_quality_rules, op10_toxicity, op11_decontamination, op12_alignment, op13_filter_audit)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": oracles.OP3, "op9_quality_rules": oracles.OP9}
+    return {"op3_ngram_jaccard_join": oracles.OP3, "op9_quality_rules": oracles.OP9, "op11_decontamination": oracles.OP11, "op13_filter_audit": oracles.OP13}
