@@ -1,6 +1,6 @@
 """Benchmark decontamination by suffix arrays over the training texts.
 
-Documents are cut into shards of bounded size. A task numbers a shard's words, sorts the shard's suffixes (prefix doubling: first by the words that fit 63 bits, then by
+Documents are cut into shards of bounded size. A task numbers a shard's words, sorts the shard's suffixes (prefix doubling: first by the words that fit 62 bits, then by
 ranks, twice as deep each time) and binary-searches every suffix of the benchmark in the sorted array, all at once, a few words deeper each time. The range of
 the array in which a test suffix ends gives its longest verbatim match and all its locations. A match of a whole window (``window`` words, or all words of a
 shorter item) marks its words as hit and gives the document the items that have this window. Affected documents are then removed.
@@ -91,8 +91,8 @@ class Block:
 
     @property
     def step(self) -> int:
-        """Words that fit one number."""
-        return 63 // self.bits
+        """Words that fit one number; one more than the greatest fits too."""
+        return 62 // self.bits
 
     @property
     def least(self) -> int:
