@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import random
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -71,6 +70,11 @@ def scan(xs: Column, carry: Column, made: str, step) -> Column:
 
     Returns a struct of the last carry and ``made``, an array of arrays. An array that grows by an element at a time is copied each
     time; in blocks, the copies grow with the number of elements times BLOCK."""
+    return _bound(xs, lambda bound: _scan(bound, carry, made, step))
+
+
+def _scan(xs: Column, carry: Column, made: str, step) -> Column:
+    """xs: bound, as each block reads it."""
     empty = F.array().cast(f"array<{made}>")
 
     def inside(acc: Column, x: Column) -> Column:
@@ -272,13 +276,15 @@ class Model:
     boosted: gbt.Boosted = field(repr=False)
     thresholds: tuple[float, ...]
 
-    def margin(self, x: Column) -> Column:
-        def node(t: gbt.Tree, i: int) -> Column:
+    def margin(self, x: str) -> str:
+        """The sum of the trees for an array of features, as SQL: thousands of nodes are one text to parse, not a call each."""
+
+        def node(t: gbt.Tree, i: int) -> str:
             if t.feature[i] < 0:
-                return F.lit(float(t.value[i]))
-            return F.when(x[int(t.feature[i])] < float(t.cut[i]), node(t, 2 * i + 1)).otherwise(node(t, 2 * i + 2))
+                return f"{float(t.value[i])!r}D"
+            return f"CASE WHEN {x}[{int(t.feature[i])}] < {float(t.cut[i])!r}D THEN {node(t, 2 * i + 1)} ELSE {node(t, 2 * i + 2)} END"
 
-        return reduce(lambda a, b: a + b, [F.lit(self.boosted.base), *[node(t, 0) for t in self.boosted.trees]])
+        return " + ".join([f"{float(self.boosted.base)!r}D", *[node(t, 0) for t in self.boosted.trees]])
 
 
 def _label(generator: int, start: int, end: int, gold: list[tuple[int, int, int]]) -> int:
@@ -369,7 +375,7 @@ def find(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
     out = out.withColumns({f"base_{k}": _tagged(s) for k, s in base.items()})
     out = out.withColumn("__proposed", proposals(text))
     out = out.withColumn("__proposed", F.transform("__proposed", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["generator"].alias("generator"), features(c["generator"], c["hit"], c["left"], c["right"]).alias("x"))))
-    out = out.withColumn("__scored", F.transform("__proposed", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["generator"].alias("generator"), (1 / (1 + F.exp(-model.margin(c["x"])))).alias("score"))))
+    out = out.withColumn("__scored", F.expr(f"transform(__proposed, c -> named_struct('start', c.start, 'end', c.end, 'generator', c.generator, 'score', 1 / (1 + exp(-({model.margin('c.x')})))))"))
     limits = F.array(*[F.lit(t) for t in model.thresholds])
     out = out.withColumn("__scored", F.filter("__scored", lambda c: c["score"] >= limits[c["generator"]]))
     known = F.transform(F.concat(*[F.col(f"base_{k}") for k in BASE_KINDS]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(-1).alias("generator"), F.lit(2.0).alias("score")))
@@ -403,7 +409,8 @@ def redact(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
     the first. n_chars, if there, is the new length. Rows without spans, and null texts, stay as they are."""
     text = as_text(column)
     found = find(docs, model, column)
-    spans = F.array_sort(F.transform(all_spans(), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    found = found.withColumn("__spans", F.array_sort(F.transform(all_spans(), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))))
+    spans = F.col("__spans")
     none = F.array().cast(f"array<{PLACE}>")
 
     def step(carry: Column, s: Column) -> Column:
