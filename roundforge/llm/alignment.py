@@ -19,10 +19,12 @@ highest; an empty table gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,7 @@ from roundforge.llm.tokens import _BYTES, _Codes, _Pool
 #: Pairs of ids whose counts are broadcast at a time (17 bytes each).
 PAIRS_AT_ONCE = 1_000_000
 _GROUP = re.compile(rb"[.ab]*x")
+_SIGNS = (",", "|", ";", "")
 _LABELS = np.frombuffer(b".abx", np.uint8)
 #: First bytes of characters among which there are white space and the marker.
 _UNSURE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
@@ -52,15 +55,29 @@ def cuts(raw: np.ndarray) -> np.ndarray:
     return at[sure]
 
 
-def aligned(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """From the byte lengths of both sides' tokens over the same bytes: the A and the B token of each link, and the label strings of the groups."""
+def aligned(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """From the byte lengths of both sides' tokens over the same bytes: the A and the B token of each link, and how many tokens of A and of B each group has."""
     a_end, b_end = np.cumsum(a_sizes) - 1, np.cumsum(b_sizes) - 1
     label = np.zeros(int(a_end[-1]) + 1 if len(a_end) else 0, np.uint8)
     label[a_end] |= 1
     label[b_end] |= 2
     event = label[label > 0]
     a_of, b_of = np.cumsum(event & 1) - (event & 1), np.cumsum(event >> 1) - (event >> 1)
-    return a_of, b_of, _GROUP.findall(_LABELS[label].tobytes())
+    ends = np.cumsum(np.fromiter(map(len, _GROUP.findall(_LABELS[label].tobytes())), np.int64))
+    a_in, b_in = (np.diff(np.searchsorted(x, ends, "left"), prepend=0) for x in (a_end, b_end))
+    return a_of, b_of, a_in, b_in
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, one list after the other, and the length of each list."""
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(size.sum())), size
+
+
+def _spread(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """lo, lo + 1, ... of each range, one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(lo - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 class Aligner:
@@ -83,6 +100,12 @@ class Aligner:
         self.a_bytes = [bytes(shown.get(c, 63) for c in w) for w, _ in vocabulary]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARKER, " ").encode("utf-8") for p, _, t in m.pieces]
         self.a_size, self.b_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
+        self.a_raw, self.b_raw = (np.frombuffer(b"".join(x), np.uint8) for x in (self.a_bytes, self.b_bytes))
+        self.a_at, self.b_at = (np.cumsum(x) - x for x in (self.a_size, self.b_size))
+        # every id with each sign that can follow it
+        spelled = [f"{i}{sign}".encode() for i in range(max(len(self.a_size), len(self.b_size))) for sign in _SIGNS]
+        self.id_size = np.fromiter(map(len, spelled), np.int64, len(spelled))
+        self.id_raw, self.id_at = np.frombuffer(b"".join(spelled), np.uint8), np.cumsum(self.id_size) - self.id_size
         self.max_segments = max_segments
         self._empty()
 
@@ -90,30 +113,50 @@ class Aligner:
         self.codes, self.pairs = _Codes(), _Codes()
         self.links, self.groups, self.known = _Pool(), [], np.zeros((0, 4), np.int64)  # tokens of A and of B, groups, whether it is bad
 
-    def _learn(self, spaced: list[str]) -> tuple[list[str], np.ndarray, list[list[int]]]:
-        """The groups, numbers of tokens and groups, and links (numbers of pairs) of texts that begin with the added space; a text that does
-        not come back is bad."""
-        a_ids = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-        b_ids = self.b.encode([t[1:] for t in spaced], num_threads=1)
-        texts, numbers, links = [], np.zeros((len(spaced), 4), np.int64), []
-        for i, (t, a, b) in enumerate(zip(spaced, a_ids, b_ids, strict=True)):
-            raw = t.encode("utf-8")
-            if b"".join([self.a_bytes[x] for x in a]) != raw or b"".join([self.b_bytes[x] for x in b]) != raw:
-                numbers[i, 3] = 1
-                texts.append("")
-                links.append([])
-                continue
-            a_of, b_of, spans = aligned(self.a_size[a], self.b_size[b])
-            p = q = 0
-            groups = []
-            for s in spans:
-                n, m = s.count(b"a") + 1, s.count(b"b") + 1
-                groups.append(",".join(map(str, a[p : p + n])) + "|" + ",".join(map(str, b[q : q + m])))
-                p, q = p + n, q + m
-            texts.append(";".join(groups))
-            numbers[i] = len(a), len(b), len(spans), 0
-            links.append([self.pairs[a[x], b[y]] for x, y in zip(a_of.tolist(), b_of.tolist(), strict=True)])
-        return texts, numbers, links
+    def _a_ids(self, spaced: list[str]) -> list[list[int]]:
+        """A's ids. A space and letters of Latin alphabets are one word to the file's splitting, so the model is asked for it at once."""
+        word = [t.isalpha() and (t.isascii() or max(t) < "\u0250") for t in (t[1:] for t in spaced)]
+        ids = [e.ids for e in self.a.encode_batch_fast([t for t, x in zip(spaced, word, strict=True) if not x], add_special_tokens=False)]
+        shown = codecs.charmap_decode("\n".join(t for t, x in zip(spaced, word, strict=True) if x).encode("utf-8"), "strict", _BYTES)[0].split("\n")
+        rest, words, tokenize = iter(ids), iter(shown), self.a.model.tokenize
+        return [[x.id for x in tokenize(next(words))] if w else next(rest) for w in word]
+
+    def _learn(self, spaced: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """The groups, numbers of tokens and groups, and links (numbers of pairs, one text after the other, and how many each has) of texts that begin with
+        the added space; a text that does not come back is bad."""
+        n = len(spaced)
+        raw = [t.encode("utf-8") for t in spaced]
+        (a, a_count), (b, b_count) = _flat(self._a_ids(spaced)), _flat(self.b.encode([t[1:] for t in spaced], num_threads=1))
+        size = np.fromiter(map(len, raw), np.int64, n)
+        a_of, b_of = np.repeat(np.arange(n), a_count), np.repeat(np.arange(n), b_count)
+        total = lambda of, sizes: np.bincount(of, sizes, minlength=n).astype(np.int64)
+        bad = (total(a_of, self.a_size[a]) != size) | (total(b_of, self.b_size[b]) != size)
+        for side, of, sizes, at, store in ((a, a_of, self.a_size, self.a_at, self.a_raw), (b, b_of, self.b_size, self.b_at, self.b_raw)):
+            # texts of another length are bad already
+            own = side[~bad[of]]
+            back = store[_spread(at[own], sizes[own])]
+            came = np.frombuffer(b"".join([r for r, x in zip(raw, bad.tolist(), strict=True) if not x]), np.uint8)
+            if not np.array_equal(back, came):
+                good = np.flatnonzero(~bad)
+                bad[good[np.unique(np.searchsorted(np.cumsum(size[good]), np.flatnonzero(back != came), "right"))]] = True
+        a, b, a_of, b_of = a[~bad[a_of]], b[~bad[b_of]], a_of[~bad[a_of]], b_of[~bad[b_of]]
+        x, y, a_in, b_in = aligned(self.a_size[a], self.b_size[b])
+        group_of = a_of[np.cumsum(a_in) - 1]
+        numbers = np.stack([np.bincount(a_of, minlength=n), np.bincount(b_of, minlength=n), np.bincount(group_of, minlength=n), bad.astype(np.int64)], axis=1)
+        # the ids of a group, those of A first, each with the sign that follows it
+        begin = np.cumsum(a_in + b_in) - a_in - b_in
+        a_place, b_place = _spread(begin, a_in), _spread(begin + a_in, b_in)
+        ids, sign = np.zeros(len(a) + len(b), np.int64), np.zeros(len(a) + len(b), np.int64)
+        ids[a_place], ids[b_place] = a, b
+        sign[begin + a_in - 1] = 1
+        sign[begin + a_in + b_in - 1] = np.where(np.append(group_of[1:] == group_of[:-1], [False] * (len(group_of) > 0)), 2, 3)
+        code = ids * len(_SIGNS) + sign
+        text = self.id_raw[_spread(self.id_at[code], self.id_size[code])].tobytes()
+        ends = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(group_of, a_in + b_in), self.id_size[code], minlength=n))]).astype(np.int64).tolist()
+        groups = [text[lo:hi] for lo, hi in zip(ends, ends[1:], strict=False)]
+        pair, which = np.unique(a[x] << 32 | b[y], return_inverse=True)
+        link = np.fromiter(map(self.pairs.__getitem__, pair.tolist()), np.int64, len(pair))[which]
+        return groups, numbers, link, np.bincount(a_of[x], minlength=n)
 
     def __call__(self, texts: pa.Array) -> dict[str, object]:
         """Of each text: n_a, n_b, n_groups, n_links, groups_sha256, its different pairs (A id << 32 | B id) and how often each is linked."""
@@ -128,10 +171,10 @@ class Aligner:
             code = np.fromiter(map(self.codes.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))[coded.indices.to_numpy(zero_copy_only=False)]
             new, self.codes.new = self.codes.new, []
             if new:
-                groups, known, links = self._learn(new)
+                groups, known, *links = self._learn(new)
                 self.groups += groups
                 self.known = np.concatenate([self.known, known])
-                self.links.add(links)
+                self.links.extend(*links)
             ends = np.concatenate([[0], np.cumsum(count)])
             sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(self.known[code], axis=0)])
             numbers = sums[ends[1:]] - sums[ends[:-1]]
@@ -141,12 +184,12 @@ class Aligner:
             for i in np.flatnonzero(count).tolist():
                 if numbers[i, 3]:
                     # segments that don't come back alone: the whole text decides
-                    (whole,), (own,), (pairs,) = self._learn([spaced[i]])
+                    (whole,), (own,), pairs, _ = self._learn([spaced[i]])
                     numbers[i] = own
-                    sha[i] = "" if own[3] else hashlib.sha256(whole.encode()).hexdigest()
-                    rows[i] = np.array(pairs, np.int64)
+                    sha[i] = "" if own[3] else hashlib.sha256(whole).hexdigest()
+                    rows[i] = pairs
                 else:
-                    sha[i] = hashlib.sha256(";".join(names[ends[i] : ends[i + 1]]).encode()).hexdigest()
+                    sha[i] = hashlib.sha256(b";".join(names[ends[i] : ends[i + 1]])).hexdigest()
                     rows[i] = link[at[i] : at[i + 1]]
         numbers[numbers[:, 3] > 0] = 0
         return {"n_a": numbers[:, 0], "n_b": numbers[:, 1], "n_groups": numbers[:, 2], "n_links": np.fromiter(map(len, rows), np.int64, n), "groups_sha256": sha} | self._counted(rows)
@@ -170,7 +213,7 @@ class Aligner:
         flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         pair, times = np.unique(np.repeat(np.arange(len(rows)), size) << 32 | flat.astype(np.int64), return_counts=True)
         offsets = pa.array(np.searchsorted(pair >> 32, np.arange(len(rows) + 1)).astype(np.int32))
-        ids = np.fromiter((a << 32 | b for a, b in self.pairs), np.int64, len(self.pairs))
+        ids = np.fromiter(self.pairs, np.int64, len(self.pairs))
         return {"pairs": pa.ListArray.from_arrays(offsets, pa.array(ids[pair & 0xFFFFFFFF])), "times": pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))}
 
 

@@ -6,9 +6,9 @@ base AS (SELECT doc_id, host, len(w) AS n_words, coalesce(list_sum(list_transfor
 grams AS (SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d WHERE len(w) >= 5)),
 counted AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams),
 repeated AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, i + k AS p FROM counted, (SELECT unnest(generate_series(0, 4)) AS k) WHERE n > 1) GROUP BY doc_id),
-lines AS (SELECT doc_id, host, i, line, regexp_replace(lower(trim(regexp_replace(line, '[ \x09\x0B\x0C\x0D]+', ' ', 'g'))), '[0-9]', '0', 'g') AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
- FROM (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-identity AS (SELECT doc_id, md5(coalesce(string_agg(h, chr(10) ORDER BY i), '')) AS identity FROM d LEFT JOIN lines USING (doc_id) GROUP BY doc_id),
+lines AS (SELECT doc_id, host, line, regexp_replace(lower(trim(regexp_replace(line, '[ \x09\x0B\x0C\x0D]+', ' ', 'g'))), '[0-9]', '0', 'g') AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+ FROM (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+identity AS (SELECT doc_id, md5(t) AS identity FROM d),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id),
 hosts AS (SELECT host, count(DISTINCT identity) AS n FROM d JOIN identity USING (doc_id) GROUP BY host),
 frequent AS (SELECT host, h FROM (SELECT host, h, count(DISTINCT identity) AS n_docs FROM lines JOIN identity USING (doc_id) GROUP BY host, h) JOIN hosts USING (host) WHERE n_docs > 10 AND n_docs > 0.02 * n),

@@ -4,8 +4,8 @@ Lines are normalised (trimmed, lower case, white space runs as one space, digits
 For each host the number of distinct documents with a line is counted. Lines above the host's limit
 are cut from the texts; a document that keeps too few words of its own is depleted and rejected.
 
-Exact copies, that is, texts with the same normalised lines, count as one document: a line isn't boilerplate because
-one text was copied. Near copies are documents of their own. A line in every document of a host is counted in two steps, by line
+Exact copies count as one document: a line isn't boilerplate because one text was copied. Texts that differ in anything, be it a
+number in a template, are documents of their own. A line in every document of a host is counted in two steps, by line
 and document first, so no task gets all its rows.
 
 Defined cases: a null text has no words; a null host is the host ''; rows that repeat, or have the same or no doc_id, are judged row by
@@ -82,7 +82,7 @@ def text_stats(text: str) -> tuple[int, int, int, int, int, str, list[dict]]:
                 repeated += i + WINDOW - max(i, end)
                 end = i + WINDOW
     seen: set[str] = set()
-    dup_lines, normal, lines = 0, [], {}
+    dup_lines, lines = 0, {}
     for line in text.split("\n"):
         n = len(line.encode("utf-8", "surrogatepass").split())
         if not n:
@@ -90,10 +90,10 @@ def text_stats(text: str) -> tuple[int, int, int, int, int, str, list[dict]]:
         if line in seen:
             dup_lines += 1
         seen.add(line)
-        normal.append(normal_line(line))
-        lines[normal[-1]] = lines.get(normal[-1], 0) + n
+        normal = normal_line(line)
+        lines[normal] = lines.get(normal, 0) + n
     chars = len(text) - sum(map(text.count, SPACES))
-    return len(words), chars, sum(map(text.count, SYMBOLS)), dup_lines, repeated, _md5("\n".join(normal)), [{"hash": _md5(x), "words": n} for x, n in lines.items()]
+    return len(words), chars, sum(map(text.count, SYMBOLS)), dup_lines, repeated, _md5(text), [{"hash": _md5(x), "words": n} for x, n in lines.items()]
 
 
 def _stats(texts: list[str]) -> dict[str, list]:

@@ -41,16 +41,20 @@ class _Pool:
 
     def add(self, lists: list[list[int]]) -> None:
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        total = int(sizes.sum())
-        while self.codes + len(lists) > len(self.start):
+        self.extend(np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes)
+
+    def extend(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """ids: of all new codes, one after the other."""
+        total = len(ids)
+        while self.codes + len(sizes) > len(self.start):
             self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, self.ids])
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), np.uint32, total)
-        at = slice(self.codes, self.codes + len(lists))
+        self.ids[self.used : self.used + total] = ids
+        at = slice(self.codes, self.codes + len(sizes))
         self.size[at] = sizes
         self.start[at] = self.used + np.cumsum(sizes) - sizes
-        self.codes += len(lists)
+        self.codes += len(sizes)
         self.used += total
 
     def take(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

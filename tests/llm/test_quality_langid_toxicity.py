@@ -76,6 +76,13 @@ def test_copies_count_once_and_null_ids_apart(spark):
     assert got.count() == 11 and got.filter("kept and removed_words = 12").count() == 11
 
 
+def test_templates_that_differ_in_numbers_go(spark):
+    text = "Your ticket number {} has been closed by our team of agents\nIt was opened on day {} and needs no answer from you at all"
+    rows = [(i, text.format(10_010 + i, 10 + i), "h") for i in range(50)] + [(100 + i, text.format(1, 1), "other") for i in range(50)]
+    judged = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(judged[i]["kept"] for i in range(50)) and all(judged[100 + i]["kept"] for i in range(50))  # the others are copies of one text
+
+
 def test_frequent_lines_are_cut_from_the_texts(spark):
     rng = random.Random(3)
     words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
