@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from math import comb
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,6 +69,28 @@ def segment_bounds(threshold: int, bits: int = 64) -> list[tuple[int, int]]:
     return out
 
 
+def ball(width: int, radius: int) -> int:
+    """Values of ``width`` bits within ``radius`` bits of one."""
+    return sum(comb(width, k) for k in range(radius + 1))
+
+
+@lru_cache
+def multi_index(threshold: int, bits: int = 64, share: float = 0.02, most: int = 8192) -> tuple[tuple[int, int, int], ...]:
+    """(lowest bit, width, radius) of parts such that two values within the threshold differ by at most the radius in one of them: their radii
+    and one for each part beyond the first add up to the threshold, so were all parts further apart, the values would be too.
+
+    Few wide parts mean many neighbours to look up, many narrow ones many chance meetings. Of the cuts by which at most ``share`` of all pairs
+    of random values meet, with at most ``most`` neighbours a value, the one with the fewest neighbours is taken; if there is none, that with the fewest meetings."""
+    found = []
+    for n in range(1, threshold + 2):
+        base, more = divmod(threshold - n + 1, n)
+        parts = [(lo, w, base + (i < more)) for i, (lo, w) in enumerate(segment_bounds(n - 1, bits))]
+        looked_up, met = sum(ball(w, r) for _, w, r in parts), sum(ball(w, r) / 2**w for _, w, r in parts)
+        if looked_up <= most:
+            found.append((met > share, looked_up if met <= share else met, tuple(parts)))
+    return min(found)[2]
+
+
 def segments(x: Column, threshold: int) -> Column:
     """The parts of a 64-bit value as structs (part, value): two values within the threshold share one."""
     return F.array(*[F.struct(F.lit(i).alias("part"), F.shiftrightunsigned(x, lo).bitwiseAND(F.lit((1 << w) - 1).cast("long")).alias("value")) for i, (lo, w) in enumerate(segment_bounds(threshold))])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import mimetypes
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -68,26 +69,47 @@ def dhash(pictures: DataFrame) -> DataFrame:
     return pictures.select("path", "content").mapInPandas(run, "path string, dhash long")
 
 
-def _signed(bits: int) -> int:
-    return bits - (1 << 64) if bits >> 63 else bits
+def _part(x: Column, lo: int, width: int) -> Column:
+    return x if width == 64 else F.shiftrightunsigned(x, lo).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+
+def _parts(hashes: DataFrame, threshold: int, name: str) -> DataFrame:
+    cut = [F.struct(F.lit(i).alias("part"), _part(F.col("dhash"), lo, w).alias("value")) for i, (lo, w, _) in enumerate(hashing.multi_index(threshold))]
+    return hashes.select(F.col("dhash").alias(f"h{name}"), F.explode(F.array(*cut)).alias("p")).select(f"h{name}", "p.part", F.col("p.value").alias(f"v{name}"))
+
+
+def neighbours(values: DataFrame, threshold: int) -> DataFrame:
+    """part, va, vb: every value of a part with the values of that part within its radius."""
+    flips = [(i, sum(1 << b for b in bits)) for i, (_, w, r) in enumerate(hashing.multi_index(threshold)) for k in range(r + 1) for bits in combinations(range(w), k)]
+    masks = values.sparkSession.createDataFrame(flips, "part int, mask long")  # 8192 at most, whatever the input
+    return values.join(F.broadcast(masks), "part").select("part", "va", F.col("va").bitwiseXOR(F.col("mask")).alias("vb"))
+
+
+def hamming_candidates(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
+    """part, ha, hb: hashes (column dhash, distinct) that are within the radius of a part, once for each such part.
+
+    A value's neighbours are made once for each different value of a part, not for each hash that has it, and only those stay that are a value of
+    the other side."""
+    a, b = _parts(left, threshold, "a"), _parts(right, threshold, "b")
+    near = neighbours(a.select("part", "va").distinct(), threshold).join(b.select("part", "vb").distinct(), ["part", "vb"], "left_semi")
+    return a.join(near, ["part", "va"]).join(b, ["part", "vb"])
 
 
 def hamming_pairs(left: DataFrame, threshold: int, right: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b, distance) of ids whose hashes differ in ``threshold`` bits at most; a < b in a self-join.
 
-    Two such hashes agree in one of threshold + 1 segments, so candidates meet in an equi-join on segments. The distance is a condition
-    of that join, and a pair counts in the first segment that it shares, so only true pairs leave it, once each. Equal hashes are
-    one row of the join, so that copies don't meet in pairs before they are known to be near something."""
+    Multi-index hashing: two such hashes are within a small radius in one of a few parts, so candidates meet in equi-joins of a part's values with
+    the other side's neighbours of them. The distance is a condition of that join, and a pair counts in the first part that brings it,
+    so only true pairs leave it, once each. Equal hashes are one row of the join, so that copies don't meet in pairs before they are known to be near something."""
     check_threshold(threshold)
     groups = left.groupBy("dhash").agg(F.collect_set("id").alias("ids"))
     other = right.groupBy("dhash").agg(F.collect_set("id").alias("ids")) if right is not None else groups
-    cut = lambda df, n: df.select(F.col("dhash").alias(f"h{n}"), F.explode(hashing.segments(F.col("dhash"), threshold)).alias("s")).select(f"h{n}", F.col("s.part").alias(f"part{n}"), F.col("s.value").alias(f"value{n}"))
     differ = F.col("ha").bitwiseXOR(F.col("hb"))
-    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(_signed(((1 << w) - 1) << lo)).cast("long")) == 0, F.lit(i)) for i, (lo, w) in enumerate(hashing.segment_bounds(threshold))])
-    met = (F.col("parta") == F.col("partb")) & (F.col("valuea") == F.col("valueb")) & (hashing.hamming(F.col("ha"), F.col("hb")) <= threshold) & (first == F.col("parta"))
+    first = F.coalesce(*[F.when(F.bit_count(_part(differ, lo, w)) <= r, F.lit(i)) for i, (lo, w, r) in enumerate(hashing.multi_index(threshold))])
+    met = (hashing.hamming(F.col("ha"), F.col("hb")) <= threshold) & (first == F.col("part"))
     if right is None:
         met = met & (F.col("ha") <= F.col("hb"))
-    pairs = cut(groups.select("dhash"), "a").join(cut(other.select("dhash"), "b"), met).select("ha", "hb", hashing.hamming(F.col("ha"), F.col("hb")).alias("distance"))
+    pairs = hamming_candidates(groups.select("dhash"), other.select("dhash"), threshold).filter(met).select("ha", "hb", hashing.hamming(F.col("ha"), F.col("hb")).alias("distance"))
     out = pairs.join(groups.select(F.col("dhash").alias("ha"), F.explode("ids").alias("x")), "ha").join(other.select(F.col("dhash").alias("hb"), F.explode("ids").alias("y")), "hb")
     if right is not None:
         return out.select(F.col("x").alias("a"), F.col("y").alias("b"), "distance")

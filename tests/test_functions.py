@@ -97,6 +97,31 @@ def test_segments_cover_all_bits():
         assert sum(w for _, w in bounds) == 64 and len(bounds) == t + 1
 
 
+def test_multi_index_misses_no_pair():
+    """Were all parts further apart than their radius, the values would be beyond the threshold."""
+    for t in range(17):
+        parts = hashing.multi_index(t)
+        assert sum(w for _, w, _ in parts) == 64 and sum(r + 1 for _, _, r in parts) > t and all(r >= 0 for _, _, r in parts)
+
+
+@pytest.mark.parametrize("threshold", [0, 5, 9, 16])
+def test_hamming_pairs_and_what_meets(spark, threshold):
+    rng = random.Random(threshold)
+    base = [rng.getrandbits(64) for _ in range(500)] + [0, 2**64 - 1]
+    for b in base[:200]:
+        for bit in rng.sample(range(64), rng.randint(0, 18)):
+            b ^= 1 << bit
+        base.append(b)
+    values = base + base[:5]
+    df = spark.createDataFrame([(i, v - 2**64 if v >> 63 else v) for i, v in enumerate(values)], "id long, dhash long")
+    want = {(a, b, d) for a in range(len(values)) for b in range(a + 1, len(values)) if (d := (values[a] ^ values[b]).bit_count()) <= threshold}
+    assert {(r["a"], r["b"], r["distance"]) for r in assets.hamming_pairs(df, threshold).collect()} == want
+    hashes = df.select("dhash").distinct()
+    assert assets.hamming_candidates(hashes, hashes, threshold).count() < len(values) ** 2 / 10
+    two = assets.hamming_pairs(df.filter("id < 300"), threshold, df.filter("id >= 300")).collect()
+    assert {(r["a"], r["b"], r["distance"]) for r in two} == {(a, b, d) for a, b, d in want if a < 300 <= b}
+
+
 def test_hamming_join_and_greedy_dedupe(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(30)]
