@@ -95,40 +95,106 @@ def chance(seed: int | str, *key: Column) -> Column:
     return F.conv(F.substring(hashing.keyed(seed, *key), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
+#: A token in more titles of a group may be common; at most so many of a group's tokens are, those in most titles.
+COMMON_TITLES, COMMON_TOKENS = 64, 6
+
+
 def theta_distractors(products: DataFrame, pool: DataFrame, k: int = 3, cutoff: float = 0.72) -> DataFrame:
     """For each product the k most plausible titles of its category in the pool: taxonomy, then a little title overlap; titles as
     similar as ``cutoff`` are left out. Fewer are returned where the category has fewer.
 
     A title of the same category path and leaf beats every other one, whatever the overlap: taxonomy counts in whole numbers and
-    overlap adds 0.9 at most. So pairs are formed within a path first, and within the category only for titles that found
-    fewer than k there. Products with the same title and path are ranked once. The pool is a bounded sample in a build.
+    overlap adds 0.9 at most. So a title looks within its path first, and within its category only if it found fewer than k there; either is a
+    rank join (see _best), in which the pairs that are formed grow with the titles. Products with the same title and path are ranked once.
 
     products, pool: parent_asin, title, category, category_path, leaf_category."""
     # texts are folded once, not for each pair
     path = lambda c, leaf: F.concat_ws("\u001f", F.transform(c, text.fold), text.fold(leaf))
-    parts = lambda name: [F.transform("category_path", text.fold).alias(f"{name}_path_parts"), text.fold(F.coalesce("leaf_category", F.lit(""))).alias(f"{name}_leaf"), text.fold(F.coalesce("category", F.lit(""))).alias(f"{name}_kind"), text.fold(F.col("title")).alias(f"{name}_key"), text.tokens(F.col("title"), text.BUILD_STOP).alias(f"{name}_tokens")]
-    here = path(F.col("category_path"), F.col("leaf_category"))
-    own = products.select("title", "category", "category_path", "leaf_category", here.alias("path")).dropDuplicates(["title", "category", "path"])
-    own = own.select("title", "category", "path", *parts("own"))
-    other = pool.dropDuplicates(["category", "title"]).select(F.col("title").alias("o_title"), F.col("category").alias("o_category"), here.alias("o_path"), *parts("o"))
-    same = F.col("category") == F.col("o_category")
-    key = ["title", "category", "path"]
-
-    def ranked(pairs: DataFrame) -> DataFrame:
-        similarity = text.jaccard(F.col("own_tokens"), F.col("o_tokens"))
-        taxonomy = text.taxonomy_score(*[F.col(f"{side}_{c}") for side in ("own", "o") for c in ("path_parts", "leaf", "kind")], folded=True)
-        pairs = pairs.filter(F.col("own_key") != F.col("o_key")).withColumn("similarity", similarity).filter(F.col("similarity") < cutoff)
-        pairs = pairs.withColumn("rank_score", F.round(build_rank(taxonomy, F.col("similarity")), 6))
-        best = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("rank_score"), "o_title"))
-        return pairs.withColumn("rank", best).filter(F.col("rank") <= k).select(*key, "rank", F.col("o_title").alias("distractor"), "rank_score")
-
-    near = ranked(own.join(other, same & (F.col("path") == F.col("o_path"))))
+    place = F.struct(F.transform("category_path", text.fold).alias("parts"), text.fold(F.coalesce("leaf_category", F.lit(""))).alias("leaf"), text.fold(F.coalesce("category", F.lit(""))).alias("kind"))
+    here, key = path(F.col("category_path"), F.col("leaf_category")), ["title", "category", "path"]
+    titles = lambda df: df.select("title", "category", here.alias("path"), place.alias("place"), text.fold(F.col("title")).alias("key"), text.tokens(F.col("title"), text.BUILD_STOP).alias("tokens"))
+    own = checkpointed(titles(products.dropDuplicates(["title", "category", "category_path", "leaf_category"])).dropDuplicates(key))
+    other = checkpointed(titles(pool.dropDuplicates(["category", "title"])))
+    grouped = lambda df, *group: df.withColumn("g", F.struct(*group))
+    near = checkpointed(_best(grouped(own, "category", "path"), grouped(other, "category", "path"), k, cutoff))
     enough = near.filter(F.col("rank") == k).select(*key)
-    found = near.join(enough, key, "left_semi").unionByName(ranked(own.join(enough, key, "left_anti").join(other, same)))
+    few = own.join(enough, key, "left_anti")
+    found = near.join(enough, key, "left_semi").unionByName(_best(grouped(few, "category"), grouped(other, "category"), k, cutoff))
     back = products.select("parent_asin", "title", "category", here.alias("path"))
     return back.join(found, key).select("parent_asin", "rank", "distractor", "rank_score")
 
 
+def _score(a_place: Column, b_place: Column, similarity: Column) -> Column:
+    taxonomy = text.taxonomy_score(a_place["parts"], a_place["leaf"], a_place["kind"], b_place["parts"], b_place["leaf"], b_place["kind"], folded=True)
+    return F.round(build_rank(taxonomy, similarity), 6)
+
+
+def _union(shared: Column, a: Column, b: Column) -> Column:
+    """Jaccard from the number of shared tokens and both sizes."""
+    return F.when((a > 0) & (b > 0), shared / (a + b - shared)).otherwise(0.0)
+
+
+def _best(own: DataFrame, other: DataFrame, k: int, cutoff: float) -> DataFrame:
+    """The k best of ``other`` in the same group g for each row of ``own``, by score and then title: title, category, path, rank, distractor, rank_score.
+
+    A rank join with upper bounds. A group's commonest tokens and the number of tokens put its titles into classes. What two titles share in common
+    tokens follows from their classes, and what they share at all is no less; so a class is a list in order of title whose score is a lower bound of its members'. A
+    title reads the lists of all classes merged, best first, until k of what it read are valid, that is, neither itself nor as similar as the
+    cutoff: whatever comes later and shares common tokens only can't beat these. The k-th of them is the score to beat: titles that share
+    other tokens are found through postings of these, rarest first, which a title stops reading where the tokens that are left can't make up that score."""
+    use = other.select("g", F.explode("tokens").alias("token")).groupBy("g", "token").agg(F.count("*").alias("uses"))
+    place = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("uses"), "token"))
+    common = use.filter(F.col("uses") > COMMON_TITLES).withColumn("n", place).filter(F.col("n") <= COMMON_TOKENS).groupBy("g").agg(F.collect_list("token").alias("often"))
+
+    def classed(df: DataFrame) -> DataFrame:
+        often = F.coalesce("often", F.array().cast("array<string>"))
+        kind = F.struct(F.col("place"), F.array_sort(F.array_intersect("tokens", often)).alias("common"), F.size("tokens").alias("size"))
+        return df.join(common, "g", "left").withColumn("rare", F.array_except("tokens", often)).withColumn("kind", kind).drop("often", "place")
+
+    own, other = checkpointed(classed(own)), checkpointed(classed(other))
+    listed = other.select("g", F.col("kind").alias("o_kind"), "title", F.row_number().over(Window.partitionBy("g", "kind").orderBy("title")).alias("at"))
+    a, b = F.col("kind"), F.col("o_kind")
+    shared = F.size(F.array_intersect(a["common"], b["common"]))
+    classes = own.select("g", "kind").distinct().join(other.select("g", F.col("kind").alias("o_kind")).distinct(), "g")
+    classes = classes.withColumn("s", _union(shared, a["size"], b["size"])).filter(F.col("s") < cutoff)
+    classes = checkpointed(classes.select("g", "kind", "o_kind", _score(a["place"], b["place"], F.col("s")).alias("least")))
+    key = ["g", "title", "category", "path"]
+    mine = own.select(*key, F.col("key").alias("own_key"), "kind", F.col("tokens").alias("own_tokens"))
+    theirs = other.select("g", F.col("title").alias("distractor"), F.col("key").alias("o_key"), F.col("tokens").alias("o_tokens"), F.col("kind").alias("o_kind"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """Pairs (key, distractor) that are valid, with their scores."""
+        full = pairs.join(mine, key).join(theirs, ["g", "distractor"]).filter(F.col("own_key") != F.col("o_key"))
+        full = full.withColumn("s", _union(F.size(F.array_intersect("own_tokens", "o_tokens")), a["size"], b["size"])).filter(F.col("s") < cutoff)
+        return full.select(*key, "distractor", _score(a["place"], b["place"], F.col("s")).alias("rank_score"))
+
+    read, left, length = None, own.select(*key, "kind"), k + 5
+    while True:
+        heads = classes.join(left.select("g", "kind").distinct(), ["g", "kind"], "left_semi").join(listed.filter(F.col("at") <= length).withColumnRenamed("title", "distractor"), ["g", "o_kind"])
+        best = F.row_number().over(Window.partitionBy("g", "kind").orderBy(F.desc("least"), "distractor"))
+        heads = heads.withColumn("n", best).filter(F.col("n") <= length).select("g", "kind", "distractor", "n")
+        got = checkpointed(scored(left.join(heads, ["g", "kind"]).select(*key, "distractor")))
+        read = got if read is None else read.unionByName(got)
+        ended = heads.groupBy("g", "kind").agg(F.max("n").alias("n")).filter(F.col("n") == length)
+        valid = got.groupBy(*key).agg(F.count("*").alias("valid"))
+        left = checkpointed(left.join(ended.select("g", "kind"), ["g", "kind"], "left_semi").join(valid, key, "left").filter(F.coalesce("valid", F.lit(0)) < k).select(*key, "kind"))
+        if left.isEmpty():
+            break
+        length *= 8
+    # what has to be beaten, where k were read
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("rank_score"), "distractor"))
+    beat = read.dropDuplicates([*key, "distractor"]).withColumn("n", rank).filter(F.col("n") == k).select(*key, F.col("rank_score").alias("beat"))
+    order = F.array_sort(F.collect_list(F.struct("uses", "token")))
+    probes = own.select(*key, "kind", F.explode("rare").alias("token")).join(use, ["g", "token"]).groupBy(*key, "kind").agg(order.alias("rare"))
+    probes = probes.select(*key, "kind", F.size("rare").alias("many"), F.posexplode("rare").alias("at", "r")).join(beat, key, "left")
+    most = (F.col("many") - F.col("at") + F.size(a["common"])) / a["size"]
+    probes = probes.filter(F.col("beat").isNull() | (_score(a["place"], a["place"], most) >= F.col("beat"))).select(*key, F.col("r.token").alias("token"))
+    postings = other.select("g", F.col("title").alias("distractor"), F.explode("rare").alias("token"))
+    met = probes.join(postings, ["g", "token"]).select(*key, "distractor").distinct()
+    found = read.unionByName(scored(met)).dropDuplicates([*key, "distractor"]).withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.select("title", "category", "path", "rank", "distractor", "rank_score")
+
+
 def greedy_two_key(df: DataFrame, first: str, second: str, order: str, limit: int | None = None) -> DataFrame:
     """Rows in order, each kept if neither of its keys was kept before: only kept rows mark their keys. ``limit`` takes the first kept rows.
 
