@@ -1,15 +1,17 @@
 """Writers. Files of a shard or an asset are written by tasks, through the file system of their folder's URI, under names that make a repeated
-write harmless. Packs, reports and manifests are written by the driver."""
+write harmless. Reports and manifests are written by the driver."""
 
 from __future__ import annotations
 
 import hashlib
 import json
 import os
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +32,50 @@ def replace_file(path: Path, data: bytes) -> None:
 
 
 def write_pack(rounds: DataFrame, header: dict, path: str) -> None:
-    """One JSON file, rounds in order of pos, row by row from the cluster: a pack is made for one browser."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(json.dumps(header, ensure_ascii=False, separators=(",", ":"))[:-1] + (',"rounds":[' if header else '"rounds":['))
-        for i, row in enumerate(rounds.orderBy("pos").drop("pos").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()):
-            f.write("," * (i > 0) + row["j"])
-        f.write("]}")
+    """One JSON file, rounds in order of pos. Tasks write the rows of a range of pos each into a part beside the file, and one task joins
+    the parts' bytes, so the driver holds a row for each part. A part's name has its task's attempt, only those of tasks that ended well are joined."""
+    spark, parts = rounds.sparkSession, f"{path}.parts-{uuid.uuid4().hex}"
+    rows = rounds.repartitionByRange("pos").sortWithinPartitions("pos").drop("pos").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j"))
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task = TaskContext.get()
+        name = f"{task.partitionId():08d}-{task.taskAttemptId()}"
+        store, root = stores.opened(parts)
+        batches = (b for b in batches if len(b))
+        first = next(batches, None)
+        if first is None:
+            return
+        store.create_dir(root, recursive=True)
+        with store.open_output_stream(f"{root}/{name}") as out:
+            out.write(",".join(first["j"]).encode())
+            for b in batches:
+                out.write(("," + ",".join(b["j"])).encode())
+        yield pd.DataFrame({"part": [task.partitionId()], "name": [name]})
+
+    names = [r["name"] for r in sorted(rows.mapInPandas(write, "part int, name string").collect())]
+    head = (json.dumps(header, ensure_ascii=False, separators=(",", ":"))[:-1] + (',"rounds":[' if header else '"rounds":[')).encode()
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = stores.opened(parts)
+
+        def pieces() -> Iterator[bytes]:
+            yield head
+            for i, name in enumerate(names):
+                if i:
+                    yield b","
+                with store.open_input_stream(f"{root}/{name}") as f:
+                    while piece := f.read(4_000_000):
+                        yield bytes(piece)
+            yield b"]}"
+
+        for b in batches:
+            stores.replace_by(store, stores.opened(path)[1], pieces())
+            yield b
+
+    spark.range(0, 1, 1, 1).mapInPandas(join, "id long").collect()
+    store, root = stores.opened(parts)
+    if names:
+        store.delete_dir(root)
 
 
 def write_shards(rounds: DataFrame, folder: str, header: dict, prefix: str = "shards/rounds") -> DataFrame:

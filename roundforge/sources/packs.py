@@ -9,6 +9,8 @@ from pathlib import Path, PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roundforge.sources import jsonarray
+
 PRODUCT = "struct<title:string,category:string,category_path:array<string>,leaf_category:string,price:double,product_image:string,store:string,asin:string,parent_asin:string,source_url:string>"
 ANALYSIS = "struct<difficulty_score:int,curation_priority:int,flags:array<string>,choice_similarity_max:double,choice_similarity_mean:double,review_title_leak_ratio:double,image_host:string>"
 SCREENING = "struct<risk_score:int,needs_review:boolean,high_risk:boolean,flags:array<struct<name:string,severity:string,source:string>>,severity_counts:map<string,int>>"
@@ -26,11 +28,12 @@ def safe_relative(path: str) -> PurePosixPath:
     return p
 
 
-def read_inline(spark: SparkSession, path: str) -> DataFrame:
-    """The rounds of a JSON file, with pos."""
-    pack = spark.read.schema(f"rounds array<{ROUND}>").json(path, multiLine=True)
-    checked = pack.withColumn("__ok", F.assert_true(F.col("rounds").isNotNull(), F.lit("the pack has no rounds array"))).filter("__ok is null")
-    return checked.select(F.posexplode("rounds").alias("pos", "r")).select(F.col("pos").cast("long"), "r.*")
+def read_inline(spark: SparkSession, path: str, range_bytes: int = jsonarray.RANGE_BYTES) -> DataFrame:
+    """The rounds of a JSON file, with pos. Many tasks read one file, a range of its bytes each."""
+    rows = jsonarray.read(spark, path, "rounds", range_bytes)
+    if rows is None:
+        raise PackError("the pack has no rounds array")
+    return rows.select("pos", F.from_json("value", ROUND).alias("r")).select("pos", "r.*")
 
 
 def read_manifest(path: str, format_name: str | None = None) -> dict:

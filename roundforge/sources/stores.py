@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyarrow import fs
@@ -29,12 +31,44 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
 
 def replace(store: fs.FileSystem, path: str, data: bytes) -> None:
     """Written beside and renamed, so that no reader sees half a file and a repeated write does no harm."""
+    replace_by(store, path, [data])
+
+
+def replace_by(store: fs.FileSystem, path: str, pieces: Iterable[bytes]) -> None:
+    """replace() with the file's pieces, one after the other."""
+    store.move(_draft(store, path, pieces), path)
+
+
+def _draft(store: fs.FileSystem, path: str, pieces: Iterable[bytes]) -> str:
     folder, _, name = path.rpartition("/")
     store.create_dir(folder, recursive=True)
     draft = f"{folder}/.{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(draft) as out:
-        out.write(data)
-    store.move(draft, path)
+        for piece in pieces:
+            out.write(piece)
+    return draft
+
+
+def create(store: fs.FileSystem, path: str, data: bytes) -> bool:
+    """Makes a file whole or not at all; False if there is one of that name, whoever made it. A hard link locally, else Hadoop's rename, neither of
+    which replaces a file; a store without such an operation is an error."""
+    kind = store.type_name
+    if kind not in ("local", "hdfs"):
+        raise ValueError(f"a store of type {kind} can't create a file exclusively")
+    draft = _draft(store, path, [data])
+    try:
+        if kind == "local":
+            os.link(draft, path)
+        else:
+            store.move(draft, path)
+        return True
+    except OSError:
+        if size(store, path) is None:
+            raise
+        return False
+    finally:
+        if size(store, draft) is not None:
+            store.delete_file(draft)
 
 
 def size(store: fs.FileSystem, path: str) -> int | None:
