@@ -61,22 +61,41 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables that scratch() made and that are still there: path, and what deletes it.
+_TABLES: dict[str, Callable[[], None]] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends."""
+    """A new path in the shared folder, deleted when the driver ends, or by drop_tables()."""
     at = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
     def drop() -> None:
+        _TABLES.pop(at, None)
         try:
             path = jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(conf).delete(path, True)
         except Exception:  # the JVM may have gone first
             return
 
+    _TABLES[at] = drop
     atexit.register(drop)
     return at
 
 
+def tables() -> set[str]:
+    """The tables of scratch() that are there now."""
+    return set(_TABLES)
+
+
+def drop_tables(paths: set[str], reader: DataFrame) -> None:
+    """Deletes tables that nothing needs any more; all stay if ``reader`` reads one of them."""
+    names = {p.rsplit("/", 1)[-1] for p in paths}
+    if names and not any(part in names for f in reader.inputFiles() for part in f.split("/")):
+        for p in paths & tables():
+            _TABLES[p]()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, safe when executors are lost."""
     at = scratch(df.sparkSession, name)

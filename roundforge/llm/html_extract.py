@@ -125,10 +125,43 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, int]]:
             at = end if close < 0 else close + 1
 
 
+class Open:
+    """The open elements, outermost first, and where each tag and the block elements stand among them, so that none is looked for."""
+
+    def __init__(self) -> None:
+        self.elements: list[tuple[str, Node | None, bool]] = []  # tag, node (None for inline ones), whether it is hidden
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def __len__(self) -> int:
+        return len(self.elements)
+
+    def push(self, tag: str, node: Node | None, hidden: bool) -> None:
+        at = len(self.elements)
+        self.places.setdefault(tag, []).append(at)
+        if node is not None:
+            self.blocks.append(at)
+        self.elements.append((tag, node, hidden))
+
+    def pop(self) -> tuple[str, Node | None, bool]:
+        out = self.elements.pop()
+        self.places[out[0]].pop()
+        if out[1] is not None:
+            self.blocks.pop()
+        return out
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost element of these tags, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def block(self) -> int:
+        return self.blocks[-1] if self.blocks else -1
+
+
 def parse(page: str) -> Node:
     """The tree of block elements with runs of text as leaves. Hidden elements are read like any other and then left out."""
     root = Node("#root", frozenset(), None)
-    stack: list[tuple[str, Node | None, bool]] = []  # open elements; None for inline ones; whether they are hidden
+    stack = Open()
     block, pieces, link, links, muted = root, [], 0, 0, 0
     no_hint: frozenset[int] = frozenset()
 
@@ -167,15 +200,12 @@ def parse(page: str) -> Node:
                 if links:
                     link += len(tag.strip())
         elif kind == "end":
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    # an end tag of an inline element doesn't close blocks
-                    if not (tag in INLINE and any(node is not None for _, node, _ in stack[k + 1 :])):
-                        pop_to(k)
-                    break
-            else:
+            k = stack.last(tag)
+            if k < 0:
                 if tag == "p" or tag not in INLINE:
                     flush()
+            elif not (tag in INLINE and stack.block() > k):  # an end tag of an inline element doesn't close blocks
+                pop_to(k)
         elif tag in VOID:
             if tag == "hr":
                 flush()
@@ -194,20 +224,20 @@ def parse(page: str) -> Node:
             hints, hidden = _hints(attributes) if attributes.strip() else (no_hint, False)
             hidden |= tag in HIDDEN
             if tag in INLINE:
-                stack.append((tag, None, hidden))
+                stack.push(tag, None, hidden)
                 muted += hidden
                 links += tag == "a"
                 block.elements += 1
             else:
                 open_block(stack, tag, pop_to)
-                if not (tag in ("html", "body") and any(t == tag for t, _, _ in stack)):
+                if not (tag in ("html", "body") and stack.last(tag) >= 0):
                     flush()
                     if hidden:
                         block.elements += 1
                     if not closed:
                         node = Node(tag, hints, block)
                         block.children.append(node)
-                        stack.append((tag, node, hidden))
+                        stack.push(tag, node, hidden)
                         muted += hidden
                         block = node
         try:
@@ -219,23 +249,17 @@ def parse(page: str) -> Node:
     return root
 
 
-def open_block(stack: list[tuple[str, Node | None, bool]], tag: str, pop_to: Callable[[int], None]) -> None:
+def open_block(stack: Open, tag: str, pop_to: Callable[[int], None]) -> None:
     """Closes the elements that the start tag of a block element ends."""
     if tag in SELF_CLOSING:
         like, scope = SELF_CLOSING[tag]
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in like:
-                pop_to(k)
-                if tag not in ("tr", "tbody"):
-                    break
-            elif stack[k][0] in scope:
-                break
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] == CLOSED_BY_BLOCK:
+        while (k := stack.last(*like)) > stack.last(*(t for t in scope if t not in like)):
             pop_to(k)
-            break
-        if stack[k][1] is not None:
-            break
+            if tag not in ("tr", "tbody"):
+                break
+    k = stack.last(CLOSED_BY_BLOCK)
+    if k >= 0 and k >= stack.block():
+        pop_to(k)
 
 
 @lru_cache(maxsize=64)

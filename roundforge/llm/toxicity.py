@@ -115,8 +115,19 @@ def automaton(model: Model) -> ahocorasick.Automaton:
     return _AUTOMATA[model.key]
 
 
+_PLAIN: dict[str, Model] = {}
+
+
 def _plain(model: Model) -> Model:
-    """The whole words without accents."""
+    """The whole words without accents; made once for a model."""
+    if model.key not in _PLAIN:
+        if len(_PLAIN) > 3:
+            _PLAIN.clear()
+        _PLAIN[model.key] = _without_accents(model)
+    return _PLAIN[model.key]
+
+
+def _without_accents(model: Model) -> Model:
     words = {e: w for e, w in model.weights.items() if e.isascii() and e.endswith(" ")}
     return Model(model.key + " plain", words, model.exceptions, model.curve)
 

@@ -368,3 +368,10 @@ def test_stored_media_by_an_independent_decoder(odd, tmp_path):
 def test_ranges_cover_all_bytes():
     parts = [x for p in media.plan([("a", 25), ("b", 3), ("c", 0), ("d", 4)], 10) for x in p.parts]
     assert parts == [("a", 0, 10), ("a", 10, 20), ("a", 20, 25), ("b", 0, 3), ("c", 0, 0), ("d", 0, 4)]
+
+
+@pytest.mark.parametrize("page", ["<b>" * 60_000 + "</i>" * 60_000, "<b>" * 60_000 + "<div></div>" * 60_000, "<div>" * 500 + "</x>" * 60_000, "<x></y>" * 60_000, "<ul>" + "<li><b>x" * 20_000], ids=["unmatched", "blocks in inline", "unknown ends", "unknown pairs", "items"])
+def test_open_elements_are_not_searched(page):
+    began = time.process_time()
+    html_extract.parse(page)
+    assert time.process_time() - began < 20  # minutes if each tag went through all open ones
