@@ -463,6 +463,27 @@ def q_workspace_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "step string, ok boolean, changed boolean, revision int, decisions string")
 
 
+_EDITS = """edits AS (SELECT 'u' || user_id::VARCHAR AS k, event_type, dense_rank() OVER (ORDER BY event_type) AS writer, arg_max(event_id, (ts, event_id)) % 3 AS d FROM events GROUP BY user_id, event_type),
+last AS (SELECT k, arg_max(d, writer) AS d, max(writer) AS writer FROM edits GROUP BY k)"""
+
+
+@query(f"WITH {_EDITS} SELECT k AS key, CASE d WHEN 0 THEN 'keep' WHEN 1 THEN 'reject' ELSE 'later' END AS decision, (SELECT max(writer) FROM edits) AS revision FROM last")
+def q_workspace_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STA-02, SNK-08, SRC-15: all events as edits of one workspace. A writer for each type of event saves the last decision of each user that it saw, all of
+    them at once and each upon an empty workspace; of writers that meet, the one that comes later reads what is there and merges, its own side first. They are let
+    in by order here, so that the result is one and the same."""
+    e = table(spark, sf_dir, "events").groupBy("event_type", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key")).agg(F.max_by(F.col("event_id") % 3, F.struct("ts", "event_id")).alias("d"))
+    e = e.withColumn("decision", F.when(F.col("d") == 0, "keep").when(F.col("d") == 1, "reject").otherwise("later"))
+    # a workspace is one document that a browser holds: a key for each user
+    rows = e.select("event_type", "key", "decision").collect()
+    at = folder(spark, "edits")
+    for kind in sorted({r["event_type"] for r in rows}):
+        workspace.Store(spark, at).save("sig", 0, {"decisions": {r["key"]: r["decision"] for r in rows if r["event_type"] == kind}}, kind, "prefer_local")
+    now = workspace.head(workspace.Store(spark, at).read())
+    held = F.from_json("workspace_json", "decisions map<string,string>")
+    return now.select("revision", F.explode(held["decisions"]).alias("key", "decision")).select("key", "decision", "revision")
+
+
 @query("SELECT p_partkey::BIGINT AS id, regexp_full_match(CASE WHEN p_partkey % 2 = 0 THEN p_brand WHEN p_partkey % 3 = 0 THEN replace(p_name, ' ', '-') ELSE repeat('x', (p_partkey % 140)::INT) END, '[A-Za-z0-9._-]{1,128}') AS valid FROM part")
 def q_valid_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-17: texts that can name a dataset."""

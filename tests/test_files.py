@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import gzip
 import json
+import subprocess
+import sys
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +155,38 @@ def test_streams(spark, small, tmp_path):
 
     scored = game.results(game.streak_scores(ev.outcomes(batch), order=("ts", "event_id")))
     assert {(r["user_id"], r["score"]) for r in spark.table("q_s").collect()} == {(r["user_id"], r["score"]) for r in scored.collect()}
+
+
+RACE = """
+import sys
+from roundforge.operators.workspace import Store
+store, won = Store(None, sys.argv[1]), []
+for n in range(1, 301):
+    if store.append("s", n, {"decisions": {str(n): sys.argv[2]}}, sys.argv[2]):
+        won.append(n)
+print(*won)
+"""
+
+
+def test_of_two_processes_one_makes_a_revision(spark, tmp_path):
+    at = str(tmp_path / "log")
+    both = [subprocess.Popen([sys.executable, "-c", RACE, at, name], stdout=subprocess.PIPE, text=True, cwd=Path(__file__).resolve().parent.parent) for name in ("Ann", "Bob")]
+    won = {name: set(map(int, p.communicate(timeout=120)[0].split())) for name, p in zip(("Ann", "Bob"), both, strict=True)}
+    assert not won["Ann"] & won["Bob"] and won["Ann"] | won["Bob"] == set(range(1, 301))
+    store = workspace.Store(spark, at)
+    assert store.newest("s") == 300 and store.newest("other") == 0
+    assert {(r["revision"], r["actor"]) for r in store.read().collect()} == {(n, name) for name, ns in won.items() for n in ns}
+    assert store.revision("s", 7) == {"decisions": {"7": "Ann" if 7 in won["Ann"] else "Bob"}}
+
+
+def test_saves_at_the_same_time_lose_nothing(spark, tmp_path):
+    at = str(tmp_path / "log")
+
+    def writer(name):
+        store = workspace.Store(spark, at)
+        return [store.save("s", 0, {"decisions": {f"{name}{k}": "keep"}}, name)["ok"] for k in range(4)]
+
+    with ThreadPoolExecutor(3) as pool:
+        assert all(all(x) for x in pool.map(writer, "abc"))
+    number, now = workspace.Store(spark, at).current("s")
+    assert number == 12 and now == {"decisions": {f"{n}{k}": "keep" for n in "abc" for k in range(4)}}
