@@ -36,21 +36,32 @@ saved = checkpointed
 
 
 class Served:
-    """A folder's files over HTTP while the block runs; names that end in .gone are missing, .jpg are images."""
+    """A folder's files over HTTP while the block runs, ranges too; names that end in .gone are missing, .jpg are images. breaks: bytes after which a
+    connection is closed, whatever it still owes."""
 
-    def __init__(self, root: str) -> None:
+    def __init__(self, root: str, breaks: int | None = None) -> None:
         class Handler(BaseHTTPRequestHandler):
             def do_GET(self) -> None:  # noqa: N802
                 path = Path(root) / self.path.lstrip("/")
                 if not path.is_file():
                     self.send_error(404)
                     return
-                data = path.read_bytes()
-                self.send_response(200)
+                size = path.stat().st_size
+                start = int((self.headers.get("Range") or "bytes=0-")[6:].split("-")[0])
+                if start >= size > 0:
+                    self.send_error(416)
+                    return
+                self.send_response(206 if self.headers.get("Range") else 200)
                 self.send_header("Content-Type", "image/jpeg" if path.suffix == ".jpg" else "text/plain")
-                self.send_header("Content-Length", str(len(data)))
+                self.send_header("Content-Length", str(size - start))
+                self.send_header("Accept-Ranges", "bytes")
                 self.end_headers()
-                self.wfile.write(data)
+                if self.command == "GET":
+                    with path.open("rb") as f:
+                        f.seek(start)
+                        self.wfile.write(f.read(size if breaks is None else breaks))
+
+            do_HEAD = do_GET  # noqa: N815
 
             def log_message(self, *args) -> None:
                 return
@@ -107,6 +118,16 @@ def q_read_http(spark: SparkSession, sf_dir: str) -> DataFrame:
         return saved(jsonl.reviews(jsonl.decode(jsonl.read_lines(spark, f"{base}/{name}"))).select(*_REVIEW_COLUMNS))
 
 
+@query(_REVIEW_SQL)
+def q_read_http_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-03: the same, not gzipped: one file is read by many tasks, a range each, from a server that closes each connection too soon."""
+    at = folder(spark, "http")
+    _review_lines(spark, sf_dir).coalesce(1).write.text(at)
+    name = next(x for x in os.listdir(at) if x.endswith(".txt"))
+    with Served(at, breaks=100_000) as base:
+        return saved(jsonl.reviews(jsonl.decode(jsonl.read_lines(spark, f"{base}/{name}", 250_000))).select(*_REVIEW_COLUMNS))
+
+
 @query("""SELECT 'P' || p_partkey::VARCHAR AS parent_asin, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_type END AS category, p_type || '|' || p_brand AS category_path, p_brand AS leaf_category,
  CASE p_partkey % 3 WHEN 0 THEN 1299.5 WHEN 1 THEN p_retailprice END::DOUBLE AS price, CASE p_partkey % 3 WHEN 0 THEN 'https://x/m' WHEN 1 THEN 'https://x/q' ELSE 'https://x/t' END || p_partkey AS product_image, p_brand AS store FROM part""")
 def q_read_jsonl_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:

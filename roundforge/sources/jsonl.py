@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import gzip
-import io
+import http.client
+import time
+import urllib.error
 import urllib.request
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 import pyarrow as pa
@@ -15,11 +18,69 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from roundforge.functions import text
 
-TIMEOUT, BATCH = 60, 10_000
+TIMEOUT, BATCH, PIECE = 60, 10_000, 1 << 18
+#: Bytes of a file that one task reads; attempts in a row that may bring nothing; seconds before the second one, doubled each time.
+RANGE_BYTES, RETRIES, PAUSE = 32_000_000, 5, 0.2
+
+
+def _request(url: str, method: str = "GET", start: int = 0):
+    headers = {"User-Agent": "roundforge/1"} | ({"Range": f"bytes={start}-"} if start else {})
+    return urllib.request.urlopen(urllib.request.Request(url, headers=headers, method=method), timeout=TIMEOUT)
+
+
+def stream(url: str, start: int = 0) -> Iterator[bytes]:
+    """The bytes of an address from a place on. A connection that breaks, or ends too soon, is made anew at the first byte that is
+    missing; if the file has changed since, that is an error. An address that is not there is none of these, and told at once."""
+    at, failed, mark, last = start, 0, None, None
+    while failed < RETRIES:
+        if failed:
+            time.sleep(PAUSE * 2 ** (failed - 1))
+        before = at
+        try:
+            with _request(url, start=at) as raw:
+                now = raw.headers.get("ETag") or raw.headers.get("Last-Modified")
+                if mark is not None and now != mark:
+                    raise ValueError(f"{url} has changed while it was read")
+                mark = now
+                skip = at if raw.status != 206 else 0  # a server that knows no ranges begins again
+                length = raw.headers.get("Content-Length")
+                end = None if length is None else int(length) + (0 if raw.status != 206 else at)
+                while piece := raw.read(PIECE):
+                    piece, skip = piece[skip:], max(0, skip - len(piece))
+                    at += len(piece)
+                    if piece:
+                        yield piece
+                if end is None or at >= end:
+                    return
+                last = f"{end - at} bytes are missing"
+        except urllib.error.HTTPError as e:
+            if e.code == 416:
+                return  # nothing is behind the end
+            if e.code < 500 and e.code not in (408, 429):
+                raise
+            last = str(e)
+        except (OSError, http.client.HTTPException) as e:
+            last = str(e)
+        failed = 1 if at > before else failed + 1
+    raise OSError(f"{url} broke off at byte {at}: {last}")
+
+
+def _gunzipped(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """Members of a gzip file, one after the other."""
+    member = zlib.decompressobj(31)
+    for piece in pieces:
+        while piece:
+            yield member.decompress(piece)
+            piece = member.unused_data
+            if member.eof:
+                member = zlib.decompressobj(31)
+            else:
+                break
 
 
 class HttpLines(DataSource):
-    """Lines of addresses (option path, comma-separated): one partition for each, streamed, gunzipped if the name ends in .gz."""
+    """Lines of addresses (option path, comma-separated), which \\n or \\r\\n ends. A file whose server tells its length and takes ranges is cut into ranges of
+    ``rangeBytes``, a partition each, with the lines that begin there; a gzip file is one partition. A broken connection goes on where it broke."""
 
     @classmethod
     def name(cls) -> str:
@@ -29,42 +90,81 @@ class HttpLines(DataSource):
         return "value string, line long, source string"
 
     def reader(self, schema) -> DataSourceReader:
-        return HttpLinesReader(self.options["path"].split(","))
+        return HttpLinesReader(self.options["path"].split(","), int(self.options.get("rangeBytes", RANGE_BYTES)))
+
+
+@dataclass
+class Range(InputPartition):
+    number: int
+    url: str
+    lo: int
+    hi: int | None  # None: the end, wherever it is
 
 
 class HttpLinesReader(DataSourceReader):
-    def __init__(self, urls: list[str]) -> None:
-        self.urls = urls
+    def __init__(self, urls: list[str], range_bytes: int) -> None:
+        self.urls, self.range_bytes = urls, range_bytes
+
+    def _cuts(self, url: str) -> list[tuple[int, int | None]]:
+        if url.lower().endswith(".gz"):
+            return [(0, None)]
+        try:
+            with _request(url, "HEAD") as told:
+                size = int(told.headers.get("Content-Length") or 0)
+                ranged = told.headers.get("Accept-Ranges", "").lower() == "bytes"
+        except (OSError, http.client.HTTPException):
+            return [(0, None)]  # read() tells what is wrong, if it is
+        if not ranged or size <= self.range_bytes:
+            return [(0, None)]
+        return [(lo, min(size, lo + self.range_bytes)) for lo in range(0, size, self.range_bytes)]
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(u) for u in self.urls]
-
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        url = partition.value
-        request = urllib.request.Request(url, headers={"User-Agent": "roundforge/1"})
-        with urllib.request.urlopen(request, timeout=TIMEOUT) as raw:
-            stream = io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if url.lower().endswith(".gz") else raw, "utf-8")
-            rows: list[str] = []
-            at = 0
-            for line in stream:
-                rows.append(line.rstrip("\n"))
-                if len(rows) == BATCH:
-                    yield self._batch(rows, at, url)
-                    rows, at = [], at + BATCH
-            if rows:
-                yield self._batch(rows, at, url)
+        cuts = [(u, lo, hi) for u in self.urls for lo, hi in self._cuts(u)]
+        return [Range(k, *c) for k, c in enumerate(cuts)]
+
+    @staticmethod
+    def _lines(url: str, lo: int, hi: int | None) -> Iterator[bytes]:
+        """Lines that begin in a range. Reading starts a byte early, as a line may begin just there."""
+        at = max(0, lo - 1)
+        pieces = stream(url, at)
+        if url.lower().endswith(".gz"):
+            pieces = _gunzipped(pieces)
+        rest, skipping = b"", lo > 0
+        for piece in pieces:
+            parts = (rest + piece).split(b"\n")
+            rest = parts.pop()
+            for line in parts:
+                if not skipping:
+                    yield line.removesuffix(b"\r")
+                skipping = False
+                at += len(line) + 1
+                if hi is not None and at >= hi:
+                    return
+        if rest and not skipping:
+            yield rest.removesuffix(b"\r")
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        rows: list[str] = []
+        at = partition.number << 33
+        for line in self._lines(partition.url, partition.lo, partition.hi):
+            rows.append(line.decode("utf-8"))
+            if len(rows) == BATCH:
+                yield self._batch(rows, at, partition.url)
+                rows, at = [], at + BATCH
+        if rows:
+            yield self._batch(rows, at, partition.url)
 
     @staticmethod
     def _batch(rows: list[str], at: int, url: str) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(range(at, at + len(rows)), pa.int64()), pa.array([url] * len(rows))], names=["value", "line", "source"])
 
 
-def read_lines(spark: SparkSession, source: str) -> DataFrame:
+def read_lines(spark: SparkSession, source: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """value, pos, source. Over http(s) by the data source above; else Spark's text reader, whose codec opens .gz files. pos rises with
     the lines of a file."""
     if source.lower().startswith(("http://", "https://")):
         spark.dataSource.register(HttpLines)
-        return spark.read.format("roundforge_http_lines").load(source).withColumnRenamed("line", "pos")
+        return spark.read.format("roundforge_http_lines").option("rangeBytes", range_bytes).load(source).withColumnRenamed("line", "pos")
     lines = spark.read.text(source).select("value", F.col("_metadata.file_path").alias("source"))
     return lines.withColumn("pos", F.monotonically_increasing_id())
 
