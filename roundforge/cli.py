@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from roundforge.functions import hashing, text
 from roundforge.operators import assets, build, curation, quality, rerank, screening, sharding, validate
+from roundforge.operators.signature import signatures
 from roundforge.session import checkpointed, session
 from roundforge.sinks import writers
 from roundforge.sources import jsonl, packs
@@ -88,7 +89,7 @@ def screen(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def curate(spark: SparkSession, a: argparse.Namespace) -> int:
     rounds = packs.read_inline(spark, a.pack)
-    signature = None if a.any_signature else rounds.agg(hashing.dataset_signature(F.col("id")).alias("s")).first()["s"]
+    signature = None if a.any_signature else signatures(rounds, "id").first()["signature"]
     decisions = packs.read_decisions(spark, a.decisions, signature)
     print(curation.summary(rounds, decisions, a.only_kept).first().asDict())
     writers.write_pack(curation.apply(rounds, decisions, a.only_kept), {"version": 2}, a.output)
@@ -104,7 +105,7 @@ def shard(spark: SparkSession, a: argparse.Namespace) -> int:
     own = [c for c in rounds.columns if c != "pos"]
     placed = sharding.assign(rounds.withColumn("category", F.col("product.category")), a.size, a.seed).withColumn("json", F.to_json(F.struct(*own)))
     placed = checkpointed(placed)
-    signature = rounds.agg(hashing.dataset_signature(F.col("id")).alias("s")).first()["s"]
+    signature = signatures(rounds, "id").first()["signature"]
     header = {"version": 2, "format": "roundforge-shard", "seed": a.seed, "dataset_signature": signature}
     listed = writers.write_shards(placed, a.output, header).join(sharding.category_counts(placed, "shard").select(F.col("shard").alias("id"), "categories"), "id")
     manifest = {"version": 1, "format": "roundforge-sharded-pack", "seed": a.seed, "dataset_signature": signature, "shard_size": a.size, "round_count": rounds.count()}
@@ -125,7 +126,7 @@ def check_shards(spark: SparkSession, a: argparse.Namespace) -> int:
     index = spark.createDataFrame([(e["id"], e["category"], e["shard"]) for e in manifest["index"]], "id string, category string, shard string")
     own = rounds.select("id", text.round_category(F.col("source_category"), F.col("category")).alias("category"), "shard")
     errors = sharding.shard_errors(listed, actual).union(sharding.index_errors(index, own, listed)).limit(1000).collect()
-    signature = rounds.agg(hashing.dataset_signature(F.col("id")).alias("s")).first()["s"]
+    signature = signatures(rounds, "id").first()["signature"]
     found = [f"{e['error']}: {e['id']}" for e in errors] + ["signature differs"] * (signature != manifest["dataset_signature"])
     print(*found, sep="\n")
     return int(bool(found))

@@ -29,16 +29,16 @@ def fnv1a(text: Column, start: Column | None = None) -> Column:
     return _fold(F.lit(FNV_START).cast("long") if start is None else start, text)
 
 
-def signature_of(ids: Column) -> Column:
-    """The signature of a set of ids, an array: FNV-1a of the sorted ids joined by '|', in lower-case hex.
-    The fold goes id by id, so it is linear in the text."""
-    parts = F.transform(F.array_sort(ids), lambda x, i: F.concat(F.when(i > 0, "|").otherwise(""), x))
-    return F.lower(F.hex(F.aggregate(parts, F.lit(FNV_START).cast("long"), _fold)))
+def folded(ids: Column, state: Column | None) -> Column:
+    """Goes on from a state, None at the beginning, with an array of ids in order; '|' stands between ids. The fold goes id by id, so it is linear in the text."""
+    first = F.lit(FNV_START).cast("long") if state is None else state
+    parts = F.transform(ids, lambda x, i: F.concat(F.when(i > 0, "|").otherwise("" if state is None else "|"), x))
+    return F.aggregate(parts, first, _fold)
 
 
-def dataset_signature(ids: Column) -> Column:
-    """An aggregate. The hash is a sequential fold over all ids by definition, so they meet in one row."""
-    return signature_of(F.collect_list(F.coalesce(ids, F.lit(""))))
+def signature_of(ids: Column) -> Column:
+    """The signature of a set of ids, an array: FNV-1a of the sorted ids joined by '|', in lower-case hex. For ids in rows see operators.signature."""
+    return F.lower(F.hex(folded(F.array_sort(ids), None)))
 
 
 def round_id(parent: Column, image: Column) -> Column:

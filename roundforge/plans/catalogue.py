@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from roundforge.functions import hashing, text
 from roundforge.operators import assets, build, curation, game, quality, rerank, screening, sharding, validate, workspace
+from roundforge.operators.signature import signatures
 from roundforge.plans import sqltext as q
 from roundforge.plans import views
 from roundforge.plans.views import table, with_views
@@ -298,7 +299,13 @@ def q_sha_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_views("rounds", f"SELECT category, printf('%x', {q.fnv('ids')}) AS signature FROM (SELECT category, string_agg(id, '|' ORDER BY id) AS ids FROM rounds GROUP BY category)"))
 def q_fnv_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-11: the signature of each category's rounds."""
-    return views.rounds(spark, sf_dir).groupBy("category").agg(hashing.dataset_signature(F.col("id")).alias("signature"))
+    return signatures(views.rounds(spark, sf_dir).select("category", "id"), "id", "category")
+
+
+@query(with_views("rounds", f"SELECT printf('%x', {q.fnv('ids')}) AS signature FROM (SELECT string_agg(id, '|' ORDER BY id) AS ids FROM rounds)"))
+def q_fnv_signature_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-11: the signature of all rounds, in parts of 500 ids that are folded one after the other."""
+    return signatures(views.rounds(spark, sf_dir).select("id"), "id", part_ids=500)
 
 
 # --- shards ------------------------------------------------------------------------------------

@@ -16,8 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundforge.functions import hashing, text
+from roundforge.functions import text
 from roundforge.operators import assets, build, curation, game, quality, rerank, screening, sharding, workspace
+from roundforge.operators.signature import signatures
 from roundforge.plans import sqltext as q
 from roundforge.plans import views
 from roundforge.plans.catalogue import _BANK, _SCORED, _SCREENED, _SHARDED, SEED, _scored, query, r6
@@ -220,7 +221,7 @@ def _write_sharded(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame, st
     at = folder(spark, "sharded")
     r = sharding.assign(views.rounds(spark, sf_dir), 250, 7)
     placed = checkpointed(r.withColumn("json", F.to_json(F.struct("id", F.struct("title").alias("product")))))
-    signature = placed.agg(hashing.dataset_signature(F.col("id")).alias("s")).first()["s"]
+    signature = signatures(placed, "id").first()["signature"]
     listed = checkpointed(writers.write_shards(placed, f"file://{at}", {"format": "shard", "dataset_signature": signature}))
     manifest = {"format": "pack", "dataset_signature": signature, "shards": [x.asDict() for x in listed.orderBy("id").collect()], "index": [x.asDict() for x in placed.select("id", "shard").collect()]}  # files of a pack for browsers
     Path(at, "manifest.json").write_bytes(writers.canonical_json(manifest))
@@ -254,7 +255,7 @@ def q_shard_files_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = listed.agg(F.min("id").alias("first"), F.max("id").alias("last"))
     faulty = listed.join(F.broadcast(ends)).select("id", "path", (F.col("round_count") + (F.col("id") == F.col("first")).cast("long")).alias("round_count"), F.when(F.col("id") == F.col("last"), "0").otherwise(F.col("sha256")).alias("sha256"), none)
     lost = spark.createDataFrame([("zz", "shards/rounds-zz.json", 1, "0", None)], faulty.schema)
-    signature = rounds.agg(F.lit("signature").alias("error"), hashing.dataset_signature(F.col("id")).alias("id"))
+    signature = signatures(rounds, "id").select(F.lit("signature").alias("error"), F.col("signature").alias("id"))
     return sharding.shard_errors(faulty.union(lost), actual).union(signature)
 
 
