@@ -34,7 +34,7 @@ def build_pack(spark: SparkSession, a: argparse.Namespace) -> int:
     wanted = build.per_category(a.limit, len(a.categories))
     parts, pools = [], []
     for c in a.categories:
-        r, m = jsonl.category_sources(c, Path(a.raw))
+        r, m = jsonl.category_sources(c, a.raw)
         own = build.image_reviews(jsonl.reviews(jsonl.decode(jsonl.capped(jsonl.read_lines(spark, r), a.max_reviews))))
         parts.append(build.sample(own, build.review_capacity(build.oversample(wanted)), a.seed, "parent_asin", "review_image", "pos").withColumn("source_category", F.lit(c)))
         pools.append(jsonl.products(jsonl.decode(jsonl.capped(jsonl.read_lines(spark, m), a.max_products))).withColumn("source_category", F.lit(c)))
@@ -75,7 +75,7 @@ def audit(spark: SparkSession, a: argparse.Namespace) -> int:
     rows = quality.audit(quality.analyze(_flat(packs.read_inline(spark, a.pack)))).collect()
     print(quality.render(rows, a.pack))
     if a.output:
-        writers.replace_file(Path(a.output), json.dumps([r.asDict() for r in rows], indent=2).encode())
+        writers.replace_file(a.output, json.dumps([r.asDict() for r in rows], indent=2).encode())
     return 0
 
 
@@ -109,25 +109,22 @@ def shard(spark: SparkSession, a: argparse.Namespace) -> int:
     header = {"version": 2, "format": "roundforge-shard", "seed": a.seed, "dataset_signature": signature}
     listed = writers.write_shards(placed, a.output, header).join(sharding.category_counts(placed, "shard").select(F.col("shard").alias("id"), "categories"), "id")
     manifest = {"version": 1, "format": "roundforge-sharded-pack", "seed": a.seed, "dataset_signature": signature, "shard_size": a.size, "round_count": rounds.count()}
-    manifest["shards"] = [r.asDict(True) for r in listed.orderBy("id").collect()]
-    manifest["index"] = [r.asDict(True) for r in sharding.index(placed).join(placed.select("id", "place"), "id").orderBy("place").drop("place").collect()]
-    writers.replace_file(Path(a.output) / "manifest.json", writers.canonical_json(manifest))
+    manifest["shards"] = listed.withColumn("pos", F.col("id"))
+    manifest["index"] = sharding.index(placed).join(placed.select("id", F.col("place").alias("pos")), "id")
+    writers.write_json(manifest, f"{a.output}/manifest.json")
     return 0
 
 
 def check_shards(spark: SparkSession, a: argparse.Namespace) -> int:
-    manifest = packs.read_manifest(a.manifest)
-    cats = "map<string,bigint>"
-    listed = spark.createDataFrame([(s["id"], s["path"], s["round_count"], s["sha256"], s["categories"]) for s in manifest["shards"]], f"id string, path string, round_count long, sha256 string, categories {cats}")
-    rounds = packs.read_shards(spark, a.manifest).withColumn("category", F.col("product.category"))
-    root = Path(a.manifest).parent
-    files = spark.read.format("binaryFile").load([str(root / s["path"]) for s in manifest["shards"]]).select(F.sha2("content", 256).alias("sha256"), F.regexp_extract("path", r"-([0-9]+)\.json$", 1).alias("id"))
+    manifest = packs.read_manifest(spark, a.manifest)
+    listed = manifest.shards
+    rounds = packs.read_shards(spark, manifest).withColumn("category", F.col("product.category"))
+    files = packs.read_texts(listed.select("id", "path"), manifest.root).select("id", F.sha2("content", 256).alias("sha256"))
     actual = sharding.category_counts(rounds, "shard").withColumnRenamed("shard", "id").join(files, "id")
-    index = spark.createDataFrame([(e["id"], e["category"], e["shard"]) for e in manifest["index"]], "id string, category string, shard string")
     own = rounds.select("id", text.round_category(F.col("source_category"), F.col("category")).alias("category"), "shard")
-    errors = sharding.shard_errors(listed, actual).union(sharding.index_errors(index, own, listed)).limit(1000).collect()
+    errors = sharding.shard_errors(listed, actual).union(sharding.index_errors(manifest.index, own, listed)).limit(1000).collect()
     signature = signatures(rounds, "id").first()["signature"]
-    found = [f"{e['error']}: {e['id']}" for e in errors] + ["signature differs"] * (signature != manifest["dataset_signature"])
+    found = [f"{e['error']}: {e['id']}" for e in errors] + ["signature differs"] * (signature != manifest.signature)
     print(*found, sep="\n")
     return int(bool(found))
 

@@ -10,7 +10,6 @@ import threading
 import uuid
 from functools import partial
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,14 +22,14 @@ from roundforge.plans import sqltext as q
 from roundforge.plans import views
 from roundforge.plans.catalogue import _BANK, _SCORED, _SCREENED, _SHARDED, SEED, _scored, query, r6
 from roundforge.plans.views import table, with_views
-from roundforge.session import checkpointed, shared_folder
+from roundforge.session import checkpointed, placed, shared_folder
 from roundforge.sinks import writers
-from roundforge.sources import images, jsonl, packs
+from roundforge.sources import images, jsonl, packs, stores
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new local path below the shared folder."""
-    return f"{shared_folder(spark).removeprefix('file://').rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
+    """The URI of a new folder below the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
 
 
 saved = checkpointed
@@ -43,24 +42,24 @@ class Served:
     def __init__(self, root: str, breaks: int | None = None) -> None:
         class Handler(BaseHTTPRequestHandler):
             def do_GET(self) -> None:  # noqa: N802
-                path = Path(root) / self.path.lstrip("/")
-                if not path.is_file():
+                store, base = stores.opened(root)
+                path = f"{base}/{self.path.lstrip('/')}"
+                size = stores.size(store, path)
+                if size is None:
                     self.send_error(404)
                     return
-                size = path.stat().st_size
                 start = int((self.headers.get("Range") or "bytes=0-")[6:].split("-")[0])
                 if start >= size > 0:
                     self.send_error(416)
                     return
                 self.send_response(206 if self.headers.get("Range") else 200)
-                self.send_header("Content-Type", "image/jpeg" if path.suffix == ".jpg" else "text/plain")
+                self.send_header("Content-Type", "image/jpeg" if path.endswith(".jpg") else "text/plain")
                 self.send_header("Content-Length", str(size - start))
                 self.send_header("Accept-Ranges", "bytes")
                 self.end_headers()
                 if self.command == "GET":
-                    with path.open("rb") as f:
-                        f.seek(start)
-                        self.wfile.write(f.read(size if breaks is None else breaks))
+                    with store.open_input_file(path) as f:
+                        self.wfile.write(f.read_at(min(size - start, size if breaks is None else breaks), start))
 
             do_HEAD = do_GET  # noqa: N815
 
@@ -114,7 +113,7 @@ def q_read_http(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-03: the same over HTTP, gzipped. One file, as one address is one stream."""
     at = folder(spark, "http")
     _review_lines(spark, sf_dir).coalesce(1).write.text(at, compression="gzip")
-    name = next(x for x in os.listdir(at) if x.endswith(".gz"))
+    name = next(x for x in stores.names(at) if x.endswith(".gz"))
     with Served(at) as base:
         return saved(jsonl.reviews(jsonl.decode(jsonl.read_lines(spark, f"{base}/{name}"))).select(*_REVIEW_COLUMNS))
 
@@ -124,7 +123,7 @@ def q_read_http_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-03: the same, not gzipped: one file is read by many tasks, a range each, from a server that closes each connection too soon."""
     at = folder(spark, "http")
     _review_lines(spark, sf_dir).coalesce(1).write.text(at)
-    name = next(x for x in os.listdir(at) if x.endswith(".txt"))
+    name = next(x for x in stores.names(at) if x.endswith(".txt"))
     with Served(at, breaks=100_000) as base:
         return saved(jsonl.reviews(jsonl.decode(jsonl.read_lines(spark, f"{base}/{name}", 250_000))).select(*_REVIEW_COLUMNS))
 
@@ -163,15 +162,14 @@ def q_scan_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT r_name AS category, r_name || CASE WHEN r_regionkey % 2 = 0 THEN '.jsonl.gz' ELSE '.jsonl' END AS reviews, 'meta_' || r_name || '.jsonl' AS meta, 'https://h/r/' || r_name || '.jsonl' AS remote_reviews, 'https://h/m/meta_' || r_name || '.jsonl' AS remote_meta FROM region")
 def q_category_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-06: a category's files, gzipped first, and its addresses."""
-    at = Path(folder(spark, "raw"))
-    at.mkdir(parents=True)
+    at = folder(spark, "raw")
     out = []
     for r in table(spark, sf_dir, "region").collect():  # five rows
         name = r["r_name"]
         for suffix in ["meta_{}.jsonl", "{}.jsonl", *["{}.jsonl.gz"] * (r["r_regionkey"] % 2 == 0)]:
-            (at / suffix.format(name)).touch()
+            writers.replace_file(f"{at}/{suffix.format(name)}", b"")
         local, remote = jsonl.category_sources(name, at), jsonl.category_sources(name, None, "https://h/r", "https://h/m")
-        out.append((name, *[Path(x).name for x in local], *remote))
+        out.append((name, *[x.rpartition('/')[2] for x in local], *remote))
     return spark.createDataFrame(out, "category string, reviews string, meta string, remote_reviews string, remote_meta string")
 
 
@@ -202,7 +200,6 @@ def _opened(rounds: DataFrame) -> DataFrame:
 def q_inline_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-07, SNK-01: a pack written as one JSON file and read back."""
     at = folder(spark, "pack")
-    os.makedirs(at)
     writers.write_pack(_pack_rounds(spark, sf_dir), {"version": 2, "name": "pack"}, f"{at}/rounds.json")
     return _opened(packs.read_inline(spark, f"{at}/rounds.json"))
 
@@ -211,7 +208,6 @@ def q_inline_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_open_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-10: without a manifest and a pack, the demo is opened."""
     at = folder(spark, "demo")
-    os.makedirs(at)
     writers.write_pack(_pack_rounds(spark, sf_dir), {}, f"{at}/demo.json")
     return _opened(packs.open_pack(spark, at))
 
@@ -222,9 +218,9 @@ def _write_sharded(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame, st
     r = sharding.assign(views.rounds(spark, sf_dir), 250, 7)
     placed = checkpointed(r.withColumn("json", F.to_json(F.struct("id", F.struct("title").alias("product")))))
     signature = signatures(placed, "id").first()["signature"]
-    listed = checkpointed(writers.write_shards(placed, f"file://{at}", {"format": "shard", "dataset_signature": signature}))
-    manifest = {"format": "pack", "dataset_signature": signature, "shards": [x.asDict() for x in listed.orderBy("id").collect()], "index": [x.asDict() for x in placed.select("id", "shard").collect()]}  # files of a pack for browsers
-    Path(at, "manifest.json").write_bytes(writers.canonical_json(manifest))
+    listed = checkpointed(writers.write_shards(placed, at, {"format": "shard", "dataset_signature": signature}))
+    fields = {"format": "pack", "dataset_signature": signature, "shards": listed.withColumn("pos", F.col("id")), "index": placed.select(F.col("place").alias("pos"), "id", "shard")}
+    writers.write_json(fields, f"{at}/manifest.json")
     return f"{at}/manifest.json", listed, signature
 
 
@@ -232,7 +228,17 @@ def _write_sharded(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame, st
 def q_sharded_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-08: rounds of a sharded pack, read by its manifest."""
     manifest, _, _ = _write_sharded(spark, sf_dir)
-    return packs.read_shards(spark, manifest, None).select("id", "shard", "product.title")
+    return packs.read_shards(spark, manifest).select("id", "shard", "product.title")
+
+
+@query(with_views("rounds", "SELECT row_number() OVER (ORDER BY pos DESC) - 1 AS pos, id, shard, title FROM shards WHERE pos % 3 = 0", _SHARDED))
+def q_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-09, JN-13: every third round, last one first, found through an index table that is partitioned by a hash of the id."""
+    manifest = packs.read_manifest(spark, _write_sharded(spark, sf_dir)[0])
+    table = folder(spark, "index")
+    packs.write_index(manifest, table)
+    wanted = placed(views.rounds(spark, sf_dir).filter("pos % 3 = 0").select("id", F.col("pos").alias("at")), F.desc("at"), F.col("id")).select(F.col("place").alias("pos"), "id")
+    return packs.lookup(spark, manifest, wanted, table).select("pos", "id", "shard", "product.title")
 
 
 @query(with_views("rounds", f"""SELECT shard AS id, 'shards/rounds-' || shard || '.json' AS path, count(*) AS round_count,
@@ -247,7 +253,7 @@ def q_canonical_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_shard_files_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-18, VAL-02: listed shards against what their files hold, with planted faults; the signature is computed anew from the files."""
     manifest, listed, _ = _write_sharded(spark, sf_dir)
-    root = str(Path(manifest).parent)
+    root = manifest.rpartition("/")[0]
     rounds = packs.read_shards(spark, manifest)
     files = spark.read.format("binaryFile").load(f"{root}/shards").select(F.sha2("content", 256).alias("sha256"), F.regexp_extract("path", r"-([0-9]+)\.json$", 1).alias("id"))
     none = F.lit(None).cast("map<string,bigint>").alias("categories")
@@ -279,7 +285,7 @@ def _write_images(spark: SparkSession, sf_dir: str, at: str) -> DataFrame:
             out = []
             for k, name in zip(b["s_suppkey"], b["s_name"], strict=True):
                 path = f"deep/{k}.jpg" if k % 10 == 0 else f"{k}.jpg"
-                writers.replace_file(Path(at, path), name.encode())
+                writers.replace_file(f"{at}/{path}", name.encode())
                 out.append((path, len(name)))
             yield pd.DataFrame(out, columns=["path", "length"])
 
@@ -295,8 +301,8 @@ def q_image_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounds = table(spark, sf_dir, "supplier").select(F.when(F.col("s_suppkey") % 10 == 0, F.concat(F.lit("../"), k, F.lit(".jpg"))).otherwise(F.concat(k, F.lit(".jpg"))).alias("review_image"))
     got = checkpointed(images.fetch(rounds, at))
     found = got.filter("error is null").withColumn("extension", assets.extension(F.col("content"), F.col("content_type"), F.col("url")))
-    first = checkpointed(writers.write_assets(found, f"file://{at}-cache"))
-    again = checkpointed(writers.write_assets(found, f"file://{at}-cache"))
+    first = checkpointed(writers.write_assets(found, f"{at}-cache"))
+    again = checkpointed(writers.write_assets(found, f"{at}-cache"))
     both = first.withColumnRenamed("bytes_written", "bytes_first").join(again.select("url", F.col("bytes_written").alias("bytes_again")), "url")
     out = got.select("url", F.coalesce("error", "content_type").alias("content_type")).join(both, "url", "left")
     return out.select("url", "name", "sha256", "bytes_first", "bytes_again", "content_type")
@@ -326,12 +332,12 @@ def _cached(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     def run(batches):
         for b in batches:
             for key, content in zip(b["s_suppkey"], b["content"], strict=True):
-                writers.replace_file(Path(at, f"{key}.jpg"), content.encode())
+                writers.replace_file(f"{at}/{key}.jpg", content.encode())
             yield pd.DataFrame({"n": [len(b)]})
 
     rows.mapInPandas(run, "n long").collect()
     rounds = table(spark, sf_dir, "supplier").select(k.cast("long").alias("pos"), F.concat(F.lit("i"), k.cast("string")).alias("id"), F.concat(k.cast("string"), F.lit(".jpg")).alias("review_image"))
-    return assets.cache_rounds(rounds, at, f"file://{at}-cache", "pics", keep_failed=True)
+    return assets.cache_rounds(rounds, at, f"{at}-cache", "pics", keep_failed=True)
 
 
 @query("SELECT CASE WHEN s_suppkey % 10 = 0 THEN 'deep/' ELSE '' END || s_suppkey || '.jpg' AS path, length(s_name)::BIGINT AS length FROM supplier")
@@ -339,7 +345,8 @@ def q_cache_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-13: files of a cache and of its folders, without links."""
     at = folder(spark, "cache")
     _write_images(spark, sf_dir, at)
-    os.symlink("/etc/hostname", f"{at}/link.jpg")
+    if at.startswith("file://"):
+        os.symlink("/etc/hostname", f"{at.removeprefix('file://')}/link.jpg")
     return packs.read_files(spark, at).select("path", "length")
 
 
@@ -352,7 +359,7 @@ def q_prune_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = []
     for run in ("told", "deleted"):
         done = writers.prune(orphans, at, delete=run == "deleted")
-        out.append((run, done["files"], done["bytes"], sum(len(names) for _, _, names in os.walk(at))))
+        out.append((run, done["files"], done["bytes"], packs.read_files(spark, at).count()))
     return spark.createDataFrame(out, "run string, files long, bytes long, files_after long")
 
 
@@ -384,14 +391,13 @@ def q_model_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n_name AS name, n_nationkey % 3 = 0 AS live FROM nation")
 def q_live_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-03: images that an address serves; texts and missing files aren't."""
-    at = Path(folder(spark, "live"))
-    at.mkdir(parents=True)
+    at = folder(spark, "live")
     rows = table(spark, sf_dir, "nation").collect()  # 25 rows
     for r in rows:
         if r["n_nationkey"] % 3 != 2:
-            (at / f"{r['n_nationkey']}.{'jpg' if r['n_nationkey'] % 3 == 0 else 'txt'}").write_bytes(b"data")
+            writers.replace_file(f"{at}/{r['n_nationkey']}.{'jpg' if r['n_nationkey'] % 3 == 0 else 'txt'}", b"data")
     suffix = {0: "jpg", 1: "txt", 2: "jpg"}
-    with Served(str(at)) as base:
+    with Served(at) as base:
         rounds = spark.createDataFrame([(r["n_name"], f"{base}/{r['n_nationkey']}.{suffix[r['n_nationkey'] % 3]}") for r in rows], "name string, review_image string")
         live = saved(images.live(rounds).select("name"))
     return rounds.select("name").join(live.withColumn("live", F.lit(True)), "name", "left").select("name", F.coalesce("live", F.lit(False)).alias("live"))
@@ -404,8 +410,8 @@ class _FileClient:
         self.at = at
 
     def upload_file(self, path: str, bucket: str, key: str, ExtraArgs: dict) -> None:  # noqa: N803
-        told = {"key": key, "bucket": bucket, "size": os.path.getsize(path), "content_type": ExtraArgs["ContentType"], "cache_control": ExtraArgs["CacheControl"]}
-        writers.replace_file(Path(self.at, uuid.uuid4().hex + ".json"), json.dumps(told).encode())
+        told = {"key": key, "bucket": bucket, "size": stores.size(*stores.opened(path)), "content_type": ExtraArgs["ContentType"], "cache_control": ExtraArgs["CacheControl"]}
+        writers.replace_file(f"{self.at}/{uuid.uuid4().hex}.json", json.dumps(told).encode())
 
 
 @query("SELECT 'img/' || CASE WHEN s_suppkey % 10 = 0 THEN 'deep/' ELSE '' END || s_suppkey || '.jpg' AS key, 'bucket' AS bucket, length(s_name)::BIGINT AS size, 'image/jpeg' AS content_type, 'public, max-age=31536000, immutable' AS cache_control FROM supplier")
@@ -423,7 +429,7 @@ def q_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_patch_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-07: a manifest that is told where its images are."""
     at = folder(spark, "manifest") + "/manifest.json"
-    writers.replace_file(Path(at), writers.canonical_json({"round_count": table(spark, sf_dir, "part").count()}))
+    writers.replace_file(at, writers.canonical_json({"round_count": table(spark, sf_dir, "part").count()}))
     writers.patch_manifest(at, "assets/reviews", "https://cdn/x")
     got = spark.read.schema("round_count long, asset_delivery struct<review_images:struct<path_prefix:string,base_url:string>>").json(at)
     return got.select("asset_delivery.review_images.path_prefix", "asset_delivery.review_images.base_url", F.col("round_count").alias("rounds"))
@@ -455,7 +461,7 @@ def q_decisions_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = views.rounds(spark, sf_dir)
     own = r.filter("pos % 5 = 0 or pos % 7 = 0").select("id", F.when(F.col("pos") % 5 == 0, "keep").otherwise("reject").alias("decision"))
     one = curation.export_actions(own, "s").first().asDict(True)  # a file for one curator's browser
-    writers.replace_file(Path(at), json.dumps(one).encode())
+    writers.replace_file(at, json.dumps(one).encode())
     return packs.read_decisions(spark, at, "s")
 
 

@@ -11,73 +11,96 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roundforge.functions import text
+from roundforge.session import checkpointed
 from roundforge.sources import stores
-from roundforge.sources.packs import safe_relative
+from roundforge.sources.packs import PackError, safe_relative
 
 
 def canonical_json(value: object) -> bytes:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True).encode("utf-8")
 
 
-def replace_file(path: Path, data: bytes) -> None:
-    """Written beside and renamed, so that no reader sees half a file."""
-    path.parent.mkdir(parents=True, exist_ok=True)
-    draft = path.with_name(f".{path.name}.{os.getpid()}.tmp")
-    draft.write_bytes(data)
-    os.replace(draft, path)
-
-
-def write_pack(rounds: DataFrame, header: dict, path: str) -> None:
-    """One JSON file, rounds in order of pos. Tasks write the rows of a range of pos each into a part beside the file, and one task joins
-    the parts' bytes, so the driver holds a row for each part. A part's name has its task's attempt, only those of tasks that ended well are joined."""
-    spark, parts = rounds.sparkSession, f"{path}.parts-{uuid.uuid4().hex}"
-    rows = rounds.repartitionByRange("pos").sortWithinPartitions("pos").drop("pos").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j"))
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task = TaskContext.get()
-        name = f"{task.partitionId():08d}-{task.taskAttemptId()}"
-        store, root = stores.opened(parts)
-        batches = (b for b in batches if len(b))
-        first = next(batches, None)
-        if first is None:
-            return
-        store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/{name}") as out:
-            out.write(",".join(first["j"]).encode())
-            for b in batches:
-                out.write(("," + ",".join(b["j"])).encode())
-        yield pd.DataFrame({"part": [task.partitionId()], "name": [name]})
-
-    names = [r["name"] for r in sorted(rows.mapInPandas(write, "part int, name string").collect())]
-    head = (json.dumps(header, ensure_ascii=False, separators=(",", ":"))[:-1] + (',"rounds":[' if header else '"rounds":[')).encode()
+def replace_file(path: Path | str, data: bytes) -> None:
+    """Written beside and renamed, so that no reader sees half a file. path: a URI or a local path."""
+    store, at = stores.opened(str(path))
+    stores.replace(store, at, data)
+
+
+def write_json(fields: dict[str, object], path: str) -> None:
+    """One JSON object in one file. A field that is a DataFrame (pos and others) is an array of its rows in order of pos. Tasks write the rows of a range of
+    pos each into a part beside the file, and one task joins the parts' bytes, so the driver holds a row for each part. A part's name has its
+    task's attempt, only those of tasks that ended well are joined."""
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    pieces: list[tuple[bool, str]] = []  # text, or the name of a part
+    spark = None
+
+    def writer(field: int):
+        def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            task = TaskContext.get()
+            name = f"{field}-{task.partitionId():08d}-{task.taskAttemptId()}"
+            store, root = stores.opened(parts)
+            batches = (b for b in batches if len(b))
+            first = next(batches, None)
+            if first is None:
+                return
+            store.create_dir(root, recursive=True)
+            with store.open_output_stream(f"{root}/{name}") as out:
+                out.write(",".join(first["j"]).encode())
+                for b in batches:
+                    out.write(("," + ",".join(b["j"])).encode())
+            yield pd.DataFrame({"part": [task.partitionId()], "name": [name]})
+
+        return write
+
+    for k, (key, value) in enumerate(fields.items()):
+        pieces.append((False, ("," if k else "{") + json.dumps(key, ensure_ascii=False) + ":"))
+        if not isinstance(value, DataFrame):
+            pieces.append((False, json.dumps(value, ensure_ascii=False, separators=(",", ":"))))
+            continue
+        spark = value.sparkSession
+        rows = value.repartitionByRange("pos").sortWithinPartitions("pos").drop("pos").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j"))
+        names = [r["name"] for r in sorted(rows.mapInPandas(writer(k), "part int, name string").collect())]
+        pieces.append((False, "["))
+        for i, name in enumerate(names):
+            pieces += [(False, ",")] * (i > 0) + [(True, name)]
+        pieces.append((False, "]"))
+    pieces.append((False, "}"))
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = stores.opened(parts)
 
-        def pieces() -> Iterator[bytes]:
-            yield head
-            for i, name in enumerate(names):
-                if i:
-                    yield b","
-                with store.open_input_stream(f"{root}/{name}") as f:
-                    while piece := f.read(4_000_000):
-                        yield bytes(piece)
-            yield b"]}"
+        def joined() -> Iterator[bytes]:
+            for is_part, piece in pieces:
+                if not is_part:
+                    yield piece.encode("utf-8")
+                    continue
+                with store.open_input_stream(f"{root}/{piece}") as f:
+                    while data := f.read(4_000_000):
+                        yield bytes(data)
 
         for b in batches:
-            stores.replace_by(store, stores.opened(path)[1], pieces())
+            stores.replace_by(store, stores.opened(path)[1], joined())
             yield b
 
+    if spark is None:
+        raise ValueError("no field is a DataFrame")
     spark.range(0, 1, 1, 1).mapInPandas(join, "id long").collect()
     store, root = stores.opened(parts)
-    if names:
+    if any(is_part for is_part, _ in pieces):
         store.delete_dir(root)
 
 
+def write_pack(rounds: DataFrame, header: dict, path: str) -> None:
+    """A pack as one JSON file, rounds in order of pos."""
+    write_json(header | {"rounds": rounds}, path)
+
+
 def write_shards(rounds: DataFrame, folder: str, header: dict, prefix: str = "shards/rounds") -> DataFrame:
     """Writes a canonical JSON file for each shard (rounds: shard, place, json) below ``folder``, a URI or a local path; returns id,
     path, round_count, sha256. A task holds one shard at a time. A shard's number, from 1, is its id's."""
@@ -132,7 +155,7 @@ def write_report(report: DataFrame, path: str, sample: int | None = None) -> dic
     """A bounded report as JSON; with ``sample``, its first rows and whether there are more."""
     rows = report.limit(sample + 1).collect() if sample else report.collect()
     payload = {"rows": [r.asDict(True) for r in rows[:sample]], "truncated": bool(sample and len(rows) > sample)}
-    replace_file(Path(path), json.dumps(payload, ensure_ascii=False, indent=2, default=str).encode("utf-8"))
+    replace_file(path, json.dumps(payload, ensure_ascii=False, indent=2, default=str).encode("utf-8"))
     return payload
 
 
@@ -149,22 +172,46 @@ def upload(plan: DataFrame, client: Callable[[], object], bucket: str) -> None:
 
 def patch_manifest(path: str, prefix: str, base_url: str) -> None:
     """Tells the manifest where its images are, after all uploads."""
-    manifest = json.loads(Path(path).read_text("utf-8"))
+    manifest = json.loads(stores.text(path))
     manifest["asset_delivery"] = {"review_images": {"path_prefix": prefix.strip("/") + "/", "base_url": base_url.rstrip("/") + "/"}}
-    replace_file(Path(path), json.dumps(manifest, ensure_ascii=False, separators=(",", ":")).encode("utf-8"))
+    replace_file(path, json.dumps(manifest, ensure_ascii=False, separators=(",", ":")).encode("utf-8"))
 
 
 def prune(orphans: DataFrame, folder: str, delete: bool = False) -> dict:
-    """Deletes orphaned files and folders left empty; by default only tells what it would do."""
-    root = Path(folder).resolve()
-    count = size = 0
-    for r in orphans.select("path", "length").toLocalIterator():
-        path = root / safe_relative(r["path"])
-        count, size = count + 1, size + (r["length"] or 0)
-        if delete and not path.is_symlink():
-            path.unlink(missing_ok=True)
-            for parent in path.parents:
-                if parent == root or any(parent.iterdir()):
-                    break
-                parent.rmdir()
-    return {"files": count, "bytes": size, "deleted": delete}
+    """Deletes orphaned files and folders left empty; by default only tells what it would do. Tasks delete, and a file that is gone is no error, so
+    a task may be repeated; folders are taken away from the deepest level up."""
+    checked = orphans.select("path", "length").distinct()
+    if unsafe := checked.filter(~text.safe_path(F.col("path"))).first():
+        raise PackError(f"unsafe path {unsafe['path']!r}")
+
+    def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = stores.opened(folder)
+        for b in batches:
+            for path in b["path"]:
+                at = f"{root.rstrip('/')}/{path}"
+                link = store.type_name == "local" and os.path.islink(at)
+                if not link and stores.size(store, at) is not None:
+                    store.delete_file(at)
+            yield pd.DataFrame({"dir": [p.rpartition("/")[0] for p in b["path"]]})
+
+    def folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = stores.opened(folder)
+        for b in batches:
+            above = []
+            for d in b["dir"]:
+                at = f"{root.rstrip('/')}/{d}"
+                if store.get_file_info(at).type == fs.FileType.Directory and not store.get_file_info(fs.FileSelector(at)):
+                    store.delete_dir(at)
+                    above.append(d.rpartition("/")[0])
+            yield pd.DataFrame({"dir": above}, dtype=object)
+
+    told = checked.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("bytes")).first()
+    if delete:
+        level = checkpointed(checked.mapInPandas(files, "dir string").distinct().filter("dir != ''"))
+        while not level.isEmpty():
+            # the deepest first, as a folder may hold others that are still to go
+            depth = F.size(F.split("dir", "/"))
+            deepest = level.agg(F.max(depth)).first()[0]
+            gone = level.filter(depth == deepest).mapInPandas(folders, "dir string").filter("dir != ''")
+            level = checkpointed(level.filter(depth < deepest).union(gone).distinct())
+    return {"files": told["files"], "bytes": told["bytes"], "deleted": delete}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import mimetypes
+import posixpath
 import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -11,17 +12,26 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from roundforge.sources import stores
+
 MAX_BYTES, TIMEOUT, WORKERS = 20_000_000, 20, 12
 HEADERS = {"User-Agent": "Mozilla/5.0 (compatible; roundforge/1)", "Accept": "image/*,*/*;q=0.8"}
 FETCHED = "url string, content binary, content_type string, error string"
 
 
 def fetch_one(url: str, root: str | None, max_bytes: int = MAX_BYTES, timeout: float = TIMEOUT) -> tuple[bytes | None, str | None, str | None]:
-    """content, type, error: over http(s), or a file below ``root``."""
+    """content, type, error: over http(s), or a file below ``root``, a local path or a URI."""
     try:
         if url.startswith(("http://", "https://")):
             with urllib.request.urlopen(urllib.request.Request(url, headers=HEADERS), timeout=timeout) as r:
                 data, kind = r.read(max_bytes + 1), r.headers.get("Content-Type")
+        elif root and "://" in root:
+            inside = posixpath.normpath(url)
+            if inside.startswith(("/", "..")):
+                return None, None, "outside of the root"
+            store, base = stores.opened(root)
+            with store.open_input_stream(f"{base.rstrip('/')}/{inside}") as f:
+                data, kind = bytes(f.read(max_bytes + 1)), mimetypes.guess_type(inside)[0]
         else:
             base = Path(root or ".").resolve()
             path = (base / url).resolve()

@@ -9,14 +9,15 @@ import urllib.request
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from roundforge.functions import text
+from roundforge.sources import stores
 
 TIMEOUT, BATCH, PIECE = 60, 10_000, 1 << 18
 #: Bytes of a file that one task reads; attempts in a row that may bring nothing; seconds before the second one, doubled each time.
@@ -204,16 +205,16 @@ def decode(lines: DataFrame, strict: bool = True) -> DataFrame:
     return rows.filter(F.schema_of_variant("doc").startswith("OBJECT")).select("pos", "doc")
 
 
-def category_sources(category: str, raw: Path | None, review_base: str = "", meta_base: str = "") -> tuple[str, str]:
-    """Reviews and metadata of a category: below addresses, or local files, gzipped first."""
+def category_sources(category: str, raw: str | None, review_base: str = "", meta_base: str = "") -> tuple[str, str]:
+    """Reviews and metadata of a category: below addresses, or files of a folder, gzipped first."""
     if raw is None:
         return f"{review_base}/{category}.jsonl", f"{meta_base}/meta_{category}.jsonl"
     out = []
     for stem in (category, f"meta_{category}"):
-        found = [p for p in (raw / f"{stem}.jsonl.gz", raw / f"{stem}.jsonl") if p.is_file()]
+        found = [p for p in (f"{raw}/{stem}.jsonl.gz", f"{raw}/{stem}.jsonl") if stores.kind(p) is fs.FileType.File]
         if not found:
-            raise FileNotFoundError(f"no local file for {stem} in {raw}")
-        out.append(str(found[0]))
+            raise FileNotFoundError(f"no file for {stem} in {raw}")
+        out.append(found[0])
     return out[0], out[1]
 
 

@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import json
-import re
-from pathlib import Path, PurePosixPath
-
+import os
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
+from pathlib import PurePosixPath
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundforge.sources import jsonarray
+from roundforge.functions import text
+from roundforge.session import checkpointed
+from roundforge.sources import jsonarray, stores
 
 PRODUCT = "struct<title:string,category:string,category_path:array<string>,leaf_category:string,price:double,product_image:string,store:string,asin:string,parent_asin:string,source_url:string>"
 ANALYSIS = "struct<difficulty_score:int,curation_priority:int,flags:array<string>,choice_similarity_max:double,choice_similarity_mean:double,review_title_leak_ratio:double,image_host:string>"
@@ -36,54 +44,101 @@ def read_inline(spark: SparkSession, path: str, range_bytes: int = jsonarray.RAN
     return rows.select("pos", F.from_json("value", ROUND).alias("r")).select("pos", "r.*")
 
 
-def read_manifest(path: str, format_name: str | None = None) -> dict:
-    manifest = json.loads(Path(path).read_text("utf-8"))
-    if not isinstance(manifest, dict) or not isinstance(manifest.get("shards"), list) or not isinstance(manifest.get("index"), list):
+SHARD = "struct<id:string,path:string,round_count:bigint,sha256:string,categories:map<string,bigint>>"
+INDEX = "struct<id:string,category:string,shard:string>"
+
+
+@dataclass(frozen=True)
+class Manifest:
+    """A sharded pack's manifest: what is large in it, the list of shards and the index, are tables that tasks read."""
+
+    root: str
+    signature: str | None
+    shards: DataFrame
+    index: DataFrame
+
+
+def read_manifest(spark: SparkSession, path: str, format_name: str | None = None) -> Manifest:
+    head = spark.read.schema("dataset_signature string, format string").json(path, multiLine=True).first()
+    shards, index = (jsonarray.read(spark, path, key) for key in ("shards", "index"))
+    if shards is None or index is None:
         raise PackError("not a sharded pack's manifest")
-    if format_name and manifest.get("format") != format_name:
+    if format_name and head["format"] != format_name:
         raise PackError("the manifest has another format")
-    for s in manifest["shards"]:
-        safe_relative(s["path"])
-    return manifest
-
-
-def read_shards(spark: SparkSession, manifest_path: str, shards: set[str] | None = None) -> DataFrame:
-    """The rounds of a sharded pack, or of some of its shards: only their files are opened. Each file must name the pack's signature and its own shard."""
-    manifest = read_manifest(manifest_path)
-    root = Path(manifest_path).parent
-    chosen = [s for s in manifest["shards"] if shards is None or s["id"] in shards]
-    if not chosen:
-        return spark.createDataFrame([], f"shard string, r {ROUND}").select("shard", "r.*")
-    files = spark.read.schema(f"dataset_signature string, shard struct<id:string>, rounds array<{ROUND}>").json([str(root / s["path"]) for s in chosen], multiLine=True)
-    path_of = F.create_map(*[F.lit(x) for s in chosen for x in (s["id"], s["path"])])
-    right = (F.col("dataset_signature") == manifest["dataset_signature"]) & F.col("_metadata.file_path").endswith(F.coalesce(path_of[F.col("shard.id")], F.lit("?")))
+    listed = shards.select(F.from_json("value", SHARD).alias("s")).select("s.*")
+    if unsafe := listed.filter(~text.safe_path(F.coalesce("path", F.lit("")))).first():
+        raise PackError(f"unsafe path {unsafe['path']!r}")
+    return Manifest(path.rpartition("/")[0] or ".", head["dataset_signature"], listed, index.select("pos", F.from_json("value", INDEX).alias("i")).select("pos", "i.*"))
+
+
+def read_texts(listed: DataFrame, root: str) -> DataFrame:
+    """``listed`` (path and others) with the text of each file (content), opened by tasks below a folder."""
+    kept = listed.columns
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(len(b)):
+                yield b.iloc[i : i + 1].assign(content=stores.text(f"{root}/{b['path'].iloc[i]}"))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listed.schema) + ", content string"
+    return listed.repartition("path").mapInPandas(opened, schema).select(*kept, "content")
+
+
+def read_shards(spark: SparkSession, manifest: str | Manifest, shards: DataFrame | None = None) -> DataFrame:
+    """The rounds of a sharded pack, or of some of its shards (column shard): only their files are opened. Each file must name the pack's signature and its own shard."""
+    m = manifest if isinstance(manifest, Manifest) else read_manifest(spark, manifest)
+    listed = m.shards.select(F.col("id").alias("shard"), "path")
+    if shards is not None:
+        listed = listed.join(shards.select("shard").distinct(), "shard", "left_semi")
+    file = F.from_json("content", f"struct<dataset_signature:string,shard:struct<id:string>,rounds:array<{ROUND}>>")
+    files = read_texts(listed, m.root).select("shard", file.alias("f"))
+    right = (F.col("f.dataset_signature") == m.signature) & (F.col("f.shard.id") == F.col("shard"))
     checked = files.withColumn("__ok", F.assert_true(F.coalesce(right, F.lit(False)), F.lit("a shard's signature or id differs"))).filter("__ok is null")
-    return checked.select(F.col("shard.id").alias("shard"), F.explode("rounds").alias("r")).select("shard", "r.*")
+    return checked.select("shard", F.explode("f.rounds").alias("r")).select("shard", "r.*")
+
+
+#: Buckets of an index table.
+BUCKETS = 64
 
 
-def lookup(spark: SparkSession, manifest_path: str, ids: list[str]) -> DataFrame:
-    """The rounds of the given ids, in their order, from the shards that hold them."""
-    index = {e["id"]: e["shard"] for e in read_manifest(manifest_path)["index"]}
-    if missing := [i for i in ids if i not in index]:
-        raise PackError(f"no round {missing[0]}")
-    wanted = spark.createDataFrame(list(enumerate(ids)), "pos long, id string")
-    return wanted.join(read_shards(spark, manifest_path, {index[i] for i in ids}), "id", "left").orderBy("pos")
+def _bucket(name: str = "id"):
+    return F.pmod(F.xxhash64(name), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(manifest: Manifest, folder: str) -> None:
+    """The index as a table that is partitioned by a hash of the id, for look-ups that read a part of it only."""
+    manifest.index.select("id", "shard", _bucket().alias("bucket")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+
+
+def lookup(spark: SparkSession, manifest: str | Manifest, ids: list[str] | DataFrame, index: str | None = None) -> DataFrame:
+    """The rounds of the given ids (a list, or a table of pos and id), in their order, from the shards that hold them. index: a table of write_index(), of which the
+    ids' buckets alone are read; without one the manifest's own index is."""
+    m = manifest if isinstance(manifest, Manifest) else read_manifest(spark, manifest)
+    wanted = ids if isinstance(ids, DataFrame) else spark.createDataFrame(list(enumerate(ids)), "pos long, id string")
+    table = m.index.select("id", "shard")
+    if index is not None:
+        buckets = [r["b"] for r in wanted.select(_bucket().alias("b")).distinct().collect()]  # BUCKETS at most
+        table = spark.read.schema("id string, shard string, bucket int").parquet(index).filter(F.col("bucket").isin(buckets)).select("id", "shard")
+    where = checkpointed(wanted.join(table, "id", "left"))
+    if missing := where.filter("shard is null").first():
+        raise PackError(f"no round {missing['id']}")
+    return wanted.join(read_shards(spark, m, where), "id", "left").orderBy("pos")
 
 
 def open_pack(spark: SparkSession, folder: str) -> DataFrame:
     """The manifest's pack; only where there is none, rounds.json, then demo.json. A manifest that is invalid is an error."""
-    root = Path(folder)
-    if (root / "manifest.json").exists():
-        return read_shards(spark, str(root / "manifest.json"))
+    there = lambda name: stores.kind(f"{folder}/{name}") is fs.FileType.File
+    if there("manifest.json"):
+        return read_shards(spark, f"{folder}/manifest.json")
     for name in ("rounds.json", "demo.json"):
-        if (root / name).exists():
-            return read_inline(spark, str(root / name))
+        if there(name):
+            return read_inline(spark, f"{folder}/{name}")
     raise PackError(f"no pack in {folder}")
 
 
 def read_decisions(spark: SparkSession, path: str, signature: str | None = None) -> DataFrame:
     """id and decision of a decisions file, after checks of its types, its signature, and that no id is both kept and rejected."""
-    payload = json.loads(Path(path).read_text("utf-8"))
+    payload = json.loads(stores.text(path))
     lists = [payload.get("kept_ids", []), payload.get("rejected_ids", [])]
     if not all(isinstance(x, list) and all(isinstance(i, str) for i in x) for x in lists):
         raise PackError("ids must be lists of strings")
@@ -95,18 +150,49 @@ def read_decisions(spark: SparkSession, path: str, signature: str | None = None)
     return spark.createDataFrame(rows, "id string, decision string")
 
 
+def _entries(store: fs.FileSystem, at: str) -> Iterator[tuple[str, bool, int]]:
+    """name, whether it is a folder, and length of what a folder holds; links are left out."""
+    if store.type_name == "local":
+        with os.scandir(at) as found:
+            for e in found:
+                if not e.is_symlink():
+                    yield e.name, e.is_dir(), 0 if e.is_dir() else e.stat().st_size
+        return
+    for e in store.get_file_info(fs.FileSelector(at)):
+        yield e.base_name, e.type == fs.FileType.Directory, e.size or 0
+
+
 def read_files(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
-    """path (relative) and length of the files below a folder, links and what they lead to left out; with content only if asked for."""
-    root = Path(folder).resolve()
-    linked = [(str(p.relative_to(root)),) for p in root.rglob("*") if p.is_symlink()]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(root))
-    path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{re.escape(str(root))}/", "")
-    out = files.select(path.alias("path"), "length", *(["content"] if content else []))
-    if not linked:
+    """path (relative) and length of the files below a folder, a path or a URI, links and what they lead to left out; with content only if asked for.
+
+    Tasks list folders, one level after the other, so the driver sees no names."""
+    if stores.kind(folder) is not fs.FileType.Directory:
+        raise FileNotFoundError(folder)
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = stores.opened(folder)
+        for b in batches:
+            for d in b["dir"]:
+                found = _entries(store, f"{root.rstrip('/')}/{d}")
+                while some := list(islice(found, 10_000)):
+                    yield pd.DataFrame([(f"{d}/{name}" if d else name, is_dir, length) for name, is_dir, length in some], columns=["path", "is_dir", "length"])
+
+    level, files = spark.createDataFrame([("",)], "dir string"), []
+    while True:
+        listed = checkpointed(level.repartition("dir").mapInPandas(entries, "path string, is_dir boolean, length long"))
+        files.append(listed.filter("not is_dir").select("path", "length"))
+        level = listed.filter("is_dir").select(F.col("path").alias("dir"))
+        if level.isEmpty():
+            break
+    out = reduce(DataFrame.unionByName, files)
+    if not content:
         return out
-    links = spark.createDataFrame(linked, "link string")
-    # a path is left out if a folder above it, or it itself, is a link
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    below = out.select("path", F.explode(above).alias("link")).join(links, "link", "left_semi").select("path").distinct()
-    return out.join(below, "path", "left_anti")
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = stores.opened(folder)
+        for b in batches:
+            for path, length in zip(b["path"], b["length"], strict=True):
+                with store.open_input_stream(f"{root.rstrip('/')}/{path}") as f:
+                    yield pd.DataFrame({"path": [path], "length": [length], "content": [bytes(f.read())]})
+
+    return out.repartition("path").mapInPandas(opened, "path string, length long, content binary")

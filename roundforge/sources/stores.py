@@ -17,7 +17,7 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     """The store of a path, and the path in it. A path without a scheme is local; schemes that Arrow lacks go through Hadoop's own library."""
     scheme, colon, rest = uri.partition(":")
     if not colon or "/" in scheme:
-        return fs.LocalFileSystem(), uri
+        return fs.LocalFileSystem(), os.path.abspath(uri)
     if scheme == "dbfs":
         return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
     if scheme in SCHEMES:
@@ -75,3 +75,21 @@ def size(store: fs.FileSystem, path: str) -> int | None:
     """A file's length; None where there is none."""
     found = store.get_file_info(path)
     return found.size if found.type == fs.FileType.File else None
+
+
+def kind(uri: str) -> fs.FileType:
+    store, path = opened(uri)
+    return store.get_file_info(path).type
+
+
+def text(uri: str) -> str:
+    """A small file's text."""
+    store, path = opened(uri)
+    with store.open_input_stream(path) as f:
+        return f.read().decode("utf-8")
+
+
+def names(uri: str) -> list[str]:
+    """The names of what a folder holds: for folders of a known size."""
+    store, path = opened(uri)
+    return sorted(e.base_name for e in store.get_file_info(fs.FileSelector(path)))

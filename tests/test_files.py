@@ -75,9 +75,15 @@ def test_shards_round_trip(spark, tmp_path):
     got = packs.lookup(spark, str(tmp_path / "manifest.json"), ["r7", "r2"])
     assert [r["id"] for r in got.collect()] == ["r7", "r2"]
     shards = {e["shard"] for e in index if e["id"] in ("r7", "r2")}
-    assert len(packs.read_shards(spark, str(tmp_path / "manifest.json"), shards).inputFiles()) == len(shards)
-    with pytest.raises(packs.PackError):
-        packs.lookup(spark, str(tmp_path / "manifest.json"), ["nope"])
+    read = packs.read_manifest(spark, str(tmp_path / "manifest.json"))
+    packs.write_index(read, str(tmp_path / "index"))
+    for s in manifest["shards"]:
+        if s["id"] not in shards:
+            (tmp_path / s["path"]).unlink()  # only the files that are asked for are opened
+    for table in (None, str(tmp_path / "index")):
+        assert [r["id"] for r in packs.lookup(spark, read, ["r7", "r2"], table).collect()] == ["r7", "r2"]
+        with pytest.raises(packs.PackError):
+            packs.lookup(spark, read, ["nope"], table)
     manifest["shards"][0]["path"] = "../x.json"
     (tmp_path / "manifest.json").write_text(json.dumps(manifest))
     with pytest.raises(packs.PackError):
