@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import importlib.util
 import io
 import mimetypes
 from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roundforge.functions import hashing
+from roundforge.functions import hashing, pictures
 from roundforge.functions.text import safe_path
 from roundforge.operators.screening import needs
 from roundforge.session import checkpointed
@@ -48,25 +50,34 @@ def public_path(prefix: str, name: Column) -> Column:
     return F.concat_ws("/", F.lit(prefix.strip("/")), name)
 
 
-def dhash(pictures: DataFrame) -> DataFrame:
-    """``pictures`` (path, content) with dhash, a 64-bit difference hash; null where Pillow is missing or can't read the image."""
+def _grey(content: bytes) -> np.ndarray | None:
+    """The picture as 8 rows of 9 grey values; None if it can't be read. Pillow reads all formats; without it PNG files are read here."""
+    try:
+        if importlib.util.find_spec("PIL") is None:
+            return pictures.shrunk(pictures.png_grey(bytes(content)), 9, 8)
+        from PIL import Image, ImageOps
+
+        with Image.open(io.BytesIO(content)) as image:
+            return np.asarray(ImageOps.exif_transpose(image).convert("L").resize((9, 8), Image.Resampling.LANCZOS))
+    except Exception:  # whatever a decoder raises for bytes that are no image
+        return None
 
-    def one(content: bytes) -> int | None:
-        try:
-            from PIL import Image, ImageOps
 
-            with Image.open(io.BytesIO(content)) as image:
-                grey = list(ImageOps.exif_transpose(image).convert("L").resize((9, 8), Image.Resampling.LANCZOS).getdata())
-        except Exception:  # no Pillow, or no image
+def dhash(images_: DataFrame) -> DataFrame:
+    """``images_`` (path, content) with dhash, a 64-bit difference hash; null where the image can't be read."""
+
+    def one(content: bytes) -> int | None:
+        grey = _grey(content)
+        if grey is None:
             return None
-        value = sum(1 << i for i, (a, b) in enumerate((grey[9 * r + c], grey[9 * r + c + 1]) for r in range(8) for c in range(8)) if a > b)
+        value = sum(1 << i for i, darker in enumerate((grey[:, :-1] > grey[:, 1:]).ravel().tolist()) if darker)
         return value - (1 << 64) if value >> 63 else value
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"path": b["path"], "dhash": pd.array([one(c) for c in b["content"]], dtype="Int64")})
 
-    return pictures.select("path", "content").mapInPandas(run, "path string, dhash long")
+    return images_.select("path", "content").mapInPandas(run, "path string, dhash long")
 
 
 def _part(x: Column, lo: int, width: int) -> Column:

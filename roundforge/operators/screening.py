@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import importlib.util
 import io
+import struct
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roundforge.functions import pictures
+
 #: Patterns, flags and severities; letters match whatever their case where it says so.
 TEXT_CHECKS = [
     ("contact_email", "high", r"(?iU)(?<![\w.+-])[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}(?![\w-])"),
@@ -72,6 +75,22 @@ def image_state_flags(path: Column, exists: Column) -> Column:
     return F.when(path.isNull(), F.array().cast(f"array<{FLAG}>")).when(exists.isNull(), F.array(flag("image_not_local", "low", "image"))).when(~exists, F.array(flag("image_missing", "high", "image"))).otherwise(F.array().cast(f"array<{FLAG}>"))
 
 
+def _header_flags(content: bytes | None) -> list[dict]:
+    """As _image_flags() without detectors, by the headers of JPEG and PNG files, where Pillow is missing. Other formats can't be told from bytes
+    that are no image then, so they are an error."""
+    if content and (content.startswith((b"GIF8", b"BM")) or content[8:12] == b"WEBP" or content[4:8] == b"ftyp"):
+        needs("PIL")
+    try:
+        h = pictures.read_header(bytes(content))
+    except (pictures.Unreadable, TypeError, struct.error):
+        return [{"name": "image_unreadable", "severity": "medium", "source": "image"}]
+    out = [("exif_gps_location", "high", "image_metadata")] * h.gps
+    out += [(n, "medium", "image_metadata") for tag, n in EXIF_FLAGS.items() if h.tags.get(tag, b"").strip(b"\0")]
+    out += [("very_small_image", "low", "image")] * (min(h.width, h.height) < 160)
+    out += [("extreme_aspect_ratio", "low", "image")] * (max(h.width, h.height) >= 5 * max(1, min(h.width, h.height)))
+    return [{"name": n, "severity": s, "source": w} for n, s, w in out]
+
+
 def _image_flags(content: bytes | None, detectors: list[Callable]) -> list[dict]:
     from PIL import Image
 
@@ -126,13 +145,16 @@ def needs(*modules: str) -> None:
 
 def image_flags(images: DataFrame, detectors: list[Callable] | None = None, faces: bool = False, codes: bool = False) -> DataFrame:
     """``images`` (path, content) with flags from metadata, size and detectors: the given ones (of a Pillow image; they return name, severity and
-    source), and OpenCV's for faces and QR codes. Needs Pillow, and OpenCV for faces and codes."""
-    needs("PIL", *["cv2"] * (faces or codes))
+    source), and OpenCV's for faces and QR codes. Detectors need Pillow, and those for faces and codes OpenCV; without detectors the headers of
+    JPEG and PNG files are enough where Pillow is missing."""
+    plain = not (detectors or faces or codes) and importlib.util.find_spec("PIL") is None
+    if not plain:
+        needs("PIL", *["cv2"] * (faces or codes))
     detectors = [*(detectors or []), *([opencv_detector(faces, codes)] if faces or codes else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"path": b["path"], "flags": [_image_flags(c, detectors or []) for c in b["content"]]})
+            yield pd.DataFrame({"path": b["path"], "flags": [_header_flags(c) if plain else _image_flags(c, detectors) for c in b["content"]]})
 
     return images.select("path", "content").mapInPandas(run, f"path string, flags array<{FLAG}>")
 

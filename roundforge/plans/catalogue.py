@@ -616,7 +616,11 @@ def q_pigeonhole_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dhashes(spark, sf_dir).select("id", F.explode(hashing.segments(F.col("dhash"), 16)).alias("s")).select("id", "s.part", "s.value")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BITS},
+o AS (SELECT id, h, row_number() OVER (ORDER BY id) AS n FROM h),
+g AS (SELECT 0::BIGINT AS n, []::HUGEINT[] AS kept, NULL::BIGINT AS id, NULL::HUGEINT AS h, false AS taken
+ UNION ALL SELECT o.n, CASE WHEN len(list_filter(g.kept, lambda k: bit_count(xor(k, o.h)) <= 16)) = 0 THEN list_append(g.kept, o.h) ELSE g.kept END, o.id, o.h, len(list_filter(g.kept, lambda k: bit_count(xor(k, o.h)) <= 16)) = 0 FROM g JOIN o ON o.n = g.n + 1)
+SELECT id, format('{{:016x}}', h::UBIGINT) AS dhash FROM g WHERE taken""")
 def q_greedy_perceptual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-07: rows in order, without those near a kept one. Tested against a plain loop."""
     return assets.greedy_perceptual(_dhashes(spark, sf_dir), 16).select("id", hashing.dhash_hex(F.col("dhash")).alias("dhash"))

@@ -6,21 +6,24 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 import threading
 import uuid
+import zlib
 from functools import partial
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundforge.functions import text
+from roundforge.functions import hashing, text
 from roundforge.operators import assets, build, curation, game, quality, rerank, screening, sharding, workspace
 from roundforge.operators.signature import signatures
 from roundforge.plans import sqltext as q
 from roundforge.plans import views
-from roundforge.plans.catalogue import _BANK, _SCORED, _SCREENED, _SHARDED, SEED, _scored, query, r6
+from roundforge.plans.catalogue import _BANK, _BITS, _SCORED, _SCREENED, _SHARDED, SEED, _scored, query, r6
 from roundforge.plans.views import table, with_views
 from roundforge.session import checkpointed, placed, shared_folder
 from roundforge.sinks import writers
@@ -373,6 +376,80 @@ def q_image_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(k.cast("long").alias("id"), F.when(path.isNotNull(), told).alias("flags"))
 
 
+def _png(width: int, height: int, rows: bytes = b"", more: bytes = b"") -> bytes:
+    """A PNG file of grey values; more: chunks before those."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + (chunk(b"eXIf", more) if more else b"") + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def _jpeg(width: int, height: int, exif: bytes = b"") -> bytes:
+    """The headers of a JPEG file."""
+    part = lambda mark, body: struct.pack(">BBH", 0xFF, mark, len(body) + 2) + body
+    return b"\xff\xd8" + part(0xE0, b"JFIF\0" + bytes(9)) + (part(0xE1, b"Exif\0\0" + exif) if exif else b"") + part(0xC4, bytes(20)) + part(0xC0, struct.pack(">BHHB", 8, height, width, 1) + bytes(3)) + part(0xDA, bytes(6)) + b"\xff\xd9"
+
+
+def _exif(order: str, artist: bool, comment: bool, gps: bool) -> bytes:
+    """Tables of tags: the artist in the main one, a comment in that of EXIF, a latitude's letter in that of GPS."""
+    entry = lambda tag, kind, count, value: struct.pack(order + "HHI", tag, kind, count) + value
+    table = lambda entries: struct.pack(order + "H", len(entries)) + b"".join(entries) + bytes(4)
+    number = lambda x: struct.pack(order + "I", x)
+    size = 8 + 2 + 12 * (artist + comment + gps) + 4
+    main, rest = [], b""
+    if artist:
+        main.append(entry(315, 2, 8, number(size + len(rest))))
+        rest += b"Ann Lee\0"
+    if comment:
+        main.append(entry(0x8769, 4, 1, number(size + len(rest))))
+        rest += table([entry(37510, 7, 4, b"note")])
+    if gps:
+        main.append(entry(0x8825, 4, 1, number(size + len(rest))))
+        rest += table([entry(1, 2, 2, b"N\0\0\0")])
+    return (b"II*\0" if order == "<" else b"MM\0*") + number(8) + table(main) + rest
+
+
+@query("""SELECT p_partkey::BIGINT AS id, CASE WHEN p_partkey % 11 = 0 THEN 'image_unreadable:medium:image' ELSE concat_ws(',', CASE WHEN p_partkey % 5 = 0 THEN 'exif_gps_location:high:image_metadata' END, CASE WHEN p_partkey % 3 = 0 THEN 'exif_artist:medium:image_metadata' END,
+ CASE WHEN p_partkey % 4 = 0 THEN 'exif_user_comment:medium:image_metadata' END, CASE WHEN least(w, h) < 160 THEN 'very_small_image:low:image' END, CASE WHEN greatest(w, h) >= 5 * least(w, h) THEN 'extreme_aspect_ratio:low:image' END) END AS flags
+ FROM (SELECT p_partkey, 40 * (p_partkey % 7 + 1) AS w, 40 * (p_partkey % 23 + 1) AS h FROM part)""")
+def q_image_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-12: flags of pictures' metadata and sizes; a picture is drawn for each part, JPEG or PNG, its tags in either byte order, some of them broken."""
+    k = F.col("p_partkey").cast("long")
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for i in b["k"]:
+                exif = _exif("<>"[i % 13 % 2], i % 3 == 0, i % 4 == 0, i % 5 == 0) if not (i % 3 and i % 4 and i % 5) else b""
+                w, h = 40 * (i % 7 + 1), 40 * (i % 23 + 1)
+                data = _png(w, h, more=exif) if i % 2 else _jpeg(w, h, exif)
+                out.append((str(i), data if i % 11 else data[3:]))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    drawn = table(spark, sf_dir, "part").select(k.alias("k")).mapInPandas(run, "path string, content binary")
+    told = F.array_join(F.transform("flags", lambda f: F.concat_ws(":", f["name"], f["severity"], f["source"])), ",")
+    return screening.image_flags(drawn).select(F.col("path").cast("long").alias("id"), told.alias("flags"))
+
+
+@query(f"WITH {_BITS} SELECT id, format('{{:016x}}', h::UBIGINT) AS dhash FROM h")
+def q_dhash_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-20: difference hashes of pictures, one drawn for each vector, whose signs are its bits."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for i, v in zip(b["vec_id"], b["embedding"], strict=True):
+                steps = (np.asarray(v)[:64].reshape(8, 8) > 0).astype(int)
+                grey = np.concatenate([np.full((8, 1), 200), 200 - np.cumsum(steps, axis=1)], axis=1).astype(np.uint8)
+                lines = b""
+                for y, line in enumerate(grey):  # rows as they are, as differences from the left, and from above
+                    before = [np.zeros(9, np.uint8), np.concatenate([[0], line[:-1]]).astype(np.uint8), grey[y - 1] if y else np.zeros(9, np.uint8)][y % 3]
+                    lines += bytes([y % 3]) + (line - before).astype(np.uint8).tobytes()
+                out.append((str(i), _png(9, 8, lines)))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    drawn = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "path string, content binary")
+    return assets.dhash(drawn).select(F.col("path").cast("long").alias("id"), hashing.dhash_hex(F.col("dhash")).alias("dhash"))
+
+
 def _toy_model():
     """A classifier for tests: its score is the last digit of the file's number."""
     return lambda content: [{"label": "NSFW_content", "score": (int(bytes(content)[-1:] or b"0") % 10 + 0.5) / 10}, {"label": "safe", "score": 0.99}]
