@@ -100,14 +100,14 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     tail = F.when(k % 9 == 0, " by @some_one.x").when(k % 9 == 3, " at 48.8566, 2.3522 now").when(k % 9 == 6, " call 415-555-0132 or www.example.com/a").otherwise("")
     own = d.select(F.concat(F.lit("d"), k.cast("string")).alias("id"), F.lit("A title").alias("review_title"), F.concat("text", tail).alias("review_text"))
-    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("url").alias("review_title"), F.lit("").alias("review_text"))
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("url").alias("review_title"), F.col("html").alias("review_text"))
     talk = table(spark, sf_dir, "conversations").select(F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.lit(None).cast("string").alias("review_title"), F.col("text").alias("review_text"))
     return own.union(pages).union(talk)
 
 
 TEXTS = """texts AS (SELECT 'd' || doc_id::VARCHAR AS id, 'A title' AS review_title, text || CASE WHEN doc_id % 9 = 0 THEN ' by @some_one.x' WHEN doc_id % 9 = 3 THEN ' at 48.8566, 2.3522 now'
  WHEN doc_id % 9 = 6 THEN ' call 415-555-0132 or www.example.com/a' ELSE '' END AS review_text FROM documents
- UNION ALL SELECT 'p' || page_id::VARCHAR, url, '' FROM pages UNION ALL SELECT 'c-' || conv_id::VARCHAR || '-' || turn::VARCHAR, NULL, text FROM conversations)"""
+ UNION ALL SELECT 'p' || page_id::VARCHAR, url, html FROM pages UNION ALL SELECT 'c-' || conv_id::VARCHAR || '-' || turn::VARCHAR, NULL, text FROM conversations)"""
 
 _NEEDS = {"products": PRODUCTS, "reviews": REVIEWS, "rounds": ROUNDS, "decisions": DECISIONS, "texts": TEXTS}
 _AFTER = {"rounds": ["products"], "decisions": ["products", "rounds"]}
