@@ -106,13 +106,16 @@ def taxonomy_score(path_a: Column, leaf_a: Column, category_a: Column, path_b: C
     return common + F.when(low(leaf_a) == low(leaf_b), 4).when(low(category_a) == low(category_b), 2).otherwise(0)
 
 
-def leak_ratio(title: Column, review_title: Column, review_text: Column) -> Column:
-    """The share of the title's tokens that the review has."""
-    own = tokens(title)
-    said = tokens(F.concat_ws(" ", F.coalesce(review_title, F.lit("")), F.coalesce(review_text, F.lit(""))))
+def leak_of(own: Column, said: Column) -> Column:
+    """The share of a title's tokens that a review's tokens have."""
     return F.when(F.size(own) > 0, F.size(F.array_intersect(own, said)) / F.size(own)).otherwise(0.0)
 
 
+def leak_ratio(title: Column, review_title: Column, review_text: Column) -> Column:
+    """leak_of() for texts."""
+    return leak_of(tokens(title), tokens(F.concat_ws(" ", F.coalesce(review_title, F.lit("")), F.coalesce(review_text, F.lit("")))))
+
+
 def humanize(x: Column) -> Column:
     return F.replace(F.replace(x, F.lit("_and_"), F.lit(" & ")), F.lit("_"), F.lit(" "))
 

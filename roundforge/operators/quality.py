@@ -8,23 +8,25 @@ from pyspark.sql import functions as F
 from roundforge.functions import text
 
 
-def similarities(title: Column, choices: Column) -> Column:
-    """Of the title and every choice that isn't exactly it."""
-    own = text.tokens(title)
-    others = F.filter(choices, lambda c: c.isNotNull() & (c != title))
-    return F.coalesce(F.transform(others, lambda c: text.jaccard(own, text.tokens(c))), F.array().cast("array<double>"))
+def similarities(own: Column, others: Column) -> Column:
+    """Of a title's tokens and the tokens of each other title."""
+    return F.transform(others, lambda t: text.jaccard(own, t))
 
 
 def analyze(rounds: DataFrame) -> DataFrame:
-    """``rounds`` (title, choices, review_title, review_text, rating, source_url, review_image) with the struct analysis."""
+    """``rounds`` (title, choices, review_title, review_text, rating, source_url, review_image) with the struct analysis.
+
+    Tokens are columns, as they are used several times: a text is folded and cut into tokens once."""
     title = F.coalesce("title", F.lit(""))
-    out = rounds.withColumn("__s", similarities(F.col("title"), F.col("choices")))
+    others = F.coalesce(F.filter("choices", lambda c: c.isNotNull() & (c != F.col("title"))), F.array().cast("array<string>"))
+    out = rounds.withColumns({"__own": text.tokens(F.col("title")), "__others": F.transform(others, lambda c: text.tokens(c)), "__said": text.tokens(F.concat_ws(" ", F.coalesce("review_title", F.lit("")), F.coalesce("review_text", F.lit(""))))})
+    out = out.withColumn("__s", similarities(F.col("__own"), F.col("__others")))
     out = out.withColumn("__max", F.coalesce(F.array_max("__s"), F.lit(0.0)))
     out = out.withColumn("__mean", F.when(F.size("__s") > 0, F.aggregate("__s", F.lit(0.0), lambda a, x: a + x) / F.size("__s")).otherwise(0.0))
-    out = out.withColumn("__leak", text.leak_ratio(F.col("title"), F.col("review_title"), F.col("review_text"))).withColumn("__host", text.image_host(F.col("review_image")))
+    out = out.withColumn("__leak", text.leak_of(F.col("__own"), F.col("__said"))).withColumn("__host", text.image_host(F.col("review_image")))
     said = F.length(F.regexp_replace(F.coalesce("review_text", F.lit("")), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
     size, high, leak = F.length(title), F.col("__max"), F.col("__leak")
-    telling = F.size(text.tokens(title)) >= 2
+    telling = F.size("__own") >= 2
     choices = F.filter(F.coalesce("choices", F.array().cast("array<string>")), lambda c: c.isNotNull())
     distinct = F.size(F.array_distinct(F.transform(choices, lambda c: F.trim(F.lower(c)))))
     # Flags with their conditions and weights; of a group, the first that holds
@@ -55,7 +57,7 @@ def analyze(rounds: DataFrame) -> DataFrame:
         F.bround("__leak", 4).alias("review_title_leak_ratio"),
         F.col("__host").alias("image_host"),
     )
-    return out.withColumn("analysis", analysis).drop("__s", "__max", "__mean", "__leak", "__host", "__flags")
+    return out.withColumn("analysis", analysis).drop("__own", "__others", "__said", "__s", "__max", "__mean", "__leak", "__host", "__flags")
 
 
 def counts(df: DataFrame, key: Column, name: str, pos: str = "pos") -> DataFrame:
