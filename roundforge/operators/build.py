@@ -32,6 +32,20 @@ def check_limits(limit: int, categories: list[str] | None = None) -> None:
         raise ValueError("at least one category is needed")
 
 
+def capacities(limit: Column, categories: int) -> dict[str, Column]:
+    """The sizes above for a column of limits, and what is wrong with a limit; sizes of wrong limits are null."""
+    n = limit.cast("long")
+    ok = n >= 1
+    error = F.when(~F.coalesce(ok, F.lit(False)), "limit must be at least 1")
+    sizes = {
+        "reviews": F.least(F.greatest(8 * n, n + 300), F.lit(60_000)),
+        "pool": F.least(F.greatest(6 * n, F.lit(3_000)), F.lit(30_000)),
+        "per_category": F.ceil(n / categories),
+        "oversample": F.greatest(n + 20, F.ceil(135 * n / 100)),
+    }
+    return {k: F.when(ok, v.cast("long")) for k, v in sizes.items()} | {"error": error}
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     """The parts' rows, one part after the other, columns by name."""
     out = parts[0]

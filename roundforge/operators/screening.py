@@ -189,6 +189,12 @@ def parse_device(value: str | None) -> int | str | None:
     return int(plain) if plain.lstrip("+-").isdigit() else value
 
 
+def device(value: Column) -> Column:
+    """parse_device() for a column, as text."""
+    plain = F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    return F.when(plain.isin("", "auto"), F.lit(None)).when(plain == "cpu", "-1").when(plain.rlike("^[+-]?[0-9]+$"), plain.cast("long").cast("string")).otherwise(value)
+
+
 def classify(images: DataFrame, load: Callable[[], Callable[[bytes], list[dict]]]) -> DataFrame:
     """``images`` (path, content) with scores. The model is loaded once by each worker, and each distinct path is classified once."""
 

@@ -693,12 +693,14 @@ def q_presentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.rounds(spark, sf_dir).select("id", text.star_string(F.col("rating")).alias("stars"), text.meta_line(F.col("category"), F.lit(" "), F.col("leaf_category")).alias("line"))
 
 
-@query("SELECT label, item FROM (VALUES ('Pet_Supplies', 'meta_Pet_Supplies.jsonl.gz'), ('Home & Kitchen', 'Home_and_Kitchen.jsonl')) v(label, item)")
+@query("""SELECT p_partkey::BIGINT AS id, CASE WHEN p_partkey % 2 = 0 THEN replace(p_type, ' ', ' & ') ELSE replace(p_name, ' ', '_') END AS label, CASE WHEN p_partkey % 2 = 0 THEN 'meta_' || replace(p_type, ' ', '_and_') || '.jsonl.gz' ELSE replace(p_name, ' ', '_') || '.jsonl' END AS item FROM part""")
 def q_source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ-10, PRJ-11."""
-    raw = spark.createDataFrame([("https://x.example.com/raw/meta_Pet_Supplies.jsonl.gz/",), ("raw/Home_and_Kitchen.jsonl",)], "path string")
+    """PRJ-10, PRJ-11: a source for each part, named after its type or its name."""
+    even = F.col("p_partkey") % 2 == 0
+    path = F.when(even, F.concat(F.lit("https://x.example.com/raw/meta_"), F.replace("p_type", F.lit(" "), F.lit("_and_")), F.lit(".jsonl.gz/"))).otherwise(F.concat(F.lit("raw/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".jsonl")))
     label = text.source_label(F.col("path"))
-    return raw.select(F.when(label.contains("_and_"), text.humanize(label)).otherwise(label).alias("label"), F.regexp_extract(F.regexp_replace("path", "/+$", ""), "([^/]*)$", 1).alias("item"))
+    raw = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), path.alias("path"))
+    return raw.select("id", F.when(label.contains("_and_"), text.humanize(label)).otherwise(label).alias("label"), F.regexp_extract(F.regexp_replace("path", "/+$", ""), "([^/]*)$", 1).alias("item"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '.jpg' WHEN event_id % 4 = 1 THEN '.png' WHEN event_id % 4 = 2 THEN '.gif' ELSE '.img' END AS extension, CASE WHEN event_id % 4 = 0 THEN 'image/jpeg' WHEN event_id % 4 = 1 THEN 'image/png' WHEN event_id % 4 = 2 THEN 'image/gif' ELSE 'application/octet-stream' END AS content_type FROM events")

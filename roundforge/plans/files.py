@@ -555,11 +555,20 @@ def q_workspace_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("version", "dataset_signature", pairs("decisions", lambda x: F.concat_ws("=", x["key"], x["value"])).alias("decisions"), pairs("annotations", lambda x: F.concat(x["key"], F.lit("="), x["value"]["note"], F.lit("#"), F.array_join(x["value"]["tags"], "+"))).alias("annotations"), F.array_join(F.transform("queue_presets", lambda p: p["name"]), ",").alias("presets"))
 
 
-@query("""SELECT * FROM (VALUES ('first', true, true, 1, 'a=keep'), ('same again', true, false, 1, 'a=keep'), ('older base, other key', true, true, 2, 'a=keep,b=reject'), ('conflict', false, NULL, 2, 'a=keep,b=reject'), ('conflict, local side', true, true, 3, 'a=keep,b=keep'), ('deletion', true, true, 4, 'b=keep')) AS t(step, ok, changed, revision, decisions)""")
+_ALL = """w AS (SELECT string_agg(n_name || '=keep', ',' ORDER BY n_name) FILTER (n_nationkey % 2 = 0) AS even, string_agg(n_name || CASE WHEN n_nationkey % 2 = 0 THEN '=keep' ELSE '=reject' END, ',' ORDER BY n_name) AS mixed,
+ string_agg(n_name || '=keep', ',' ORDER BY n_name) AS kept, string_agg(n_name || '=keep', ',' ORDER BY n_name) FILTER (n_nationkey % 2 = 1) AS odd FROM nation)"""
+
+
+@query(f"""WITH {_ALL} SELECT step, ok, changed, revision, CASE decisions WHEN 'even' THEN even WHEN 'both' THEN mixed WHEN 'kept' THEN kept ELSE odd END AS decisions FROM w, (VALUES ('first', true, true, 1, 'even'), ('same again', true, false, 1, 'even'), ('older base, other keys', true, true, 2, 'both'),
+ ('conflict', false, NULL, 2, 'both'), ('conflict, local side', true, true, 3, 'kept'), ('deletion', true, true, 4, 'odd')) AS t(step, ok, changed, revision, decisions)""")
 def q_workspace_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STA-02, SNK-08, SRC-15: saves of a workspace upon an older or the newest revision."""
+    """STA-02, SNK-08, SRC-15: saves of a workspace of all nations upon an older or the newest revision."""
     store = workspace.Store(spark, folder(spark, "revisions"))
-    steps = [("first", 0, {"a": "keep"}, "reject"), ("same again", 1, {"a": "keep"}, "reject"), ("older base, other key", 0, {"b": "reject"}, "reject"), ("conflict", 1, {"a": "keep", "b": "keep"}, "reject"), ("conflict, local side", 1, {"a": "keep", "b": "keep"}, "prefer_local"), ("deletion", 3, {"b": "keep"}, "reject")]
+    rows = table(spark, sf_dir, "nation").collect()  # 25 rows
+    even, odd = ([r["n_name"] for r in rows if r["n_nationkey"] % 2 == k] for k in (0, 1))
+    all_of = lambda names, d: dict.fromkeys(names, d)
+    every = all_of(even + odd, "keep")
+    steps = [("first", 0, all_of(even, "keep"), "reject"), ("same again", 1, all_of(even, "keep"), "reject"), ("older base, other keys", 0, all_of(odd, "reject"), "reject"), ("conflict", 1, every, "reject"), ("conflict, local side", 1, every, "prefer_local"), ("deletion", 3, all_of(odd, "keep"), "reject")]
     out = []
     for name, base, decisions, strategy in steps:
         got = store.save("sig", base, {"decisions": decisions}, "me", strategy)
@@ -609,19 +618,12 @@ def q_daily_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.substring_index("date_key", "|", 1).cast("long").alias("user_id"), F.substring_index("date_key", "|", -1).alias("date_key"), F.array_join("outcomes", ",").alias("outcomes"), "score")
 
 
-@query("""SELECT l AS "limit", least(greatest(8 * l, l + 300), 60000) AS reviews, least(greatest(6 * l, 3000), 30000) AS pool, (l + 6) // 7 AS per_category, greatest(l + 20, (135 * l + 99) // 100) AS oversample, NULL::VARCHAR AS error FROM (SELECT n_nationkey * 700 + 1 AS l FROM nation) UNION ALL SELECT 0, NULL, NULL, NULL, NULL, 'limit must be at least 1'""")
+@query("""SELECT o_orderkey::BIGINT AS id, l::BIGINT AS "limit", CASE WHEN l > 0 THEN least(greatest(8 * l, l + 300), 60000) END::BIGINT AS reviews, CASE WHEN l > 0 THEN least(greatest(6 * l, 3000), 30000) END::BIGINT AS pool, CASE WHEN l > 0 THEN (l + 6) // 7 END::BIGINT AS per_category,
+ CASE WHEN l > 0 THEN greatest(l + 20, (135 * l + 99) // 100) END::BIGINT AS oversample, CASE WHEN l < 1 THEN 'limit must be at least 1' END AS error FROM (SELECT o_orderkey, o_orderkey % 9001 - 3 AS l FROM orders)""")
 def q_capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SCL-34, VAL-05: sizes that follow from a limit, and a limit that can't be."""
-    out = []
-    for r in table(spark, sf_dir, "nation").collect():  # 25 rows
-        n = r["n_nationkey"] * 700 + 1
-        build.check_limits(n, ["a"])
-        out.append((n, build.review_capacity(n), build.pool_capacity(n), build.per_category(n, 7), build.oversample(n), None))
-    try:
-        build.check_limits(0)
-    except ValueError as e:
-        out.append((0, None, None, None, None, str(e)))
-    return spark.createDataFrame(out, "limit long, reviews long, pool long, per_category long, oversample long, error string")
+    """SCL-34, VAL-05: sizes that follow from a limit, and limits that can't be; a limit is made of each order."""
+    n = (F.col("o_orderkey") % 9001 - 3).cast("long")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("id"), n.alias("limit"), *[c.alias(k) for k, c in build.capacities(n, 7).items()])
 
 
 # --- ranks -------------------------------------------------------------------------------------

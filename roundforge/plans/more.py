@@ -135,8 +135,9 @@ def q_dirty_workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(c.alias("id"), workspace.dirty(saved, now).alias("dirty"))
 
 
-@query("SELECT * FROM (VALUES (' ', NULL), ('auto', NULL), ('CPU', '-1'), (' 1 ', '1'), ('cuda:0', 'cuda:0')) AS t(value, device)")
+@query("SELECT event_id, CASE event_id % 6 WHEN 2 THEN '-1' WHEN 3 THEN event_id::VARCHAR WHEN 4 THEN 'Cuda:' || user_id WHEN 5 THEN '-' || (1 + event_id)::VARCHAR END AS device FROM events")
 def q_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SCL-17: where a classifier runs."""
-    rows = [(v, None if (d := screening.parse_device(v)) is None else str(d)) for v in (" ", "auto", "CPU", " 1 ", "cuda:0")]
-    return spark.createDataFrame(rows, "value string, device string")
+    """SCL-17: where a classifier runs; an option is made of each event."""
+    k, name = F.col("event_id"), F.col("event_id").cast("string")
+    option = F.when(k % 6 == 0, " ").when(k % 6 == 1, "Auto").when(k % 6 == 2, " CPU").when(k % 6 == 3, F.concat(F.lit(" +"), name, F.lit(" "))).when(k % 6 == 4, F.concat(F.lit("Cuda:"), F.col("user_id").cast("string"))).otherwise(F.concat(F.lit("-"), (k + 1).cast("string")))
+    return table(spark, sf_dir, "events").select("event_id", screening.device(option).alias("device"))
