@@ -5,6 +5,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -324,3 +325,43 @@ def test_sharding_odd_rows(odd, none):
     assert len(got) == odd.count() and {r["size"] for r in got if r["doc_id"] in (1, 2)} == {16}
     assert sharding.shard(none, 3).count() == 0
 
+
+
+def test_sharding_by_a_plain_loop(spark, odd, small):
+    """The first map, the places of slots in shards and of rows in slots, on the whole odd table twice over and on documents."""
+    twice = odd.unionByName(odd).select("doc_id", "text").unionByName(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"))
+    slots, shards = 97, 5
+    rows = [(r["virtual_slot"], r["doc_id"], r["text_crc32"], r["size"]) for r in sharding.sized(twice, slots).collect()]
+    texts = Counter((r["doc_id"], zlib.crc32((r["text"] or "").encode()), len((r["text"] or "").encode()) + 16) for r in twice.collect())
+    assert Counter(r[1:] for r in rows) == texts
+    total = [sum(r[3] for r in rows if r[0] == s) for s in range(slots)]
+    load, of = [0] * shards, {}
+    for s in sorted(range(slots), key=lambda s: (-total[s], s)):
+        of[s] = load.index(min(load))
+        load[of[s]] += total[s]
+    want, used = [], [0] * shards
+    for s in range(slots):
+        for r in sorted((r for r in rows if r[0] == s), key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+            want.append((*r, of[s], used[of[s]]))
+            used[of[s]] += 1
+    got = [(r["virtual_slot"], r["doc_id"], r["text_crc32"], r["size"], r["shard"], r["slot"]) for r in sharding.shard(twice, shards, slots).collect()]
+    assert Counter(got) == Counter(want)
+
+
+def test_packing_the_whole_odd_table(odd):
+    """Null and repeated ids are rows of their own: every id of every row lies in one piece, and sequences have no gaps."""
+    from tokenizers import Tokenizer
+
+    twice = odd.unionByName(odd)
+    t = Tokenizer.from_file(entry.tokenizer_path())
+    sizes = Counter()
+    for r in twice.select("doc_id", "text").collect():
+        sizes[r["doc_id"]] += len(t.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+    rows = packing.pack(twice, packing.PackConfig(entry.tokenizer_path())).collect()
+    got = Counter()
+    for r in rows:
+        got[r["doc_id"]] += r["length"]
+    assert got == sizes
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+    for (s, o, n), (s2, o2, _) in zip(places, places[1:], strict=False):
+        assert (s2, o2) == ((s, o + n) if o + n < 2048 else (s + 1, 0))
