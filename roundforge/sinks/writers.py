@@ -33,7 +33,8 @@ def replace_file(path: Path | str, data: bytes) -> None:
 
 
 def write_json(fields: dict[str, object], path: str) -> None:
-    """One JSON object in one file. A field that is a DataFrame (pos and others) is an array of its rows in order of pos. Tasks write the rows of a range of
+    """One JSON object in one file. A field that is a DataFrame (pos and others) is an array of its rows in order of pos, or of plain values where the only other column is
+    named value. Tasks write the rows of a range of
     pos each into a part beside the file, and one task joins the parts' bytes, so the driver holds a row for each part. A part's name has its
     task's attempt, only those of tasks that ended well are joined."""
     parts = f"{path}.parts-{uuid.uuid4().hex}"
@@ -64,7 +65,9 @@ def write_json(fields: dict[str, object], path: str) -> None:
             pieces.append((False, json.dumps(value, ensure_ascii=False, separators=(",", ":"))))
             continue
         spark = value.sparkSession
-        rows = value.repartitionByRange("pos").sortWithinPartitions("pos").drop("pos").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j"))
+        rows = value.repartitionByRange("pos").sortWithinPartitions("pos").drop("pos")
+        one = F.to_json(F.array("value")) if rows.columns == ["value"] else F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+        rows = rows.select((F.substr(one, F.lit(2), F.length(one) - 2) if rows.columns == ["value"] else one).alias("j"))
         names = [r["name"] for r in sorted(rows.mapInPandas(writer(k), "part int, name string").collect())]
         pieces.append((False, "["))
         for i, name in enumerate(names):
@@ -101,6 +104,12 @@ def write_pack(rounds: DataFrame, header: dict, path: str) -> None:
     write_json(header | {"rounds": rounds}, path)
 
 
+def write_decisions(decisions: DataFrame, signature: str, path: str) -> None:
+    """A decisions file of version 1: sorted ids that are kept, and that are rejected."""
+    ids = lambda what: decisions.filter(F.col("decision") == what).select(F.col("id").alias("pos"), F.col("id").alias("value"))
+    write_json({"version": 1, "dataset_signature": signature, "kept_ids": ids("keep"), "rejected_ids": ids("reject")}, path)
+
+
 def write_shards(rounds: DataFrame, folder: str, header: dict, prefix: str = "shards/rounds") -> DataFrame:
     """Writes a canonical JSON file for each shard (rounds: shard, place, json) below ``folder``, a URI or a local path; returns id,
     path, round_count, sha256. A task holds one shard at a time. A shard's number, from 1, is its id's."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -137,17 +136,21 @@ def open_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_decisions(spark: SparkSession, path: str, signature: str | None = None) -> DataFrame:
-    """id and decision of a decisions file, after checks of its types, its signature, and that no id is both kept and rejected."""
-    payload = json.loads(stores.text(path))
-    lists = [payload.get("kept_ids", []), payload.get("rejected_ids", [])]
-    if not all(isinstance(x, list) and all(isinstance(i, str) for i in x) for x in lists):
+    """id and decision of a decisions file, after checks of its types, its signature, and that no id is both kept and rejected. One task
+    reads the file, which is one curator's; the driver is told what the checks need, and no ids."""
+    file = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    part = lambda name: F.try_variant_get("v", f"$.{name}", "variant")
+    told = file.select(F.schema_of_variant(part("kept_ids")).alias("kept"), F.schema_of_variant(part("rejected_ids")).alias("rejected"), F.try_variant_get("v", "$.dataset_signature", "string").alias("signature")).first()
+    if not all(told[k] in (None, "ARRAY<STRING>", "ARRAY<VOID>") for k in ("kept", "rejected")):
         raise PackError("ids must be lists of strings")
-    if set(lists[0]) & set(lists[1]):
+    ids = lambda name: file.select(F.explode(F.try_variant_get("v", f"$.{name}", "array<string>")).alias("id"))
+    kept, rejected = ids("kept_ids"), ids("rejected_ids")
+    if kept.join(rejected, "id", "left_semi").first():
         raise PackError("an id is both kept and rejected")
-    if signature is not None and payload.get("dataset_signature") not in (None, signature):
+    if signature is not None and told["signature"] not in (None, signature):
         raise PackError("the decisions are for another pack")
-    rows = [(i, d) for ids, d in zip(lists, ("keep", "reject"), strict=True) for i in ids]
-    return spark.createDataFrame(rows, "id string, decision string")
+    # cut loose from the file, which may be written anew
+    return checkpointed(kept.withColumn("decision", F.lit("keep")).union(rejected.withColumn("decision", F.lit("reject"))))
 
 
 def _entries(store: fs.FileSystem, at: str) -> Iterator[tuple[str, bool, int]]:

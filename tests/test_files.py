@@ -107,9 +107,16 @@ def test_decisions(spark, tmp_path):
     assert {(r["id"], r["decision"]) for r in d.collect()} == {("a", "keep"), ("b", "reject")}
     with pytest.raises(packs.PackError):
         packs.read_decisions(spark, str(at), "other")
-    at.write_text(json.dumps({"kept_ids": ["a"], "rejected_ids": ["a"]}))
-    with pytest.raises(packs.PackError):
-        packs.read_decisions(spark, str(at))
+    for bad in ({"kept_ids": ["a"], "rejected_ids": ["a"]}, {"kept_ids": "a"}, {"kept_ids": ["a", 3]}, {"rejected_ids": {"a": 1}}):
+        at.write_text(json.dumps(bad))
+        with pytest.raises(packs.PackError):
+            packs.read_decisions(spark, str(at))
+    own = spark.createDataFrame([("b", "keep"), ('a"\\é', "keep"), ("z", "reject"), ("y", None)], "id string, decision string").repartition(3)
+    writers.write_decisions(own, "s", str(at))
+    assert json.loads(at.read_text()) == {"version": 1, "dataset_signature": "s", "kept_ids": ['a"\\é', "b"], "rejected_ids": ["z"]}
+    assert {(r["id"], r["decision"]) for r in packs.read_decisions(spark, str(at), "s").collect()} == {('a"\\é', "keep"), ("b", "keep"), ("z", "reject")}
+    writers.write_decisions(own.limit(0), "s", str(at))
+    assert packs.read_decisions(spark, str(at), "s").count() == 0
     changes = spark.createDataFrame([("a", None, 2), ("c", "keep", 1), ("a", "reject", 1)], "id string, decision string, pos long")
     assert {(r["id"], r["decision"]) for r in curation.upsert(d, changes).collect()} == {("b", "reject"), ("c", "keep")}
 
