@@ -18,6 +18,8 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     scheme, colon, rest = uri.partition(":")
     if not colon or "/" in scheme:
         return fs.LocalFileSystem(), os.path.abspath(uri)
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")  # taken as it is: names may have characters that a URI must escape
     if scheme == "dbfs":
         return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
     if scheme in SCHEMES:
