@@ -132,8 +132,10 @@ def theta_distractors(products: DataFrame, pool: DataFrame, k: int = 3, cutoff:
     grouped = lambda df, *group: df.withColumn("g", F.struct(*group))
     near = checkpointed(_best(grouped(own, "category", "path"), grouped(other, "category", "path"), k, cutoff))
     enough = near.filter(F.col("rank") == k).select(*key)
-    few = own.join(enough, key, "left_anti")
-    found = near.join(enough, key, "left_semi").unionByName(_best(grouped(few, "category"), grouped(other, "category"), k, cutoff))
+    few, found = checkpointed(own.join(enough, key, "left_anti")), near
+    if not few.isEmpty():
+        there = other.join(few.select("category").distinct(), "category", "left_semi")
+        found = near.join(enough, key, "left_semi").unionByName(_best(grouped(few, "category"), grouped(there, "category"), k, cutoff))
     back = products.select("parent_asin", "title", "category", here.alias("path"))
     return back.join(found, key).select("parent_asin", "rank", "distractor", "rank_score")
 
