@@ -26,6 +26,7 @@ import math
 import random
 import re
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -130,38 +131,24 @@ class Open:
 
     def __init__(self) -> None:
         self.elements: list[tuple[str, Node | None, bool]] = []  # tag, node (None for inline ones), whether it is hidden
-        self.places: dict[str, list[int]] = {}
+        self.places: dict[str, list[int]] = defaultdict(list)
         self.blocks: list[int] = []
 
-    def __len__(self) -> int:
-        return len(self.elements)
-
-    def push(self, tag: str, node: Node | None, hidden: bool) -> None:
-        at = len(self.elements)
-        self.places.setdefault(tag, []).append(at)
-        if node is not None:
-            self.blocks.append(at)
-        self.elements.append((tag, node, hidden))
-
-    def pop(self) -> tuple[str, Node | None, bool]:
-        out = self.elements.pop()
-        self.places[out[0]].pop()
-        if out[1] is not None:
-            self.blocks.pop()
-        return out
-
-    def last(self, *tags: str) -> int:
+    def last(self, tags: tuple[str, ...]) -> int:
         """The place of the innermost element of these tags, or -1."""
-        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
-
-    def block(self) -> int:
-        return self.blocks[-1] if self.blocks else -1
+        most = -1
+        for t in tags:
+            at = self.places[t]
+            if at and at[-1] > most:
+                most = at[-1]
+        return most
 
 
 def parse(page: str) -> Node:
     """The tree of block elements with runs of text as leaves. Hidden elements are read like any other and then left out."""
     root = Node("#root", frozenset(), None)
     stack = Open()
+    elements, places, blocks = stack.elements, stack.places, stack.blocks
     block, pieces, link, links, muted = root, [], 0, 0, 0
     no_hint: frozenset[int] = frozenset()
 
@@ -178,10 +165,12 @@ def parse(page: str) -> Node:
     def pop_to(size: int) -> None:
         """Closes the open elements from number ``size`` on."""
         nonlocal block, links, muted
-        while len(stack) > size:
-            tag, node, hidden = stack.pop()
+        while len(elements) > size:
+            tag, node, hidden = elements.pop()
+            places[tag].pop()
             muted -= hidden
             if node is not None:
+                blocks.pop()
                 flush()
                 block = node.parent
                 if hidden:
@@ -200,12 +189,12 @@ def parse(page: str) -> Node:
                 if links:
                     link += len(tag.strip())
         elif kind == "end":
-            k = stack.last(tag)
-            if k < 0:
+            at_tag = places[tag]
+            if not at_tag:
                 if tag == "p" or tag not in INLINE:
                     flush()
-            elif not (tag in INLINE and stack.block() > k):  # an end tag of an inline element doesn't close blocks
-                pop_to(k)
+            elif not (tag in INLINE and blocks and blocks[-1] > at_tag[-1]):  # an end tag of an inline element doesn't close blocks
+                pop_to(at_tag[-1])
         elif tag in VOID:
             if tag == "hr":
                 flush()
@@ -224,20 +213,23 @@ def parse(page: str) -> Node:
             hints, hidden = _hints(attributes) if attributes.strip() else (no_hint, False)
             hidden |= tag in HIDDEN
             if tag in INLINE:
-                stack.push(tag, None, hidden)
+                places[tag].append(len(elements))
+                elements.append((tag, None, hidden))
                 muted += hidden
                 links += tag == "a"
                 block.elements += 1
             else:
                 open_block(stack, tag, pop_to)
-                if not (tag in ("html", "body") and stack.last(tag) >= 0):
+                if not (tag in ("html", "body") and places[tag]):
                     flush()
                     if hidden:
                         block.elements += 1
                     if not closed:
                         node = Node(tag, hints, block)
                         block.children.append(node)
-                        stack.push(tag, node, hidden)
+                        places[tag].append(len(elements))
+                        blocks.append(len(elements))
+                        elements.append((tag, node, hidden))
                         muted += hidden
                         block = node
         try:
@@ -249,17 +241,21 @@ def parse(page: str) -> Node:
     return root
 
 
+#: Of SELF_CLOSING: the tags that a start tag closes, and those within which it looks for them, without the former.
+_CLOSES = {tag: (tuple(sorted(like)), tuple(sorted(scope - like))) for tag, (like, scope) in SELF_CLOSING.items()}
+
+
 def open_block(stack: Open, tag: str, pop_to: Callable[[int], None]) -> None:
     """Closes the elements that the start tag of a block element ends."""
-    if tag in SELF_CLOSING:
-        like, scope = SELF_CLOSING[tag]
-        while (k := stack.last(*like)) > stack.last(*(t for t in scope if t not in like)):
+    if tag in _CLOSES:
+        like, scope = _CLOSES[tag]
+        while (k := stack.last(like)) > stack.last(scope):
             pop_to(k)
             if tag not in ("tr", "tbody"):
                 break
-    k = stack.last(CLOSED_BY_BLOCK)
-    if k >= 0 and k >= stack.block():
-        pop_to(k)
+    p = stack.places[CLOSED_BY_BLOCK]
+    if p and not (stack.blocks and stack.blocks[-1] > p[-1]):
+        pop_to(p[-1])
 
 
 @lru_cache(maxsize=64)
