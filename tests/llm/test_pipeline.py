@@ -63,3 +63,20 @@ def test_a_plain_version_of_the_pipeline(spark, small):
     judged = {r["doc_id"] for r in quality_rules.judge(docs).filter("kept").collect()}
     rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in judged and langid.normal_bytes(r["text"])]
     assert packed == {root for root, _ in brute(rows).values()}
+
+
+def test_tables_go_once_nothing_needs_them(spark, small):
+    """A stage's own tables go when the next one has its written output, not before, and not those of results that are still to be read."""
+    from roundforge.llm.common import tables
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    first, again = corpus_pipeline.quality(spark, docs, small), corpus_pipeline.quality(spark, docs.limit(50), small)
+    made = set(corpus_pipeline._MADE["quality"])
+    assert made <= tables()
+    lazily = corpus_pipeline.language(spark, first, small)  # its input reads the tables
+    assert made <= tables() and lazily.count() > 0 and again.count() > 0
+    kept = written(first, "test-kept")
+    corpus_pipeline.near_duplicates(spark, kept, small)
+    assert not made & tables() and kept.count() > 0
+    results = [corpus_pipeline.run(spark, small) for _ in range(2)]
+    assert len({tuple(sorted((r["doc_id"], r["start"], r["length"]) for r in x.collect())) for x in results}) == 1
