@@ -304,7 +304,7 @@ def q_fnv_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_views("rounds", f"SELECT printf('%x', {q.fnv('ids')}) AS signature FROM (SELECT string_agg(id, '|' ORDER BY id) AS ids FROM rounds)"))
 def q_fnv_signature_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-11: the signature of all rounds, in parts of 500 ids that are folded one after the other."""
+    """AGG-11: the signature of all rounds, in parts of 500 ids that are folded at once and joined."""
     return signatures(views.rounds(spark, sf_dir).select("id"), "id", part_ids=500)
 
 

@@ -26,3 +26,16 @@ def test_parts_are_folded_in_order(spark, part):
     ids = [r["id"] for r in ascii_.collect()]
     assert [r["signature"] for r in signatures(ascii_, "id", part_ids=part).collect()] == [fnv(ids)]
     assert [r["signature"] for r in signatures(df.limit(0), "id").collect()] == [fnv([])] and signatures(df.limit(0), "id", "g").count() == 0
+
+
+def test_no_part_waits_for_another(spark):
+    """2000 parts take as many jobs as one: the passes go by bits of the state, not by parts."""
+    ids = [f"{i:05x}" for i in range(20_000)]
+    df = spark.createDataFrame([(i,) for i in ids], "id string").repartition(3)
+    spark.sparkContext.setJobGroup("signature-parts", "signatures of many parts")
+    try:
+        assert [r["signature"] for r in signatures(df, "id", part_ids=10).collect()] == [fnv(ids)]
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("signature-parts")
+    finally:
+        spark.sparkContext.setJobGroup("others", "")
+    assert len(jobs) < 60
