@@ -4,9 +4,10 @@
    equal sets are one class, told by a digest of the set; from here on only the first row stands for a class.
 2. The forest: ``trees`` prefix tries over MinHash signatures of ``max_depth`` one-byte values. A trie is its signatures in sorted
    order: all tries are one table, dealt out by range and sorted, where rows with a long common prefix are neighbours.
-3. Matched prefixes start max_depth values long and are shortened until the target recall. The recall is measured: ``sample_docs``
-   documents of 20 to 5000 words, drawn by hash, are edited until they are just at the threshold, the hardest links there are; the share of trees in
-   which such pairs have a common prefix gives the probability that a pair has it in fewer than ``min_trees``.
+3. Matched prefixes start max_depth values long and are shortened until the target recall. The recall is that of links just at the threshold, the
+   hardest there are: two sets have a MinHash value in common with the probability of their similarity, so a prefix of d values with threshold^d, and
+   that gives the probability that a pair has it in fewer than ``min_trees``. No documents are drawn for it, as pairs of drawn ones may be easier than a link of
+   others: edited copies of short texts are never just at the threshold.
 4. Walking the sorted tries, the rows below one prefix are a node. A small node gives all its pairs, which count if they meet in
    ``min_trees`` trees; a large node, or one that a partition's end cuts, gives an edge from each row to its first. So nothing
    grows with the square of a node, and no node must lie in one task. The components of this graph hold every candidate pair.
@@ -40,7 +41,7 @@ from roundforge.llm.common import BROADCAST_IDS, ROW, as_text, checkpointed, in_
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _CHUNK = 1 << 16
-#: Words of the longest document on which recall is measured.
+#: Words of the longest text that measured_depth() takes.
 SAMPLE_WORDS = 5000
 _CELLS = 1 << 22  # of a dense piece of the document by n-gram matrix
 
@@ -48,8 +49,7 @@ _CELLS = 1 << 22  # of a dense piece of the document by n-gram matrix
 @dataclass(frozen=True)
 class JoinConfig:
     """block_grams, block_docs: n-grams and documents of a block in verification. small_bucket: rows of a
-    node up to which all its pairs are candidates; larger ones are linked through their first row. sample_docs: documents on
-    which the recall of a prefix is measured."""
+    node up to which all its pairs are candidates; larger ones are linked through their first row."""
 
     words: int = 5
     threshold: float = 0.8
@@ -60,7 +60,6 @@ class JoinConfig:
     small_bucket: int = 24
     block_grams: int = 300_000
     block_docs: int = 128
-    sample_docs: int = 128
 
     def recall(self, rate: float) -> float:
         """The probability that a pair meets in min_trees trees, each of which it meets in at this rate."""
@@ -75,7 +74,7 @@ class JoinConfig:
 
     @property
     def depth(self) -> int:
-        """What equal chances of all n-grams would give, where there is nothing to measure."""
+        """The length of matched prefixes: links at the threshold have the target recall, whatever the documents."""
         return self.shortened([self.threshold**d for d in range(1, self.max_depth + 1)])
 
 
@@ -180,7 +179,7 @@ def edited(text: str, config: JoinConfig, rng: random.Random) -> str | None:
 
 
 def measured_depth(texts: list[str], config: JoinConfig) -> int:
-    """The length to which matched prefixes are shortened, measured on pairs of these texts and edited copies."""
+    """The length to which prefixes would be shortened for pairs of these texts and edited copies: a check of JoinConfig.depth by tests, which no join uses."""
     rng = random.Random(3)
     pairs = [(t, e) for t in texts if 4 * config.words <= len(t.split()) <= SAMPLE_WORDS and (e := edited(t, config, rng))]
     if len(pairs) < 8:
@@ -382,10 +381,7 @@ def _classes(rows: DataFrame, config: JoinConfig) -> tuple[DataFrame, DataFrame]
     signed = written(map_texts(texts, lambda t: signed_texts(t, config), "digest binary, size int, keys array<long>"), "signed")
     reps = signed.groupBy("digest").agg(F.min(ROW).alias("doc"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     reps = written(reps, "reps")
-    share = config.sample_docs / max(1, rows.count())
-    drawn = texts.filter(F.pmod(F.xxhash64(F.lit("forest"), ROW), F.lit(1_000_000)) < 1_000_000 * share).select("_text")
-    depth = measured_depth([r["_text"] for r in drawn.limit(2 * config.sample_docs).collect()], config)
-    grouped = components(candidate_edges(reps, depth, config)).select(F.col("node").alias("doc"), F.col("root").alias("component"))
+    grouped = components(candidate_edges(reps, config.depth, config)).select(F.col("node").alias("doc"), F.col("root").alias("component"))
     members = checkpointed(reps.select("doc", "copies", "size").join(grouped, "doc"))
     blocks = members.groupBy("component").agg(F.ceil(F.greatest(F.sum("size") / config.block_grams, F.count("*") / config.block_docs)).cast("int").alias("blocks"))
     members = checkpointed(members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int")))

@@ -175,3 +175,15 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(101, 100)], "a long, b long")
     got = {r["node"]: r["root"] for r in ngram_join.components(edges).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_no_documents_decide_the_depth(spark, monkeypatch):
+    """Edited copies of short texts are well above the threshold, and longer prefixes would do for them; links at the threshold need the shorter ones."""
+    config, used = JoinConfig(), []
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(21)) for _ in range(60)]
+    assert ngram_join.measured_depth(texts, config) > config.depth
+    edges = ngram_join.candidate_edges
+    monkeypatch.setattr(ngram_join, "candidate_edges", lambda reps, depth, c: used.append(depth) or edges(reps, depth, c))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert ngram_join.join(docs, config).count() == len(texts) and used == [config.depth]
