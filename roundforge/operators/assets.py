@@ -106,22 +106,85 @@ def hamming_candidates(left: DataFrame, right: DataFrame, threshold: int) -> Dat
     return a.join(near, ["part", "va"]).join(b, ["part", "vb"])
 
 
-def hamming_pairs(left: DataFrame, threshold: int, right: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b, distance) of ids whose hashes differ in ``threshold`` bits at most; a < b in a self-join.
+#: Hashes of a block, about: a unit of work holds two.
+BLOCK = 32_768
+#: Share of all pairs of random hashes that may meet in an index; beyond it, comparing all is less work than joining those that meet.
+MEET_SHARE = 0.0005
+_TILE = 64, 4096  # hashes that are compared at once
+
+
+def _near(a: np.ndarray, b: np.ndarray, threshold: int) -> Iterator[pd.DataFrame]:
+    """All pairs of hashes of two arrays within the threshold."""
+    rows, width = _TILE
+    for lo in range(0, len(a), rows):
+        left, found = a[lo : lo + rows, None], []
+        for at in range(0, len(b), width):
+            bits = np.bitwise_count(left ^ b[at : at + width])
+            x, y = np.divmod(np.flatnonzero(bits <= threshold), bits.shape[1])
+            found.append((x + lo, y + at, bits[x, y]))
+        x, y, bits = (np.concatenate(c) for c in zip(*found, strict=True)) if found else ([],) * 3
+        if len(x):
+            yield pd.DataFrame({"ha": a[x].view(np.int64), "hb": b[y].view(np.int64), "distance": bits.astype(np.int32)})
+
+
+def _all_pairs(left: DataFrame, right: DataFrame | None, threshold: int) -> DataFrame:
+    """ha, hb, distance of distinct hashes (column dhash) within the threshold: all against all, ha <= hb where there is no right side.
+
+    Each side is dealt into blocks by a hash, and a pair of blocks is one unit of work and one partition. Work goes with the product of the sides' sizes, as the
+    pairs of random hashes themselves do, but a task's work and memory are those of two blocks."""
+    n = max(1, -(-left.count() // BLOCK))
+    m = n if right is None else max(1, -(-right.count() // BLOCK))
+    block = lambda k: F.pmod(F.xxhash64("dhash"), F.lit(k))
+    each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias("other")
+    if right is None:  # the first block is the larger one, so that units are numbered without gaps
+        i, j = F.greatest("own", "other"), F.least("own", "other")
+        sides = left.select("dhash", block(n).alias("own"), each(n))
+        sides = sides.select("dhash", (F.col("own") == i).alias("a"), (F.col("own") == j).alias("b"), (F.floor(i * (i + 1) / 2) + j).cast("int").alias("unit"))
+        units = n * (n + 1) // 2
+    else:
+        sides = left.select("dhash", block(n).alias("own"), each(m)).select("dhash", F.lit(True).alias("a"), F.lit(False).alias("b"), (F.col("own") * m + F.col("other")).cast("int").alias("unit"))
+        more = right.select("dhash", block(m).alias("own"), each(n)).select("dhash", F.lit(False).alias("a"), F.lit(True).alias("b"), (F.col("other") * m + F.col("own")).cast("int").alias("unit"))
+        sides, units = sides.union(more), n * m
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(batches)
+        if held:
+            h, a, b = (np.concatenate([x[c].to_numpy() for x in held]) for c in ("dhash", "a", "b"))
+            yield from _near(h[a].view(np.uint64), h[b].view(np.uint64), threshold)
+
+    found = sides.repartitionById(units, F.col("unit")).select("dhash", "a", "b").mapInPandas(run, "ha long, hb long, distance int")
+    if right is not None:
+        return found
+    # within a block both orders are found, between two blocks one
+    return found.select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb"), "distance").distinct()
+
 
-    Multi-index hashing: two such hashes are within a small radius in one of a few parts, so candidates meet in equi-joins of a part's values with
+def _near_hashes(left: DataFrame, right: DataFrame | None, threshold: int) -> DataFrame:
+    """ha, hb, distance of distinct hashes (column dhash) within the threshold, each pair once, equal hashes too; ha <= hb where there is no right side.
+
+    Multi-index hashing where an index is selective: two such hashes are within a small radius in one of a few parts, so candidates meet in equi-joins of a part's values with
     the other side's neighbours of them. The distance is a condition of that join, and a pair counts in the first part that brings it,
-    so only true pairs leave it, once each. Equal hashes are one row of the join, so that copies don't meet in pairs before they are known to be near something."""
+    so only true pairs leave it, once each. Where no index is selective (at 16 of 64 bits 7 % of all pairs meet), all pairs are compared in blocks."""
     check_threshold(threshold)
-    groups = left.groupBy("dhash").agg(F.collect_set("id").alias("ids"))
-    other = right.groupBy("dhash").agg(F.collect_set("id").alias("ids")) if right is not None else groups
+    parts = hashing.multi_index(threshold)
+    if sum(hashing.ball(w, r) / 2**w for _, w, r in parts) > MEET_SHARE:
+        return _all_pairs(left, right, threshold)
     differ = F.col("ha").bitwiseXOR(F.col("hb"))
-    first = F.coalesce(*[F.when(F.bit_count(_part(differ, lo, w)) <= r, F.lit(i)) for i, (lo, w, r) in enumerate(hashing.multi_index(threshold))])
+    first = F.coalesce(*[F.when(F.bit_count(_part(differ, lo, w)) <= r, F.lit(i)) for i, (lo, w, r) in enumerate(parts)])
     met = (hashing.hamming(F.col("ha"), F.col("hb")) <= threshold) & (first == F.col("part"))
     if right is None:
         met = met & (F.col("ha") <= F.col("hb"))
-    pairs = hamming_candidates(groups.select("dhash"), other.select("dhash"), threshold).filter(met).select("ha", "hb", hashing.hamming(F.col("ha"), F.col("hb")).alias("distance"))
-    out = pairs.join(groups.select(F.col("dhash").alias("ha"), F.explode("ids").alias("x")), "ha").join(other.select(F.col("dhash").alias("hb"), F.explode("ids").alias("y")), "hb")
+    return hamming_candidates(left, left if right is None else right, threshold).filter(met).select("ha", "hb", hashing.hamming(F.col("ha"), F.col("hb")).alias("distance"))
+
+
+def hamming_pairs(left: DataFrame, threshold: int, right: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b, distance) of ids whose hashes differ in ``threshold`` bits at most; a < b in a self-join.
+
+    Equal hashes are one row of the search, so that copies don't meet in pairs before they are known to be near something."""
+    ids = checkpointed(left.filter("dhash is not null").select("dhash", "id").distinct())
+    others = ids if right is None else checkpointed(right.filter("dhash is not null").select("dhash", "id").distinct())
+    pairs = _near_hashes(ids.select("dhash").distinct(), None if right is None else others.select("dhash").distinct(), threshold)
+    out = pairs.join(ids.select(F.col("dhash").alias("ha"), F.col("id").alias("x")), "ha").join(others.select(F.col("dhash").alias("hb"), F.col("id").alias("y")), "hb")
     if right is not None:
         return out.select(F.col("x").alias("a"), F.col("y").alias("b"), "distance")
     out = out.filter((F.col("ha") != F.col("hb")) | (F.col("x") < F.col("y")))

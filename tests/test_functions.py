@@ -188,3 +188,17 @@ def test_places_without_a_global_sort(spark):
     got = [(r["place"], r["id"]) for r in placed(rows, F.col("k").desc(), F.col("id").asc()).collect()]
     want = sorted(range(5000), key=lambda i: (-(i * 7919 % 101), i))
     assert sorted(got) == list(enumerate(want))
+
+
+def test_all_pairs_go_by_blocks(spark, monkeypatch):
+    """Where an index isn't selective no candidates are joined, and several blocks give what one gives."""
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(150)]
+    values = base + [b ^ sum(1 << bit for bit in rng.sample(range(64), rng.randint(0, 20))) for b in base] + base[:4]
+    df = spark.createDataFrame([(i, v - 2**64 if v >> 63 else v) for i, v in enumerate(values)], "id long, dhash long")
+    want = {(a, b, d) for a in range(len(values)) for b in range(a + 1, len(values)) if (d := (values[a] ^ values[b]).bit_count()) <= 16}
+    monkeypatch.setattr(assets, "BLOCK", 70, raising=False)
+    monkeypatch.setattr(assets, "hamming_candidates", None)
+    assert [tuple(r) for r in assets.hamming_pairs(df, 16).orderBy("a", "b").collect()] == sorted(want)
+    two = assets.hamming_pairs(df.filter("id < 160"), 16, df.filter("id >= 160")).collect()
+    assert sorted(map(tuple, two)) == sorted((a, b, d) for a, b, d in want if a < 160 <= b)
