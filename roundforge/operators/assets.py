@@ -192,25 +192,27 @@ def hamming_pairs(left: DataFrame, threshold: int, right: DataFrame | None = Non
 
 
 def greedy_perceptual(rows: DataFrame, threshold: int) -> DataFrame:
-    """Rows (id, pos, dhash, ...) in order, each dropped if it is within ``threshold`` of a row kept before.
-
-    A row is settled once all its earlier neighbours are: dropped if one of them is kept, else kept. Each round settles every row whose
-    earlier neighbours are settled; rows without any are kept at once."""
-    pairs = hamming_pairs(rows.select("id", "dhash"), threshold)
-    at = rows.select("id", "pos")
-    edges = pairs.join(at.withColumnsRenamed({"id": "a", "pos": "pa"}), "a").join(at.withColumnsRenamed({"id": "b", "pos": "pb"}), "b")
-    earlier = F.when(F.col("pa") < F.col("pb"), F.col("a")).otherwise(F.col("b"))
-    edges = edges.select(earlier.alias("first"), F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("then"))
-    edges = checkpointed(edges)
-    state = checkpointed(edges.select(F.col("then").alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
+    """Rows (id, pos, dhash, ...) in order, each dropped if it is within ``threshold`` of a row kept before. Rows without a hash stay.
+
+    Of equal hashes only the first row can be kept, so hashes are settled, not rows: one is once all its earlier neighbours are, dropped if one of them is kept, else
+    kept. Each round settles every hash whose earlier neighbours are settled; those without any are kept at once."""
+    check_threshold(threshold)
+    first = F.min(F.struct("pos", "id"))
+    at = checkpointed(rows.filter("dhash is not null").groupBy("dhash").agg(first.alias("at")))
+    pairs = _near_hashes(at.select("dhash"), None, threshold).filter("ha <> hb")
+    edges = pairs.join(at.select(F.col("dhash").alias("ha"), F.col("at").alias("pa")), "ha").join(at.select(F.col("dhash").alias("hb"), F.col("at").alias("pb")), "hb")
+    before = F.col("pa") < F.col("pb")
+    edges = checkpointed(edges.select(F.when(before, F.col("ha")).otherwise(F.col("hb")).alias("first"), F.when(before, F.col("hb")).otherwise(F.col("ha")).alias("then")))
+    state = checkpointed(edges.select(F.col("then").alias("dhash")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
     while not state.filter("kept is null").isEmpty():
-        # rows that aren't in state have no earlier neighbour
-        seen = edges.join(state.withColumnsRenamed({"id": "first", "kept": "first_kept"}).withColumn("known", F.lit(True)), "first", "left")
+        # hashes that aren't in state have no earlier neighbour
+        seen = edges.join(state.withColumnsRenamed({"dhash": "first", "kept": "first_kept"}).withColumn("known", F.lit(True)), "first", "left")
         kept = F.when(F.col("known").isNull(), True).otherwise(F.col("first_kept"))
-        verdict = seen.withColumn("k", kept).groupBy(F.col("then").alias("id")).agg(F.bool_or("k").alias("any_kept"), F.count_if(F.col("k").isNull()).alias("open"))
+        verdict = seen.withColumn("k", kept).groupBy(F.col("then").alias("dhash")).agg(F.bool_or("k").alias("any_kept"), F.count_if(F.col("k").isNull()).alias("open"))
         settled = F.when(F.coalesce("any_kept", F.lit(False)), False).when(F.col("open") == 0, True)
-        state = checkpointed(state.join(verdict, "id").select("id", F.coalesce("kept", settled).alias("kept")))
-    return rows.join(state.filter("not kept").select("id"), "id", "left_anti")
+        state = checkpointed(state.join(verdict, "dhash").select("dhash", F.coalesce("kept", settled).alias("kept")))
+    stay = at.join(state.filter("not kept"), "dhash", "left_anti").select(F.col("at.id").alias("id"), F.lit(True).alias("__stays"))
+    return rows.join(stay, "id", "left").filter(F.col("dhash").isNull() | F.col("__stays")).select(*rows.columns)
 
 
 def exact_distinct(rows: DataFrame, digest: str = "sha256", pos: str = "pos") -> DataFrame:

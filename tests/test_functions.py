@@ -202,3 +202,13 @@ def test_all_pairs_go_by_blocks(spark, monkeypatch):
     assert [tuple(r) for r in assets.hamming_pairs(df, 16).orderBy("a", "b").collect()] == sorted(want)
     two = assets.hamming_pairs(df.filter("id < 160"), 16, df.filter("id >= 160")).collect()
     assert sorted(map(tuple, two)) == sorted((a, b, d) for a, b, d in want if a < 160 <= b)
+
+
+def test_copies_are_settled_once(spark, monkeypatch):
+    """Equal hashes don't meet in pairs: of 1500 copies the first one stays, unless one near it is kept before."""
+    sizes, cut = [], assets.checkpointed
+    monkeypatch.setattr(assets, "checkpointed", lambda df: sizes.append((out := cut(df)).count()) or out)
+    rows = [(i, i, 5) for i in range(1, 1500)] + [(0, 0, 4), (1500, 1500, -1), (1501, 1501, None), (1502, 1502, None)]
+    df = spark.createDataFrame(rows, "id long, pos long, dhash long").repartition(3)
+    assert sorted(r["id"] for r in assets.greedy_perceptual(df, 16).collect()) == [0, 1500, 1501, 1502]
+    assert max(sizes) <= len(rows)
