@@ -66,7 +66,9 @@ def counts(df: DataFrame, key: Column, name: str, pos: str = "pos") -> DataFrame
 
 
 def flag_counts(scored: DataFrame) -> DataFrame:
-    return counts(scored.select("pos", F.explode("analysis.flags").alias("flag")), F.col("flag"), "flag")
+    # outer, as for a plain explode Spark makes a filter of its own, which scores each round a second time below the scores
+    flags = scored.select("pos", F.explode_outer("analysis.flags").alias("flag")).filter("flag is not null")
+    return counts(flags, F.col("flag"), "flag")
 
 
 def rating_key(rating: Column) -> Column:

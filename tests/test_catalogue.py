@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -54,6 +55,17 @@ def test_validate_more_rows_with_namesakes(spark, tmp_path):
     assert rows(["error", "pos"], [tuple(r) for r in got]) == rows(["error", "pos"], want)
 
 
+def _filters(df) -> list[str]:
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return re.findall(r"[+:]- Filter (.*?)(?=\n[ :]*[+:]- |\Z)", plan, re.S)
+
+
+def test_flags_are_counted_without_a_second_scoring(spark, small):
+    """Spark's own filter on what is exploded would go below the scores and bring all of them along."""
+    for name in ("q_audit_flags", "q_audit_facets"):
+        assert not any("regexp_extract_all" in f or "array_intersect" in f for f in _filters(catalogue.QUERIES[name](spark, small)))
+
+
 def test_greedy_two_key_equals_a_loop(spark, small):
     from pyspark.sql import functions as F
 
