@@ -31,11 +31,30 @@ def flag(name: str, severity: str, source: str) -> Column:
     return F.struct(F.lit(name).alias("name"), F.lit(severity).alias("severity"), F.lit(source).alias("source"))
 
 
+def _blob(title: Column, text: Column) -> Column:
+    """A review's title and text as one string."""
+    part = lambda c: F.when(F.trim(c) != "", c)
+    return F.concat_ws("\n", part(title), part(text))
+
+
+def _may_have(name: str, blob: Column) -> Column:
+    """What any match of a check has, and is found quickly: most texts need no more."""
+    return {
+        "contact_email": blob.contains("@"),
+        "contact_phone": blob.rlike("[0-9]{3}[ .-][0-9]{4}"),
+        "external_url": blob.contains("://") | blob.rlike("[Ww]{3}[.]"),
+        "social_handle": blob.contains("@"),
+        "possible_coordinates": blob.rlike(r"[0-9]\s*,\s*[-+]?[0-9]"),
+    }[name]
+
+
 def text_flags(title: Column, text: Column) -> Column:
     """Flags of a review's title and text, which are searched as one string."""
-    part = lambda c: F.when(F.trim(c) != "", c)
-    blob = F.concat_ws("\n", part(title), part(text))
-    return F.array_compact(F.array(*[F.when(blob.rlike(p), flag(n, s, "review_text")) for n, s, p in TEXT_CHECKS]))
+    return _blob_flags(_blob(title, text))
+
+
+def _blob_flags(blob: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(_may_have(n, blob) & blob.rlike(p), flag(n, s, "review_text")) for n, s, p in TEXT_CHECKS]))
 
 
 def summary_of(flags: Column) -> Column:
@@ -49,10 +68,11 @@ def summary_of(flags: Column) -> Column:
 
 def screen(rounds: DataFrame, extra: Column | None = None) -> DataFrame:
     """``rounds`` (review_title, review_text) with screening; ``extra`` flags come after those of the text."""
-    flags = text_flags(F.col("review_title"), F.col("review_text"))
-    # a column of its own: the patterns are searched once, however often the summary looks at the flags
-    found = rounds.withColumn("__flags", F.array_distinct(F.concat(flags, extra) if extra is not None else flags))
-    return found.withColumn("screening", summary_of(F.col("__flags"))).drop("__flags")
+    flags = _blob_flags(F.col("__blob"))
+    own = F.array_distinct(F.concat(flags, extra) if extra is not None else flags)
+    # a row is exploded into itself: the patterns are searched once, however often the summary looks at the flags, and no filter on the summary goes below and searches again
+    found = rounds.withColumn("__blob", _blob(F.col("review_title"), F.col("review_text"))).withColumn("__flags", F.explode_outer(F.array(own)))
+    return found.withColumn("screening", summary_of(F.col("__flags"))).drop("__blob", "__flags")
 
 
 def exclude_high(screened: DataFrame) -> DataFrame:

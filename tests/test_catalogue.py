@@ -66,6 +66,14 @@ def test_flags_are_counted_without_a_second_scoring(spark, small):
         assert not any("regexp_extract_all" in f or "array_intersect" in f for f in _filters(catalogue.QUERIES[name](spark, small)))
 
 
+def test_texts_are_searched_once(spark, small):
+    """A filter on the screening stays above the search."""
+    for name in ("q_exclude_high", "q_screen_flags"):
+        df = catalogue.QUERIES[name](spark, small)
+        assert not any("RLIKE" in f for f in _filters(df))
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("(?iU)(?<!") == 1
+
+
 def test_greedy_two_key_equals_a_loop(spark, small):
     from pyspark.sql import functions as F
 
